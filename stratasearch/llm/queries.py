@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, url_rules
+from . import chat_format, exact_dedup, packing, token_count, url_rules
 from .common import table
 
+#: The conversation that op5 formats besides the table's own: its texts hold the template's own marks.
+MARKS_INSIDE = r"\### Assistant: </turn> ok"
+
+
+def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-7, 0, "user", MARKS_INSIDE), (-7, 1, "assistant", MARKS_INSIDE)], rows.schema)
+    turns = chat_format.turn_rows(rows.unionByName(marked))
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
@@ -17,6 +40,9 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_count": op1_token_count,
+    "op4_packing": op4_packing,
+    "op5_chat_format": op5_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_url_rules": op10_url_rules,
 }
@@ -25,6 +51,18 @@ QUERIES = {
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op5_chat_format": r"""
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        e AS (SELECT *, regexp_replace(role, '([\\#<:])', '\\\1', 'g') AS role_out, regexp_replace(text, '([\\#<])', '\\\1', 'g') AS text_out FROM c)
+        SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          CAST(sum(length(role_out) + length(text_out) + length('### : </turn>') + 1) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOW}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY 1)
