@@ -34,7 +34,10 @@ def frequent_digests(keyed: DataFrame, counters: int = 1024, spread: int = 32) -
         .groupBy("part")
         .agg(F.expr(f"approx_top_k_accumulate(name, {counters})").alias("sketch"))
     )
-    merged = first.agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
+    # grouped, as a combination without groups fails on partitions without rows
+    merged = first.groupBy((F.col("part") % 1).alias("all")).agg(
+        F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch")
+    )
     return merged.select(
         F.explode(F.expr(f"approx_top_k_estimate(sketch, {counters // 2})")).alias("top")
     ).select(F.unhex("top.item").alias("digest"))
