@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, packing, token_count, url_rules
+from . import chat_format, exact_dedup, packing, quality_crf, token_count, url_rules
 from .common import table
 
 #: The conversation that op5 formats besides the table's own: its texts hold the template's own marks.
@@ -35,6 +35,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_url_rules": op10_url_rules,
 }
 
