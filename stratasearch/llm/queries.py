@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, packing, quality_crf, token_count, url_rules
+from . import chat_format, exact_dedup, minhash_join, packing, quality_crf, token_count, url_rules
 from .common import table
 
 #: The conversation that op5 formats besides the table's own: its texts hold the template's own marks.
@@ -16,6 +16,10 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         table(spark, sf_dir, "documents"),
@@ -45,6 +49,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_count": op1_token_count,
+    "op2_minhash_join": op2_minhash_join,
     "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
@@ -56,6 +61,17 @@ QUERIES = {
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op2_minhash_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws
+            ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+        e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * k >= 80 * (len(p.sh) + len(q.sh) - k)),
+        r(id, to_id) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.b FROM r JOIN l ON r.to_id = l.a)
+        SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+        FROM s JOIN (SELECT id, min(to_id) AS component_id FROM r GROUP BY id) m ON m.id = s.doc_id
+    """,
     "op5_chat_format": r"""
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
