@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +41,16 @@ def ascii_lower(text: Column) -> Column:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the folder that the cluster shares, and read it back.
+
+    For tables with whole texts, which a checkpoint would keep uncompressed. The table stays until the shared folder is
+    cleared.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = f"{shared or tempfile.mkdtemp(prefix='tables-')}/tables/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -4,8 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from . import chat_format, exact_dedup, minhash_join, packing, quality_crf, token_count, url_rules
+from pyspark.sql import functions as F
+
+from . import (
+    chat_format,
+    embedding_dedup,
+    exact_dedup,
+    line_dedup,
+    minhash_join,
+    packing,
+    piece_codec,
+    quality_crf,
+    token_count,
+    url_rules,
+)
 from .common import table
 
 #: The conversation that op5 formats besides the table's own: its texts hold the template's own marks.
@@ -20,6 +32,19 @@ def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, decoded again: doc_id, n_ids, ids_crc32, decoded_chars, decoded_sha256."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = piece_codec.decode_ids(piece_codec.encode_documents(table(spark, sf_dir, "documents"), model), model)
+    return piece_codec.ids_digest(decoded).select(
+        "doc_id",
+        "n_ids",
+        "ids_crc32",
+        F.char_length("text").cast("long").alias("decoded_chars"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         table(spark, sf_dir, "documents"),
@@ -39,6 +64,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without later copies of repeated runs: doc_id, removed_lines, kept_chars, text_sha256."""
+    cut = line_dedup.drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return cut.select(
+        "doc_id", "removed_lines", F.char_length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("text_sha256")
+    )
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,9 +88,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_minhash_join": op2_minhash_join,
+    "op3_piece_codec": op3_piece_codec,
     "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,
+    "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_url_rules": op10_url_rules,
 }
@@ -89,6 +130,15 @@ ORACLE_SQL = {
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op8_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id
+          WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.95e0),
+        r(id, to_id) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.to_id = l.a)
+        SELECT v.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = v.vec_id) AS BIGINT) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+        FROM v JOIN (SELECT id, min(to_id) AS component_id FROM r GROUP BY id) m ON m.id = v.vec_id
+    """,
     "op10_url_rules": r"""
         WITH p AS (
           SELECT page_id,
