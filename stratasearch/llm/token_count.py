@@ -28,14 +28,14 @@ CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The code points with Unicode's White_Space property.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Letters and numbers below U+0250, lower case or without case.
-_LATIN_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+_LATIN_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _LATIN_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 
 _ANY_WORD = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 _LATIN_WORD = re.compile(
     f"{CONTRACTIONS}|[{_LATIN_LETTER}]+|[{_LATIN_NUMBER}]|[^{SPACE}{_LATIN_LETTER}{_LATIN_NUMBER}]+"
 )
-_BEYOND_LATIN = re.compile("[^\x00-ɏ]")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _NOT_ASCII = re.compile("[^\x00-\x7f]")
 _SPACES = re.compile(f"[{SPACE}]+")
 
