@@ -35,8 +35,9 @@ def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, decoded again: doc_id, n_ids, ids_crc32, decoded_chars, decoded_sha256."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = piece_codec.decode_ids(piece_codec.encode_documents(table(spark, sf_dir, "documents"), model), model)
-    return piece_codec.ids_digest(decoded).select(
+    encoded = piece_codec.encode_documents(table(spark, sf_dir, "documents"), model)
+    counted = encoded.withColumn("n_ids", F.size("ids").cast("long"))
+    return piece_codec.decode_ids(counted, model, ("doc_id", "n_ids", "ids_crc32")).select(
         "doc_id",
         "n_ids",
         "ids_crc32",
