@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -191,8 +190,8 @@ def pack_documents(
     while True:
         level += 1
         groups = -(-parts // merged_at_once)
-        merged = rest.withColumn("part", (F.col("part") / F.lit(merged_at_once)).cast("int")).groupBy("part").applyInPandas(
-            _merging(window, open_windows, level, last=groups == 1), f"{PIECES}, part int"
+        merged = rest.withColumn("part", (F.col("part") / F.lit(merged_at_once)).cast("int")).groupBy("part").applyInArrow(
+            _merging(window, level, last=groups == 1), f"{PIECES}, part int"
         )
         if groups > 1:
             merged = materialize(merged)
@@ -206,20 +205,18 @@ def pack_documents(
     return result
 
 
-def _merging(window: int, open_windows: int, level: int, last: bool):
+def _merging(window: int, level: int, last: bool):
     """A function that packs the leftovers of one group of tasks into as few windows as they need."""
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        part = int(rows["part"].iloc[0])
+    def merge(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
         packer = Packer(window, 1, _numbered(level, part))
-        for row in rows.sort_values(["doc_id", "start", "length"], ascending=[True, True, False]).itertuples():
-            ids = np.frombuffer(row.ids, dtype="<u4")
-            packer.add(None if pd.isna(row.doc_id) else int(row.doc_id), ids, int(row.start), int(row.doc_tokens))
+        pieces = rows.select(["doc_id", "start", "doc_tokens", "ids"]).to_pylist()
+        for p in sorted(pieces, key=lambda p: (p["doc_id"] is not None, p["doc_id"] or 0, p["start"], -len(p["ids"]), p["ids"])):
+            packer.add(p["doc_id"], np.frombuffer(p["ids"], dtype="<u4"), p["start"], p["doc_tokens"])
         if last:
             packer.finish()
-        out = pd.DataFrame(packer.out + packer.leftovers(), columns=_FIELDS)
-        for name in _FIELDS[:-1]:
-            out[name] = out[name].astype("Int64")
-        return out.assign(part=part)
+        out = pa.Table.from_batches([_batch(packer.out + packer.leftovers())])
+        return out.append_column("part", pa.array([part] * len(out), pa.int32()))
 
     return merge
