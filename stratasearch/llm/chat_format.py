@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,13 +107,13 @@ def _text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def record_turns(record: str | None) -> list[tuple[str, str]] | None:
+def record_turns(record: str | None, layouts: dict[str, Layout] = LAYOUTS) -> list[tuple[str, str]] | None:
     """(role, text) of each turn of a JSON record; None where it isn't JSON or its layout isn't known."""
     try:
         value = json.loads(record) if record else None
     except ValueError:
         return None
-    layout = LAYOUTS.get(fingerprint(value_paths(value))) if isinstance(value, dict) else None
+    layout = layouts.get(fingerprint(value_paths(value))) if isinstance(value, dict) else None
     if layout is None:
         return None
     if layout.turns:
@@ -127,17 +127,18 @@ def json_turns(records: DataFrame, id_column: str, json_column: str) -> DataFram
     A record that isn't JSON or has no known layout gives one row with null turn, role and text and its fingerprint as
     ``layout``; nothing is lost silently.
     """
+    layouts = dict(LAYOUTS)  # as they are now; the tasks get this copy
     kind = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 
     @F.udf(T.StructType([T.StructField("layout", T.StringType()), T.StructField("turns", kind)]), useArrow=True)
     def parsed(record):
-        turns = record_turns(record)
+        turns = record_turns(record, layouts)
         try:
             value = json.loads(record or "null")
         except ValueError:
             return ("not JSON", None)
         mark = fingerprint(value_paths(value))
-        return (LAYOUTS[mark].name if turns is not None else mark, turns)
+        return (layouts[mark].name if turns is not None else mark, turns)
 
     found = records.select(F.col(id_column).alias("conv_id"), parsed(F.col(json_column)).alias("p"))
     return found.select("conv_id", "p.layout", F.posexplode_outer("p.turns").alias("turn", "t")).select(
@@ -192,29 +193,30 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     streamed through it one by one; none is held back.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, part = object(), 0
         for batch in batches:
-            out = []
-            for conv, role, text in zip(batch["conv_id"].tolist(), batch["role"].tolist(), batch["text"].tolist()):
-                conv = None if pd.isna(conv) else int(conv)
+            columns = batch.to_pydict()
+            parts, segments, starts, ends = [], [], [], []
+            for conv, role, text in zip(columns["conv_id"], columns["role"], columns["text"]):
                 part = part + 1 if conv == before else 0
                 before = conv
                 segment = format_turn(role, text)
                 start = end = None
                 if role == "assistant":
                     _, _, start, end = next(parse_turns(segment))
-                out.append((conv, part, segment, start, end))
-            frame = pd.DataFrame(out, columns=["conv_id", "part", "segment", "loss_start", "loss_end"])
-            for name in ("conv_id", "loss_start", "loss_end"):
-                frame[name] = frame[name].astype("Int64")
-            yield frame
+                for column, value in ((parts, part), (segments, segment), (starts, start), (ends, end)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), *(pa.array(c, k) for c, k in ((parts, pa.int64()), (segments, pa.string()), (starts, pa.int64()), (ends, pa.int64())))],
+                names=["conv_id", "part", "segment", "loss_start", "loss_end"],
+            )
 
     ready = turns.select(
         F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     placed = ready.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return placed.mapInPandas(write, _SEGMENTS)
+    return placed.mapInArrow(write, _SEGMENTS)
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -224,34 +226,34 @@ def read_back(segments: DataFrame) -> DataFrame:
     text under the loss mask, unescaped), formatted_chars.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None  # conv_id, turns, their hash, loss characters, their hash, characters
         for batch in batches:
             done = []
-            for conv, part, segment, start, end in zip(*(batch[c].tolist() for c in ("conv_id", "part", "segment", "loss_start", "loss_end"))):
-                if part == 0:
+            for row in batch.to_pylist():
+                segment, start = row["segment"], row["loss_start"]
+                if row["part"] == 0:
                     if state is not None:
                         done.append(state)
-                    state = [None if pd.isna(conv) else int(conv), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text, _, _ in parse_turns(segment):
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode())
-                if not pd.isna(start):
-                    covered = _UNESCAPE.sub(r"\1", segment[int(start) : int(end)])
+                if start is not None:
+                    covered = _UNESCAPE.sub(r"\1", segment[start : row["loss_end"]])
                     state[3] += len(covered)
                     state[4].update(covered.encode())
                 state[5] += len(segment)
-            yield _digest_frame(done)
+            yield _digests(done)
         if state is not None:
-            yield _digest_frame([state])
+            yield _digests([state])
 
-    return segments.mapInPandas(read, _DIGESTS)
+    return segments.mapInArrow(read, _DIGESTS)
 
 
-def _digest_frame(states: list) -> pd.DataFrame:
-    frame = pd.DataFrame(
-        [(c, n, a.hexdigest(), k, b.hexdigest(), m) for c, n, a, k, b, m in states],
-        columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-    )
-    frame["conv_id"] = frame["conv_id"].astype("Int64")
-    return frame
+def _digests(states: list) -> pa.RecordBatch:
+    rows = [(c, n, a.hexdigest(), k, b.hexdigest(), m) for c, n, a, k, b, m in states]
+    columns = list(zip(*rows)) if rows else [()] * 6
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
