@@ -37,7 +37,8 @@ def _body(glob: str) -> str:
         elif glob.startswith("**", k):
             out, k = out + ".*", k + 2
         elif c == "*":
-            out, k = out + "[^/]*", k + 1
+            whole = k == 0 or glob[k - 1] == "/"  # a star never stands for an empty name
+            out, k = out + ("(?=[^/])[^/]*" if whole else "[^/]*"), k + 1
         elif c == "?":
             out, k = out + "[^/]", k + 1
         elif c == "[" and "]" in glob[k + 2 :]:

@@ -58,9 +58,10 @@ def ingested(spark: SparkSession, target: str, name: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events per type and window of event time; works on streams and on tables. An extension beyond retrieval."""
+    if events.isStreaming:
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return (
-        events.withWatermark("ts", delay)
-        .groupBy(F.window("ts", window), "event_type")
+        events.groupBy(F.window("ts", window), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
         .select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
     )
