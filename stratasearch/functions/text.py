@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # Patterns, word lists and thresholds of the query semantics.
 IDENTIFIER = r"[a-zA-Z_][a-zA-Z0-9_]*"
 CAMEL_PART = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+PLAIN_WORD = r"^(?:[A-Z]?[a-z]+|[A-Z]+)$"
 SYMBOL_QUERY = (
     r"^(?:[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\\|->|\.)[A-Za-z_][A-Za-z0-9_]*)+"
     r"|_[A-Za-z0-9_]*"
@@ -40,13 +41,19 @@ def col(x: Column | str) -> Column:
 
 
 def split_identifier(token: Column | str) -> Column:
-    """The lower-cased identifier, followed by its parts where it has two or more (snake parts before camel parts)."""
+    """The lower-cased identifier, followed by its parts where it has two or more (snake parts before camel parts).
+
+    Most identifiers are plain words; those skip the splitting. The parts are bound to a name once, as nothing inside a function over
+    arrays is shared otherwise.
+    """
     token = col(token)
     lower = F.lower(token)
     snake = F.filter(F.split(lower, "_"), lambda p: p != "")
     camel = F.transform(F.regexp_extract_all(token, F.lit(CAMEL_PART), F.lit(0)), F.lower)
     parts = F.when(F.contains(token, F.lit("_")), snake).otherwise(camel)
-    return F.when(F.size(parts) >= 2, F.concat(F.array(lower), parts)).otherwise(F.array(lower))
+    whole = F.array(lower)
+    split = F.element_at(F.transform(F.array(parts), lambda p: F.when(F.size(p) >= 2, F.concat(whole, p)).otherwise(whole)), 1)
+    return F.when(F.rlike(token, F.lit(PLAIN_WORD)), whole).otherwise(split)
 
 
 def tokenize(text: Column | str) -> Column:

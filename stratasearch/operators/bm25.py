@@ -37,9 +37,14 @@ def tokenized(chunks: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """(token, chunk_id, repo_id, tf)."""
+    """(token, chunk_id, repo_id, tf).
+
+    The outer form of explode, here and wherever an array is costly: for the inner one the optimizer derives a filter on the
+    array, and the array would be made again for that.
+    """
     return (
-        tokens.select("chunk_id", "repo_id", F.explode("tokens").alias("token"))
+        tokens.select("chunk_id", "repo_id", F.explode_outer("tokens").alias("token"))
+        .where("token IS NOT NULL")
         .groupBy("token", "chunk_id", "repo_id")
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
@@ -68,7 +73,8 @@ def with_chunks(table: DataFrame, new: DataFrame) -> DataFrame:
 def query_tokens(queries: DataFrame) -> DataFrame:
     """(query_id, token, qtf): repeated tokens of a query count as often."""
     return (
-        queries.select("query_id", F.explode(tokenize("query")).alias("token"))
+        queries.select("query_id", F.explode_outer(tokenize("query")).alias("token"))
+        .where("token IS NOT NULL")
         .groupBy("query_id", "token")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -86,22 +92,21 @@ def scores(
     df = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     if selector is not None and "query_id" not in selector.columns:
         hit = hit.join(selector.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    corpus = corpus_stats(stats)
-    rows = (
-        hit.join(asked, "token")
-        .join(df, "token")
+    # a posting's weight doesn't depend on the query: it is worked out once, before queries multiply the rows
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    share = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * share))
+    weighted = (
+        hit.join(df, "token")
         .join(stats.select("chunk_id", "dl"), "chunk_id")
-        .crossJoin(F.broadcast(corpus))  # one row
+        .crossJoin(F.broadcast(corpus_stats(stats)))  # one row
+        .select("token", "chunk_id", "repo_id", weight.alias("weight"))
     )
+    rows = weighted.join(asked, "token")
     if selector is not None and "query_id" in selector.columns:
         rows = rows.join(selector.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    share = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
-    weight = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * share))
-    return (
-        rows.select("query_id", "chunk_id", "repo_id", weight.alias("weight"))
-        .groupBy("query_id", "chunk_id", "repo_id")
-        .agg(F.round(F.sum("weight"), SCORE_PLACES).alias("score"))
+    return rows.groupBy("query_id", "chunk_id", "repo_id").agg(
+        F.round(F.sum(F.col("qtf") * F.col("weight")), SCORE_PLACES).alias("score")
     )
 
 

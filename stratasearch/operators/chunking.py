@@ -83,9 +83,9 @@ def line_chunks(files: DataFrame, desired: int = DESIRED_CHARS, most: int = MOST
     """
     keep = [c for c in files.columns if c != "content"]
     lined = files.where(~is_blank("content")).withColumn("lines", lines_of("content"))
-    groups = lined.select(*keep, "lines", F.explode(packed_lines(F.col("lines"), desired)).alias("g"))
+    groups = lined.select(*keep, "lines", F.explode_outer(packed_lines(F.col("lines"), desired)).alias("g")).where("g IS NOT NULL")
     texts = groups.select(*keep, "g", F.array_join(F.slice("lines", F.col("g.first"), F.col("g.n")), "").alias("text"))
-    pieces = texts.select(*keep, "g", "text", F.explode(hard_split(F.col("g.start"), F.col("g.end"), most)).alias("p"))
+    pieces = texts.select(*keep, "g", "text", F.explode_outer(hard_split(F.col("g.start"), F.col("g.end"), most)).alias("p"))
     inside = F.col("p.start") - F.col("g.start")
     content = F.substr("text", inside + 1, F.col("p.end") - F.col("p.start"))
     before = count_of(F.substr("text", F.lit(1), inside), "\n")

@@ -18,7 +18,7 @@ from ..functions.vectors import normalize
 from ..operators import bm25, chunking, dense, evaluation, fusion, lookups, ranking
 from ..operators.chunking import line_chunks, structural_chunks, with_chunk_ids
 from ..operators.filters import within_size
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..sources.walker import tree_fingerprint
 from ..streaming.ingest import chunk_stream, windowed_counts
 from . import search as plans
@@ -51,7 +51,7 @@ def r6(x: Column | str) -> Column:
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, repo_id, file_path, language, content."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     path = F.lit(None).cast("string")
     for k, template in reversed(list(enumerate(s.PATHS))):
         before, _, after = template.partition("{id}")
@@ -240,7 +240,7 @@ def portable_chunk_ids(spark, sf):
     f"WITH t AS (SELECT doc_id, {s.tokenize('text')} AS tokens FROM documents) SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM t"
 )
 def tokenize_docs(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("tokens"))
+    found = spread(table(spark, sf, "documents")).select("doc_id", text.tokenize("text").alias("tokens"))
     return found.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
@@ -313,11 +313,11 @@ def token_budget(spark, sf):
 
 @registered(
     f"""WITH {s.TOKENS}, p AS (SELECT token, chunk_id, repo_id, count(*) AS tf FROM (SELECT unnest(tokens) AS token, chunk_id, repo_id FROM tok) GROUP BY ALL)
-    SELECT token, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS total, min(chunk_id) AS first_chunk FROM p GROUP BY token"""
+    SELECT token, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS total FROM p GROUP BY token"""
 )
 def postings_build(spark, sf):
     posted = bm25.postings(tokens(spark, sf))
-    return posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"), F.min("chunk_id").alias("first_chunk"))
+    return posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
 @registered(f"WITH {s.TOKENS} SELECT chunk_id, repo_id, CAST(len(tokens) AS INTEGER) AS dl FROM tok")
@@ -707,7 +707,8 @@ def rank_without_query(spark, sf):
 
 def _indexed(spark, sf):
     """Chunks, vectors, postings and statistics of the documents, and their repositories."""
-    chunks = with_chunk_ids(line_chunks(files(spark, sf))).drop("doc_id", "start", "end").dropDuplicates(["chunk_id"])
+    # an engine has stored these; here they are kept while the query runs, as each of its parts reads them
+    chunks = with_chunk_ids(line_chunks(files(spark, sf))).drop("doc_id", "start", "end").dropDuplicates(["chunk_id"]).persist()
     rows = bm25.tokenized(chunks)
     stored = dense.encoded(chunks.select("chunk_id", F.col("repo_id").alias("namespace"), "content"), dense.HashingEncoder(64))
     repos = chunks.select("repo_id").distinct().withColumn("source", F.concat(F.lit("/repos/"), "repo_id"))

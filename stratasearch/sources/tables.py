@@ -8,3 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``directory`` (any path that Spark's readers open)."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores where the scan has fewer partitions than there are cores, as with one small file.
+
+    For work that costs far more than reading; a scan with enough partitions stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
