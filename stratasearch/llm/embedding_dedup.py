@@ -158,7 +158,7 @@ def near_duplicate_vectors(
     embeddings: DataFrame,
     threshold: float = 0.95,
     window: int = 128,
-    recall: float = 0.998,
+    recall: float = 0.9999,
     block_rows: int = 4096,
     passes_at_once: int = 4,
 ) -> DataFrame:
