@@ -23,6 +23,11 @@ STOPWORDS = (
     "a an and are as at be by do does for from has have how if in is it not of on or the to was "
     "what when where which who why with"
 ).split()
+EVALUATION_STOPWORDS = (
+    "but its can not no nor so yet both either neither than then will would could should may might been being had did will "
+    "they all any each few more most other some such only own same too very just about after also before between during into "
+    "through under up down over"
+).split()
 DEFINITION_KEYWORDS = (
     "class", "module", "defmodule", "def", "interface", "struct", "enum", "trait", "type", "func", "function",
     "object", "abstract class", "data class", "fn", "fun", "package", "namespace", "protocol", "record", "typedef",
@@ -170,3 +175,37 @@ def approx_tokens(text: Column | str) -> Column:
 def truncate_to_budget(text: Column | str, budget: int) -> Column:
     """The longest prefix whose estimate stays within the budget."""
     return F.substring(col(text), 1, 3 * budget + 2)
+
+
+def evaluation_keywords(query: Column | str) -> Column:
+    """Words of a query to grep for: three letters or more, no stopwords, each once (ignoring case) in its first spelling."""
+    words = F.regexp_extract_all(col(query), F.lit("[a-zA-Z][a-zA-Z0-9]*"), F.lit(0))
+    stop = F.array(*[F.lit(w) for w in dict.fromkeys([*STOPWORDS, *EVALUATION_STOPWORDS])])
+    kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, F.lower(w)))
+
+    def add(done: Column, word: Column) -> Column:
+        known = F.exists(done, lambda d: F.lower(d) == F.lower(word))
+        return F.when(known, done).otherwise(F.concat(done, F.array(word)))
+
+    return F.aggregate(kept, F.array().cast("array<string>"), add)
+
+
+def token_counter(tokenizer: str | None = None):
+    """A column function that counts tokens: exactly, with a tokenizer file that every executor can read, else by estimate."""
+    if tokenizer is None:
+        return approx_tokens
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.types import LongType
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        loaded = Tokenizer.from_file(tokenizer)
+        for texts in batches:
+            yield pd.Series([len(x.ids) for x in loaded.encode_batch(texts.fillna("").tolist())], dtype="int64")
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    count = F.pandas_udf(run, LongType())
+    return lambda text: count(col(text))

@@ -77,8 +77,59 @@ class HashingEncoder(Encoder):
         return out
 
 
+class ServiceEncoder(Encoder):
+    """Vectors from an embedding service with the common ``/embeddings`` interface; wrap it in ``RetryingEncoder``.
+
+    Texts are cut to a token budget by the estimate of three characters a token. Vectors come back in any order, with their
+    index, and get length one.
+    """
+
+    def __init__(self, url: str, model: str, dim: int, key: str | None = None, context: int = 8192, timeout: float = 60.0):
+        self.url, self.model, self._dim, self.key, self.timeout = url.rstrip("/"), model, dim, key, timeout
+        self.most_chars = 3 * (int(context * 0.95) - 16)
+
+    @property
+    def name(self) -> str:
+        return self.model
+
+    @property
+    def dim(self) -> int:
+        return self._dim
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray | None]:
+        import json
+        import urllib.error
+        import urllib.request
+
+        body = json.dumps({"model": self.model, "input": [t[: self.most_chars] for t in texts]}).encode()
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{self.url}/embeddings", body, headers), timeout=self.timeout) as reply:
+                rows = json.load(reply)["data"]
+        except urllib.error.HTTPError as error:
+            raise RuntimeError(error.read().decode("utf-8", "replace")) from error
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for row in rows:
+            vector = np.array(row["embedding"], dtype=np.float64)
+            if len(vector) != self._dim:
+                raise ValueError(f"the service gave {len(vector)} dimensions, {self._dim} are set")
+            size = np.sqrt((vector * vector).sum())
+            out[row["index"]] = vector / (size if size > 1e-9 else 1.0)
+        return out
+
+
+def create_encoder(settings) -> Encoder:
+    """The encoder of an ``EmbeddingConfig``: the named service where a url is set, else feature hashing."""
+    if settings.url:
+        service = ServiceEncoder(settings.url, settings.model, settings.dim, settings.key or None, settings.context)
+        return RetryingEncoder(service, settings.max_retries, wait=1.0)
+    if settings.model != "hashing":
+        raise ValueError(f"no url is set for the model {settings.model!r}")
+    return HashingEncoder(settings.dim)
+
+
 #: Phrases by which a service says that a text is too long.
-OVERFLOW = re.compile("context length|maximum context|too many tokens|input is too long", re.IGNORECASE)
+OVERFLOW = re.compile("context length|input_tokens|too many tokens", re.IGNORECASE)
 
 
 class RetryingEncoder(Encoder):

@@ -109,3 +109,16 @@ def keyword_files(files: DataFrame, keywords: DataFrame, most_matches: int = 500
     counted = first.groupBy("query_id", "file_path").agg(F.count(F.lit(1)).alias("hits"))
     ranked = W.partitionBy("query_id").orderBy(F.desc("hits"), "file_path")
     return counted.withColumn("rank", F.row_number().over(ranked))
+
+
+def rollup(results: DataFrame, values: list[str], places: int = 4) -> DataFrame:
+    """Means over repositories: of everything, by language, and by category, with what each row is about.
+
+    ``results``: one row per repository, language and category. A repository counts once in each mean.
+    """
+    per_repo = results.groupBy("repo", "language").agg(*[F.avg(v).alias(v) for v in values])
+    means = [F.round(F.avg(v), places).alias(v) for v in values]
+    every = per_repo.groupBy(F.lit("all").alias("level"), F.lit("").alias("name")).agg(*means)
+    by_language = per_repo.groupBy(F.lit("language").alias("level"), F.col("language").alias("name")).agg(*means)
+    by_category = results.groupBy(F.lit("category").alias("level"), F.col("category").alias("name")).agg(*means)
+    return every.unionByName(by_language).unionByName(by_category)

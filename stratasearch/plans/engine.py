@@ -38,7 +38,7 @@ class Engine:
         self, spark: SparkSession, config: Config | None = None, encoder: dense.Encoder | None = None, languages: Languages | None = None
     ):
         self.spark, self.config = spark, config or Config()
-        self.encoder = encoder or dense.HashingEncoder(self.config.embedding.dim)
+        self.encoder = encoder or dense.create_encoder(self.config.embedding)
         self.languages = languages or Languages()
         self.store = Store(spark, os.path.expanduser(self.config.store.path))
 

@@ -7,6 +7,8 @@ code runs over literal rows as well.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +20,10 @@ from ..functions.vectors import normalize
 from ..operators import bm25, chunking, dense, evaluation, fusion, lookups, ranking
 from ..operators.chunking import line_chunks, structural_chunks, with_chunk_ids
 from ..operators.filters import within_size
+from ..sources.annotations import parse_tasks, task_targets
 from ..sources.tables import spread, table
 from ..sources.walker import tree_fingerprint
-from ..streaming.ingest import chunk_stream, windowed_counts
+from ..streaming.ingest import ingest_stream, ingested, windowed_counts
 from . import search as plans
 from . import sql_text as s
 from . import store
@@ -50,8 +53,12 @@ def r6(x: Column | str) -> Column:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as files."""
+    return files_of(spread(table(spark, sf, "documents")))
+
+
+def files_of(docs: DataFrame) -> DataFrame:
     """doc_id, repo_id, file_path, language, content."""
-    docs = spread(table(spark, sf, "documents"))
     path = F.lit(None).cast("string")
     for k, template in reversed(list(enumerate(s.PATHS))):
         before, _, after = template.partition("{id}")
@@ -1071,6 +1078,47 @@ def latency_percentiles(spark, sf):
     return found.select("event_type", *[r6(c).alias(c) for c in ("p50", "p90", "p95", "p99")])
 
 
+@registered(
+    f"""WITH {_ALL_QUERIES}, w AS (SELECT query_id, list_filter(regexp_extract_all(query, '[a-zA-Z][a-zA-Z0-9]*'), lambda x: length(x) >= 3
+      AND NOT list_contains([{', '.join(map(s.quote, dict.fromkeys([*text.STOPWORDS, *text.EVALUATION_STOPWORDS])))}], lower(x))) AS ws FROM q)
+    SELECT query_id, array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: list_position(list_transform(ws, lambda y: lower(y)), lower(ws[i])) = i), lambda i: ws[i]), ' ') AS keywords FROM w"""
+)
+def evaluation_keywords(spark, sf):
+    return _all_queries(spark, sf).select("query_id", F.array_join(text.evaluation_keywords("query"), " ").alias("keywords"))
+
+
+TASK_TEXTS = [
+    ("one", '[{"query": "how are routes registered", "relevant": ["src/a.py", {"path": "src/b.py", "start_line": 3, "end_line": 9}], "secondary": ["c.py"]},'
+     ' {"query": "Router", "relevant": ["r.py"], "secondary": [], "category": "symbol"}]'),
+    ("two", '[{"query": "find it", "relevant": [], "secondary": [{"path": "x/y.go"}], "repo": "other"}]'),
+    ("three", "not json"),
+]
+TASK_ROWS = [
+    ("one", "how are routes registered", "architecture", 0, "src/a.py", None, None, True), ("one", "how are routes registered", "architecture", 1, "src/b.py", 3, 9, True),
+    ("one", "how are routes registered", "architecture", 2, "c.py", None, None, False), ("one", "Router", "symbol", 0, "r.py", None, None, True),
+    ("other", "find it", "semantic", 0, "x/y.go", None, None, False),
+]
+
+
+@registered(f"WITH {s.values('t', 'repo, query, category, target_id, path, from_line, to_line, is_primary', TASK_ROWS)} SELECT * FROM t")
+def task_scan(spark, sf):
+    tasks = parse_tasks(literal(spark, TASK_TEXTS, "repo string, json string"))
+    return task_targets(tasks).join(tasks.select("query_id", "repo", "query", "category"), "query_id").drop("query_id")
+
+
+@registered(
+    """WITH r AS (SELECT source AS repo, lang AS language, CASE WHEN n_chars > 1500 THEN 'long' ELSE 'short' END AS category, CAST(n_chars AS DOUBLE) AS x FROM documents),
+    p AS (SELECT repo, language, avg(x) AS x FROM r GROUP BY ALL)
+    SELECT 'all' AS level, '' AS name, round(avg(x), 4) AS x FROM p UNION ALL SELECT 'language', language, round(avg(x), 4) FROM p GROUP BY language
+    UNION ALL SELECT 'category', category, round(avg(x), 4) FROM r GROUP BY category"""
+)
+def evaluation_rollup(spark, sf):
+    rows = table(spark, sf, "documents").select(
+        F.col("source").alias("repo"), F.col("lang").alias("language"), F.when(F.col("n_chars") > 1500, "long").otherwise("short").alias("category"), F.col("n_chars").cast("double").alias("x")
+    )
+    return evaluation.rollup(rows, ["x"])
+
+
 @registered("SELECT lang, round(avg(n_chars), 1) AS avg_n_chars FROM documents GROUP BY lang")
 def eval_summary(spark, sf):
     return evaluation.summary(table(spark, sf, "documents"), ["lang"], ["n_chars"], 1)
@@ -1114,11 +1162,18 @@ def events_session_ext(spark, sf):
     return found.select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
-@registered()
+@registered(
+    f"""WITH RECURSIVE {s.chunked()} SELECT DISTINCT {s.CHUNK_ID} AS chunk_id, repo_id, file_path, start_line, end_line FROM pieces"""
+)
 def stream_ingest(spark, sf):
-    """The streaming plan over a table: the same chunks as a stream would give."""
-    rows = files(spark, sf).drop("doc_id").withColumn("seen_at", F.timestamp_seconds(F.lit(0)))
-    return with_chunk_ids(line_chunks(rows)).select("chunk_id", "repo_id", "file_path", "start_line", "end_line")
+    """The documents as a stream of files, ingested into the folder that the cluster shares, and read back."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ingested-")
+    base = f"{shared}/ingested/{uuid.uuid4().hex}"
+    stored = table(spark, sf, "documents")
+    rows = spark.readStream.schema(stored.schema).parquet(f"{sf}/documents.parque[t]")  # a pattern may name a single file
+    as_files = files_of(rows).drop("doc_id").withColumn("seen_at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    ingest_stream(as_files, f"{base}/tables", f"{base}/state").awaitTermination()
+    return ingested(spark, f"{base}/tables", "chunks").select("chunk_id", "repo_id", "file_path", "start_line", "end_line")
 
 
 @registered()
@@ -1138,5 +1193,3 @@ def lsh_ann(spark, sf):
     asked = rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
     return dense.approximate_nearest(rows, asked, 10)
 
-
-__all__ = ["ORACLE_SQL", "QUERIES", "chunk_stream"]

@@ -19,6 +19,9 @@ class EmbeddingConfig:
     dim: int = 64
     batch_size: int = 512
     max_retries: int = 3
+    url: str = ""
+    key: str = ""
+    context: int = 8192
 
 
 @dataclass

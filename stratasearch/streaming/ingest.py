@@ -32,12 +32,11 @@ def chunk_stream(files: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return chunks.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["chunk_id"])
 
 
-def start_ingestion(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_trigger: int = 100) -> StreamingQuery:
-    """Read Parquet files of FILES' schema from ``source`` as they appear and keep chunks, postings and statistics below ``target``.
+def ingest_stream(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Start keeping chunks, postings and statistics of a stream of files below ``target``.
 
     Each batch writes its own folder, named by the batch's number and overwritten when the batch is repeated.
     """
-    rows = spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -49,6 +48,12 @@ def start_ingestion(spark: SparkSession, source: str, target: str, checkpoint: s
     return chunk_stream(rows).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def start_ingestion(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_trigger: int = 100) -> StreamingQuery:
+    """Ingest Parquet files of FILES' schema from ``source`` as they appear."""
+    rows = spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    return ingest_stream(rows, target, checkpoint)
+
+
 def ingested(spark: SparkSession, target: str, name: str) -> DataFrame:
     """A table of what was ingested; of rows with the same id the latest batch counts."""
     rows = spark.read.parquet(f"{target}/{name}")

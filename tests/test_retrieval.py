@@ -187,3 +187,65 @@ def test_evaluation(spark):
     assert evaluation.expected_cost(costs, three.limit(0), 32_000).first()["cost"] == 32_000
     pair = evaluation.paired_reduction(evaluation.first_hit_tokens(costs), evaluation.first_hit_tokens(costs.withColumn("tokens", F.col("tokens") * 2))).first()
     assert (pair["n_paired"], pair["median_reduction"], pair["share_better"]) == (2, 0.5, 1.0)
+
+
+def test_service(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from stratasearch.sources.config import EmbeddingConfig
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            bad = any("bad" in t for t in asked["input"])
+            rows = [{"index": k, "embedding": [3.0, float(len(t)), 0.0, 4.0]} for k, t in enumerate(asked["input"])]
+            body = json.dumps({"error": "busy"} if bad else {"data": rows[::-1]}).encode()
+            self.send_response(500 if bad else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    config = EmbeddingConfig(model="m", dim=4, url=f"http://127.0.0.1:{server.server_port}/", max_retries=1)
+    encoder = dense.create_encoder(config)
+    encoder.wait = 0.0
+    assert encoder.name == "m" and [v.round(3).tolist() for v in encoder.encode(["", ""])] == [[0.6, 0.0, 0.0, 0.8]] * 2
+    got = encoder.encode(["a", "bad"])
+    assert got[1] is None and np.isclose((got[0] ** 2).sum(), 1)
+    wrong = dense.ServiceEncoder(config.url, "m", 5)
+    with pytest.raises(ValueError):
+        wrong.encode(["a"])
+    server.shutdown()
+    with pytest.raises(ValueError):
+        dense.create_encoder(EmbeddingConfig(model="m"))
+
+
+def test_annotations(spark, tmp_path):
+    from stratasearch.sources import annotations
+
+    (tmp_path / "one.json").write_text('[{"query": "a b", "relevant": ["x.py", {"path": "y.py", "start_line": 1, "end_line": 2}], "secondary": []}]')
+    tasks = annotations.load_tasks(spark, str(tmp_path))
+    assert [(r["repo"], r["query"], r["category"]) for r in tasks.collect()] == [("one", "a b", "semantic")]
+    assert {(r["path"], r["from_line"], r["to_line"]) for r in annotations.task_targets(tasks).collect()} == {("x.py", None, None), ("y.py", 1, 2)}
+    (tmp_path / "repos.list").write_text('[{"name": "one", "language": "python", "url": "u", "revision": "r"}]')
+    assert annotations.load_repos(spark, str(tmp_path / "repos.list")).first()["language"] == "python"
+    path = annotations.save_results(tasks, str(tmp_path / "out"), "hybrid", "0123456789abcdef")
+    assert path.endswith("hybrid-0123456789ab") and spark.read.json(path).count() == 1
+
+
+def test_token_counter(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from stratasearch.functions.text import token_counter
+
+    made = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(str(tmp_path / "t.json"))
+    rows = spark.createDataFrame([(0, "a b c"), (1, None)], "k int, x string")
+    assert [r["n"] for r in rows.select("k", token_counter(str(tmp_path / "t.json"))("x").alias("n")).orderBy("k").collect()] == [3, 0]
+    assert rows.where("k = 0").select(token_counter()("x").alias("n")).first()["n"] == 1
