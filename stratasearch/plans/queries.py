@@ -1163,7 +1163,8 @@ def events_session_ext(spark, sf):
 
 
 @registered(
-    f"""WITH RECURSIVE {s.chunked()} SELECT DISTINCT {s.CHUNK_ID} AS chunk_id, repo_id, file_path, start_line, end_line FROM pieces"""
+    f"""WITH RECURSIVE {s.chunked()} SELECT DISTINCT {s.CHUNK_ID} AS chunk_id, repo_id, file_path, start_line, end_line FROM pieces WHERE doc_id NOT IN
+      (SELECT doc_id FROM files WHERE length(left(content, 65536)) / CAST({s.newlines('left(content, 65536)')} + 1 AS DOUBLE) > 2000)"""
 )
 def stream_ingest(spark, sf):
     """The documents as a stream of files, ingested into the folder that the cluster shares, and read back."""
