@@ -126,6 +126,20 @@ ORACLE_SQL = {
           CAST(sum(length(role_out) + length(text_out) + length('### : </turn>') + 1) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op6_line_dedup": f"""
+        WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, string_split({_LOW}, chr(10)) AS low FROM documents),
+        l AS (SELECT doc_id, i, ls[i] AS line, regexp_extract_all(low[i], '[^\\x20\\x09-\\x0D]+') AS ws FROM t, unnest(range(1, len(ls) + 1)) AS u(i)),
+        c AS (SELECT doc_id, i, line, array_to_string(ws, ' ') AS words, len(ws) AS n, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+        p AS (SELECT x.doc_id, x.i AS a, y.i AS b, x.n AS na, y.n AS nb FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.upto - x.upto + x.n >= 50),
+        w AS (SELECT doc_id, a, min(b) AS b FROM p WHERE na > 0 GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM p WHERE nb > 0 GROUP BY doc_id, b),
+        k AS (SELECT w.doc_id, w.a, w.b, string_agg(c.words, chr(10) ORDER BY c.i) AS content FROM w JOIN c ON c.doc_id = w.doc_id AND c.i BETWEEN w.a AND w.b GROUP BY ALL),
+        f AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS place FROM k),
+        gone AS (SELECT DISTINCT c.doc_id, c.i FROM f JOIN c ON c.doc_id = f.doc_id AND c.i BETWEEN f.a AND f.b WHERE f.place > 1),
+        r AS (SELECT c.doc_id, count(g.i) AS removed, coalesce(string_agg(c.line, chr(10) ORDER BY c.i) FILTER (g.i IS NULL), '') AS kept
+          FROM c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.i = c.i GROUP BY c.doc_id)
+        SELECT d.doc_id, CAST(coalesce(removed, 0) AS BIGINT) AS removed_lines, CAST(length(coalesce(kept, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept, '')) AS text_sha256
+        FROM documents d LEFT JOIN r USING (doc_id)
+    """,
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOW}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY 1)
