@@ -9,6 +9,7 @@ from pathlib import Path
 from .plans.engine import Engine
 from .plans.search import rendered
 from .plans.store import RepoNotIndexedError
+from .serve import Server
 from .session import local_session
 from .sources import git, projects
 from .sources.config import load_config, template
@@ -36,6 +37,8 @@ def _parser() -> argparse.ArgumentParser:
     related.add_argument("--repo", required=True)
     related.add_argument("--top-k", type=int, default=5)
     commands.add_parser("status")
+    serve = commands.add_parser("serve", help="keep a session and answer clients")
+    serve.add_argument("--idle-seconds", type=float, default=0.0)
     project = commands.add_parser("projects").add_subparsers(dest="action", required=True)
     add = project.add_parser("add")
     add.add_argument("source")
@@ -102,6 +105,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             return _show(engine.search(args.query, args.top_k, args.repo), "no results")
         if args.command == "find-related":
             return _show(engine.find_related(args.file_path, args.line, args.repo, args.top_k), "no results")
+        if args.command == "serve":
+            Server(engine, idle_seconds=args.idle_seconds).run()
+            return 0
         row = engine.status().first()
         print(f"{row['repos']} repositories, {row['chunks']} chunks\n{row['sources']}")
         return 0

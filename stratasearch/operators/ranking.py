@@ -131,8 +131,14 @@ def merge_repos(candidates: DataFrame, top_k: int) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def rank_candidates(candidates: DataFrame, top_k: int, query_boosts: bool = True) -> DataFrame:
-    """The whole ranking. Without ``query_boosts`` (find-related) only path penalties and saturation apply."""
+def rank_candidates(candidates: DataFrame, top_k: int, query_boosts: bool = True, all_chunks: DataFrame | None = None) -> DataFrame:
+    """The whole ranking. Without ``query_boosts`` (find-related) only path penalties and saturation apply.
+
+    ``all_chunks`` (with the candidates' columns) adds chunks that define a queried symbol without being candidates.
+    """
     if query_boosts:
-        candidates = query_boost(coherence_boost(candidates))
+        coherent = coherence_boost(candidates)
+        candidates = query_boost(coherent)
+        if all_chunks is not None:
+            candidates = candidates.unionByName(outside_definitions(coherent, all_chunks), allowMissingColumns=True)
     return merge_repos(saturate_files(penalize_paths(candidates)), top_k)

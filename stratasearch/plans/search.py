@@ -51,10 +51,12 @@ def search(
     alpha: float | None = None,
     prefilter: bool = False,
     metric: str = "ip",
+    outside: bool = False,
 ) -> DataFrame:
     """The best chunks for each query (query_id, query, and scope if wanted): both retrievals, fusion, ranking.
 
-    Blank queries have no results.
+    Blank queries have no results. ``outside`` lets chunks in that define a queried symbol but were not retrieved, in the repositories
+    that have candidates.
     """
     asked = scoped(queries).where(F.trim("query") != "").select("query_id", "query", "scope")
     coarse = max(coarse_multiplier * top_k, top_k)
@@ -64,7 +66,8 @@ def search(
     given = None if alpha is None else F.lit(alpha)
     fused = fusion.fuse(near, sparse, asked.select("query_id", fusion.alpha_of("query", given).alias("alpha")))
     candidates = resolve_candidates(fused, chunks, repos).join(asked.select("query_id", "query"), "query_id")
-    return results(ranking.rank_candidates(candidates, top_k))
+    every = resolve_candidates(chunks.select("chunk_id"), chunks, repos) if outside else None
+    return results(ranking.rank_candidates(candidates, top_k, all_chunks=every))
 
 
 def related(

@@ -155,3 +155,50 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert main(["init", "--path", str(tmp_path / "new.json")]) == 0
     assert main(["init", "--path", str(tmp_path / "new.json")]) == 1
     assert main(["projects", "remove", str(tmp_path / "repo")]) == 0
+
+
+def test_server(engine, tmp_path, monkeypatch):
+    import json
+    import threading
+
+    from stratasearch.serve import Client, Server, answer_tool
+
+    file = tmp_path / "server.json"
+    with pytest.raises(ConnectionError):
+        Client(file).ask("ping")
+    server = Server(engine, file)
+    thread = threading.Thread(target=server.run, daemon=True)
+    thread.start()
+    while not file.exists():
+        pass
+    client = Client(file)
+    assert client.ask("ping") == "pong" and client.ask("status")["repos"] == 2 and oct(file.stat().st_mode)[-3:] == "600"
+    found = client.ask("search", query="UserService", top_k=1)
+    assert found[0]["chunk"]["file_path"] == "users.py" and found[0]["rank"] == 1
+    with pytest.raises(RepoNotIndexedError):
+        client.ask("find_related", file_path="a.py", line=1, repo="/missing")
+    for method, params in (("nothing", {}), ("search", {"wrong": 1})):
+        with pytest.raises(ValueError):
+            client.ask(method, **params)
+    assert server.answer(json.dumps({"token": "no", "method": "ping"}).encode())["kind"] == "token"
+    assert server.answer(b"not json")["kind"] == "request"
+    client.ask("shutdown")
+    thread.join(10)
+    assert not file.exists()
+    idle = Server(engine, file, idle_seconds=0.2)
+    idle.run()  # stops by itself
+    assert "users.py" in answer_tool(engine, "UserService", 1)
+    assert "not indexed" in answer_tool(engine, "x", scope="workspace", workspace="/missing")
+    assert "users.py" in answer_tool(engine, "UserService", 1, "workspace", workspace=str(engine.base / "one"))
+    with pytest.raises(ValueError):
+        answer_tool(engine, "x", 0)
+
+
+def test_definitions_outside_the_candidates(engine):
+    from stratasearch.plans import search as plans
+
+    tables = [engine.store.table(n) for n in ("chunks", "vectors", "postings", "doc_stats")]
+    asked = engine.spark.createDataFrame([(0, "add")], "query_id long, query string")
+    usual = plans.search(asked, *tables, engine.store.repos(), engine.encoder, top_k=1, coarse_multiplier=1)
+    more = plans.search(asked, *tables, engine.store.repos(), engine.encoder, top_k=9, coarse_multiplier=1, outside=True)
+    assert usual.count() == 1 and more.columns == usual.columns and more.count() >= 1
