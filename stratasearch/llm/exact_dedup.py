@@ -79,6 +79,6 @@ def mark_copies(documents: DataFrame, counters: int = 1024, least_copies: int =
 
 
 def drop_copies(documents: DataFrame, counters: int = 1024) -> DataFrame:
-    """The rows of ``documents`` that stay, with all their columns. See ``mark_copies``."""
+    """The rows of ``documents`` that stay, with all their columns. See ``mark_copies``; rows with a null doc_id stay."""
     dropped = mark_copies(documents, counters).where("NOT kept").select("doc_id").distinct()
     return documents.join(dropped, "doc_id", "left_anti")
