@@ -1,13 +1,13 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by passes over sign keys.
 
-Each pass orders the vectors by the concatenated signs of their products with random directions, as one number, and
-compares every vector with a bounded number of neighbours in that order. Similar vectors agree in their first signs
-in some pass with high probability; the number of passes follows from the number of vectors, the window and the target
-recall. Pairs that reach the threshold are united across passes.
+Each pass groups the vectors by the signs of their products with random directions and compares all vectors of a group,
+block against block. A pair at the threshold shares a group with a probability that depends on its angle and the number of
+signs only, not on the other vectors, so the number of passes for the target recall follows from the number of signs. How many
+signs are best depends on how crowded the vectors are, which is measured on a sample; with no sign at all, one pass compares all
+pairs, and small tables are compared so. Pairs that reach the threshold are united across passes.
 
-A window sees only some pairs of a large group, but chains connect the group. So the number of direct links is
-counted afterwards, exactly, inside each component: block against block, as sums, without a row per pair. Equal vectors
-are one class throughout.
+The number of direct links is counted afterwards, exactly, inside each component: block against block, as sums, without a row
+per pair. Equal vectors are one class throughout.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize
 from .components import connected_components, star_edges
 
 SIGNS = 62
+#: Taking a row through a pass costs about as much as comparing it with so many windows.
+ROW_WINDOWS = 16
+#: Rows whose keys tell how crowded the vectors are, and passes for that, with directions of their own.
+SAMPLE_ROWS, SAMPLE_PASSES = 10_000, range(1_000_000, 1_000_003)
 
 
 def directions(dim: int, number: int) -> np.ndarray:
@@ -31,11 +35,36 @@ def directions(dim: int, number: int) -> np.ndarray:
     return np.random.default_rng([number, dim, 20011]).standard_normal((dim, SIGNS))
 
 
-def passes_needed(n: int, window: int, threshold: float, recall: float) -> int:
-    """Passes after which a pair at the threshold has shared a window with the probability ``recall``."""
-    bits = max(1.0, math.log2(max(n, 2) / window) + 1)
-    alike = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - alike)))
+def passes_needed(n: int, window: int, threshold: float, recall: float, bits: int | None = None) -> int:
+    """Passes after which a pair at the threshold has agreed in ``bits`` signs at once with the probability ``recall``.
+
+    Without ``bits``, as many signs as leave ``window`` of ``n`` vectors together where each sign halves them.
+    """
+    if bits == 0:
+        return 1
+    signs = max(1.0, math.log2(max(n, 2) / window) + 1) if bits is None else bits
+    alike = min(1 - math.acos(threshold) / math.pi, 1 - 1e-6) ** signs
+    return max(2, math.ceil(math.log(1 - recall) / math.log1p(-alike)))
+
+
+def sharing(keys: np.ndarray) -> np.ndarray:
+    """The share of pairs of rows that agree in the first 0, 1, ... SIGNS signs of their keys (dim, key)."""
+    most = max(1, len(keys) * (len(keys) - 1))
+    out = []
+    for bits in range(SIGNS + 1):
+        _, count = np.unique(np.stack([keys[:, 0], keys[:, 1] >> (SIGNS - bits)]), axis=1, return_counts=True)
+        out.append(float((count * (count - 1)).sum()) / most)
+    return np.array(out)
+
+
+def best_bits(n: int, window: int, threshold: float, recall: float, block_rows: int, shared: np.ndarray) -> int:
+    """The number of signs with the least work, given the share of pairs that agree in so many signs. The recall is the same for all."""
+
+    def work(bits: int) -> float:
+        group = n * shared[bits]
+        return passes_needed(n, window, threshold, recall, bits) * (ROW_WINDOWS * window * (1 + group / block_rows) + group / 2)
+
+    return min(range(SIGNS + 1), key=work)
 
 
 def _rows(column: pa.Array) -> list[np.ndarray]:
@@ -58,16 +87,18 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _keyed(numbers: list[int]):
+def _keyed(numbers: list[int], bits: int = SIGNS):
+    """Rows (rep, dim, vector) once for each pass, with their first ``bits`` signs as one number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)
+        powers = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             dims = batch.column(1).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 x = unit(np.frombuffer(b"".join(part.column(2).to_pylist()), dtype="<f8").reshape(-1, dim))
                 for number in numbers:
-                    key = ((x @ directions(dim, number)) > 0) @ powers
+                    key = ((x @ directions(dim, number)[:, :bits]) > 0) @ powers
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(x), number, np.int32)), part.column(1), pa.array(key.astype(np.int64)), part.column(0), part.column(2)],
                         names=["pass", "dim", "key", "rep", "vector"],
@@ -76,46 +107,45 @@ def _keyed(numbers: list[int]):
     return run
 
 
-def _window_pairs(window: int, threshold: float):
-    """Links between neighbours in the order in which rows come; the last ``window`` rows wait for the next ones."""
-
-    def links(ids: np.ndarray, x: np.ndarray, new_from: int) -> pa.RecordBatch:
-        left, right = [], []
-        for a in range(0, len(x), 512):
-            b = min(len(x), a + 512 + window)
-            if b <= new_from:
-                continue
-            hit = x[a : a + 512] @ x[a:b].T >= threshold
-            i, j = np.nonzero(hit)
-            near = (j > i) & (j - i <= window)
-            left.append(i[near] + a)
-            right.append(j[near] + a)
-        if not left:
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        u, v = star_edges(ids, np.concatenate(left), np.concatenate(right))
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+def _group_links(threshold: float):
+    """Links inside each group of rows (pass, dim, key, low, high, left, rep, vector), sorted by the first five: between the blocks
+    ``low`` and ``high`` of the group, or inside the one block. Few edges with the same components stand for all links."""
+
+    def close(dim: int, lefts: list, ids: list, vectors: list) -> pa.RecordBatch:
+        left, ids = np.concatenate(lefts), np.concatenate(ids)
+        x = unit(np.frombuffer(b"".join(vectors), dtype="<f8").reshape(len(ids), dim))
+        inside = left.all()
+        asks = np.flatnonzero(left)
+        others = asks if inside else np.flatnonzero(~left)
+        label = np.arange(len(ids))
+        for k in range(0, len(asks), 256):
+            who, met = asks[k : k + 256], others[k:] if inside else others
+            hit = x[who] @ x[met].T >= threshold
+            i, j = np.nonzero(hit & (label[who][:, None] != label[met][None, :]))  # what is united needs no more links
+            if len(i):
+                u, v = star_edges(np.arange(len(ids)), label[who[i]], label[met[j]])
+                to = np.arange(len(ids))
+                to[u] = v
+                label = to[label]
+        member = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[member], pa.int64()), pa.array(ids[label[member]], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: tuple | None = None  # (pass, dim), ids, vectors
+        name, rows = None, ([], [], [])
         for batch in batches:
-            number = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            dims = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = batch.column(2).to_numpy(zero_copy_only=False)
-            data = batch.column(3)
-            run_id = number << 32 | dims
-            edges = np.flatnonzero(np.concatenate([[True], run_id[1:] != run_id[:-1]]))
-            for a, b in zip(edges, [*edges[1:], len(ids)]):
-                for k in range(a, b, 4096):
-                    e = min(b, k + 4096)
-                    x = unit(np.frombuffer(b"".join(data.slice(k, e - k).to_pylist()), dtype="<f8").reshape(e - k, int(dims[a])))
-                    these = ids[k:e]
-                    if state is not None and state[0] == run_id[a]:
-                        kept = len(state[1])
-                        these, x = np.concatenate([state[1], these]), np.concatenate([state[2], x])
-                    else:
-                        kept = 0
-                    yield links(these, x, kept)
-                    state = (run_id[a], these[-window:], x[-window:])
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)], axis=1)
+            left, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else []
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                if tuple(keys[a]) != name:
+                    if name is not None:
+                        yield close(name[1], *rows)
+                    name, rows = tuple(keys[a].tolist()), ([], [], [])
+                rows[0].append(left[a:b])
+                rows[1].append(ids[a:b])
+                rows[2].extend(batch.column(7).slice(a, b - a).to_pylist())
+        if name is not None:
+            yield close(name[1], *rows)
 
     return run
 
@@ -167,13 +197,15 @@ def near_duplicate_vectors(
     Vectors are linked when their cosine, in double precision, is at least ``threshold``; ``n_links`` counts the other vectors linked
     directly, equal ones included. ``component_id`` is the least vec_id that links reach, itself included; ``kept`` says whether it
     is the vector's own. No link below the threshold is made; components are found with the probability ``recall`` or more for each
-    pair at the threshold, and all links inside a component are counted.
+    pair at the threshold, however crowded the vectors are, and all links inside a component are counted. ``window`` is the unit in which
+    the cost of a pass is weighed against comparisons; it limits nothing.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of different lengths with
     each other. A null vec_id links with nothing, has a null component and is kept. vec_id is taken for a key. An empty table gives
     an empty result; other columns, whatever their names, are ignored.
     """
     spark = embeddings.sparkSession
+    keyed_kind = "pass int, dim int, key long, rep long, vector binary"
     wide = F.col("embedding").cast("array<double>")
     usable = (
         F.col("vec_id").isNotNull()
@@ -190,14 +222,27 @@ def near_duplicate_vectors(
         .select("rep", "size", "vector")
         .mapInArrow(_packed, "rep long, size long, dim int, vector binary")
     )
-    numbers = list(range(passes_needed(classes.count(), window, threshold, recall)))
+    n = classes.count()
+    bits = 0
+    if n > block_rows:
+        some = classes.select("rep", "dim", "vector").where(F.pmod(F.xxhash64("rep"), F.lit(max(1, n // SAMPLE_ROWS))) == 0)
+        keys = some.mapInArrow(_keyed(list(SAMPLE_PASSES)), keyed_kind).select("pass", "dim", "key").toPandas().to_numpy()
+        bits = best_bits(n, window, threshold, recall, block_rows, np.mean([sharing(keys[keys[:, 0] == p, 1:]) for p in SAMPLE_PASSES], axis=0))
+    numbers = list(range(passes_needed(n, window, threshold, recall, bits)))
     edges = None
     for k in range(0, len(numbers), passes_at_once):
-        some = numbers[k : k + passes_at_once]
-        keyed = classes.select("rep", "dim", "vector").mapInArrow(_keyed(some), "pass int, dim int, key long, rep long, vector binary")
-        order = ["pass", "dim", "key", "rep"]
-        dealt = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-        found = materialize(dealt.select("pass", "dim", "rep", "vector").mapInArrow(_window_pairs(window, threshold), "a long, b long").distinct())
+        keyed = classes.select("rep", "dim", "vector").mapInArrow(_keyed(numbers[k : k + passes_at_once], bits), keyed_kind)
+        group = ["pass", "dim", "key"]
+        # at most passes_at_once * n / block_rows groups
+        large = keyed.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("cut")).where("cut > 1")
+        placed = keyed.join(F.broadcast(large), group, "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+        placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, cut - 1)")))
+        order = [*group, "low", "high"]
+        dealt = placed.select(
+            *group, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") <= F.col("other")).alias("left"), "rep", "vector"
+        )
+        dealt = dealt.repartition(*order).sortWithinPartitions(*order)
+        found = materialize(dealt.mapInArrow(_group_links(threshold), "a long, b long").distinct())
         edges = found if edges is None else edges.unionByName(found)
     groups = materialize(connected_components(edges).select(F.col("id").alias("rep"), "component"))
 

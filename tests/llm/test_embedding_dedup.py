@@ -86,3 +86,39 @@ def test_odd_rows(spark):
 def test_passes_follow_size():
     needed = [embedding_dedup.passes_needed(n, 128, 0.95, 0.998) for n in (10, 10**4, 10**6, 10**9)]
     assert needed == sorted(needed) and needed[0] >= 2
+
+
+def crowd(n_crowd, n_pairs, cosine, dim=64, seed=11):
+    """Unlinked vectors of one cone, and ``n_pairs`` partners just above the threshold, in the same cone."""
+    rng = np.random.default_rng(seed)
+    axis = np.zeros(dim)
+    axis[0] = 1
+
+    def residuals(n):
+        r = rng.standard_normal((n, dim))
+        r[:, 0] = 0
+        return r / np.linalg.norm(r, axis=1, keepdims=True)
+
+    r = residuals(n_crowd)
+    other = residuals(n_pairs)
+    other -= (other * r[:n_pairs]).sum(axis=1, keepdims=True) * r[:n_pairs]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    inner = (0.952 - cosine) / (1 - cosine)
+    near = inner * r[:n_pairs] + math.sqrt(1 - inner * inner) * other
+    return math.sqrt(cosine) * axis + math.sqrt(1 - cosine) * np.concatenate([r, near])
+
+
+def test_crowded_vectors(spark):
+    x = crowd(8000, 300, 0.88)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found(frame)
+    links = np.concatenate([(x[k : k + 1000] @ x.T >= 0.95).sum(axis=1) - 1 for k in range(0, len(x), 1000)])
+    assert [got[k][0] for k in range(len(x))] == links.tolist()
+
+
+def test_crowded_vectors_in_passes(spark, monkeypatch):
+    x = crowd(3000, 300, 0.8)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embedding_dedup, "best_bits", lambda *a: 6)
+    got = found(frame, block_rows=200)
+    assert all(got[3000 + k][1] <= k for k in range(300))
