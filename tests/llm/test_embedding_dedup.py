@@ -122,3 +122,18 @@ def test_crowded_vectors_in_passes(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "best_bits", lambda *a: 6)
     got = found(frame, block_rows=200)
     assert all(got[3000 + k][1] <= k for k in range(300))
+
+
+def test_partitions_cut_nothing(spark):
+    spread = np.random.default_rng(3).standard_normal((1500, 64))
+    x = np.concatenate([crowd(300, 150, 0.85), spread / np.linalg.norm(spread, axis=1, keepdims=True)])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links = ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for number in ("1", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", number)
+            got = found(frame)
+            assert [got[k][0] for k in range(len(x))] == links, number
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
