@@ -19,11 +19,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import normalize, similarity
+from ..functions.vectors import norm, normalize, similarity
 from .bm25 import SCORE_PLACES
 
 #: Query vectors that go to the tasks at once.
 QUERY_BLOCK = 1024
+#: Queries whose exact neighbours set the bucket length of the approximate search.
+CALIBRATION_QUERIES = 32
+#: Stored rows that tell how much a bucket length leaves.
+CALIBRATION_ROWS = 2000
+#: The share of all rows from which on hashed candidates cost more than the exact search.
+MOST_LEFT = 0.5
 
 
 class Encoder(ABC):
@@ -276,24 +282,82 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def approximate_nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 8, bucket: float = 0.5) -> DataFrame:
+def _calibrated(near: np.ndarray, far: np.ndarray, target: float) -> tuple[float, float]:
+    """The shortest bucket length that keeps the target share of true neighbours, and the share of all rows that it leaves.
+
+    ``near`` (queries, neighbours, tables) and ``far`` (queries, rows, tables) hold a query's projection and another row's, in pairs.
+    The target has to hold two standard errors below the mean over the queries.
+    """
+
+    def met(pairs: np.ndarray, bucket: float) -> np.ndarray:
+        place = np.floor(pairs / bucket)
+        return (place[..., 0] == place[..., 1]).any(axis=-1).mean(axis=1)
+
+    for bucket in np.geomspace(1e-3, 2, 45):
+        kept = met(near, bucket)
+        if kept.mean() - 2 * kept.std() / np.sqrt(len(kept)) >= target:
+            return float(bucket), float(met(far, bucket).mean())
+    return 2.0, 1.0
+
+
+def approximate_nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 8, bucket: float | None = None, recall: float = 0.9) -> DataFrame:
     """Approximate neighbours by random-projection hashing (built-in): (query_id, chunk_id, score, rank) with the cosine as score.
 
-    Optional, for stores where reading all vectors for each block is too much. Both sides are normalized first.
+    Optional, for stores where reading all vectors for each block is too much. Both sides are normalized first; vectors without a length
+    have no cosine and are left out. Unless ``bucket`` states a bucket length, the shortest one that reaches ``recall`` is taken, measured
+    against the exact search on CALIBRATION_QUERIES queries. Where that leaves more than MOST_LEFT of all rows, as it does
+    where the neighbours are hardly nearer than the other rows, hashing saves nothing and the exact search answers; it also answers
+    for so few queries, and for each query with fewer than k candidates.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     def unit(rows: DataFrame, key: str) -> DataFrame:
-        return rows.where("vector IS NOT NULL").select(key, array_to_vector(normalize("vector")).alias("features"))
+        return rows.where(norm("vector") > 1e-9).select(key, array_to_vector(normalize("vector")).alias("features"))
+
+    def exact(some: DataFrame) -> DataFrame:
+        return batch_nearest(vectors.where(norm("vector") > 1e-9), some, k, "cosine").select("query_id", "chunk_id", "score", "rank")
+
+    def hashing(length: float):
+        kind = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=7)
+        return kind.fit(stored)
 
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7)
+    queries = queries.where(norm("vector") > 1e-9)
     stored, asked = unit(vectors, "chunk_id"), unit(queries, "query_id")
-    pairs = model.fit(stored).approxSimilarityJoin(stored, asked, 1.2, distCol="distance")
+    total = stored.count()
+    if bucket is None:
+        sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION_QUERIES + 1).select("query_id", "vector").toPandas()
+        if len(sample) <= CALIBRATION_QUERIES or total <= k:
+            return exact(queries)
+        spark, fine = queries.sparkSession, 1e-9
+        some = spark.createDataFrame(sample[:CALIBRATION_QUERIES], queries.select("query_id", "vector").schema)
+        model = hashing(fine)  # the directions depend on the seed only, so these hashes are the projections
+
+        def projected(rows: DataFrame, key: str) -> DataFrame:
+            hashes = model.transform(unit(rows, key)).select(key, "hashes")
+            return hashes.select(key, F.transform("hashes", lambda h: vector_to_array(h)[0] * fine).alias("p"))
+
+        best = pd.DataFrame(exact(some).select("query_id", "chunk_id").collect(), columns=["query_id", "chunk_id"])  # k rows a query
+        found = vectors.where(F.col("chunk_id").isin(best["chunk_id"].unique().tolist()))
+        near = dict(projected(found, "chunk_id").collect())
+        seen = dict(projected(some, "query_id").collect())
+        rest = vectors.select("chunk_id", "vector").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(CALIBRATION_ROWS)
+        far = [r["p"] for r in projected(rest, "chunk_id").collect()]
+        asks = list(seen)
+        own = np.array([seen[q] for q in asks])[:, None, :]
+        near = np.array([[near[c] for c in best.loc[best["query_id"] == q, "chunk_id"]] for q in asks])
+        pairs = (np.stack(np.broadcast_arrays(own, x), axis=-1) for x in (near, np.array(far)[None, :, :]))
+        bucket, left = _calibrated(*pairs, recall)
+        if left > MOST_LEFT:
+            return exact(queries)
+    # no two unit vectors are further apart than 2, so the limit drops nothing
+    pairs = hashing(bucket).approxSimilarityJoin(stored, asked, 3.0, distCol="distance")
     scored = pairs.select(
         F.col("datasetB.query_id").alias("query_id"),
         F.col("datasetA.chunk_id").alias("chunk_id"),
         F.round(1 - F.col("distance") * F.col("distance") / 2, SCORE_PLACES).alias("score"),
     )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).persist()
+    full = found.where(F.col("rank") == min(k, total)).select("query_id")
+    return found.join(full, "query_id", "left_semi").unionByName(exact(queries.join(full, "query_id", "left_anti")))

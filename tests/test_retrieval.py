@@ -249,3 +249,45 @@ def test_token_counter(spark, tmp_path):
     rows = spark.createDataFrame([(0, "a b c"), (1, None)], "k int, x string")
     assert [r["n"] for r in rows.select("k", token_counter(str(tmp_path / "t.json"))("x").alias("n")).orderBy("k").collect()] == [3, 0]
     assert rows.where("k = 0").select(token_counter()("x").alias("n")).first()["n"] == 1
+
+
+def recall_at(rows, x, ids, asked, k=10):
+    """The mean share of the k true neighbours (by cosine) among the rows found."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], set()).add(r["chunk_id"])
+    assert all(len(got.get(q, ())) == k for q in asked)
+    place = {v: n for n, v in enumerate(ids)}
+    true = {q: {ids[n] for n in np.argsort(-(x @ x[place[q]]), kind="stable")[:k]} for q in asked}
+    return np.mean([len(got[q] & true[q]) / k for q in asked])
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_approximate_recall(spark, scale):
+    from stratasearch.plans.queries import QUERIES
+
+    rows = QUERIES["lsh_ann"](spark, f"/root/testdata/{scale}").collect()
+    table = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").orderBy("vec_id").collect()
+    ids = [r["vec_id"] for r in table]
+    assert recall_at(rows, np.array([r["embedding"] for r in table]), ids, [k for k in ids if k % 50 == 0]) >= 0.9
+
+
+def test_approximate_prunes_where_it_can(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((100, 16)), 20, axis=0) + rng.standard_normal((2000, 16)) * 0.02
+    rows = spark.createDataFrame([(k, "n", v.tolist()) for k, v in enumerate(x)], "chunk_id long, namespace string, vector array<double>")
+    asked = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    lefts, calibrated = [], dense._calibrated
+
+    def spy(*args):
+        lefts.append(calibrated(*args))
+        return lefts[-1]
+
+    monkeypatch.setattr(dense, "_calibrated", spy)
+    got = dense.approximate_nearest(rows, asked, 10).collect()
+    assert recall_at(got, x, list(range(2000)), list(range(0, 2000, 20))) >= 0.9
+    assert lefts[0][1] < 0.5
+    # far too short a bucket: no candidates but the row itself, so the exact search fills in
+    got = dense.approximate_nearest(rows, asked, 10, bucket=1e-6).collect()
+    assert recall_at(got, x, list(range(2000)), list(range(0, 2000, 20))) == 1
