@@ -1,8 +1,8 @@
 """Chat formatting: records of any known layout become turns, and turns become one marked-up text.
 
 Schema fingerprinting: the nested field paths of a record (or of a table's schema), sorted, are hashed. The
-hash selects a declarative mapping, which says where turns, roles and texts lie. Layouts are only data:
-``register`` adds one.
+hash selects a declarative mapping, which says where turns, roles and texts lie. A JSON record with fields beyond a layout's
+takes the layout with the most fields among those that it holds whole. Layouts are only data: ``register`` adds one.
 
 The template writes a turn as ``### <role>: <text></turn>`` and a line end. In roles and texts, ``\\``, ``#`` and
 ``<`` get a ``\\`` before them (in roles ``:`` too), so the marks can't occur inside, and taking one ``\\`` before each
@@ -33,8 +33,8 @@ class Layout:
     """Where a record keeps its turns.
 
     ``fields``: the paths that make up the layout (``[]`` steps into a list). ``turns``: the list of turns, with
-    ``role`` and ``text`` inside it, or None where ``fixed`` gives (role, field) pairs in order; empty fields
-    are left out. ``roles`` renames roles.
+    ``role`` and ``text`` inside it, or None where ``fixed`` gives (role, field) pairs in order; those in ``optional``
+    are left out where they are empty. With neither, the record is one turn. ``roles`` renames roles.
     """
 
     name: str
@@ -44,6 +44,7 @@ class Layout:
     text: str = ""
     fixed: tuple[tuple[str, str], ...] = ()
     roles: dict = field(default_factory=dict)
+    optional: tuple[str, ...] = ()
 
     @property
     def fingerprint(self) -> str:
@@ -96,8 +97,8 @@ for _layout in (
     Layout("prompt and response", ("prompt", "response"), fixed=(("user", "prompt"), ("assistant", "response"))),
     Layout("question and answer", ("question", "answer"), fixed=(("user", "question"), ("assistant", "answer"))),
     Layout("instruction", ("instruction", "output"), fixed=(("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction with input", ("instruction", "input", "output"), fixed=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("system and prompt", ("system", "prompt", "response"), fixed=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Layout("instruction with input", ("instruction", "input", "output"), fixed=(("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("input",)),
+    Layout("system and prompt", ("system", "prompt", "response"), fixed=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
     Layout("turn rows", ("conv_id", "turn", "role", "text"), role="role", text="text"),
 ):
     register(_layout)
@@ -107,25 +108,43 @@ def _text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def _holds(paths: set[str], name: str) -> bool:
+    """Whether a record with these paths has the field; what lies inside it, or an empty list around it, counts."""
+    around = name.rfind("[]")
+    return any(p == name or p.startswith((f"{name}.", f"{name}[]")) for p in paths) or (around >= 0 and name[: around + 2] in paths)
+
+
+def record_layout(value, layouts: dict[str, Layout] = LAYOUTS) -> Layout | None:
+    """The layout of a parsed record: the one with its fingerprint, or else that with the most fields of those it holds whole."""
+    if not isinstance(value, dict):
+        return None
+    paths = set(value_paths(value))
+    known = [layouts[mark]] if (mark := fingerprint(paths)) in layouts else []
+    known += sorted((x for x in layouts.values() if all(_holds(paths, name) for name in x.fields)), key=lambda x: -len(x.fields))
+    return next((x for x in known if not x.turns or isinstance(value.get(x.turns), list) and all(isinstance(t, dict) for t in value[x.turns])), None)
+
+
 def record_turns(record: str | None, layouts: dict[str, Layout] = LAYOUTS) -> list[tuple[str, str]] | None:
     """(role, text) of each turn of a JSON record; None where it isn't JSON or its layout isn't known."""
     try:
         value = json.loads(record) if record else None
     except ValueError:
         return None
-    layout = layouts.get(fingerprint(value_paths(value))) if isinstance(value, dict) else None
+    layout = record_layout(value, layouts)
     if layout is None:
         return None
-    if layout.turns:
-        return [(layout.roles.get(_text(t.get(layout.role)), _text(t.get(layout.role))), _text(t.get(layout.text))) for t in value[layout.turns]]
-    return [(role, _text(value.get(name))) for role, name in layout.fixed if value.get(name)]
+    if layout.fixed:
+        return [(role, _text(value.get(name))) for role, name in layout.fixed if name not in layout.optional or value.get(name) not in (None, "")]
+    turns = value[layout.turns] if layout.turns else [value]
+    return [(layout.roles.get(_text(t.get(layout.role)), _text(t.get(layout.role))), _text(t.get(layout.text))) for t in turns]
 
 
 def json_turns(records: DataFrame, id_column: str, json_column: str) -> DataFrame:
-    """Canonical turns (conv_id, turn, role, text, layout) of JSON records in mixed layouts.
+    """Canonical turns (conv_id, turn, role, text, layout, record) of JSON records in mixed layouts.
 
-    A record that isn't JSON or has no known layout gives one row with null turn, role and text and its fingerprint as
-    ``layout``; nothing is lost silently.
+    A record that isn't JSON or has no known layout gives one row with null turn, role and text, its fingerprint as
+    ``layout`` and itself as ``record``, which is null otherwise; nothing is lost silently. A list without turns gives
+    one row with null turn, role and text.
     """
     layouts = dict(LAYOUTS)  # as they are now; the tasks get this copy
     kind = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
@@ -137,12 +156,12 @@ def json_turns(records: DataFrame, id_column: str, json_column: str) -> DataFram
             value = json.loads(record or "null")
         except ValueError:
             return ("not JSON", None)
-        mark = fingerprint(value_paths(value))
-        return (layouts[mark].name if turns is not None else mark, turns)
+        return (record_layout(value, layouts).name if turns is not None else fingerprint(value_paths(value)), turns)
 
-    found = records.select(F.col(id_column).alias("conv_id"), parsed(F.col(json_column)).alias("p"))
-    return found.select("conv_id", "p.layout", F.posexplode_outer("p.turns").alias("turn", "t")).select(
-        "conv_id", F.col("turn").cast("long"), "t.role", "t.text", "layout"
+    found = records.select(F.col(id_column).alias("conv_id"), parsed(F.col(json_column)).alias("p"), F.col(json_column).alias("record"))
+    raw = F.when(F.col("p.turns").isNull(), F.col("record")).alias("record")
+    return found.select("conv_id", "p.layout", raw, F.posexplode_outer("p.turns").alias("turn", "t")).select(
+        "conv_id", F.col("turn").cast("long"), "t.role", "t.text", "layout", "record"
     )
 
 

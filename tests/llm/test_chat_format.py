@@ -87,3 +87,28 @@ def test_odd_rows(spark):
     assert read_back(frame.limit(0)) == {}
     with pytest.raises(ValueError):
         chat_format.turn_rows(frame.drop("role"))
+
+
+@pytest.mark.parametrize(
+    "record,turns",
+    [
+        ({"id": 7, "source": "s", "messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}]}, [("user", "a"), ("assistant", "b")]),
+        ({"messages": [{"role": "user", "content": "a"}], "tools": []}, [("user", "a")]),
+        ({"id": 1, "messages": []}, []),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}]}]}, [("user", '[{"type": "text", "text": "a"}]')]),
+        ({"id": 1, "system": "s", "prompt": "a", "response": "b"}, [("system", "s"), ("user", "a"), ("assistant", "b")]),
+        ({"id": 1, "system": "", "prompt": "a", "response": ""}, [("user", "a"), ("assistant", "")]),
+        ({"question": "a", "answer": 0}, [("user", "a"), ("assistant", "0")]),
+        ({"conv_id": 1, "turn": 0, "role": "user", "text": "a", "lang": "en"}, [("user", "a")]),
+        ({"messages": [{"role": "user", "content": "a"}, "b"]}, None),
+        ({"messages": "a", "id": 1}, None),
+    ],
+)
+def test_fields_beyond_the_layout(record, turns):
+    assert chat_format.record_turns(json.dumps(record)) == turns
+
+
+def test_unknown_records_stay(spark):
+    rows = [(1, '{"odd": "x"}'), (2, "not json"), (3, '{"id": 3, "prompt": "p", "response": "r"}')]
+    got = chat_format.json_turns(spark.createDataFrame(rows, "id long, j string"), "id", "j").orderBy("conv_id", "turn").collect()
+    assert [(r["conv_id"], r["text"], r["record"]) for r in got] == [(1, None, rows[0][1]), (2, None, "not json"), (3, "p", None), (3, "r", None)]
