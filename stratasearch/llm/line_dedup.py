@@ -1,16 +1,17 @@
-"""Line dedup by winnowing.
+"""Line dedup by hashes of whole windows, with the fingerprints of winnowing as a filter before them.
 
 A run of consecutive lines counts as repeated text when it has at least ``least_words`` words and the same lines came
 before, in an earlier document or further up. Later copies of such runs are deleted.
 
 1. Every line becomes a hash of its words (A-Z lower-cased, white space between words ignored).
 2. A window is the shortest run of lines with enough words that begins, or that ends, at a line. Its least line hash is
-   selected as fingerprint. Every repeated run holds a whole window, so both copies select the same fingerprint: none is missed.
+   its fingerprint. Every repeated run holds a whole window, so both copies have the same fingerprint: none is missed. All windows
+   are kept as rows; nothing is selected among them.
 3. Fingerprints are counted with a map-side combination; those that occur once, most of them, go no further.
 4. The windows around the others are joined with them. A window's own hash tells whether the match extends over all
    its lines, to the front or to the back; the first occurrence of each window is found by a grouped minimum.
 5. All lines of later occurrences are deleted. The windows of a run, those that begin and those that end in it, cover it from
-   end to end, so this is what extending each match both ways as far as it goes would delete.
+   end to end, so this is what extending each match both ways as far as it goes would delete; nothing is extended.
 
 Positions are never paired with each other, only with the first one, so a line that is everywhere costs its number of
 occurrences.
