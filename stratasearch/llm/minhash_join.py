@@ -377,7 +377,7 @@ def near_duplicates(
     Two documents are linked when 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles (A-Z lower-cased;
     words are runs without ASCII white space; with fewer words, the whole sequence is the one shingle). ``component_id`` is the
     least doc_id that links reach, itself included; ``kept`` says whether that is the document. Links are found with
-    the probability ``recall`` or more and confirmed on full sets. ``weight``: shingles of a component that one task takes.
+    the probability ``recall`` or more, less where nodes stay large after all levels (README), and confirmed on full sets. ``weight``: shingles of a component that one task takes.
 
     Texts that are null, empty or have no words have no shingles and are linked with nothing. Rows with a null doc_id are linked with
     nothing either, have a null component and are kept. doc_id is taken for a key: rows that repeat one each come back, and where their texts
