@@ -79,6 +79,20 @@ def mark_copies(documents: DataFrame, counters: int = 1024, least_copies: int =
 
 
 def drop_copies(documents: DataFrame, counters: int = 1024) -> DataFrame:
-    """The rows of ``documents`` that stay, with all their columns. See ``mark_copies``; rows with a null doc_id stay."""
-    dropped = mark_copies(documents, counters).where("NOT kept").select("doc_id").distinct()
-    return documents.join(dropped, "doc_id", "left_anti")
+    """The rows of ``documents`` that stay, with all their columns. See ``mark_copies``; rows with a null doc_id stay.
+
+    Decided by (doc_id, digest): where an id repeats with different texts, a dropped copy takes no other text with it, and of
+    rows that repeat id and text one stays.
+    """
+    taken = set(documents.columns)
+    digest = next(name for k in range(len(taken) + 1) if (name := f"digest_{k}") not in taken)
+    key = ["doc_id", digest]
+    marked = mark_copies(documents, counters).where("doc_id IS NOT NULL").withColumn(digest, F.unhex("text_sha256"))
+    verdict = marked.groupBy(*key).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1")
+    verdict = materialize(verdict)
+    keyed = documents.withColumn(digest, F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)))
+    stay = keyed.join(verdict.select(*key), key, "left_anti").select(*documents.columns)
+    again = verdict.where("kept").select(*key)
+    if again.isEmpty():
+        return stay
+    return stay.unionByName(keyed.join(again, key, "left_semi").dropDuplicates(key).select(*documents.columns))

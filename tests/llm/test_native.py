@@ -40,6 +40,15 @@ def test_exact_dedup_odd_rows(spark):
     assert exact_dedup.mark_copies(frame.limit(0)).count() == 0
 
 
+def test_drop_copies_where_ids_repeat(spark):
+    rows = [(3, "y", 1), (3, "Y", 1), (5, "alone", 1), (5, "copy", 1), (6, "Copy", 1), (7, "z", 1), (None, "n", 1), (None, "n", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, digest_0 int")
+    kept = exact_dedup.drop_copies(frame)
+    assert kept.columns == frame.columns
+    got = sorted([(r["doc_id"], r["text"].lower()) for r in kept.collect()], key=str)
+    assert got == sorted([(3, "y"), (5, "alone"), (6, "copy"), (7, "z"), (None, "n"), (None, "n")], key=str)
+
+
 def host_and_path(url):
     if url is None or "://" not in url:
         return "", ""
