@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stratasearch.llm import exact_dedup, minhash_join, packing, quality_crf
-from stratasearch.llm.common import table, written
+from stratasearch.llm.common import removed, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, all stages applied to the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage, all stages applied to the documents of ``sf_dir``.
+
+    A stage's table is deleted when the next one's is written; the last of them stays, as the result may read it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs, folder = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            removed(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,30 +13,55 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Tables of up to so many bytes are dealt over all cores; the shuffle moves no more than that.
+SMALL_TABLE = 256 << 20
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of ``directory``, dealt over all cores where the scan has fewer partitions than there are cores.
+    """The Parquet table ``name`` of ``directory``; a small one is dealt over all cores where its scan has fewer partitions.
 
-    That is the case for one small file, where the work costs far more than the reading; larger scans stay as they are.
+    That is for one small file, where the work costs far more than the reading. Tables over SMALL_TABLE bytes stay as the scan splits
+    them: ``spark.sql.files.maxPartitionBytes`` says how finely.
     """
     rows = spark.read.parquet(f"{directory}/{name}.parquet")
+    stored = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if stored <= SMALL_TABLE and rows.rdd.getNumPartitions() < cores else rows
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    ``spark.checkpoint.dir`` names the folder. Where it is unset and the context has none either
-    (local tests), a temporary folder stands in for it.
+    Only a master that runs in this one process may go without; a temporary folder stands in for it there.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def broadcast_up_to(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint where it has at most ``most_rows`` rows (they are counted), else as it is. Materialize it before."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def unused_name(columns: list[str], wish: str) -> str:
+    """``wish``, or the first ``wish_1``, ``wish_2``, ... that is no column yet, whatever the case of letters."""
+    taken = {c.lower() for c in columns}
+    return next(name for k in range(len(taken) + 1) if (name := f"{wish}_{k}" if k else wish).lower() not in taken)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the faster built-in, with the same result."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -48,14 +74,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the folder that the cluster shares, and read it back.
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a Parquet table in the shared folder, and read it back; with the table's path, for ``removed``.
 
-    For tables with whole texts, which a checkpoint would keep uncompressed. The table stays until the shared folder is
-    cleared.
+    For tables with whole texts, which a checkpoint would keep uncompressed.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = f"{shared or tempfile.mkdtemp(prefix='tables-')}/tables/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}/{name}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a table that ``written`` wrote."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,24 +6,31 @@
    fixed number of counters, and every digest with more than a share of about 1 / counters of the rows is among them.
 3. Those candidates are counted exactly; their size, and hence the broadcast, is bounded by the number of counters.
    The verified winners are broadcast and their rows are decided where they are, without a shuffle.
-4. What is left has no frequent digest and goes through an ordinary shuffle by digest.
+4. What is left has no frequent digest and goes through an ordinary shuffle by digest: counted with a map-side combination, so
+   no task gathers the rows of a digest, and joined back.
 
 Built-in functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, broadcast_up_to, materialize, unused_name
+
+#: Rows of a list of dropped rows that is broadcast (about 100 bytes each); a longer one is shuffled.
+MOST_BROADCAST = 250_000
+
+
+def digest_of(text: Column | str) -> Column:
+    """sha-256 of a text with A-Z lower-cased, as 32 bytes; a null text counts as empty."""
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), 256))
 
 
 def digests(documents: DataFrame) -> DataFrame:
     """(doc_id, digest binary) of every row; a null text counts as empty."""
-    text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    return documents.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"))
+    return documents.select("doc_id", digest_of("text").alias("digest"))
 
 
 def frequent_digests(keyed: DataFrame, counters: int = 1024, spread: int = 32) -> DataFrame:
@@ -43,6 +50,17 @@ def frequent_digests(keyed: DataFrame, counters: int = 1024, spread: int = 32) -
     ).select(F.unhex("top.item").alias("digest"))
 
 
+def _groups(keyed: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size)."""
+    return keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+
+def frequent_groups(keyed: DataFrame, counters: int, least_copies: int) -> DataFrame:
+    """(digest, keep_id, group_size) of the verified winners, ``counters`` rows at most."""
+    candidates = keyed.join(F.broadcast(frequent_digests(keyed, counters)), "digest")
+    return materialize(_groups(candidates).where(F.col("group_size") >= least_copies))
+
+
 def mark_copies(documents: DataFrame, counters: int = 1024, least_copies: int = 16) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -54,21 +72,10 @@ def mark_copies(documents: DataFrame, counters: int = 1024, least_copies: int =
     doc_id is taken for a key. An empty table gives an empty result. Other columns are ignored.
     """
     keyed = materialize(digests(documents))
-    verified = (
-        keyed.join(F.broadcast(frequent_digests(keyed, counters)), "digest")
-        .groupBy("digest")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where(F.col("group_size") >= least_copies)
-    )
-    winners = F.broadcast(materialize(verified))
+    winners = F.broadcast(frequent_groups(keyed, counters, least_copies))
     hot = keyed.join(winners, "digest").select("doc_id", "digest", "keep_id", "group_size")
-    group = W.partitionBy("digest")
-    cold = keyed.join(winners, "digest", "left_anti").select(
-        "doc_id",
-        "digest",
-        F.max("doc_id").over(group).alias("keep_id"),
-        F.count(F.lit(1)).over(group).alias("group_size"),
-    )
+    rest = keyed.join(winners, "digest", "left_anti")
+    cold = rest.join(_groups(rest), "digest").select("doc_id", "digest", "keep_id", "group_size")
     return hot.unionByName(cold).select(
         "doc_id",
         "keep_id",
@@ -78,21 +85,27 @@ def mark_copies(documents: DataFrame, counters: int = 1024, least_copies: int =
     )
 
 
-def drop_copies(documents: DataFrame, counters: int = 1024) -> DataFrame:
+def drop_copies(documents: DataFrame, counters: int = 1024, least_copies: int = 16) -> DataFrame:
     """The rows of ``documents`` that stay, with all their columns. See ``mark_copies``; rows with a null doc_id stay.
 
     Decided by (doc_id, digest): where an id repeats with different texts, a dropped copy takes no other text with it, and of
-    rows that repeat id and text one stays.
+    rows that repeat id and text one stays. Copies of frequent digests are removed where they are read. The list of the other dropped rows
+    is broadcast up to MOST_BROADCAST rows; then no text is shuffled.
     """
-    taken = set(documents.columns)
-    digest = next(name for k in range(len(taken) + 1) if (name := f"digest_{k}") not in taken)
+    digest, keep = unused_name(documents.columns, "digest"), unused_name(documents.columns, "keep_id")
+    keyed = materialize(digests(documents).where("doc_id IS NOT NULL"))
+    winners = frequent_groups(keyed, counters, least_copies)
+    rest = keyed.join(F.broadcast(winners), "digest", "left_anti")
+    dropped = materialize(rest.join(_groups(rest), "digest").where("doc_id <> keep_id").select("doc_id", "digest").distinct())
+    repeated = materialize(keyed.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest"))
+
     key = ["doc_id", digest]
-    marked = mark_copies(documents, counters).where("doc_id IS NOT NULL").withColumn(digest, F.unhex("text_sha256"))
-    verdict = marked.groupBy(*key).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1")
-    verdict = materialize(verdict)
-    keyed = documents.withColumn(digest, F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)))
-    stay = keyed.join(verdict.select(*key), key, "left_anti").select(*documents.columns)
-    again = verdict.where("kept").select(*key)
-    if again.isEmpty():
-        return stay
-    return stay.unionByName(keyed.join(again, key, "left_semi").dropDuplicates(key).select(*documents.columns))
+    named = F.broadcast(winners.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep)))
+    there = documents.withColumn(digest, digest_of("text")).join(named, digest, "left")
+    there = there.where(F.col(keep).isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col(keep)))
+    stay = there.join(broadcast_up_to(dropped.withColumnRenamed("digest", digest), MOST_BROADCAST), key, "left_anti")
+    if repeated.isEmpty():
+        return stay.select(*documents.columns)
+    twice = broadcast_up_to(repeated.withColumnRenamed("digest", digest), MOST_BROADCAST)
+    once = stay.join(twice, key, "left_anti").unionByName(stay.join(twice, key, "left_semi").dropDuplicates(key))
+    return once.select(*documents.columns)
