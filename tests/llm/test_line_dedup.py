@@ -101,3 +101,34 @@ def test_odd_rows(spark):
     got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in line_dedup.drop_repeated_runs(frame).collect()}
     assert got == {1: (None, 0), 2: ("", 0), 3: (long, 0), 4: ("x\ny", 1), None: (long, 0), 5: ("", 2)}
     assert line_dedup.drop_repeated_runs(frame.limit(0)).count() == 0
+
+
+def test_columns_stay(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    frame = spark.createDataFrame([(1, long, 5, [1], 8), (2, long, 6, [2], 9)], "doc_id int, text string, cut int, spans array<int>, removed_lines int")
+    got = line_dedup.drop_repeated_runs(frame)
+    assert got.columns == [*frame.columns, "removed_lines_1"]
+    assert sorted(map(tuple, got.collect())) == [(1, long, 5, [1], 8, 0), (2, "", 6, [2], 9, 1)]
+
+
+def test_positions_are_sparse():
+    """Winnowing selects a part of the lines only, and each window of a text holds one of them."""
+    rng = random.Random(9)
+    text = "\n".join(" ".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(1000)).encode()
+    units, owner, _ = line_dedup.text_lines([text])
+    first, last, least = line_dedup.windows(units, owner, 50)
+    assert len(first) > 900 and len(set(least.tolist())) < 300
+    assert ((least >= first) & (least <= last)).all()
+
+
+def test_a_line_that_is_everywhere(spark):
+    """The first occurrence of a common line explains little; its other contexts are found all the same."""
+    rng = random.Random(12)
+    common = "the one line that all texts share"
+    blocks = [[" ".join(rng.choice("abcdefgh") * 2 for _ in range(4)) for _ in range(3)] for _ in range(6)]
+    rows = []
+    for k in range(60):
+        before, after = rng.choice(blocks), rng.choice(blocks)
+        rows.append((k, "\n".join([f"own {k}", *before[: rng.randint(1, 3)], common, "", *after[: rng.randint(1, 3)], common])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert spans_of(line_dedup.repeated_runs(frame, 12)) == brute_force(rows, 12)
