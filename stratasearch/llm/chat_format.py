@@ -1,9 +1,12 @@
 """Chat formatting: records of any known layout become turns, and turns become one marked-up text.
 
-Schema fingerprinting: the nested field paths of a record (or of a table's schema), sorted, are hashed. The
-hash selects a declarative mapping, which says where turns, roles and texts lie. A JSON record with fields beyond a layout's
+Schema fingerprinting: the nested field paths of a record (or of a table's schema), in sorted order, are hashed. The
+hash selects a declarative mapping, which says where turns, roles and texts lie. A record or table with fields beyond a layout's
 takes the layout with the most fields among those that it holds whole. Layouts are only data: ``register`` adds one.
 
+JSON records are parsed to variants, and fingerprints, choice and turns are built-in expressions over those, one for each layout. Only
+records beyond that (with a text of 20 million characters or more, a name twice, or nested over MOST_DEPTH deep) are parsed in Python, by the same rules.
+
 The template writes a turn as ``### <role>: <text></turn>`` and a line end. In roles and texts, ``\\``, ``#`` and
 ``<`` get a ``\\`` before them (in roles ``:`` too), so the marks can't occur inside, and taking one ``\\`` before each
 such character away gives the text back. The loss mask covers the texts of the assistant.
@@ -18,13 +21,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TURN_START, ROLE_END, TURN_END = "### ", ": ", "</turn>\n"
 _ESCAPED_TEXT, _ESCAPED_ROLE = re.compile(r"([\\#<])"), re.compile(r"([\\#<:])")
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.DOTALL)
+# possessive: no place to go back to is kept for each character
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.DOTALL)
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -51,9 +55,36 @@ class Layout:
         return fingerprint(self.fields)
 
 
+def skeleton(paths) -> str:
+    """The nested field paths in the form ``OBJECT<a: ARRAY<OBJECT<b, c>>, d>``: names sorted, kinds of plain values left out."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for step in re.findall(r"\[\]|[^.\[\]]+", path):
+            at = at.setdefault(step, {})
+
+    def written(node: dict) -> str:
+        if not node:
+            return ""
+        if "[]" in node:
+            return f"ARRAY<{written(node['[]'])}>"
+        return f"OBJECT<{', '.join(f'{k}: {inner}' if (inner := written(node[k])) else k for k in sorted(node))}>"
+
+    return written(tree)
+
+
 def fingerprint(paths) -> str:
-    """Hash of a set of field paths."""
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    """Hash of a set of nested field paths."""
+    return hashlib.sha256(skeleton(paths).encode("utf-8", "replace")).hexdigest()[:16]
+
+
+#: The kinds of plain values in the schema of a variant.
+_PLAIN_KIND = r"(: |(?<=ARRAY<))(?!OBJECT<|ARRAY<)[A-Z]+(\(\d+,\d+\))?(?=[,>])"
+
+
+def variant_fingerprint(value: Column) -> Column:
+    """The same hash of the field paths of a variant."""
+    return F.substring(F.sha2(F.regexp_replace(F.schema_of_variant(value), _PLAIN_KIND, ""), 256), 1, 16)
 
 
 def value_paths(value, at: str = "") -> Iterator[str]:
@@ -61,6 +92,8 @@ def value_paths(value, at: str = "") -> Iterator[str]:
     if isinstance(value, dict):
         for key, inner in value.items():
             yield from value_paths(inner, f"{at}.{key}" if at else str(key))
+        if not value and at:
+            yield f"{at}."  # an object without fields
     elif isinstance(value, list):
         for inner in value:
             yield from value_paths(inner, f"{at}[]")
@@ -105,7 +138,9 @@ for _layout in (
 
 
 def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if not isinstance(value, (str, type(None))):
+        value = json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    return (value or "").encode("utf-8", "replace").decode("utf-8")
 
 
 def _holds(paths: set[str], name: str) -> bool:
@@ -114,68 +149,145 @@ def _holds(paths: set[str], name: str) -> bool:
     return any(p == name or p.startswith((f"{name}.", f"{name}[]")) for p in paths) or (around >= 0 and name[: around + 2] in paths)
 
 
+def layouts_of(paths: set[str], layouts: dict[str, Layout] = LAYOUTS) -> list[Layout]:
+    """The layout with the fingerprint of the paths, and then those that the paths hold whole, the largest first."""
+    known = [layouts[mark]] if (mark := fingerprint(paths)) in layouts else []
+    return known + sorted((x for x in layouts.values() if all(_holds(paths, name) for name in x.fields)), key=lambda x: -len(x.fields))
+
+
 def record_layout(value, layouts: dict[str, Layout] = LAYOUTS) -> Layout | None:
-    """The layout of a parsed record: the one with its fingerprint, or else that with the most fields of those it holds whole."""
+    """The layout of a parsed record, or None."""
     if not isinstance(value, dict):
         return None
-    paths = set(value_paths(value))
-    known = [layouts[mark]] if (mark := fingerprint(paths)) in layouts else []
-    known += sorted((x for x in layouts.values() if all(_holds(paths, name) for name in x.fields)), key=lambda x: -len(x.fields))
-    return next((x for x in known if not x.turns or isinstance(value.get(x.turns), list) and all(isinstance(t, dict) for t in value[x.turns])), None)
+    fits = layouts_of(set(value_paths(value)), layouts)
+    return next((x for x in fits if not x.turns or isinstance(value.get(x.turns), list) and all(isinstance(t, dict) for t in value[x.turns])), None)
 
 
-def record_turns(record: str | None, layouts: dict[str, Layout] = LAYOUTS) -> list[tuple[str, str]] | None:
-    """(role, text) of each turn of a JSON record; None where it isn't JSON or its layout isn't known."""
+def record_turns(record: str | None, layouts: dict[str, Layout] = LAYOUTS) -> tuple[str, list[tuple[str, str]] | None]:
+    """The layout of a JSON record, or else its fingerprint, or ``not JSON``; and (role, text) of each turn, None without a layout."""
     try:
-        value = json.loads(record) if record else None
-    except ValueError:
-        return None
-    layout = record_layout(value, layouts)
-    if layout is None:
-        return None
+        value, _ = json.JSONDecoder().raw_decode((record or "").lstrip(" \t\r\n"))
+        layout = record_layout(value, layouts)
+        if layout is None:
+            return fingerprint(value_paths(value)), None
+    except (ValueError, RecursionError):
+        return NOT_JSON, None
     if layout.fixed:
-        return [(role, _text(value.get(name))) for role, name in layout.fixed if name not in layout.optional or value.get(name) not in (None, "")]
+        return layout.name, [(role, _text(value.get(name))) for role, name in layout.fixed if name not in layout.optional or value.get(name) not in (None, "")]
     turns = value[layout.turns] if layout.turns else [value]
-    return [(layout.roles.get(_text(t.get(layout.role)), _text(t.get(layout.role))), _text(t.get(layout.text))) for t in turns]
+    return layout.name, [(layout.roles.get(_text(t.get(layout.role)), _text(t.get(layout.role))), _text(t.get(layout.text))) for t in turns]
+
+
+NOT_JSON = "not JSON"
+#: Records nested deeper are parsed in Python.
+MOST_DEPTH = 100
+_OBJECT = "map<string,variant>"
+_TURNS = "array<struct<role:string,text:string>>"
+
+
+def _step(name: str) -> str:
+    return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+
+
+def _inside(value: Column, steps: list[str]) -> Column:
+    """Whether a variant holds the field that the steps lead to."""
+    if not steps:
+        return F.lit(True)
+    if steps[0] == "[]":
+        inner = F.try_variant_get(value, "$", "array<variant>")
+        return F.coalesce((F.size(inner) == 0) | F.exists(inner, lambda x: _inside(x, steps[1:])), F.lit(False))
+    there = F.coalesce(F.map_contains_key(F.try_variant_get(value, "$", _OBJECT), steps[0]), F.lit(False))
+    return there & _inside(F.try_variant_get(value, _step(steps[0]), "variant"), steps[1:]) if steps[1:] else there
+
+
+def _text_of(fields: Column, name: str) -> Column:
+    return F.coalesce(F.try_variant_get(F.try_element_at(fields, F.lit(name)), "$", "string"), F.lit(""))
+
+
+def _fits(value: Column, layout: Layout) -> Column:
+    """Whether the turns of a layout are where it says they are."""
+    if layout.turns is None:
+        return F.map_keys(F.try_variant_get(value, "$", _OBJECT)).isNotNull()
+    turns = F.try_variant_get(value, _step(layout.turns), f"array<{_OBJECT}>")
+    return F.coalesce(F.forall(turns, lambda t: t.isNotNull()), F.lit(False))
+
+
+def _turns_of(value: Column, layout: Layout) -> Column:
+    """The turns of a variant in a layout, as _TURNS."""
+    whole = F.try_variant_get(value, "$", _OBJECT)
+    if layout.fixed:
+        every = F.array(*[F.struct(F.lit(role).alias("role"), _text_of(whole, name).alias("text"), F.lit(name in layout.optional).alias("skip")) for role, name in layout.fixed])
+        kept = F.filter(every, lambda t: ~(t["skip"] & (t["text"] == "")))
+        return F.transform(kept, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    renamed = F.create_map(*[F.lit(x) for pair in layout.roles.items() for x in pair]) if layout.roles else None
+
+    def turn(fields: Column) -> Column:
+        role = _text_of(fields, layout.role)
+        role = role if renamed is None else F.coalesce(F.try_element_at(renamed, role), role)
+        return F.struct(role.alias("role"), _text_of(fields, layout.text).alias("text"))
+
+    turns = F.array(whole) if layout.turns is None else F.try_variant_get(value, _step(layout.turns), f"array<{_OBJECT}>")
+    return F.transform(turns, turn)
 
 
 def json_turns(records: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """Canonical turns (conv_id, turn, role, text, layout, record) of JSON records in mixed layouts.
 
-    A record that isn't JSON or has no known layout gives one row with null turn, role and text, its fingerprint as
-    ``layout`` and itself as ``record``, which is null otherwise; nothing is lost silently. A list without turns gives
-    one row with null turn, role and text.
+    A record that isn't JSON or has no known layout gives one row with null turn, role and text, its fingerprint (or ``not JSON``) as
+    ``layout`` and itself as ``record``, which is null otherwise; nothing is lost silently. That goes for nulls, empty texts and
+    records nested a thousand deep too. A list without turns gives one row with null turn, role and text. Values that aren't texts count
+    as their JSON text, halves of surrogate pairs as ``?``; what follows the end of a record is ignored. Repeated rows come back as often as they come, an empty table gives
+    an empty result, other columns are ignored.
     """
     layouts = dict(LAYOUTS)  # as they are now; the tasks get this copy
-    kind = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
-
-    @F.udf(T.StructType([T.StructField("layout", T.StringType()), T.StructField("turns", kind)]), useArrow=True)
-    def parsed(record):
-        turns = record_turns(record, layouts)
-        try:
-            value = json.loads(record or "null")
-        except ValueError:
-            return ("not JSON", None)
-        return (record_layout(value, layouts).name if turns is not None else fingerprint(value_paths(value)), turns)
-
-    found = records.select(F.col(id_column).alias("conv_id"), parsed(F.col(json_column)).alias("p"), F.col(json_column).alias("record"))
-    raw = F.when(F.col("p.turns").isNull(), F.col("record")).alias("record")
-    return found.select("conv_id", "p.layout", raw, F.posexplode_outer("p.turns").alias("turn", "t")).select(
+
+    @F.udf(T.StructType([T.StructField("layout", T.StringType()), T.StructField("turns", T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("role", "text")])))]), useArrow=True)
+    def in_python(record):
+        return (None, None) if record is None else record_turns(record, layouts)
+
+    value, mark = F.col("value"), F.col("mark")
+    fits = {x.name: _fits(value, x) for x in layouts.values()}
+    whole = {x.name: F.forall(F.array(*[_inside(value, re.findall(r"\[\]|[^.\[\]]+", f)) for f in x.fields]), lambda y: y) for x in layouts.values()}
+    by_size = sorted(layouts.values(), key=lambda x: -len(x.fields))
+    chosen = F.coalesce(
+        *[F.when((mark == x.fingerprint) & fits[x.name], F.lit(x.name)) for x in layouts.values()],
+        *[F.when(whole[x.name] & fits[x.name], F.lit(x.name)) for x in by_size],
+    )
+    turns = F.coalesce(*[F.when(F.col("layout") == x.name, _turns_of(value, x).cast(_TURNS)) for x in layouts.values()])
+    record = F.col(json_column)
+    # the first refuses single quotes and the like, the second what is nested deeper than expressions over variants can go
+    parsed = F.when(F.try_parse_json(record).isNotNull(), F.from_json(record, T.VariantType(), {"maxNestingDepth": str(MOST_DEPTH)}))
+    named = records.select(F.col(id_column).alias("conv_id"), record.alias("record"), parsed.alias("value"))
+    named = named.withColumn("mark", variant_fingerprint(value)).withColumn("layout", chosen)
+    parsed = named.withColumns({"turns": turns, "other": in_python(F.when(value.isNull(), F.col("record")))})
+    found = parsed.select(
+        "conv_id",
+        F.coalesce("layout", "mark", "other.layout", F.lit(NOT_JSON)).alias("layout"),
+        F.coalesce("turns", "other.turns").alias("turns"),
+        "record",
+    )
+    raw = F.when(F.col("turns").isNull(), F.col("record")).alias("record")
+    return found.select("conv_id", "layout", raw, F.posexplode_outer("turns").alias("turn", "t")).select(
         "conv_id", F.col("turn").cast("long"), "t.role", "t.text", "layout", "record"
     )
 
 
-def turn_rows(table: DataFrame) -> DataFrame:
-    """Canonical turns of a table whose own schema has a known layout with one row per turn.
+def table_turns(table: DataFrame, id_column: str = "conv_id") -> DataFrame:
+    """Canonical turns (conv_id, turn, role, text) of a table, in the layout that the fingerprint of its whole schema selects.
 
-    Columns beyond the layout's are not part of the fingerprint; a table without the layout's columns is refused.
+    With columns beyond a layout's, the layout with the most fields among those that the schema holds whole. A table that holds none
+    is refused. A layout with one row per turn is read from ``conv_id`` and ``turn``; for the others, a row is a record and ``id_column`` names it.
     """
-    known = next(layout for layout in LAYOUTS.values() if layout.name == "turn rows")
-    paths = [p for p in schema_paths(table.schema) if p in known.fields]
-    layout = LAYOUTS.get(fingerprint(paths))
-    if layout is None or layout.turns or layout.fixed:
-        raise ValueError(f"no layout with one row per turn has the fields {sorted(schema_paths(table.schema))}")
-    return table.select("conv_id", "turn", F.col(layout.role).alias("role"), F.col(layout.text).alias("text"))
+    fits = layouts_of(set(schema_paths(table.schema)))
+    if not fits:
+        raise ValueError(f"no layout has the fields {sorted(schema_paths(table.schema))}")
+    layout = fits[0]
+    if layout.turns is None and not layout.fixed:
+        return table.select("conv_id", "turn", F.col(layout.role).alias("role"), F.col(layout.text).alias("text"))
+    tops = dict.fromkeys(re.split(r"\[|\.", name)[0] for name in layout.fields)
+    value = F.to_variant_object(F.struct(*[F.col(name) for name in tops]))
+    turns = table.select(F.col(id_column).alias("conv_id"), F.posexplode(_turns_of(value, layout)).alias("turn", "t"))
+    return turns.select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
 
 
 def format_turn(role: str, text: str) -> str:
@@ -209,7 +321,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Turns are in the order of turn (null first), role, text; repeated rows are turns of their own. A null role or text
     is empty. Rows with a null conv_id form one conversation. The rows of one conversation meet in one task, sorted, and are
-    streamed through it one by one; none is held back.
+    streamed through it one by one; none is held back. Texts of any length are turns; a turn is held as a whole. An empty table
+    gives an empty result; other columns, whatever their names, are ignored.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

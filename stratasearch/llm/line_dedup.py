@@ -45,6 +45,8 @@ _POSITIONS = "doc_id long, line int, fingerprint long, at int, context binary"
 _FOUND = "doc_id long, first int, last int, fingerprint long, content long"
 #: Documents with deleted lines whose spans are broadcast; for more, the texts are shuffled.
 MOST_BROADCAST = 100_000
+#: Shared fingerprints, of 16 bytes, that are broadcast.
+MOST_FINGERPRINTS = 500_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -217,11 +219,13 @@ def repeated_runs(documents: DataFrame, least_words: int = 50) -> DataFrame:
     rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     positions = materialize(rows.mapInArrow(_selected(least_words), _POSITIONS))
     counted = positions.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-    shared = materialize(positions.join(counted.select("fingerprint", "first_doc"), "fingerprint"))
+    counted = materialize(counted.select("fingerprint", "first_doc"))
+    shared = materialize(positions.join(broadcast_up_to(counted, MOST_FINGERPRINTS), "fingerprint"))
     firsts = materialize(
         shared.where("doc_id = first_doc").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "line", "at", "context")).alias("o")).select("fingerprint", "o.*")
     )
-    named = firsts.select("fingerprint", F.col("line").alias("first_line"), F.col("at").alias("first_at"), F.col("context").alias("first_context"))
+    # a broadcast of contexts is bounded too: a context reaches least_words words to each side
+    named = broadcast_up_to(firsts, MOST_BROADCAST).select("fingerprint", F.col("line").alias("first_line"), F.col("at").alias("first_at"), F.col("context").alias("first_context"))
     later = shared.join(named, "fingerprint").where("doc_id > first_doc OR line > first_line")
     columns = ["doc_id", "line", "fingerprint", "at", "context"]
     found = materialize(later.select(*columns, "first_at", "first_context").mapInArrow(_matched(least_words, True), _FOUND))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
@@ -55,12 +55,38 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    marked = spark.createDataFrame([(-7, 0, "user", MARKS_INSIDE), (-7, 1, "assistant", MARKS_INSIDE)], rows.schema)
-    turns = chat_format.turn_rows(rows.unionByName(marked))
+    """The table has one row per turn; the conversation with marks inside comes as a record with a list of messages."""
+    message = F.lit(MARKS_INSIDE).alias("content")
+    messages = F.array(*[F.struct(F.lit(role).alias("role"), message) for role in ("user", "assistant")])
+    record = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    marked = chat_format.json_turns(record, "conv_id", "record").select("conv_id", "turn", "role", "text")
+    turns = chat_format.table_turns(table(spark, sf_dir, "conversations")).unionByName(marked)
     return chat_format.read_back(chat_format.format_conversations(turns))
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as records in six layouts, with fields beyond them and without any layout, as canonical turns."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    lang, source, text = F.col("lang"), F.col("source"), F.col("text")
+
+    def listed(role: str, body: str, names: tuple[str, str]) -> Column:
+        return F.array(*[F.struct(F.lit(name).alias(role), value.alias(body)) for name, value in zip(names, (lang, text))])
+
+    records = [
+        F.struct(lang.alias("prompt"), text.alias("response")),
+        F.struct(listed("role", "content", ("user", "assistant")).alias("messages"), source.alias("source")),
+        F.struct(listed("from", "value", ("human", "gpt")).alias("conversations")),
+        F.struct(F.col("doc_id").alias("id"), source.alias("instruction"), lang.alias("input"), text.alias("output")),
+        F.struct(F.lit("").alias("system"), lang.alias("prompt"), text.alias("response")),
+        F.struct(lang.alias("question"), F.struct(text.alias("body")).alias("answer")),
+        F.struct(text.alias("body")),
+    ]
+    record = F.coalesce(*[F.when(F.col("doc_id") % len(records) == k, F.to_json(r)) for k, r in enumerate(records)])
+    turns = chat_format.json_turns(rows.select("doc_id", record.alias("record")), "doc_id", "record")
+    named = F.when(F.col("record").isNull(), F.col("layout")).alias("layout")
+    return turns.select(F.col("conv_id").alias("doc_id"), "turn", "role", F.md5("text").alias("text_md5"), named)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -97,6 +123,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_url_rules": op10_url_rules,
+    "chat_layouts": chat_layouts,
 }
 
 #: translate() with A-Z and a-z.
@@ -126,6 +153,16 @@ ORACLE_SQL = {
           CAST(sum(length(role_out) + length(text_out) + length('### : </turn>') + 1) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "chat_layouts": """
+        WITH d AS (SELECT doc_id, doc_id % 7 AS k, lang, source, coalesce(text, '') AS text FROM documents),
+        n(k, layout) AS (VALUES (0, 'prompt and response'), (1, 'messages'), (2, 'conversations'), (3, 'instruction with input'), (4, 'system and prompt'), (5, 'question and answer')),
+        t AS (
+          SELECT doc_id, k, 0 AS turn, 'user' AS role, CASE WHEN k = 3 THEN source ELSE lang END AS text FROM d WHERE k < 6
+          UNION ALL SELECT doc_id, k, 1, 'user', lang FROM d WHERE k = 3 AND lang <> ''
+          UNION ALL SELECT doc_id, k, CASE WHEN k = 3 AND lang <> '' THEN 2 ELSE 1 END, 'assistant', CASE WHEN k = 5 THEN CAST(to_json({'body': text}) AS VARCHAR) ELSE text END FROM d WHERE k < 6)
+        SELECT doc_id, CAST(turn AS BIGINT) AS turn, role, md5(text) AS text_md5, layout FROM t JOIN n USING (k)
+        UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL FROM d WHERE k = 6
+    """,
     "op6_line_dedup": f"""
         WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, string_split({_LOW}, chr(10)) AS low FROM documents),
         l AS (SELECT doc_id, i, ls[i] AS line, regexp_extract_all(low[i], '[^\\x20\\x09-\\x0D]+') AS ws FROM t, unnest(range(1, len(ls) + 1)) AS u(i)),

@@ -2,11 +2,15 @@
 
 import hashlib
 import json
+import random
+import tracemalloc
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from stratasearch.llm import chat_format
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -35,7 +39,7 @@ def test_no_turn():
     ],
 )
 def test_layouts(record, turns):
-    assert chat_format.record_turns(json.dumps(record)) == turns
+    assert chat_format.record_turns(json.dumps(record))[1] == turns
 
 
 def test_new_layout(spark):
@@ -67,7 +71,7 @@ def expected(rows):
 
 
 def read_back(frame):
-    got = chat_format.read_back(chat_format.format_conversations(chat_format.turn_rows(frame))).collect()
+    got = chat_format.read_back(chat_format.format_conversations(chat_format.table_turns(frame))).collect()
     return {r["conv_id"]: tuple(r)[1:] for r in got}
 
 
@@ -86,7 +90,74 @@ def test_odd_rows(spark):
     assert read_back(frame.selectExpr("*", "1 AS segment")) == expected(rows)
     assert read_back(frame.limit(0)) == {}
     with pytest.raises(ValueError):
-        chat_format.turn_rows(frame.drop("role"))
+        chat_format.table_turns(frame.drop("role"))
+
+
+def both_ways(spark, records):
+    """Turns of records by built-in expressions and in Python."""
+    frame = spark.createDataFrame(list(enumerate(records)), "id long, j string")
+    native = {}
+    for r in chat_format.json_turns(frame, "id", "j").orderBy("conv_id", "turn").collect():
+        native.setdefault(r["conv_id"], (r["layout"], r["record"], []))[2].append((r["turn"], r["role"], r["text"]))
+    for k, record in enumerate(records):
+        layout, turns = chat_format.record_turns(record)
+        rows = [(n, *t) for n, t in enumerate(turns)] if turns else [(None, None, None)]
+        assert native[k][1:] == (record if turns is None else None, rows), record
+        assert turns is None or native[k][0] == layout, record
+
+
+def random_record(rng):
+    inside, fields = ["role", "content", "from", "value", "text", "x"], {f.split("[")[0].split(".")[0] for x in chat_format.LAYOUTS.values() for f in x.fields}
+
+    def piece(depth=0):
+        kind = rng.random()
+        if kind < 0.55 or depth > 2:
+            return rng.choice([None, True, -2, "", "a", "[", '{"a', "<: >", "user", "human", "gpt", 1.5])
+        if kind < 0.8:
+            return [piece(depth + 1) for _ in range(rng.randint(0, 3))]
+        return {k: piece(depth + 1) for k in rng.sample(inside, rng.randint(0, 3))}
+
+    if rng.random() < 0.3:
+        return {"messages": [{"role": piece(3), "content": piece()} for _ in range(rng.randint(0, 3))]}
+    return {k: piece() for k in rng.sample([*sorted(fields), "id"], rng.randint(0, 4))}
+
+
+def test_built_in_as_in_python(spark):
+    rng = random.Random(3)
+    both_ways(spark, [json.dumps(random_record(rng)) for _ in range(1500)])
+
+
+def test_odd_records(spark):
+    deep = '{"a":' * 5000 + "1" + "}" * 5000
+    nested = '{"messages":' * 900 + "[]" + "}" * 900
+    odd = [deep, nested, "", "null", "[1]", "3", '"x"', '{"prompt":"\\ud800 x","response":"y"}', '{"prompt":"a","prompt":"b","response":"c"}', "{" * 100_000, '{"prompt":"a","response":"b"} x', "{'prompt':'a','response':'b'}", '{"a b: STRING, c":1}']
+    both_ways(spark, odd)
+    frame = spark.createDataFrame([(1, None, 2), (1, None, 2)], "id long, j string, value int")
+    assert [tuple(r) for r in chat_format.json_turns(frame, "id", "j").collect()] == [(1, None, None, None, "not JSON", None)] * 2
+    assert chat_format.json_turns(frame.limit(0), "id", "j").count() == 0
+
+
+def test_a_record_of_many_megabytes(spark):
+    text = "é x" * 7_000_000
+    frame = spark.createDataFrame([(1, json.dumps({"prompt": text, "response": "b"}, ensure_ascii=False))], "id long, j string")
+    got = chat_format.json_turns(frame, "id", "j").select("turn", "role", F.length("text"), "layout").collect()
+    assert sorted(map(tuple, got)) == [(0, "user", len(text), "prompt and response"), (1, "assistant", 1, "prompt and response")]
+
+
+def test_a_long_turn_needs_no_memory_for_each_character():
+    formatted = chat_format.format_turn("user", "a\\ <#" * 400_000)
+    tracemalloc.start()
+    role, text, _, _ = next(chat_format.parse_turns(formatted))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text == "a\\ <#" * 400_000 and peak < 10 * len(formatted)
+
+
+def test_tables_in_other_layouts(spark):
+    pairs = spark.createDataFrame([(1, "a", None, 7)], "id long, prompt string, response string, extra int")
+    assert [tuple(r) for r in chat_format.table_turns(pairs, "id").collect()] == [(1, 0, "user", "a"), (1, 1, "assistant", "")]
+    lists = spark.createDataFrame([(1, [("human", "a"), ("gpt", "b")]), (2, [])], "id long, conversations array<struct<from: string, value: string>>")
+    assert [tuple(r) for r in chat_format.table_turns(lists, "id").collect()] == [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
 
 
 @pytest.mark.parametrize(
@@ -95,7 +166,7 @@ def test_odd_rows(spark):
         ({"id": 7, "source": "s", "messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}]}, [("user", "a"), ("assistant", "b")]),
         ({"messages": [{"role": "user", "content": "a"}], "tools": []}, [("user", "a")]),
         ({"id": 1, "messages": []}, []),
-        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}]}]}, [("user", '[{"type": "text", "text": "a"}]')]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}]}]}, [("user", '[{"text":"a","type":"text"}]')]),
         ({"id": 1, "system": "s", "prompt": "a", "response": "b"}, [("system", "s"), ("user", "a"), ("assistant", "b")]),
         ({"id": 1, "system": "", "prompt": "a", "response": ""}, [("user", "a"), ("assistant", "")]),
         ({"question": "a", "answer": 0}, [("user", "a"), ("assistant", "0")]),
@@ -105,7 +176,7 @@ def test_odd_rows(spark):
     ],
 )
 def test_fields_beyond_the_layout(record, turns):
-    assert chat_format.record_turns(json.dumps(record)) == turns
+    assert chat_format.record_turns(json.dumps(record))[1] == turns
 
 
 def test_unknown_records_stay(spark):
