@@ -15,6 +15,7 @@ such character away gives the text back. The loss mask covers the texts of the a
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import re
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 TURN_START, ROLE_END, TURN_END = "### ", ": ", "</turn>\n"
 _ESCAPED_TEXT, _ESCAPED_ROLE = re.compile(r"([\\#<])"), re.compile(r"([\\#<:])")
-# possessive: no place to go back to is kept for each character
-_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.DOTALL)
+#: Characters that are escaped or unescaped at once.
+PIECE = 1 << 16
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -290,20 +291,53 @@ def table_turns(table: DataFrame, id_column: str = "conv_id") -> DataFrame:
     return turns.select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
 
 
+def _substituted(pattern: re.Pattern, by: str, text: str) -> str:
+    """The pattern's substitution piece by piece, so long texts need no memory for each match. No cut falls behind an odd number of backslashes."""
+    out, at = io.StringIO(newline=""), 0
+    while at < len(text):
+        stop = before = min(at + PIECE, len(text))
+        while before > at and text[before - 1] == "\\":
+            before -= 1
+        stop += (stop - before) % 2 if pattern is _UNESCAPE else 0
+        out.write(pattern.sub(by, text[at:stop]))
+        at = stop
+    return out.getvalue()
+
+
+def _plain(escaped: str) -> str:
+    return _substituted(_UNESCAPE, r"\1", escaped) if "\\" in escaped else escaped
+
+
 def format_turn(role: str, text: str) -> str:
     """One turn in the template."""
-    return f"{TURN_START}{_ESCAPED_ROLE.sub(r'\\\1', role)}{ROLE_END}{_ESCAPED_TEXT.sub(r'\\\1', text)}{TURN_END}"
+    escaped = _substituted(_ESCAPED_ROLE, r"\\\1", role), _substituted(_ESCAPED_TEXT, r"\\\1", text)
+    return f"{TURN_START}{escaped[0]}{ROLE_END}{escaped[1]}{TURN_END}"
+
+
+def _unescaped(formatted: str, mark: str, at: int) -> int:
+    """Where the mark comes next without an escape, that is, behind an even number of backslashes."""
+    while (found := formatted.find(mark, at)) >= 0:
+        before = found
+        while before > at and formatted[before - 1] == "\\":
+            before -= 1
+        if (found - before) % 2 == 0:
+            return found
+        at = found + 1
+    raise ValueError(f"no {mark!r} behind {at}")
 
 
 def parse_turns(formatted: str) -> Iterator[tuple[str, str, int, int]]:
     """Read formatted text back: role, text, and where the escaped text lies."""
     at = 0
     while at < len(formatted):
-        found = _TURN.match(formatted, at)
-        if found is None:
+        if not formatted.startswith(TURN_START, at):
             raise ValueError(f"no turn at {at}")
-        yield _UNESCAPE.sub(r"\1", found[1]), _UNESCAPE.sub(r"\1", found[2]), found.start(2), found.end(2)
-        at = found.end()
+        role = at + len(TURN_START)
+        role_end = _unescaped(formatted, ROLE_END, role)
+        text = role_end + len(ROLE_END)
+        text_end = _unescaped(formatted, TURN_END, text)
+        yield _plain(formatted[role:role_end]), _plain(formatted[text:text_end]), text, text_end
+        at = text_end + len(TURN_END)
 
 
 _SEGMENTS = "conv_id long, part long, segment string, loss_start long, loss_end long"
@@ -372,7 +406,7 @@ def read_back(segments: DataFrame) -> DataFrame:
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode())
                 if start is not None:
-                    covered = _UNESCAPE.sub(r"\1", segment[start : row["loss_end"]])
+                    covered = _plain(segment[start : row["loss_end"]])
                     state[3] += len(covered)
                     state[4].update(covered.encode())
                 state[5] += len(segment)

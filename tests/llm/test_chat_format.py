@@ -22,6 +22,12 @@ def test_round_trip(turns):
     assert [(role, text) for role, text, _, _ in chat_format.parse_turns(formatted)] == turns
 
 
+def test_cuts_fall_beside_escapes(monkeypatch):
+    monkeypatch.setattr(chat_format, "PIECE", 2)
+    for text in ("\\\\\\#<", "a\\", "\\\\", "<<##\\<\\", "</turn>\n"):
+        test_round_trip.hypothesis.inner_test([("a:b\\", text), (text, "x")])
+
+
 def test_no_turn():
     with pytest.raises(ValueError):
         list(chat_format.parse_turns("### user: x"))
