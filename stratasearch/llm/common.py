@@ -62,6 +62,22 @@ def unused_name(columns: list[str], wish: str) -> str:
     return next(name for k in range(len(taken) + 1) if (name := f"{wish}_{k}" if k else wish).lower() not in taken)
 
 
+def without_rows(documents: DataFrame, value: Column, name: str, dropped: DataFrame, repeated: DataFrame, most_broadcast: int) -> DataFrame:
+    """``documents`` without the rows of ``dropped`` (doc_id, ``name``), and with one row only of each in ``repeated``; ``value`` gives a row's ``name``.
+
+    Rows with a null doc_id stay. Lists of up to ``most_broadcast`` rows are broadcast; then no text is shuffled.
+    """
+    own = unused_name(documents.columns, name)
+    key = ["doc_id", own]
+    dropped, repeated = (materialize(x).withColumnRenamed(name, own) for x in (dropped, repeated))
+    stay = documents.withColumn(own, value).join(broadcast_up_to(dropped, most_broadcast), key, "left_anti")
+    if repeated.isEmpty():
+        return stay.select(*documents.columns)
+    twice = broadcast_up_to(repeated, most_broadcast)
+    once = stay.join(twice, key, "left_anti").unionByName(stay.join(twice, key, "left_semi").dropDuplicates(key))
+    return once.select(*documents.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the faster built-in, with the same result."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_up_to, materialize, unused_name
+from .common import ascii_lower, materialize, unused_name, without_rows
 
 #: Rows of a list of dropped rows that is broadcast (about 100 bytes each); a longer one is shuffled.
 MOST_BROADCAST = 250_000
@@ -92,20 +92,14 @@ def drop_copies(documents: DataFrame, counters: int = 1024, least_copies: int =
     rows that repeat id and text one stays. Copies of frequent digests are removed where they are read. The list of the other dropped rows
     is broadcast up to MOST_BROADCAST rows; then no text is shuffled.
     """
-    digest, keep = unused_name(documents.columns, "digest"), unused_name(documents.columns, "keep_id")
     keyed = materialize(digests(documents).where("doc_id IS NOT NULL"))
     winners = frequent_groups(keyed, counters, least_copies)
     rest = keyed.join(F.broadcast(winners), "digest", "left_anti")
-    dropped = materialize(rest.join(_groups(rest), "digest").where("doc_id <> keep_id").select("doc_id", "digest").distinct())
-    repeated = materialize(keyed.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest"))
+    dropped = rest.join(_groups(rest), "digest").where("doc_id <> keep_id").select("doc_id", "digest").distinct()
+    repeated = keyed.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest")
 
-    key = ["doc_id", digest]
+    digest, keep = unused_name(documents.columns, "digest"), unused_name(documents.columns, "keep_id")
     named = F.broadcast(winners.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep)))
     there = documents.withColumn(digest, digest_of("text")).join(named, digest, "left")
     there = there.where(F.col(keep).isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col(keep)))
-    stay = there.join(broadcast_up_to(dropped.withColumnRenamed("digest", digest), MOST_BROADCAST), key, "left_anti")
-    if repeated.isEmpty():
-        return stay.select(*documents.columns)
-    twice = broadcast_up_to(repeated.withColumnRenamed("digest", digest), MOST_BROADCAST)
-    once = stay.join(twice, key, "left_anti").unionByName(stay.join(twice, key, "left_semi").dropDuplicates(key))
-    return once.select(*documents.columns)
+    return without_rows(there, F.col(digest), "digest", dropped, repeated, MOST_BROADCAST).select(*documents.columns)

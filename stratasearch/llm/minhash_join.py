@@ -1,17 +1,18 @@
 """Near-duplicate documents by a chosen-path similarity join over minwise signatures.
 
-1. Every text becomes the set of its word shingles (64-bit hashes), a signature of minwise values and a
-   128-bit hash of the whole set. Texts with the same set are one class from here on.
-2. Independent trees branch the classes: at each node one or two of the signature's places are chosen by a
-   hash of the path, and a class goes to the child named by its value there. A pair at the threshold
-   survives each level in 1.0 children on average, so the number of levels costs little recall. The number of levels follows the
-   number of classes (nodes stay small), the number of trees follows from the levels and the target recall.
-3. Rows are dealt by (node, further places) in ranges, so a node with very many rows is shared between tasks. A task
-   goes through its rows in order: small nodes are compared exhaustively, larger ones branch on; what can't be split
-   is searched by components. Pairs whose signatures agree well enough become candidates, one star per component.
-4. Candidate components are connected; full sets are compared only inside them. A component that is too heavy for one task is
-   cut into blocks: pivots settle its main part, and what is not tied to that is compared with all blocks. Pairs already known to be
-   connected are skipped, so groups of copies cost a comparison per copy.
+1. Every text becomes the set of its word shingles (64-bit hashes) and a signature of minwise values: PATH_PLACES of them, on which trees
+   branch, and two bits of each of CODE_PLACES, by which rows are compared. Texts with the same set (a 128-bit hash) are one class
+   from here on.
+2. Independent trees branch the classes: at each node one or two of the places are chosen by a hash of the path, and a class goes to the
+   child named by its value there. A pair at the threshold survives each level in 1.0 children on average, so levels cost little recall.
+   Their number follows from the number of classes (nodes stay small), the number of trees from the levels and the target recall
+   (``plan_trees``). Nodes that are still large branch on, and the trees are planned for that depth.
+3. Every node is compared exhaustively; one with very many rows in blocks, each with each, in several tasks. Rows whose codes agree
+   well enough are candidates.
+4. Candidates are confirmed on full sets before anything is connected. First a star cover: each row with the first row of its node that
+   it may be linked with; that settles groups of copies with a comparison for each copy. Then pairs between rows that the confirmed links
+   haven't connected: the best few for each two groups, and, where these fail and there are more, all of them.
+   Unrelated texts that share a template become no group, as their candidates fail.
 """
 
 from __future__ import annotations
@@ -24,18 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
-from .components import Forest, connected_components, star_edges
+from .common import broadcast_up_to, materialize, without_rows
+from .components import connected_components
 from .text_arrays import Words, chunks, mix, stream
 
-PLACES = 64
-#: A node of this many rows or fewer is compared exhaustively.
-SMALL_NODE = 32
-#: Rows of one node that a task holds at once.
-NODE_ROWS = 4096
-_FACTOR = stream(21, PLACES) | np.uint64(1)
-_FLIP = stream(22, PLACES)
-_U32 = np.uint64(32)
+PATH_PLACES, CODE_PLACES = 128, 256
+#: Levels bring nodes of unrelated rows down to about so many.
+SMALL_NODE = 64
+#: Node sizes up to which all pairs are looked at by position, many nodes at once.
+GAPS = 32
+_FACTOR = stream(21, CODE_PLACES) | np.uint64(1)
+_FLIP = stream(22, CODE_PLACES)
+_ODD_BITS = np.uint64(0x5555555555555555)
+#: Words of a code, and how many of them are looked at first.
+_CODE_WORDS, _FIRST_WORDS = CODE_PLACES // 32, 2
+#: Ids, of 16 bytes, that are broadcast; for more, the join shuffles.
+MOST_BROADCAST = 250_000
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +66,22 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return value[fresh], np.bincount(owner[fresh], minlength=len(texts))
 
 
-def signatures(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts with shingles: the minwise values (32 bits each) and two 64-bit hashes of the set."""
+def signatures(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts with shingles: 16 bits of each value for paths, the codes, and two 64-bit hashes of the set."""
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    values = np.empty((len(counts), PLACES), dtype=np.uint32)
-    for k in range(PLACES):
-        values[:, k] = mix(np.minimum.reduceat((sets ^ _FLIP[k]) * _FACTOR[k], first)) >> _U32
+    paths = np.empty((len(counts), PATH_PLACES), dtype=np.uint16)
+    codes = np.zeros((len(counts), _CODE_WORDS), dtype=np.uint64)
+    work = np.empty_like(sets)
+    for k in range(CODE_PLACES):
+        np.bitwise_xor(sets, _FLIP[k], out=work)
+        np.multiply(work, _FACTOR[k], out=work)
+        value = mix(np.minimum.reduceat(work, first))
+        if k < PATH_PLACES:
+            paths[:, k] = value & np.uint64(0xFFFF)
+        codes[:, k // 32] |= (value >> np.uint64(62)) << np.uint64(2 * (k % 32))
     h1 = np.add.reduceat(mix(sets ^ np.uint64(0x1234567890ABCDEF)), first)
     h2 = np.add.reduceat(mix(sets ^ np.uint64(0x0FEDCBA987654321)), first)
-    return values, h1.view(np.int64), h2.view(np.int64)
+    return paths, codes, h1.view(np.int64), h2.view(np.int64)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -85,283 +97,422 @@ def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
 
+_SKETCH = "doc_id long, mark long, n_shingles long, h1 long, h2 long, paths binary, code binary"
+
+
 def _sketched(words: int) -> Callable:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, run in chunks(batch.column(1).to_pylist()):
+            for first, run in chunks(batch.column(2).to_pylist(), 1 << 18):
                 sets, counts = shingle_sets(run, words)
                 full = np.flatnonzero(counts)
                 h1, h2 = np.zeros(len(run), np.int64), np.zeros(len(run), np.int64)
-                values = np.zeros((len(run), PLACES), np.uint32)
+                paths, codes = np.zeros((len(run), PATH_PLACES), np.uint16), np.zeros((len(run), _CODE_WORDS), np.uint64)
                 if len(full):
-                    values[full], h1[full], h2[full] = signatures(sets, counts[full])
+                    paths[full], codes[full], h1[full], h2[full] = signatures(sets, counts[full])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(run)), pa.array(counts.astype(np.int64)), pa.array(h1), pa.array(h2), _binary(values)],
-                    names=["doc_id", "n_shingles", "h1", "h2", "signature"],
+                    [*(batch.column(k).slice(first, len(run)) for k in (0, 1)), pa.array(counts.astype(np.int64)), pa.array(h1), pa.array(h2), _binary(paths), _binary(codes)],
+                    names=["doc_id", "mark", "n_shingles", "h1", "h2", "paths", "code"],
                 )
 
     return sketch
 
 
-def survival(levels: int, threshold: float) -> float:
-    """The chance that a pair at the threshold shares a node after so many levels of one tree."""
+# Trees ---------------------------------------------------------------------------------------------------------
+
+
+def survival(levels: int, threshold: float, alike: float | None = None) -> float:
+    """The chance that a pair whose values agree in a share ``alike`` of the places shares a node after so many levels of one tree."""
+    alike = threshold if alike is None else alike
     extra, q = 1 / threshold - 1, 1.0
     for _ in range(levels):
-        kept = threshold * q
+        kept = alike * q
         q = (1 - extra) * kept + extra * (1 - (1 - kept) ** 2)
     return q
 
 
-def plan_trees(n: int, threshold: float, recall: float, background: float = 0.05) -> tuple[int, int]:
-    """(trees, levels). Unrelated texts share ``background`` of their shingles; levels bring nodes of them down to small ones."""
-    levels = max(2, math.ceil(math.log(max(n, 1) / SMALL_NODE + 1) / math.log(1 / background)))
-    trees = math.ceil(math.log(1 - recall) / math.log(1 - survival(levels + 1, threshold)))
-    return trees, levels
+def pair_recall(trees: int, levels: int, threshold: float) -> float:
+    """The chance that a pair at the threshold shares a node of some tree: the trees share the places, whose agreement is binomial."""
+    shares = [math.comb(PATH_PLACES, k) * threshold**k * (1 - threshold) ** (PATH_PLACES - k) for k in range(PATH_PLACES + 1)]
+    return 1 - sum(p * (1 - survival(levels, threshold, k / PATH_PLACES)) ** trees for k, p in enumerate(shares))
+
+
+def plan_levels(n: int, background: float = 0.05) -> int:
+    """Levels that bring nodes of unrelated texts, which share ``background`` of their shingles, down to small ones."""
+    return max(2, math.ceil(math.log(max(n, 1) / SMALL_NODE + 1) / math.log(1 / background)))
+
+
+def plan_trees(levels: int, threshold: float, recall: float) -> int:
+    """The number of trees by which a pair at the threshold meets in a node with the probability ``recall``."""
+    return next(k for k in range(1, 10_000) if pair_recall(k, levels, threshold) >= recall)
 
 
 def _choice(path: np.ndarray, level: int, extra: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The place that a node branches on, whether it has a second one, and that one."""
     r = mix(path + np.uint64(0x2545F4914F6CDD1D * (level + 1) & 0xFFFFFFFFFFFFFFFF))
-    one = (r & np.uint64(0xFFFF)) % np.uint64(PLACES)
-    other = (one + np.uint64(1) + ((r >> np.uint64(16)) & np.uint64(0xFFFF)) % np.uint64(PLACES - 1)) % np.uint64(PLACES)
-    second = (r >> _U32).astype(np.float64) < extra * 2**32
+    one = (r & np.uint64(0xFFFF)) % np.uint64(PATH_PLACES)
+    other = (one + np.uint64(1) + ((r >> np.uint64(16)) & np.uint64(0xFFFF)) % np.uint64(PATH_PLACES - 1)) % np.uint64(PATH_PLACES)
+    second = (r >> np.uint64(32)).astype(np.float64) < extra * 2**32
     return one.astype(np.int64), second, other.astype(np.int64)
 
 
-def _branched(trees: int, levels: int, threshold: float) -> Callable:
+def _branched(trees: int | None, first_level: int, levels: int, threshold: float) -> Callable:
+    """Rows (node, rep, n_shingles, code, paths) come back in their nodes ``levels`` further down; with ``trees``, from the roots of so many."""
     extra = 1 / threshold - 1
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                values = _matrix(part.column(1), np.uint32, PLACES)
-                low = values.astype(np.uint8)
-                for tree in range(trees):
-                    row = np.arange(len(ids))
-                    path = np.full(len(ids), mix(np.array([tree + 1], dtype=np.uint64))[0])
-                    for level in range(levels):
+                values = _matrix(part.column(4), np.uint16, PATH_PLACES)
+                roots = [part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)]
+                if trees is not None:
+                    roots = [np.full(len(values), mix(np.array([tree + 1], dtype=np.uint64))[0]) for tree in range(trees)]
+                for path in roots:
+                    row = np.arange(len(values))
+                    for level in range(first_level, first_level + levels):
                         one, second, other = _choice(path, level, extra)
-                        row2 = np.concatenate([row, row[second]])
+                        row = np.concatenate([row, row[second]])
                         place = np.concatenate([one, other[second]])
-                        up = np.concatenate([path, path[second]])
-                        value = values[row2, place].astype(np.uint64)
-                        path = mix(up ^ mix(value << np.uint64(8) | place.astype(np.uint64)))
-                        row = row2
-                    further = (np.arange(8) * 7 + tree * 5) % PLACES
-                    sub = np.ascontiguousarray(low[row][:, further]).view(">i8").ravel().astype(np.int64)
+                        path = np.concatenate([path, path[second]])
+                        path = mix(path ^ mix(values[row, place].astype(np.uint64) << np.uint64(8) | place.astype(np.uint64)))
+                    taken = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(path.view(np.int64)), pa.array(sub), pa.array(ids[row]), _binary(low[row])],
-                        names=["node", "sub", "rep", "low"],
+                        [pa.array(path.view(np.int64)), *(part.column(k).take(taken) for k in (1, 2, 3))], names=["node", "rep", "n_shingles", "code"]
                     )
 
     return branch
 
 
-def _gap_pairs(low: np.ndarray, node: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows of one node that agree in ``least`` places; nodes are runs of at most SMALL_NODE rows."""
+_GROWN = "node long, rep long, n_shingles int, code binary"
+
+
+def grown_nodes(classes: DataFrame, trees: int, levels: int, threshold: float, branch_rows: int, deepest: int) -> DataFrame:
+    """(node, rep, n_shingles, code) of all trees; nodes of over ``branch_rows`` rows branch on, two levels at a time, ``deepest`` times at most."""
+    own = classes.select(F.lit(0).cast("long").alias("node"), "rep", "n_shingles", "code", "paths")
+    nodes, done = own.mapInArrow(_branched(trees, 0, levels, threshold), _GROWN), None
+    for step in range(deepest + 1):
+        sizes = nodes.select("node").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        large = materialize(sizes.where(F.col("n") > branch_rows).select("node"))
+        if step == deepest or large.isEmpty():
+            break
+        large = broadcast_up_to(large, MOST_BROADCAST)
+        kept = nodes.join(large, "node", "left_anti")
+        done = kept if done is None else done.unionByName(kept)
+        inside = nodes.join(large, "node", "left_semi").join(classes.select("rep", "paths"), "rep").select("node", "rep", "n_shingles", "code", "paths")
+        nodes = inside.mapInArrow(_branched(None, levels + 2 * step, 2, threshold), _GROWN)
+    return nodes if done is None else done.unionByName(nodes)
+
+
+def has_large_nodes(classes: DataFrame, levels: int, threshold: float, branch_rows: int) -> bool:
+    """Whether the first tree has a node of over ``branch_rows`` rows."""
+    if classes.count() <= branch_rows:
+        return False
+    own = classes.select(F.lit(0).cast("long").alias("node"), "rep", "n_shingles", "code", "paths")
+    nodes = own.mapInArrow(_branched(1, 0, levels, threshold), _GROWN).select("node")
+    return not nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > branch_rows).isEmpty()
+
+
+def dealt_nodes(nodes: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (node, left, rep, label, n_shingles, code), sorted by node. A node of over ``block_rows`` rows is cut into blocks, each two of which are a
+    node of their own; ``left`` tells them apart and is true throughout where there is one block."""
+    sizes = nodes.select("node").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
+    cut = materialize(sizes.select("node", F.ceil(F.col("n") / block_rows).cast("int").alias("cut")))
+    ready = nodes.withColumn("left", F.lit(True))
+    if not cut.isEmpty():
+        placed = nodes.join(broadcast_up_to(cut, MOST_BROADCAST), "node", "left")
+        placed = placed.withColumn("cut", F.coalesce("cut", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.expr("sequence(0, cut - 1)")))
+        own = F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other"))
+        ready = placed.withColumn("node", F.when(F.col("cut") > 1, own).otherwise(F.col("node"))).withColumn("left", F.col("part") <= F.col("other"))
+    columns = ["node", "left", "rep", *(["label"] if "label" in nodes.columns else []), "n_shingles", "code"]
+    return ready.select(*columns).repartition("node").sortWithinPartitions("node", "rep")
+
+
+# Candidates ----------------------------------------------------------------------------------------------------
+
+
+def _disagreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places codes differ."""
+    z = x ^ y
+    return np.bitwise_count((z | (z >> np.uint64(1))) & _ODD_BITS).sum(axis=-1, dtype=np.int64)
+
+
+class Node:
+    """Rows of some nodes. ``least``: the places in which the codes of candidates agree; ``percent``: their sizes can meet it."""
+
+    def __init__(self, left: np.ndarray, rep: np.ndarray, label: np.ndarray, n: np.ndarray, code: np.ndarray, least: int, percent: int):
+        self.left, self.rep, self.label, self.n, self.code, self.percent = left, rep, label, n, code, percent
+        self.most = CODE_PLACES - least
+        share = self.most / CODE_PLACES  # of the first words, a candidate may miss some more by chance
+        first = 32 * _FIRST_WORDS
+        self.most_first = math.ceil(first * share + 5 * math.sqrt(first * share * (1 - share)))
+
+    def fit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs are candidates (by position)."""
+        n, m = self.n[i], self.n[j]
+        at = np.flatnonzero((100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (self.label[i] != self.label[j]))
+        at = at[_disagreements(self.code[i[at], :_FIRST_WORDS], self.code[j[at], :_FIRST_WORDS]) <= self.most_first]
+        return at[_disagreements(self.code[i[at]], self.code[j[at]]) <= self.most]
+
+    def partners(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The positions in ``others`` that are candidates with row ``i``."""
+        return self.fit(np.full(len(others), i), others)
+
+
+def _gap_pairs(rows: Node, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All candidates inside nodes of at most GAPS rows, which are runs."""
     left, right = [], []
-    for gap in range(1, SMALL_NODE):
+    for gap in range(1, GAPS):
         at = np.flatnonzero(node[gap:] == node[:-gap])
         if len(at) == 0:
             break
         for k in range(0, len(at), 1 << 15):
             i = at[k : k + (1 << 15)]
-            hit = i[(low[i] == low[i + gap]).sum(axis=1) >= least]
+            hit = i[rows.fit(i, i + gap)]
             left.append(hit)
             right.append(hit + gap)
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _component_pairs(low: np.ndarray, rows: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning set of the pairs among ``rows`` that agree in ``least`` places, by search over what is unvisited."""
-    out, waiting = [], rows.copy()
-    while len(waiting) > 1:
-        frontier, waiting = waiting[:1], waiting[1:]
-        while len(frontier) and len(waiting):
-            pivot, frontier = frontier[0], frontier[1:]
-            near = (low[waiting] == low[pivot]).sum(axis=1) >= least
-            if near.any():
-                found = waiting[near]
-                out.append((np.full(len(found), pivot), found))
-                waiting = waiting[~near]
-                frontier = np.concatenate([frontier, found])
-    return out
-
-
-def _node_pairs(low: np.ndarray, rows: np.ndarray, path: int, depth: int, least: int, extra: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of a larger node: it branches on; a node that hardly splits is searched by components."""
-    if len(rows) <= SMALL_NODE or depth >= 6:
-        return _component_pairs(low, rows, least)
-    one, second, other = _choice(np.array([path], dtype=np.uint64), 100 + depth, extra)
-    out = []
-    for place in [int(one[0])] + ([int(other[0])] if second[0] else []):
-        value = low[rows, place]
-        order = np.argsort(value, kind="stable")
-        kinds, starts = np.unique(value[order], return_index=True)
-        for kind, group in zip(kinds.tolist(), np.split(rows[order], starts[1:])):
-            if len(group) < 2:
+    i, j = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((j, i))
+    return i[order], j[order]
+
+
+def _stars(rows: Node, asks: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of the ``others`` with the first of ``asks`` that it is a candidate with. Where both are the same rows, who has found one asks no more."""
+    waiting, same = others, asks is others
+    for pivot in asks:
+        if len(waiting) == 0:
+            return
+        if same:
+            if waiting[0] != pivot:
                 continue
-            child = int(mix(np.array([path ^ (place << 8 | kind)], dtype=np.uint64))[0])
-            if len(group) > 0.9 * len(rows):
-                out += _component_pairs(low, group, least)
-            else:
-                out += _node_pairs(low, group, child, depth + 1, least, extra)
-    return out
-
-
-def _candidates(least: int, threshold: float) -> Callable:
-    extra = 1 / threshold - 1
-
-    def search(node: np.ndarray, ids: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(node)]]))
-        size = np.repeat(sizes, sizes)
-        small = np.flatnonzero((size > 1) & (size <= SMALL_NODE))
-        a, b = _gap_pairs(low[small], node[small], least)
-        left, right = [small[a]], [small[b]]
-        for start, n in zip(starts[sizes > SMALL_NODE], sizes[sizes > SMALL_NODE]):
-            for x, y in _node_pairs(low, np.arange(start, start + n), int(node[start]) & 0xFFFFFFFFFFFFFFFF, 0, least, extra):
-                left.append(x)
-                right.append(y)
-        x, y = star_edges(ids, np.concatenate(left), np.concatenate(right))
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            waiting = waiting[1:]
+        found = rows.partners(int(pivot), waiting)
+        if len(found):
+            yield np.full(len(found), pivot), waiting[found]
+            waiting = np.delete(waiting, found)
+
+
+def _star_of_pairs(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
+    """The same from pairs in order: pairs whose first row hasn't been taken take their second one."""
+    taken, left, right = set(), [], []
+    for a, b in zip(i.tolist(), j.tolist()):
+        if a not in taken and b not in taken:
+            taken.add(b)
+            left.append(a)
+            right.append(b)
+    return left, right
+
+
+def _best(rows: Node, i: np.ndarray, j: np.ndarray, node: np.ndarray, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``tries`` pairs of each node that agree best between each two labels, and whether a label pair has more."""
+    low, high = np.minimum(rows.label[i], rows.label[j]), np.maximum(rows.label[i], rows.label[j])
+    apart = _disagreements(rows.code[i], rows.code[j])
+    order = np.lexsort((rows.rep[j], rows.rep[i], apart, high, low, node[i]))
+    i, j, key = i[order], j[order], np.stack([node[i], low, high], axis=1)[order]
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(i) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([start, [len(i)]]))
+    place = np.arange(len(i)) - np.repeat(start, size)
+    keep = place < tries
+    return i[keep], j[keep], (np.repeat(size, size) > tries)[keep]
+
+
+def _candidates(least: int, percent: int, stars: bool, tries: int | None = None) -> Callable:
+    """Rows (node, left, rep, label, n_shingles, code), sorted by node and rep, become candidates (a, b, more). With ``stars``, a star cover of
+    each node; else pairs of rows with different labels: all of them, or the ``tries`` best for each two labels, ``more`` saying that there are others."""
+
+    def search(node: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = Node(*columns, least, percent)
+
+        def out(i: np.ndarray, j: np.ndarray, more: np.ndarray | None = None) -> pa.RecordBatch:
+            a, b = rows.rep[i], rows.rep[j]
+            more = np.zeros(len(a), bool) if more is None else more
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
+
+        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        size = np.diff(np.concatenate([start, [len(node)]]))
+        one = np.add.reduceat(~columns[0], start) == 0  # not two blocks of a node
+        small = one & (size > 1) & (size <= GAPS)
+        at = np.flatnonzero(np.repeat(small, size))
+        i, j = _gap_pairs(Node(*(c[at] for c in columns), least, percent), node[at])
+        i, j = at[i], at[j]
+        if stars:
+            left, right = _star_of_pairs(i, j)
+            yield out(np.array(left, np.int64), np.array(right, np.int64))
+        elif tries is None:
+            yield out(i, j)
+        else:
+            yield out(*_best(rows, i, j, node, tries))
+        for first, n, whole in zip(start[~small & (size > 1)], size[~small & (size > 1)], one[~small & (size > 1)]):
+            everyone = np.arange(first, first + n)
+            asks, others = (everyone, everyone) if whole else (everyone[rows.left[everyone]], everyone[~rows.left[everyone]])
+            if stars:
+                for i, j in _stars(rows, asks, others):
+                    yield out(i, j)
+                continue
+            found_i, found_j, held = [], [], 0
+            for k, pivot in enumerate(asks):
+                others_now = others[k + 1 :] if whole else others
+                hit = others_now[rows.partners(int(pivot), others_now)]
+                found_i.append(np.full(len(hit), pivot))
+                found_j.append(hit)
+                held += len(hit)
+                if held > 1 << 18:  # what is found so far goes on; each part keeps its own best
+                    i, j = np.concatenate(found_i), np.concatenate(found_j)
+                    yield out(i, j) if tries is None else out(*_best(rows, i, j, node, tries))
+                    found_i, found_j, held = [], [], 0
+            i, j = np.concatenate([*found_i, everyone[:0]]), np.concatenate([*found_j, everyone[:0]])
+            yield out(i, j) if tries is None else out(*_best(rows, i, j, node, tries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, ids, low = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.uint8)
+        node, columns = np.zeros(0, np.int64), None
         for batch in batches:
-            node = np.concatenate([node, batch.column(0).to_numpy(zero_copy_only=False)])
-            ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False)])
-            low = np.concatenate([low, _matrix(batch.column(2), np.uint8, PLACES)])
-            if len(node) == 0:
+            if batch.num_rows == 0:
                 continue
+            names = batch.schema.names
+            number = {c: batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in names if c != "code"}
+            number["left"] = number["left"].astype(bool)
+            code = _matrix(batch.column(names.index("code")), np.uint64, _CODE_WORDS)
+            new = [number["left"], number["rep"], number.get("label", number["rep"]), number["n_shingles"].astype(np.int64), code]
+            node = np.concatenate([node, number["node"]])
+            columns = new if columns is None else [np.concatenate(x) for x in zip(columns, new)]
             other = np.flatnonzero(node != node[-1])
             cut = int(other[-1]) + 1 if len(other) else 0  # the last node may go on in the next batch
             if cut:
-                yield search(node[:cut], ids[:cut], low[:cut])
-            node, ids, low = node[cut:], ids[cut:], low[cut:]
-            while len(node) > NODE_ROWS:  # a block of a very large node; its half stays to meet the next block
-                yield search(node[:NODE_ROWS], ids[:NODE_ROWS], low[:NODE_ROWS])
-                node, ids, low = node[NODE_ROWS // 2 :], ids[NODE_ROWS // 2 :], low[NODE_ROWS // 2 :]
+                yield from search(node[:cut], [c[:cut] for c in columns])
+                node, columns = node[cut:], [c[cut:] for c in columns]
         if len(node):
-            yield search(node, ids, low)
+            yield from search(node, columns)
 
     return run
 
 
-def _linked(percent: int, common: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
+# Confirmation --------------------------------------------------------------------------------------------------
+
+
+def linked(percent: int, common: int, n: int, m: int) -> bool:
     """Whether intersection and union meet the threshold, in whole numbers."""
     return 100 * common >= percent * (n + m - common)
 
 
-def compare_block(ids: np.ndarray, asks: np.ndarray, sets: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the rows that ask with all rows of a block, on full sets; pairs already connected are skipped."""
-    forest = Forest(len(ids))
-    begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    left, right = [], []
-    done = np.zeros(len(ids), dtype=bool)
-    for q in np.flatnonzero(asks):
-        label = forest.labels()
-        n = counts[q]
-        fits = (100 * np.minimum(counts, n) >= percent * np.maximum(counts, n)) & (label != label[q]) & ~done
-        done[q] = True
-        others = np.flatnonzero(fits)
-        if len(others) == 0:
-            continue
-        mine = sets[begin[q] : begin[q] + n]
-        for k in range(0, len(others), 512):
-            some = others[k : k + 512]
-            size = counts[some]
-            offset = np.concatenate([[0], np.cumsum(size)[:-1]])
-            pool = sets[np.repeat(begin[some] - offset, size) + np.arange(int(size.sum()))]
-            place = np.minimum(np.searchsorted(mine, pool), n - 1)
-            common = np.add.reduceat((mine[place] == pool).astype(np.int64), offset)
-            for hit in some[_linked(percent, common, size, n)]:
-                forest.union(int(q), int(hit))
-                left.append(q)
-                right.append(hit)
-    return star_edges(ids, np.array(left, np.int64), np.array(right, np.int64))
-
-
-def _verified(words: int, percent: int) -> Callable:
-    """Goes through rows (block, rep, asks, text), sorted by block, and compares the sets of each block."""
+def _sets(words: int) -> Callable:
+    """Rows (rep, text) become (rep, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, ids, asks, sets, counts = None, [], [], [], []
+        for batch in batches:
+            for first, texts in chunks(batch.column(1).to_pylist()):
+                sets, counts = shingle_sets(texts, words)
+                ends = np.cumsum(counts)
+                rows = [sets[e - n : e].tobytes() for e, n in zip(ends, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(rows, pa.binary())], names=["rep", "shingles"])
+
+    return run
 
-        def close() -> pa.RecordBatch:
-            x, y = compare_block(np.array(ids, np.int64), np.array(asks, bool), np.concatenate(sets), np.concatenate(counts), percent)
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
+def _confirmed(percent: int) -> Callable:
+    """Rows (block, pivot, rep, shingles), sorted with the pivot of each block first, become the links of the others with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rep, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
-            names, reps, flags = (batch.column(k).to_pylist() for k in range(3))
-            for first, run_ in chunks(batch.column(3).to_pylist()):
-                got, n = shingle_sets(run_, words)
-                ends = np.cumsum(n)
-                k = 0
-                while k < len(run_):
-                    stop = k
-                    while stop < len(run_) and names[first + stop] == names[first + k]:
-                        stop += 1
-                    if names[first + k] != name:
-                        if len(ids) > 1:
-                            yield close()
-                        name, ids, asks, sets, counts = names[first + k], [], [], [], []
-                    ids += reps[first + k : first + stop]
-                    asks += flags[first + k : first + stop]
-                    sets.append(got[ends[k] - n[k] : ends[stop - 1]])
-                    counts.append(n[k:stop])
-                    k = stop
-        if len(ids) > 1:
-            yield close()
+            a, b = [], []
+            for pivot, other, shingles in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                own = np.frombuffer(shingles.as_buffer(), np.uint64)
+                if pivot:
+                    rep, mine = other, own.copy()
+                    continue
+                few, many = (own, mine) if len(own) < len(mine) else (mine, own)
+                place = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                if linked(percent, int((many[place] == few).sum()), len(own), len(mine)):
+                    a.append(rep)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _compare(blocks: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) found in blocks (block, rep, asks, text)."""
-    placed = blocks.select("block", "rep", "asks", "text").repartition("block").sortWithinPartitions("block")
-    return placed.mapInArrow(_verified(words, percent), "a long, b long")
+def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 256) -> DataFrame:
+    """The pairs (a, b) that are linked on full sets (rep, shingles). ``share``: partners of a row that one task takes; a row with more of them is
+    dealt over several."""
+    crowd = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > share)
+    crowd = materialize(crowd.select("a", F.ceil(F.col("k") / share).cast("int").alias("parts")))
+    cut = pairs.join(broadcast_up_to(crowd, MOST_BROADCAST), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.select("a", "b", "parts", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    members = cut.select(F.xxhash64("a", "part").alias("block"), F.col("b").alias("rep"), F.lit(False).alias("pivot"), F.col("a").alias("of"))
+    pivots = cut.select(F.xxhash64("a", "part").alias("block"), F.col("a").alias("rep"), F.lit(True).alias("pivot"), F.col("a").alias("of")).distinct()
+    rows = members.unionByName(pivots).join(sets, "rep").select("block", "pivot", "rep", "shingles", "of")
+    dealt = rows.repartition("block", "of").sortWithinPartitions("block", "of", F.desc("pivot"))
+    return dealt.select("block", "pivot", "rep", "shingles").mapInArrow(_confirmed(percent), "a long, b long")
 
 
-def _heavy_links(members: DataFrame, words: int, percent: int, weight: int, pivots: int) -> DataFrame:
-    """Links inside components that are too heavy for one task; ``members``: comp, rep, n_shingles, blocks, text."""
-    members = materialize(members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    chosen = members.groupBy("comp").agg(F.array_distinct(F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(pivots)])).alias("reps"))
-    pivot = members.join(chosen.select("comp", F.explode("reps").alias("rep")), ["comp", "rep"])
+# The join ------------------------------------------------------------------------------------------------------
 
-    def spread(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
 
-    name = F.struct("comp", F.col("part").cast("long").alias("part"), F.lit(0).cast("long").alias("asked"))
-    named = F.to_json(name)
-    first = spread(pivot).select(named.alias("block"), "rep", F.lit(True).alias("asks"), "text").unionByName(
-        members.select(named.alias("block"), "rep", F.lit(False).alias("asks"), "text")
+def _components(
+    documents: DataFrame, words: int, percent: int, recall: float, block_rows: int, branch_rows: int, tries: int
+) -> DataFrame:
+    """One row per document: doc_id, mark (a hash of the text), n_shingles, h1, h2, group (null for rows that link with nothing) and component_id."""
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    sketches = materialize(rows.mapInArrow(_sketched(words), _SKETCH))
+    keys = ["h1", "h2"]
+    found = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = found.groupBy(*keys).agg(
+        F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("n_shingles"), F.first("code").alias("code"), F.first("paths").alias("paths")
     )
-    links = materialize(_compare(first, words, percent))
-    labelled = members.select("comp", "rep").join(connected_components(links).withColumnRenamed("id", "rep"), "rep", "left")
-    labelled = labelled.select("comp", "rep", F.coalesce("component", "rep").alias("label"))
-    sizes = labelled.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = materialize(labelled.join(main, "comp").where("label <> main").select("comp", "rep"))
-    asking = members.join(rest, ["comp", "rep"])
-    shares = asking.groupBy("comp").agg((F.sum("n_shingles") / F.lit(weight) + 1).cast("int").alias("shares"))
-    share = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shares")).cast("long")
-    name2 = F.to_json(F.struct("comp", F.col("part").cast("long").alias("part"), F.col("asked").cast("long").alias("asked")))
-    second = (
-        spread(asking.join(shares, "comp").withColumn("asked", share))
-        .select(name2.alias("block"), "rep", F.lit(True).alias("asks"), "text")
-        .unionByName(
-            members.join(shares, "comp")
-            .withColumn("asked", F.explode(F.expr("sequence(0, shares - 1)")))
-            .select(name2.alias("block"), "rep", F.lit(False).alias("asks"), "text")
-        )
+    classes = materialize(classes)
+    twice = materialize(classes.groupBy("least").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    if twice.isEmpty():
+        classes = classes.withColumn("rep", F.col("least"))
+    else:  # ids that come with different texts: their classes are told apart by the sets' hashes
+        named = classes.join(broadcast_up_to(twice, MOST_BROADCAST), "least", "left")
+        classes = materialize(named.withColumn("rep", F.when(F.col("k").isNull(), F.col("least")).otherwise(F.xxhash64("least", *keys))).drop("k"))
+
+    threshold, n = percent / 100, classes.count()
+    levels = plan_levels(n)
+    deepest = 3 if has_large_nodes(classes, levels, threshold, branch_rows) else 0
+    trees = plan_trees(levels + 2 * deepest, threshold, recall)
+    alike = threshold + (1 - threshold) / 4  # two bits agree by chance in a quarter
+    least = math.ceil(CODE_PLACES * (alike - 4.2 * math.sqrt(alike * (1 - alike) / CODE_PLACES)))
+
+    def candidates(some: DataFrame, labels: DataFrame | None, most: int | None) -> DataFrame:
+        nodes = grown_nodes(some, trees, levels, threshold, branch_rows, deepest)
+        if labels is not None:
+            nodes = nodes.join(labels, "rep")
+        pairs = dealt_nodes(nodes, block_rows).mapInArrow(_candidates(least, percent, labels is None, most), "a long, b long, more boolean")
+        return materialize(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        joined = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+        return materialize(involved.join(joined, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")))
+
+    pairs = candidates(classes, None, None)
+    involved = materialize(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
+    some = materialize(classes.join(broadcast_up_to(involved, MOST_BROADCAST), "rep", "left_semi"))
+    wanted = broadcast_up_to(some.select(F.col("least").alias("doc_id"), *keys, "rep"), MOST_BROADCAST)
+    chosen = materialize(sketches.select("doc_id", "mark", *keys).join(wanted, ["doc_id", *keys]).select("doc_id", "mark", "rep"))
+    texts = rows.join(broadcast_up_to(chosen.distinct(), MOST_BROADCAST), ["doc_id", "mark"]).select("rep", "text")
+    sets = materialize(texts.mapInArrow(_sets(words), "rep long, shingles binary"))
+    if chosen.count() > some.count():  # rows repeat ids
+        sets = materialize(sets.dropDuplicates(["rep"]))
+
+    links = materialize(confirmed_links(pairs, sets, percent))
+    for most in (tries, None):
+        labels = labelled(links)
+        pairs = candidates(some, labels, most)
+        links = materialize(links.unionByName(confirmed_links(pairs, sets, percent)))
+        if pairs.where("more").isEmpty():
+            break
+    joined = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("group"))
+    members = classes.select(*keys, "rep", "least").join(joined, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    groups = members.groupBy("group").agg(F.min("least").alias("component_id"))
+    placed = sketches.select("doc_id", "mark", "n_shingles", *keys).join(members.join(groups, "group").select(*keys, "group", "component_id"), keys, "left")
+    linked_rows = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return placed.select(
+        "doc_id", "mark", "n_shingles", *keys, F.when(linked_rows, F.col("group")).alias("group"), F.when(linked_rows, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
-    return links.unionByName(_compare(second, words, percent))
 
 
 def near_duplicates(
@@ -369,64 +520,37 @@ def near_duplicates(
     words: int = 5,
     percent: int = 80,
     recall: float = 0.9999,
-    weight: int = 4_000_000,
-    pivots: int = 4,
+    block_rows: int = 4096,
+    branch_rows: int = 1 << 16,
+    tries: int = 4,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles (A-Z lower-cased;
     words are runs without ASCII white space; with fewer words, the whole sequence is the one shingle). ``component_id`` is the
-    least doc_id that links reach, itself included; ``kept`` says whether that is the document. Links are found with
-    the probability ``recall`` or more, less where nodes stay large after all levels (README), and confirmed on full sets. ``weight``: shingles of a component that one task takes.
+    least doc_id that links reach, itself included; ``kept`` says whether that is the document. All links are confirmed on full sets. A pair
+    at the threshold is compared with the probability ``recall`` or more, at any number of rows: nodes of trees are compared exhaustively
+    (over ``block_rows`` rows, in blocks), and where nodes of over ``branch_rows`` rows branch on, there are more trees for it. ``tries``: pairs between
+    two groups that are confirmed before all others of theirs.
 
     Texts that are null, empty or have no words have no shingles and are linked with nothing. Rows with a null doc_id are linked with
-    nothing either, have a null component and are kept. doc_id is taken for a key: rows that repeat one each come back, and where their texts
-    differ their components may be joined. An empty table gives an empty result; other columns are ignored.
+    nothing either, have a null component and are kept. Rows that repeat an id each come back, with the component of their own text. An
+    empty table gives an empty result; other columns are ignored.
     """
-    spark = documents.sparkSession
-    sketches = materialize(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-            _sketched(words), "doc_id long, n_shingles long, h1 long, h2 long, signature binary"
-        )
-    )
-    classes = materialize(
-        sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
-    )
-    n = classes.count()
-    threshold = percent / 100
-    trees, levels = plan_trees(n, threshold, recall)
-    least = math.ceil(PLACES * (threshold - 4.2 * math.sqrt(threshold * (1 - threshold) / PLACES)))
-    rows = classes.select("rep", "signature").mapInArrow(
-        _branched(trees, levels, threshold), "node long, sub long, rep long, low binary"
-    )
-    dealt = rows.repartitionByRange(partitions(spark), "node", "sub").sortWithinPartitions("node", "sub", "rep")
-    candidates = dealt.select("node", "rep", "low").mapInArrow(_candidates(least, threshold), "a long, b long")
-    groups = materialize(connected_components(candidates).select(F.col("id").alias("rep"), F.col("component").alias("comp")))
-
-    sized = groups.join(classes.select("rep", "n_shingles"), "rep")
-    comps = sized.groupBy("comp").agg((F.sum("n_shingles") / F.lit(weight) + 1).cast("int").alias("blocks"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    members = sized.join(comps, "comp").join(texts, "rep")
-    light = members.where("blocks = 1").select(F.col("comp").alias("block"), "rep", F.lit(True).alias("asks"), "text")
-    links = _compare(light, words, percent)
-    if not comps.where("blocks > 1").isEmpty():
-        links = links.unionByName(_heavy_links(members.where("blocks > 1"), words, percent, weight, pivots))
-    found = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("linked"))
-
-    placed = sketches.select("doc_id", "n_shingles", "h1", "h2").join(
-        classes.select("h1", "h2", "rep").join(found, "rep", "left"), ["h1", "h2"], "left"
-    )
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(
-        F.when(F.col("n_shingles") > 0, F.coalesce("linked", "rep")).otherwise(F.col("doc_id"))
-    )
-    return placed.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    found = _components(documents, words, percent, recall, block_rows, branch_rows, tries).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` that stay: one document of each component, with all its columns. See ``near_duplicates``."""
-    dropped = near_duplicates(documents, words, percent).where("NOT kept").select("doc_id").distinct()
-    return documents.join(dropped, "doc_id", "left_anti")
+def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.9999) -> DataFrame:
+    """The rows of ``documents`` that stay: one document of each component, with all its columns. See ``near_duplicates``.
+
+    Decided by doc_id and text: where an id repeats with different texts, a dropped copy takes no other text with it; of rows
+    that repeat id and text one stays.
+    """
+    rows = materialize(_components(documents, words, percent, recall, 4096, 1 << 16, 4).where("doc_id IS NOT NULL").select("doc_id", "mark", "group", "component_id"))
+    kept = rows.where("doc_id = component_id")
+    again = kept.where("group IS NOT NULL").groupBy("group").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first < last")
+    beside = kept.join(again, "group").where("mark > first")  # texts of one id that are near copies of each other
+    dropped = rows.where("doc_id <> component_id").select("doc_id", "mark").unionByName(beside.select("doc_id", "mark")).distinct()
+    repeated = rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id", "mark")
+    return without_rows(documents, F.xxhash64(F.coalesce("text", F.lit(""))), "mark", dropped, repeated, MOST_BROADCAST)
