@@ -1,10 +1,13 @@
-"""Near-duplicate vectors by passes over sign keys.
+"""Near-duplicate vectors by sorted projection passes.
 
-Each pass groups the vectors by the signs of their products with random directions and compares all vectors of a group,
-block against block. A pair at the threshold shares a group with a probability that depends on its angle and the number of
-signs only, not on the other vectors, so the number of passes for the target recall follows from the number of signs. How many
-signs are best depends on how crowded the vectors are, which is measured on a sample; with no sign at all, one pass compares all
-pairs, and small tables are compared so. Pairs that reach the threshold are united across passes.
+Each pass orders the vectors by a key, the concatenated signs of their products with random directions, and compares neighbours: a
+vector's window is the run of vectors whose keys agree in the first signs. A pair at the threshold shares a run with a probability that
+depends on its angle and the number of signs only, not on the other vectors, so the number of passes for the target recall follows from
+the number of signs. How many signs are best depends on how crowded the vectors are, which is measured on a sample. A run of more rows than
+a bounded window holds is cut into blocks, each compared with each, so no bound drops a pair.
+
+What a pass moves is an id and a short code, the vector in whole numbers of 16 bits. Codes bound the cosine to about 0.0001: pairs that
+are surely linked are united where they meet, and the few in doubt are confirmed on the vectors themselves.
 
 The number of direct links is counted afterwards, exactly, inside each component: block against block, as sums, without a row
 per pair. Equal vectors are one class throughout.
@@ -24,10 +27,16 @@ from .common import materialize
 from .components import connected_components, star_edges
 
 SIGNS = 62
+#: Signs of a key, at least: no table is compared as a whole.
+LEAST_SIGNS = 4
 #: Taking a row through a pass costs about as much as comparing it with so many windows.
 ROW_WINDOWS = 16
 #: Rows whose keys tell how crowded the vectors are, and passes for that, with directions of their own.
 SAMPLE_ROWS, SAMPLE_PASSES = 10_000, range(1_000_000, 1_000_003)
+#: What single precision adds to the error of a product of codes, for each component.
+ROUNDING = 2e-7
+#: Pairs in doubt that a task holds at once.
+HELD = 1 << 20
 
 
 def directions(dim: int, number: int) -> np.ndarray:
@@ -40,8 +49,6 @@ def passes_needed(n: int, window: int, threshold: float, recall: float, bits: in
 
     Without ``bits``, as many signs as leave ``window`` of ``n`` vectors together where each sign halves them.
     """
-    if bits == 0:
-        return 1
     signs = max(1.0, math.log2(max(n, 2) / window) + 1) if bits is None else bits
     alike = min(1 - math.acos(threshold) / math.pi, 1 - 1e-6) ** signs
     return max(2, math.ceil(math.log(1 - recall) / math.log1p(-alike)))
@@ -64,11 +71,12 @@ def best_bits(n: int, window: int, threshold: float, recall: float, block_rows:
         group = n * shared[bits]
         return passes_needed(n, window, threshold, recall, bits) * (ROW_WINDOWS * window * (1 + group / block_rows) + group / 2)
 
-    return min(range(SIGNS + 1), key=work)
+    return min(range(LEAST_SIGNS, SIGNS + 1), key=work)
 
 
-def _rows(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<f8") for x in column.to_pylist()]
+def _stacked(column: pa.Array, kind: str) -> np.ndarray:
+    """Vectors of one length, kept as bytes, as a matrix in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1).astype(np.float64)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -77,18 +85,38 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, size, vector) with the vector as bytes."""
-    for batch in batches:
-        data = [np.array(x, dtype="<f8").tobytes() for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(d) // 8 for d in data], pa.int32()), pa.array(data, pa.binary())],
-            names=["rep", "size", "dim", "vector"],
-        )
+def _packed(kind: str):
+    """(rep, size, vector) as (rep, size, dim, vector) with the vector as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.array(x, dtype=kind).tobytes() for x in batch.column(2).to_pylist()]
+            width = np.dtype(kind).itemsize
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(d) // width for d in data], pa.int32()), pa.array(data, pa.binary())],
+                names=["rep", "size", "dim", "vector"],
+            )
+
+    return run
+
+
+def codes(x: np.ndarray) -> list[bytes]:
+    """Unit vectors in whole numbers of 16 bits, behind the length of one step (a double)."""
+    step = np.abs(x).max(axis=1) / 32767
+    whole = np.rint(x / step[:, None]).astype("<i2")
+    return [a.tobytes() + b.tobytes() for a, b in zip(step, whole)]
+
 
+def decoded(rows: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of codes, in single precision, and how far each is from its own at most."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), 8 + 2 * dim)
+    step = np.ascontiguousarray(raw[:, :8]).view("<f8")[:, 0]
+    whole = np.ascontiguousarray(raw[:, 8:]).view("<i2")
+    return (whole * step[:, None]).astype(np.float32), step / 2 * math.sqrt(dim) + ROUNDING * dim
 
-def _keyed(numbers: list[int], bits: int = SIGNS):
-    """Rows (rep, dim, vector) once for each pass, with their first ``bits`` signs as one number."""
+
+def _keyed(numbers: list[int], bits: int, kind: str):
+    """Rows (rep, dim, vector) once for each pass, with their first ``bits`` signs as one number, and their codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
@@ -96,39 +124,59 @@ def _keyed(numbers: list[int], bits: int = SIGNS):
             dims = batch.column(1).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                x = unit(np.frombuffer(b"".join(part.column(2).to_pylist()), dtype="<f8").reshape(-1, dim))
+                x = unit(_stacked(part.column(2), kind))
+                short = pa.array(codes(x), pa.binary())
                 for number in numbers:
                     key = ((x @ directions(dim, number)[:, :bits]) > 0) @ powers
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), number, np.int32)), part.column(1), pa.array(key.astype(np.int64)), part.column(0), part.column(2)],
-                        names=["pass", "dim", "key", "rep", "vector"],
+                        [pa.array(np.full(len(x), number, np.int32)), part.column(1), pa.array(key.astype(np.int64)), part.column(0), short],
+                        names=["pass", "dim", "key", "rep", "code"],
                     )
 
     return run
 
 
 def _group_links(threshold: float):
-    """Links inside each group of rows (pass, dim, key, low, high, left, rep, vector), sorted by the first five: between the blocks
-    ``low`` and ``high`` of the group, or inside the one block. Few edges with the same components stand for all links."""
+    """Links inside each run of rows (pass, dim, key, low, high, left, rep, code), sorted by the first five: between the blocks
+    ``low`` and ``high`` of the run, or inside the one block. Few edges (a, b, sure) with the same components stand for all sure links; pairs in
+    doubt come as they are, but for those that sure links connect."""
+
+    def batch_of(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
 
-    def close(dim: int, lefts: list, ids: list, vectors: list) -> pa.RecordBatch:
+    def close(dim: int, lefts: list, ids: list, rows: list) -> Iterator[pa.RecordBatch]:
         left, ids = np.concatenate(lefts), np.concatenate(ids)
-        x = unit(np.frombuffer(b"".join(vectors), dtype="<f8").reshape(len(ids), dim))
+        x, off = decoded(rows, dim)
         inside = left.all()
         asks = np.flatnonzero(left)
         others = asks if inside else np.flatnonzero(~left)
         label = np.arange(len(ids))
+        doubt: list[np.ndarray] = []
         for k in range(0, len(asks), 256):
             who, met = asks[k : k + 256], others[k:] if inside else others
-            hit = x[who] @ x[met].T >= threshold
-            i, j = np.nonzero(hit & (label[who][:, None] != label[met][None, :]))  # what is united needs no more links
-            if len(i):
-                u, v = star_edges(np.arange(len(ids)), label[who[i]], label[met[j]])
+            apart = label[who][:, None] != label[met][None, :]  # what is united needs no more links
+            score = x[who] @ x[met].T - np.float32(threshold)
+            room = (off[who][:, None] + off[met][None, :] + off[who][:, None] * off[met][None, :]).astype(np.float32)
+            i, j = np.nonzero((score >= -room) & apart)
+            sure = score[i, j] >= room[i, j]
+            pairs = np.stack([who[i], met[j]])[:, ~sure]
+            doubt.append(pairs[:, pairs[0] != pairs[1]])
+            if sure.any():
+                u, v = star_edges(np.arange(len(ids)), label[who[i[sure]]], label[met[j[sure]]])
                 to = np.arange(len(ids))
                 to[u] = v
                 label = to[label]
+            if sum(d.shape[1] for d in doubt) > HELD:
+                i, j = np.concatenate(doubt, axis=1)
+                some = label[i] != label[j]
+                yield batch_of(ids[i[some]], ids[j[some]], False)
+                doubt = []
+        if doubt:
+            i, j = np.concatenate(doubt, axis=1)
+            some = label[i] != label[j]
+            yield batch_of(np.minimum(ids[i], ids[j])[some], np.maximum(ids[i], ids[j])[some], False)
         member = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[member], pa.int64()), pa.array(ids[label[member]], pa.int64())], names=["a", "b"])
+        yield batch_of(ids[member], ids[label[member]], True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, rows = None, ([], [], [])
@@ -137,24 +185,38 @@ def _group_links(threshold: float):
             left, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
             starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else []
             for a, b in zip(starts, [*starts[1:], len(keys)]):
-                if tuple(keys[a]) != name:
+                if tuple(keys[a].tolist()) != name:
                     if name is not None:
-                        yield close(name[1], *rows)
+                        yield from close(name[1], *rows)
                     name, rows = tuple(keys[a].tolist()), ([], [], [])
-                rows[0].append(left[a:b])
+                rows[0].append(left[a:b].astype(bool))
                 rows[1].append(ids[a:b])
                 rows[2].extend(batch.column(7).slice(a, b - a).to_pylist())
         if name is not None:
-            yield close(name[1], *rows)
+            yield from close(name[1], *rows)
+
+    return run
+
+
+def _confirmed(threshold: float, kind: str):
+    """Pairs (a, b, left, right) with the vectors as bytes that reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = np.array([len(v) for v in batch.column(2).to_pylist()])
+            for size in np.unique(width):
+                part = batch.filter(pa.array(width == size))
+                score = (unit(_stacked(part.column(2), kind)) * unit(_stacked(part.column(3), kind))).sum(axis=1)
+                yield part.select(["a", "b"]).filter(pa.array(score >= threshold))
 
     return run
 
 
-def _block_counts(threshold: float):
+def _block_counts(threshold: float, kind: str):
     """Rows (block, asks, rep, size, vector), sorted by block: for each row that asks, the vectors of the block linked with it."""
 
     def close(asks: list, reps: list, sizes: list, vectors: list) -> pa.RecordBatch:
-        x = unit(np.array(vectors))
+        x = unit(np.frombuffer(b"".join(vectors), dtype=kind).reshape(len(reps), -1).astype(np.float64))
         ask = np.array(asks, dtype=bool)
         weight = np.where(ask, 0, np.array(sizes, dtype=np.int64))
         members = np.flatnonzero(~ask)
@@ -169,9 +231,7 @@ def _block_counts(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, rows = None, ([], [], [], [])
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(4)]
-            vectors = _rows(batch.column(4))
-            for block, ask, rep, size, vector in zip(*columns, vectors):
+            for block, ask, rep, size, vector in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if block != name:
                     if rows[0]:
                         yield close(*rows)
@@ -204,9 +264,10 @@ def near_duplicate_vectors(
     each other. A null vec_id links with nothing, has a null component and is kept. vec_id is taken for a key. An empty table gives
     an empty result; other columns, whatever their names, are ignored.
     """
-    spark = embeddings.sparkSession
-    keyed_kind = "pass int, dim int, key long, rep long, vector binary"
-    wide = F.col("embedding").cast("array<double>")
+    keyed_kind = "pass int, dim int, key long, rep long, code binary"
+    single = embeddings.schema["embedding"].dataType.elementType.simpleString() == "float"
+    kind = "<f4" if single else "<f8"
+    wide = F.col("embedding").cast("array<float>" if single else "array<double>")
     usable = (
         F.col("vec_id").isNotNull()
         & F.coalesce(F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
@@ -214,36 +275,40 @@ def near_duplicate_vectors(
     )
     rows = embeddings.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, wide).alias("vector")
-    ).select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64("vector", F.lit(7)).alias("h2"))
+    ).select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(7), "vector").alias("h2"))
     classes = materialize(
         rows.where("vector IS NOT NULL")
         .groupBy("h1", "h2")
         .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("vector").alias("vector"))
         .select("rep", "size", "vector")
-        .mapInArrow(_packed, "rep long, size long, dim int, vector binary")
+        .mapInArrow(_packed(kind), "rep long, size long, dim int, vector binary")
     )
     n = classes.count()
-    bits = 0
-    if n > block_rows:
-        some = classes.select("rep", "dim", "vector").where(F.pmod(F.xxhash64("rep"), F.lit(max(1, n // SAMPLE_ROWS))) == 0)
-        keys = some.mapInArrow(_keyed(list(SAMPLE_PASSES)), keyed_kind).select("pass", "dim", "key").toPandas().to_numpy()
-        bits = best_bits(n, window, threshold, recall, block_rows, np.mean([sharing(keys[keys[:, 0] == p, 1:]) for p in SAMPLE_PASSES], axis=0))
+    some = classes.select("rep", "dim", "vector").where(F.pmod(F.xxhash64("rep"), F.lit(max(1, n // SAMPLE_ROWS))) == 0)
+    keys = some.mapInArrow(_keyed(list(SAMPLE_PASSES), SIGNS, kind), keyed_kind).select("pass", "dim", "key").toPandas().to_numpy()
+    shared = np.mean([sharing(keys[keys[:, 0] == p, 1:]) for p in SAMPLE_PASSES], axis=0)
+    bits = best_bits(n, window, threshold, recall, block_rows, shared)
     numbers = list(range(passes_needed(n, window, threshold, recall, bits)))
     edges = None
     for k in range(0, len(numbers), passes_at_once):
-        keyed = classes.select("rep", "dim", "vector").mapInArrow(_keyed(numbers[k : k + passes_at_once], bits), keyed_kind)
+        keyed = classes.select("rep", "dim", "vector").mapInArrow(_keyed(numbers[k : k + passes_at_once], bits, kind), keyed_kind)
         group = ["pass", "dim", "key"]
-        # at most passes_at_once * n / block_rows groups
+        # at most passes_at_once * n / block_rows runs
         large = keyed.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("cut")).where("cut > 1")
         placed = keyed.join(F.broadcast(large), group, "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
         placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, cut - 1)")))
         order = [*group, "low", "high"]
         dealt = placed.select(
-            *group, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") <= F.col("other")).alias("left"), "rep", "vector"
+            *group, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") <= F.col("other")).alias("left"), "rep", "code"
         )
         dealt = dealt.repartition(*order).sortWithinPartitions(*order)
-        found = materialize(dealt.mapInArrow(_group_links(threshold), "a long, b long").distinct())
+        found = materialize(dealt.mapInArrow(_group_links(threshold), "a long, b long, sure boolean").distinct())
         edges = found if edges is None else edges.unionByName(found)
+    doubt = edges.where("NOT sure").select("a", "b").distinct()
+    of = classes.select(F.col("rep").alias("a"), F.col("vector").alias("left"))
+    and_ = classes.select(F.col("rep").alias("b"), F.col("vector").alias("right"))
+    confirmed = doubt.join(of, "a").join(and_, "b").select("a", "b", "left", "right").mapInArrow(_confirmed(threshold, kind), "a long, b long")
+    edges = edges.where("sure").select("a", "b").unionByName(confirmed)
     groups = materialize(connected_components(edges).select(F.col("id").alias("rep"), "component"))
 
     members = groups.join(classes, "rep")
@@ -257,7 +322,7 @@ def near_duplicate_vectors(
     counted = (
         dealt.repartition("block")
         .sortWithinPartitions("block")
-        .mapInArrow(_block_counts(threshold), "rep long, linked long")
+        .mapInArrow(_block_counts(threshold, kind), "rep long, linked long")
         .groupBy("rep")
         .agg(F.sum("linked").alias("linked"))
     )

@@ -120,6 +120,7 @@ def test_crowded_vectors_in_passes(spark, monkeypatch):
     x = crowd(3000, 300, 0.8)
     frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     monkeypatch.setattr(embedding_dedup, "best_bits", lambda *a: 6)
+    monkeypatch.setattr(embedding_dedup, "HELD", 100)
     got = found(frame, block_rows=200)
     assert all(got[3000 + k][1] <= k for k in range(300))
 
@@ -131,9 +132,38 @@ def test_partitions_cut_nothing(spark):
     links = ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for number in ("1", "200"):
+        for number in ("1", "8", "300"):
             spark.conf.set("spark.sql.shuffle.partitions", number)
             got = found(frame)
             assert [got[k][0] for k in range(len(x))] == links, number
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pairs_in_doubt_are_confirmed(spark):
+    """Cosines a hair's breadth beside the threshold, closer than codes can tell."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for k in range(400):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        cosine = 0.95 + (1e-9 if k % 2 else -1e-9) * rng.integers(1, 5000)
+        rows += [a, cosine * a + math.sqrt(1 - cosine * cosine) * b]
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = found(frame)
+    assert [got[2 * k + 1] for k in range(400)] == [(1, 2 * k) if k % 2 else (0, 2 * k + 1) for k in range(400)]
+
+
+def test_codes_bound_the_cosine():
+    rng = np.random.default_rng(19)
+    x = embedding_dedup.unit(rng.standard_normal((300, 48)) * rng.choice([1e-3, 1, 50], (300, 48)))
+    y, off = embedding_dedup.decoded(embedding_dedup.codes(x), 48)
+    room = off[:, None] + off[None, :] + off[:, None] * off[None, :]
+    assert (np.abs(x @ x.T - y @ y.T) <= room).all() and room.max() < 1e-3
+
+
+def test_second_hash_is_one_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([([float(k), 1.0],) for k in range(50)], "v array<double>")
+    pair = rows.select(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"), F.xxhash64("v", F.lit(7)).alias("of_h1"))
+    assert pair.where("h2 = of_h1 OR h1 = h2").count() == 0
