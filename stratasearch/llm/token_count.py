@@ -7,6 +7,9 @@ two new neighbour pairs go into the heap. The count is the number of initial sym
 merges; no identifiers are made. A word of n bytes takes O(n log n), however long it is.
 
 Words repeat, so each Python worker remembers the counts of a bounded number of words.
+
+Texts are cut into words here as long as they keep to Latin letters. What is a letter, a number or a capital elsewhere depends on the
+version of Unicode, so other texts are cut by the vocabulary library's own normalizer and splitter; merging is the same for all.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 #: The contractions that the vocabulary's pattern takes as words of their own.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -31,7 +34,6 @@ SPACE = "\t-\r \x85\xa0  -     　"
 _LATIN_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _LATIN_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 
-_ANY_WORD = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 _LATIN_WORD = re.compile(
     f"{CONTRACTIONS}|[{_LATIN_LETTER}]+|[{_LATIN_NUMBER}]|[^{SPACE}{_LATIN_LETTER}{_LATIN_NUMBER}]+"
 )
@@ -70,6 +72,8 @@ class WordCounter(dict):
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault(vocabulary[left] << 20 | vocabulary[right], rank << 20 | vocabulary[left + right])
+        self.library = Tokenizer.from_file(path)
+        self.byte_of = {c: b for b, c in enumerate(alphabet)}
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
 
     def __missing__(self, word: str) -> int:
@@ -120,15 +124,19 @@ class WordCounter(dict):
                     heapq.heappush(heap, (found >> 20) << 32 | h)
         return n - done
 
-    def plain(self, text: str) -> int:
-        """Tokens of a text without special strings."""
+    def words(self, text: str) -> list[str]:
+        """The words of a text, normalized. Below U+0250, all versions of Unicode agree."""
+        if _BEYOND_LATIN.search(text):
+            text = self.library.normalizer.normalize_str(text)
+            return [bytes(map(self.byte_of.__getitem__, word)).decode("utf-8") for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
         if _NOT_ASCII.search(text):
             text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # lower() looks at a sigma's neighbours, the vocabulary's rule doesn't
-                text = text.replace("Σ", "σ")
         text = text.lower()
-        words = (_ANY_WORD if _BEYOND_LATIN.search(text) else _LATIN_WORD).findall(text)
-        return sum(map(self.__getitem__, words))
+        return _LATIN_WORD.findall(text) if not _BEYOND_LATIN.search(text) else self.words(text)
+
+    def plain(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        return sum(map(self.__getitem__, self.words(text)))
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; each special string in it is one token."""

@@ -27,11 +27,20 @@ def test_any_text(both, text):
     assert counter.count(text) == library(text)
 
 
+def test_every_character(both):
+    """Each code point beside letters, numbers and marks, in blocks."""
+    counter, library = both
+    points = [c for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 200):
+        text = " ".join(f"a{chr(c)}B{chr(c)}{chr(c)}1" for c in points[at : at + 200])
+        assert counter.count(text) == library(text)
+
+
 @pytest.mark.parametrize(
     "text",
     [
         "<|endoftext|>", "a<|startoftext|>b <|endoftext|>", "It's 1234 o'clock -- WE'LL SEE", "ΑΣ ΣΑΣ ς", "İstanbul ß ﬁ ²³ ¼", "a" * 5000, "ab" * 3000 + "!" * 2000,
-        "\x1c\x85\u2028 x", "e\u0301cole \u00e9cole", "日本語 한국어 🙂🙂",
+        "\x1c\x85\u2028 x", "e\u0301cole \u00e9cole", "日本語 한국어 🙂🙂", "\U00018ef3a \U00018d1d\u0301 \U00016ff2x \ua7cb\ua7cc", "İI i̇ ŒŸ", "K Å Ω",
     ],
 )
 def test_odd_texts(both, text):
