@@ -157,7 +157,7 @@ def pack_documents(
     window: int = 2048,
     open_windows: int = 16,
     last_id: int = 1,
-    merged_at_once: int = 64,
+    merged_at_once: int = 16,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``window`` ids; one row per piece.
 
