@@ -52,8 +52,12 @@ def reversed_host(host: Column) -> Column:
 
 
 def rules_frame(spark: SparkSession, rules: tuple = DEFAULT_RULES) -> DataFrame:
-    """Rules as a table (rule_host, rule_path, verdict)."""
-    return spark.createDataFrame(list(rules), "rule_host string, rule_path string, verdict string")
+    """Rules as a table (rule_host, rule_path, verdict). For a list of any length, pass a stored table instead."""
+    if not rules:
+        return spark.range(0).selectExpr("'' AS rule_host", "'' AS rule_path", "'' AS verdict")
+    names = ("rule_host", "rule_path", "verdict")
+    every = F.array(*[F.struct(*[F.lit(value).alias(name) for name, value in zip(names, rule)]) for rule in rules])
+    return spark.range(1).select(F.explode(every).alias("rule")).select("rule.*")
 
 
 def _stacks(rules: DataFrame) -> DataFrame:
