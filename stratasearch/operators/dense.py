@@ -1,8 +1,9 @@
 """Dense retrieval: encoders and exact nearest neighbours.
 
-A stated set of query vectors is compared with all stored vectors in blocks: each task multiplies its batches with a
-block of queries and keeps the k best of each query; a window over these few rows gives the final ranks. Filters
-on the namespace and on ids come before that, at the scan.
+A stated set of query vectors is compared with all stored vectors in blocks: stored rows and queries are packed into matrices, every two
+of which are multiplied where they meet, and a task keeps the k best of each query; a window over these few rows gives the final ranks.
+That is one plan with one scan of the vectors for any number of queries, whatever their scopes; nothing passes through the driver. Spark's own size check
+decides whether the packed queries are broadcast. Filters on ids, and on the namespace where it is the same for all queries, reach the scan.
 """
 
 from __future__ import annotations
@@ -14,16 +15,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import tokenize
 from ..functions.vectors import norm, normalize, similarity
 from .bm25 import SCORE_PLACES
 
-#: Query vectors that go to the tasks at once.
-QUERY_BLOCK = 1024
+#: Query vectors and stored vectors of one matrix.
+QUERY_BLOCK, STORED_BLOCK = 512, 2048
+#: Tokens whose places a worker remembers before it starts afresh.
+REMEMBERED_TOKENS = 1_000_000
 #: Queries whose exact neighbours set the bucket length of the approximate search.
 CALIBRATION_QUERIES = 32
 #: Stored rows that tell how much a bucket length leaves.
@@ -65,22 +71,30 @@ class HashingEncoder(Encoder):
     def dim(self) -> int:
         return self._dim
 
+    def place(self, token: str) -> tuple[int, int]:
+        h = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+        return h % self._dim, 1 - 2 * (h // self._dim % 2)
+
     def encode(self, texts: Sequence[str]) -> list[np.ndarray | None]:
-        from ..functions.plain import tokenize
-
-        known: dict[str, tuple[int, int]] = {}
-        out: list[np.ndarray | None] = []
-        for text in texts:
-            vector = np.zeros(self._dim)
-            for token in tokenize(text):
-                place = known.get(token)
-                if place is None:
-                    h = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
-                    place = known[token] = (h % self._dim, 1 - 2 * (h // self._dim % 2))
-                vector[place[0]] += place[1]
-            size = np.sqrt((vector * vector).sum())
-            out.append(vector / (size if size > 1e-9 else 1.0))
-        return out
+        from ..functions.plain import tokenize as plain
+
+        return list(self.encode_tokens(pa.array([plain(t) for t in texts], pa.list_(pa.string()))))
+
+    def encode_tokens(self, tokens: pa.ListArray) -> np.ndarray:
+        """A row for each list of tokens; each distinct token of the batch is hashed once."""
+        words = tokens.flatten().dictionary_encode()
+        known = _places.setdefault(self._dim, {})
+        if len(known) > REMEMBERED_TOKENS:
+            known.clear()
+        places = np.array([known.get(w) or known.setdefault(w, self.place(w)) for w in words.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        out = np.bincount(row * self._dim + places[code, 0], weights=places[code, 1], minlength=len(tokens) * self._dim).reshape(-1, self._dim)
+        size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return out / np.where(size > 1e-9, size, 1.0)
+
+
+_places: dict[int, dict[str, tuple[int, int]]] = {}
 
 
 class ServiceEncoder(Encoder):
@@ -178,8 +192,27 @@ class RetryingEncoder(Encoder):
         return None
 
 
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists."""
+    offsets = np.arange(0, matrix.size + 1, max(1, matrix.shape[1]), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix, dtype=np.float64).ravel()))
+
+
 def encoded(rows: DataFrame, encoder: Encoder, text: str = "content", batch: int = 512) -> DataFrame:
-    """``rows`` with a column ``vector`` (null where encoding failed) and ``embed_error``."""
+    """``rows`` with a column ``vector`` (null where encoding failed) and ``embed_error``.
+
+    An encoder that works on tokens gets those of the built-in tokenizer, as Arrow lists.
+    """
+    if hasattr(encoder, "encode_tokens"):
+
+        def of_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                *kept, tokens = part.columns
+                yield pa.RecordBatch.from_arrays([*kept, _lists(encoder.encode_tokens(tokens))], names=[*part.schema.names[:-1], "vector"])
+
+        schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
+        made = rows.select("*", tokenize(text).alias("tokens_")).mapInArrow(of_tokens, schema)
+        return made.withColumn("embed_error", F.lit(None).cast("string"))
     kind = T.StructType([T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("embed_error", T.StringType())])
 
     @F.pandas_udf(kind)
@@ -217,34 +250,83 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, metric: str = "i
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "chunk_id")))  # k rows
 
 
-def _block_top(ids: list, matrix: np.ndarray, k: int, metric: str):
-    norms = np.sqrt((matrix * matrix).sum(axis=1))
-    squares = norms * norms
+def _matrices(columns: list[str], most: int):
+    """Rows (*columns, vector) become rows (*columns as lists, dim, matrix) of ``most`` vectors of one length at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+
+        def close(dim: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            for at in range(0, len(rows), most):
+                part = rows.slice(at, most)
+                matrix = part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(c).combine_chunks()) for c in columns]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([dim], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], names=[*columns, "dim", "matrix"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
         for batch in batches:
-            x = np.array(batch["vector"].tolist(), dtype=np.float64)
-            if len(x) == 0:
-                continue
-            score = x @ matrix.T
-            if metric == "cosine":
-                size = np.sqrt((x * x).sum(axis=1))[:, None] * norms[None, :]
-                score = np.where(size > 0, score / np.where(size > 0, size, 1), np.nan)
-            elif metric == "l2":
-                score = 1 / (1 + np.maximum(0, (x * x).sum(axis=1)[:, None] + squares[None, :] - 2 * score))
-            rounded = np.round(score, SCORE_PLACES)
-            n = min(k, len(x))
-            # all rows that reach the k-th best, so ties are decided by id below
-            least = -np.partition(-np.nan_to_num(rounded, nan=-np.inf), n - 1, axis=0)[n - 1]
-            row, query = np.nonzero(rounded >= least)
-            found = pd.DataFrame(
-                {"q": query, "chunk_id": batch["chunk_id"].to_numpy()[row], "namespace": batch["namespace"].to_numpy()[row], "score": rounded[row, query]}
-            )
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True]).groupby("q").head(k)
-        if best is not None:
-            yield pd.DataFrame({"query_id": [ids[q] for q in best["q"]], "chunk_id": best["chunk_id"], "namespace": best["namespace"], "score": best["score"]})
+            length = pc.list_value_length(batch.column(len(columns)))
+            for dim in pc.unique(length).to_pylist():
+                part = batch.filter(pc.equal(length, dim))
+                held.setdefault(dim, []).append(part)
+                if sum(len(p) for p in held[dim]) >= most:
+                    yield from close(dim, held.pop(dim))
+        for dim, parts in held.items():
+            yield from close(dim, parts)
+
+    return run
+
+
+def _scores(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Similarity of every row of ``x`` with every row of ``y``, rounded as scores are."""
+    score = x @ y.T
+    if metric == "cosine":
+        size = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]
+        score = np.where(size > 0, score / np.where(size > 0, size, 1), np.nan)
+    elif metric == "l2":
+        score = 1 / (1 + np.maximum(0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * score))
+    return np.round(score, SCORE_PLACES)
+
+
+def _best(k: int, metric: str, stored_kind: str, asked_kind: str, schema: pa.Schema):
+    """Rows of a stored matrix and a query matrix become the ``k`` best of each query in this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pd.DataFrame] = {}
+        asked: dict[int, tuple] = {}
+        for batch in batches:
+            names = batch.schema.names
+            for row in range(batch.num_rows):
+                at = {name: batch.column(i)[row] for i, name in enumerate(names)}
+                dim, block = at["dim"].as_py(), at["block"].as_py()
+                if dim != at["asked_dim"].as_py():
+                    continue
+                if block not in asked:
+                    asked[block] = (
+                        at["query_id"].as_py(), np.frombuffer(at["asked_matrix"].as_buffer(), asked_kind).reshape(-1, dim).astype(np.float64), at["only"].as_py(), at["without"].as_py(),
+                    )
+                ids, matrix, only, without = asked[block]
+                stored = np.frombuffer(at["matrix"].as_buffer(), stored_kind).reshape(-1, dim).astype(np.float64)
+                namespace = pd.Series(at["namespace"].as_py(), dtype=object)
+                if any(x is not None for x in only) or any(x is not None for x in without):
+                    own = namespace.to_numpy()[:, None]
+                    wanted, barred = (np.array([[x] for x in names_], dtype=object).reshape(1, -1) for names_ in (only, without))
+                    allowed = np.array([[x is None for x in only]]) | (own == wanted)
+                    allowed &= ~(np.array([[x is not None for x in without]]) & (own == barred))
+                    score = np.where(allowed, np.nan_to_num(_scores(stored, matrix, metric), nan=-np.inf), -np.inf)
+                else:
+                    score = np.nan_to_num(_scores(stored, matrix, metric), nan=-np.inf)
+                n = min(k, len(stored))
+                # all rows that reach the k-th best, so ties are decided by id below
+                least = -np.partition(-score, n - 1, axis=0)[n - 1]
+                i, q = np.nonzero((score >= least) & (score > -np.inf))
+                found = pd.DataFrame({"q": q, "chunk_id": np.array(at["chunk_id"].as_py(), dtype=object)[i], "namespace": namespace.to_numpy()[i], "score": score[i, q]})
+                found = found if block not in best else pd.concat([best[block], found])
+                best[block] = found.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True]).groupby("q").head(k)
+        for block, found in best.items():
+            ids = asked[block][0]
+            columns = [[ids[q] for q in found["q"]], found["chunk_id"].tolist(), found["namespace"].tolist(), found["score"].to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
@@ -252,32 +334,32 @@ def _block_top(ids: list, matrix: np.ndarray, k: int, metric: str):
 def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     """(query_id, chunk_id, namespace, score, rank): the k best vectors for each of the queries (query_id, vector).
 
-    The queries are a stated set; they come to the driver in blocks of QUERY_BLOCK rows, and each block reads the vectors once.
+    Queries may have a column ``only`` (the one namespace to search, null for all) and a column ``without`` (a namespace to leave out). Of equal scores
+    the lesser chunk_id comes first. Null vectors, and vectors of another length than the query's, are no neighbours. A task holds k rows for each query.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    def kept(rows: DataFrame) -> tuple[Column, str]:
+        single = rows.schema["vector"].dataType.elementType.simpleString() == "float"
+        kind = "float" if single else "double"
+        return F.col("vector").cast(f"array<{kind}>").alias("vector"), "<f4" if single else "<f8"
+
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    asked_kind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {asked_kind}, chunk_id {kinds['chunk_id']}, namespace {kinds['namespace']}, score double"
-    rows = vectors.where("vector IS NOT NULL").select("chunk_id", "namespace", F.col("vector").cast("array<double>").alias("vector"))
-    parts, ids, block = [], [], []
-
-    def flush() -> None:
-        if ids:
-            parts.append(rows.mapInPandas(_block_top(list(ids), np.array(block), k, metric), schema))
-            ids.clear()
-            block.clear()
-
-    for row in queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("v")).toLocalIterator():
-        ids.append(row["query_id"])
-        block.append(row["v"])
-        if len(ids) == QUERY_BLOCK:
-            flush()
-    flush()
-    if not parts:
-        empty = queries.sparkSession.createDataFrame([], schema)
-        return empty.withColumn("rank", F.lit(1))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    asked_kind, spaces = queries.schema["query_id"].dataType.simpleString(), kinds["namespace"]
+    vector, stored_kind = kept(vectors)
+    stored = vectors.where("vector IS NOT NULL").select("chunk_id", "namespace", vector)
+    stored = stored.mapInArrow(
+        _matrices(["chunk_id", "namespace"], STORED_BLOCK), f"chunk_id array<{kinds['chunk_id']}>, namespace array<{spaces}>, dim int, matrix binary"
+    )
+    vector, query_kind = kept(queries)
+    filters = [(F.col(c).cast(spaces) if c in queries.columns else F.lit(None).cast(spaces)).alias(c) for c in ("only", "without")]
+    asked = queries.where("vector IS NOT NULL").select("query_id", *filters, vector).repartition("query_id")
+    asked = asked.mapInArrow(
+        _matrices(["query_id", "only", "without"], QUERY_BLOCK), f"query_id array<{asked_kind}>, only array<{spaces}>, without array<{spaces}>, dim int, matrix binary"
+    ).select(F.monotonically_increasing_id().alias("block"), "query_id", "only", "without", F.col("dim").alias("asked_dim"), F.col("matrix").alias("asked_matrix"))
+    schema = f"query_id {asked_kind}, chunk_id {kinds['chunk_id']}, namespace {spaces}, score double"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    found = stored.crossJoin(asked).mapInArrow(_best(k, metric, stored_kind, query_kind, arrow), schema)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -29,13 +29,9 @@ def sparse_hits(
 
 
 def dense_hits(vectors: DataFrame, encoded: DataFrame, coarse: int, metric: str = "ip") -> DataFrame:
-    """The coarse nearest vectors of each query (query_id, scope, vector); a scope is applied before the search."""
-    every = dense.batch_nearest(vectors, encoded.where("scope IS NULL"), coarse, metric)
-    scopes = [r["scope"] for r in encoded.where("scope IS NOT NULL").select("scope").distinct().toLocalIterator()]
-    for scope in scopes:
-        mine = dense.batch_nearest(dense.in_namespaces(vectors, only=[scope]), encoded.where(F.col("scope") == scope), coarse, metric)
-        every = every.unionByName(mine)
-    return every.select("query_id", "chunk_id", "score")
+    """The coarse nearest vectors of each query (query_id, scope, vector); a scope is applied before the best are taken."""
+    asked = encoded.select("query_id", F.col("scope").alias("only"), "vector")
+    return dense.batch_nearest(vectors, asked, coarse, metric).select("query_id", "chunk_id", "score")
 
 
 def search(
@@ -78,17 +74,8 @@ def related(
     ``exclude_own`` leaves the seed's repository out; the seed itself never comes back.
     """
     coarse = 5 * top_k + 1
-    asked = seeds.select("query_id", "vector")
-    if exclude_own:
-        found = None
-        for row in seeds.select("repo_id").distinct().toLocalIterator():
-            some = dense.batch_nearest(
-                dense.in_namespaces(vectors, without=[row["repo_id"]]), seeds.where(F.col("repo_id") == row["repo_id"]).select("query_id", "vector"), coarse, metric
-            )
-            found = some if found is None else found.unionByName(some)
-        found = dense.batch_nearest(vectors, asked.limit(0), coarse, metric) if found is None else found
-    else:
-        found = dense.batch_nearest(vectors, asked, coarse, metric)
+    own = F.col("repo_id") if exclude_own else F.lit(None).cast("string")
+    found = dense.batch_nearest(vectors, seeds.select("query_id", own.alias("without"), "vector"), coarse, metric)
     hits = found.select("query_id", "chunk_id", "score")
     others = hits.join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     candidates = resolve_candidates(others, chunks, repos)
