@@ -10,9 +10,11 @@
 3. Every node is compared exhaustively; one with very many rows in blocks, each with each, in several tasks. Rows whose codes agree
    well enough are candidates.
 4. Candidates are confirmed on full sets before anything is connected. First a star cover: each row with the first row of its node that
-   it may be linked with; that settles groups of copies with a comparison for each copy. Then pairs between rows that the confirmed links
-   haven't connected: the best few for each two groups, and, where these fail and there are more, all of them.
-   Unrelated texts that share a template become no group, as their candidates fail.
+   it may be linked with; that settles groups of copies with a comparison for each copy. Then, between rows that the confirmed links
+   haven't connected, the candidates that agree best for each group, a few in each node. Unrelated texts that share a template become no
+   group, as their candidates fail.
+5. Groups with more candidates than that form families, whose rows are compared in blocks, codes first and full sets where codes
+   agree, without a row per pair.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_up_to, materialize, without_rows
-from .components import connected_components
+from .components import connected_components, star_edges
 from .text_arrays import Words, chunks, mix, stream
 
 PATH_PLACES, CODE_PLACES = 128, 256
@@ -295,6 +297,12 @@ def _stars(rows: Node, asks: np.ndarray, others: np.ndarray) -> Iterator[tuple[n
             waiting = np.delete(waiting, found)
 
 
+def star_edges_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few edges with the same components as the edges between the ids ``a`` and ``b``."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return star_edges(ids, place[: len(a)], place[len(a) :])
+
+
 def _star_of_pairs(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
     """The same from pairs in order: pairs whose first row hasn't been taken take their second one."""
     taken, left, right = set(), [], []
@@ -307,52 +315,65 @@ def _star_of_pairs(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _best(rows: Node, i: np.ndarray, j: np.ndarray, node: np.ndarray, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``tries`` pairs of each node that agree best between each two labels, and whether a label pair has more."""
-    low, high = np.minimum(rows.label[i], rows.label[j]), np.maximum(rows.label[i], rows.label[j])
+    """The ``tries`` pairs of each label in each node that agree best, and the labels that have others."""
     apart = _disagreements(rows.code[i], rows.code[j])
-    order = np.lexsort((rows.rep[j], rows.rep[i], apart, high, low, node[i]))
-    i, j, key = i[order], j[order], np.stack([node[i], low, high], axis=1)[order]
-    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(i) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([start, [len(i)]]))
-    place = np.arange(len(i)) - np.repeat(start, size)
-    keep = place < tries
-    return i[keep], j[keep], (np.repeat(size, size) > tries)[keep]
+    pair = np.tile(np.arange(len(i)), 2)
+    label = np.concatenate([rows.label[i], rows.label[j]])
+    other = np.concatenate([rows.rep[j], rows.rep[i]])
+    order = np.lexsort((other, apart[pair], label, node[i][pair]))
+    where, who = node[i][pair][order], label[order]
+    start = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (who[1:] != who[:-1])])) if len(i) else np.zeros(0, np.int64)
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate([start, [len(order)]])))
+    keep = np.zeros(len(i), dtype=bool)
+    keep[pair[order][place < tries]] = True
+    return i[keep], j[keep], np.unique(np.concatenate([rows.label[i[~keep]], rows.label[j[~keep]]]))
+
 
+STARS, BEST, FAMILIES = "stars", "best", "families"
 
-def _candidates(least: int, percent: int, stars: bool, tries: int | None = None) -> Callable:
-    """Rows (node, left, rep, label, n_shingles, code), sorted by node and rep, become candidates (a, b, more). With ``stars``, a star cover of
-    each node; else pairs of rows with different labels: all of them, or the ``tries`` best for each two labels, ``more`` saying that there are others."""
+
+def _candidates(least: int, percent: int, wanted: str, tries: int = 0) -> Callable:
+    """Rows (node, left, rep, label, n_shingles, code), sorted by node and rep, become pairs (a, b, more).
+
+    STARS: a star cover of each node. BEST: of the candidates with different labels, the ``tries`` best of each label, and a row with ``more`` and twice
+    the label for each one that has others. FAMILIES: edges between labels, which connect those that have candidates.
+    """
+
+    def batch_of(a: np.ndarray, b: np.ndarray, more: bool = False) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), more))], names=["a", "b", "more"])
 
     def search(node: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = Node(*columns, least, percent)
 
-        def out(i: np.ndarray, j: np.ndarray, more: np.ndarray | None = None) -> pa.RecordBatch:
-            a, b = rows.rep[i], rows.rep[j]
-            more = np.zeros(len(a), bool) if more is None else more
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
+        def out(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if wanted == FAMILIES:
+                yield batch_of(*star_edges_of(rows.label[i], rows.label[j]))
+                return
+            if wanted == BEST:
+                i, j, more = _best(rows, i, j, node, tries)
+                yield batch_of(more, more, True)
+            yield batch_of(rows.rep[i], rows.rep[j])
 
         start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         size = np.diff(np.concatenate([start, [len(node)]]))
-        one = np.add.reduceat(~columns[0], start) == 0  # not two blocks of a node
+        one = ~np.logical_or.reduceat(~columns[0], start)  # not two blocks of a node
         small = one & (size > 1) & (size <= GAPS)
         at = np.flatnonzero(np.repeat(small, size))
         i, j = _gap_pairs(Node(*(c[at] for c in columns), least, percent), node[at])
         i, j = at[i], at[j]
-        if stars:
+        if wanted == STARS:
             left, right = _star_of_pairs(i, j)
-            yield out(np.array(left, np.int64), np.array(right, np.int64))
-        elif tries is None:
-            yield out(i, j)
-        else:
-            yield out(*_best(rows, i, j, node, tries))
-        for first, n, whole in zip(start[~small & (size > 1)], size[~small & (size > 1)], one[~small & (size > 1)]):
+            i, j = np.array(left, np.int64), np.array(right, np.int64)
+        yield from out(i, j)
+        large = ~small & (size > 1)
+        for first, n, whole in zip(start[large], size[large], one[large]):
             everyone = np.arange(first, first + n)
             asks, others = (everyone, everyone) if whole else (everyone[rows.left[everyone]], everyone[~rows.left[everyone]])
-            if stars:
+            if wanted == STARS:
                 for i, j in _stars(rows, asks, others):
-                    yield out(i, j)
+                    yield from out(i, j)
                 continue
-            found_i, found_j, held = [], [], 0
+            found_i, found_j, held = [everyone[:0]], [everyone[:0]], 0
             for k, pivot in enumerate(asks):
                 others_now = others[k + 1 :] if whole else others
                 hit = others_now[rows.partners(int(pivot), others_now)]
@@ -360,11 +381,9 @@ def _candidates(least: int, percent: int, stars: bool, tries: int | None = None)
                 found_j.append(hit)
                 held += len(hit)
                 if held > 1 << 18:  # what is found so far goes on; each part keeps its own best
-                    i, j = np.concatenate(found_i), np.concatenate(found_j)
-                    yield out(i, j) if tries is None else out(*_best(rows, i, j, node, tries))
-                    found_i, found_j, held = [], [], 0
-            i, j = np.concatenate([*found_i, everyone[:0]]), np.concatenate([*found_j, everyone[:0]])
-            yield out(i, j) if tries is None else out(*_best(rows, i, j, node, tries))
+                    yield from out(np.concatenate(found_i), np.concatenate(found_j))
+                    found_i, found_j, held = [everyone[:0]], [everyone[:0]], 0
+            yield from out(np.concatenate(found_i), np.concatenate(found_j))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, columns = np.zeros(0, np.int64), None
@@ -423,9 +442,7 @@ def _confirmed(percent: int) -> Callable:
                 if pivot:
                     rep, mine = other, own.copy()
                     continue
-                few, many = (own, mine) if len(own) < len(mine) else (mine, own)
-                place = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                if linked(percent, int((many[place] == few).sum()), len(own), len(mine)):
+                if linked(percent, _shared(own, mine), len(own), len(mine)):
                     a.append(rep)
                     b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -447,6 +464,63 @@ def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int, share: int
     return dealt.select("block", "pivot", "rep", "shingles").mapInArrow(_confirmed(percent), "a long, b long")
 
 
+def _shared(one: np.ndarray, two: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    few, many = (one, two) if len(one) < len(two) else (two, one)
+    place = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    return int((many[place] == few).sum())
+
+
+def _family_links(least: int, percent: int) -> Callable:
+    """Rows (block, left, rep, label, n_shingles, code, shingles), sorted by block, become links between the labels of each block."""
+
+    def close(rows: list[tuple]) -> pa.RecordBatch:
+        left, rep, label, n, code, sets = zip(*rows)
+        node = Node(
+            np.array(left), np.array(rep, np.int64), np.array(label, np.int64), np.array(n, np.int64), np.frombuffer(b"".join(code), np.uint64).reshape(-1, _CODE_WORDS), least, percent
+        )
+        asks = np.flatnonzero(node.left)
+        others = asks if node.left.all() else np.flatnonzero(~node.left)
+        a, b = [], []
+        for pivot in asks.tolist():
+            mine = np.frombuffer(sets[pivot], np.uint64)
+            for other in others[node.partners(pivot, others)].tolist():
+                if node.label[pivot] == node.label[other]:
+                    continue  # connected meanwhile
+                own = np.frombuffer(sets[other], np.uint64)
+                if linked(percent, _shared(own, mine), len(own), len(mine)):
+                    a.append(rep[pivot])
+                    b.append(rep[other])
+                    node.label[node.label == node.label[other]] = node.label[pivot]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, rows = None, []
+        for batch in batches:
+            for block, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != name and rows:
+                    yield close(rows)
+                    rows = []
+                name = block
+                rows.append(tuple(row))
+        if rows:
+            yield close(rows)
+
+    return run
+
+
+def family_links(members: DataFrame, least: int, percent: int, rows_at_once: int = 1024, weight: int = 2_000_000) -> DataFrame:
+    """Links between rows of different labels inside each family: members (family, rep, label, n_shingles, code, shingles). A block has about
+    ``rows_at_once`` rows and ``weight`` shingles at most; every two blocks of a family meet in one task."""
+    size = F.greatest(F.count(F.lit(1)) / rows_at_once, F.sum("n_shingles") / weight)
+    cuts = members.groupBy("family").agg(F.greatest(F.ceil(size), F.lit(1)).cast("int").alias("cut"))
+    placed = members.join(cuts, "family").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, cut - 1)")))
+    block = F.to_json(F.struct("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")))
+    dealt = placed.select(block.alias("block"), (F.col("part") <= F.col("other")).alias("left"), "rep", "label", "n_shingles", "code", "shingles")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_family_links(least, percent), "a long, b long")
+
+
 # The join ------------------------------------------------------------------------------------------------------
 
 
@@ -477,18 +551,18 @@ def _components(
     alike = threshold + (1 - threshold) / 4  # two bits agree by chance in a quarter
     least = math.ceil(CODE_PLACES * (alike - 4.2 * math.sqrt(alike * (1 - alike) / CODE_PLACES)))
 
-    def candidates(some: DataFrame, labels: DataFrame | None, most: int | None) -> DataFrame:
+    def candidates(some: DataFrame, labels: DataFrame | None, wanted: str) -> DataFrame:
         nodes = grown_nodes(some, trees, levels, threshold, branch_rows, deepest)
         if labels is not None:
             nodes = nodes.join(labels, "rep")
-        pairs = dealt_nodes(nodes, block_rows).mapInArrow(_candidates(least, percent, labels is None, most), "a long, b long, more boolean")
-        return materialize(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
+        pairs = dealt_nodes(nodes, block_rows).mapInArrow(_candidates(least, percent, wanted, tries), "a long, b long, more boolean")
+        return materialize(pairs.distinct())
 
     def labelled(links: DataFrame) -> DataFrame:
         joined = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("label"))
         return materialize(involved.join(joined, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")))
 
-    pairs = candidates(classes, None, None)
+    pairs = candidates(classes, None, STARS).drop("more")
     involved = materialize(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
     some = materialize(classes.join(broadcast_up_to(involved, MOST_BROADCAST), "rep", "left_semi"))
     wanted = broadcast_up_to(some.select(F.col("least").alias("doc_id"), *keys, "rep"), MOST_BROADCAST)
@@ -499,12 +573,16 @@ def _components(
         sets = materialize(sets.dropDuplicates(["rep"]))
 
     links = materialize(confirmed_links(pairs, sets, percent))
-    for most in (tries, None):
-        labels = labelled(links)
-        pairs = candidates(some, labels, most)
-        links = materialize(links.unionByName(confirmed_links(pairs, sets, percent)))
-        if pairs.where("more").isEmpty():
-            break
+    before = labelled(links)
+    pairs = candidates(some, before, BEST)
+    links = materialize(links.unionByName(confirmed_links(pairs.where("NOT more").drop("more"), sets, percent)))
+    crowded = materialize(before.join(pairs.where("more").select(F.col("a").alias("label")), "label", "left_semi").select("rep"))
+    if not crowded.isEmpty():
+        labels = labelled(links).join(crowded, "rep")
+        rest = some.join(crowded, "rep", "left_semi")
+        families = connected_components(candidates(rest, labels, FAMILIES)).select(F.col("id").alias("label"), F.col("component").alias("family"))
+        members = rest.select("rep", "n_shingles", "code").join(labels, "rep").join(families, "label").join(sets, "rep")
+        links = materialize(links.unionByName(family_links(members, least, percent)))
     joined = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("group"))
     members = classes.select(*keys, "rep", "least").join(joined, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
     groups = members.groupBy("group").agg(F.min("least").alias("component_id"))
@@ -530,8 +608,8 @@ def near_duplicates(
     words are runs without ASCII white space; with fewer words, the whole sequence is the one shingle). ``component_id`` is the
     least doc_id that links reach, itself included; ``kept`` says whether that is the document. All links are confirmed on full sets. A pair
     at the threshold is compared with the probability ``recall`` or more, at any number of rows: nodes of trees are compared exhaustively
-    (over ``block_rows`` rows, in blocks), and where nodes of over ``branch_rows`` rows branch on, there are more trees for it. ``tries``: pairs between
-    two groups that are confirmed before all others of theirs.
+    (over ``block_rows`` rows, in blocks), and where nodes of over ``branch_rows`` rows branch on, there are more trees for it. ``tries``: candidates of a
+    group that are confirmed in each node before the others are compared in blocks.
 
     Texts that are null, empty or have no words have no shingles and are linked with nothing. Rows with a null doc_id are linked with
     nothing either, have a null component and are kept. Rows that repeat an id each come back, with the component of their own text. An

@@ -102,6 +102,17 @@ def test_chains_of_links(spark):
         assert found(frame, words=1, tries=tries) == brute_force(rows, 1, 80)
 
 
+def test_families_are_compared_in_blocks(spark, monkeypatch):
+    """Groups with more candidates than are tried go to blocks of few rows, with the same result."""
+    rng = random.Random(28)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, edited(base, rng, 9, 400)) for k in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    real, calls = minhash_join.family_links, []
+    monkeypatch.setattr(minhash_join, "family_links", lambda *a: calls.append(1) or real(*a, rows_at_once=16, weight=500))
+    assert found(frame, words=1, tries=1) == brute_force(rows, 1, 80) and calls
+
+
 def test_a_shared_template_makes_no_group(spark):
     """Unrelated texts of similarity 0.57 through a template, with near copies (0.82) planted among them: few pairs are confirmed."""
     rng = random.Random(21)
