@@ -54,30 +54,30 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _projects(args) -> int:
+    registry = projects.Registry()
     if args.action == "add":
-        print(projects.add(args.source, args.name, args.ref, args.include_text_files).source)
+        print(registry.upsert(registry.project(args.source, args.name, args.ref, args.include_text_files)).source)
     elif args.action == "remove":
-        return 0 if projects.remove(args.source) else 1
+        return 0 if registry.delete(args.source) else 1
     elif args.action == "scan":
         for path in git.find_repositories(args.root, args.depth):
-            print(projects.add(path).source)
+            print(registry.upsert(registry.project(path)).source)
     else:
-        for entry in projects.load():
-            print(f"{entry.display_name}\t{entry.source}")
+        for entry in registry:
+            print(f"{entry.title()}\t{entry.source}")
     return 0
 
 
 def _index(engine: Engine, args) -> int:
-    given = [projects.Project(r, None, args.ref, args.include_text_files) for r in args.repos]
-    failed = 0
-    for entry in given or projects.load():
-        try:
-            done = engine.index_repo(entry.source, entry.include_text_files, args.command == "reindex", entry.ref)
-            print(f"{entry.display_name}: {done.chunk_count} chunks{'' if done.indexed else ' (unchanged)'}")
-        except (OSError, ValueError, RuntimeError) as error:  # the other repositories go on
-            failed += 1
-            print(f"{entry.display_name}: {error}", file=sys.stderr)
-    return int(failed > 0)
+    """All given repositories, or all projects, in one run; those that fail are told, the others are indexed."""
+    given = [projects.Project(r, None, args.ref, args.include_text_files) for r in args.repos] or list(projects.Registry())
+    done = engine.index_repos([(p.source, p.include_text_files, p.ref) for p in given], args.command == "reindex")
+    for entry, outcome in zip(given, done):
+        if isinstance(outcome, Exception):
+            print(f"{entry.title()}: {outcome}", file=sys.stderr)
+        else:
+            print(f"{entry.title()}: {outcome.chunk_count} chunks{'' if outcome.indexed else ' (unchanged)'}")
+    return int(any(isinstance(outcome, Exception) for outcome in done))
 
 
 def _show(found, nothing: str) -> int:

@@ -98,12 +98,15 @@ def summary(results: DataFrame, by: list[str], values: list[str], places: int =
 def keyword_files(files: DataFrame, keywords: DataFrame, most_matches: int = 500) -> DataFrame:
     """(query_id, file_path, hits, rank): files by the number of lines that hold keywords, ignoring case.
 
-    ``files``: file_path, content; ``keywords``: query_id, keyword. Of each keyword the first ``most_matches`` lines (by path and line) count, as
+    ``files``: file_path, content; ``keywords``: query_id, keyword, a stated set. A line is searched once for all keywords together: they are an array that goes
+    to the lines as one row, and lines without any go no further. Of each keyword the first ``most_matches`` lines (by path and line) count, as
     the compared tool's limit has it.
     """
-    lines = files.select("file_path", F.posexplode(F.split(F.lower("content"), "\n")).alias("line", "text"))
     words = keywords.select("query_id", F.lower("keyword").alias("keyword")).distinct()
-    hit = lines.join(words, F.contains(F.col("text"), F.col("keyword")))
+    every = words.agg(F.collect_set("keyword").alias("every"))
+    lines = files.select("file_path", F.posexplode(F.split(F.lower("content"), "\n")).alias("line", "text")).crossJoin(F.broadcast(every))  # one row
+    held = lines.select("file_path", "line", F.explode(F.filter("every", lambda w: F.contains(F.col("text"), w))).alias("keyword"))
+    hit = held.join(words, "keyword")
     order = W.partitionBy("query_id", "keyword").orderBy("file_path", "line")
     first = hit.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_matches)
     counted = first.groupBy("query_id", "file_path").agg(F.count(F.lit(1)).alias("hits"))
@@ -111,6 +114,13 @@ def keyword_files(files: DataFrame, keywords: DataFrame, most_matches: int = 500
     return counted.withColumn("rank", F.row_number().over(ranked))
 
 
+def pattern_files(files: DataFrame, pattern: str, ignore_case: bool = True) -> DataFrame:
+    """(file_path, hits): the number of lines that one pattern matches, in each file with any; the pattern is a regular expression."""
+    wanted = F.lit(("(?i)" if ignore_case else "") + pattern)
+    matching = F.filter(F.split("content", "\n"), lambda line: F.rlike(line, wanted))
+    return files.select("file_path", F.size(matching).cast("long").alias("hits")).where("hits > 0")
+
+
 def rollup(results: DataFrame, values: list[str], places: int = 4) -> DataFrame:
     """Means over repositories: of everything, by language, and by category, with what each row is about.
 

@@ -41,6 +41,7 @@ class Engine:
         self.encoder = encoder or dense.create_encoder(self.config.embedding)
         self.languages = languages or Languages()
         self.store = Store(spark, os.path.expanduser(self.config.store.path))
+        self._healed = False
 
     # indexing -------------------------------------------------------------------------------------------------
 
@@ -49,89 +50,115 @@ class Engine:
         raw = f"{git.identity(source, ref)}|model={self.encoder.name}|dim={self.encoder.dim}|chunker={CHUNKER_VERSION}"
         return hashlib.sha256(raw.encode()).hexdigest()[:32]
 
-    def index_repo(self, source: str, include_text_files: bool = False, force: bool = False, ref: str | None = None) -> IndexOutcome:
-        """Index a repository, or bring it up to date.
+    def _state_of(self, source: str, include_text_files: bool, ref: str | None, refresh: bool) -> dict:
+        """What a repository's rows depend on, as its row in the store has it."""
+        root = git.checkout(source, ref, os.path.expanduser(self.config.store.clones), refresh)
+        own = os.path.relpath(os.path.abspath(self.store.path), root)
+        ignore = () if own.startswith("..") or "://" in self.store.path else (f"/{own}/",)  # the engine's tables are no sources
+        listed = list(walk(root, self.languages.extensions(include_text_files), ignore))
+        return {
+            "repo_id": self.repo_id(source, ref),
+            "source": git.identity(source, ref),
+            "source_path": root,
+            "include_text_files": include_text_files,
+            "embedding_model": self.encoder.name,
+            "embedding_dim": self.encoder.dim,
+            "chunker_version": CHUNKER_VERSION,
+            "commit_sha": git.source_state(root, listed),
+            "ignore": list(ignore),
+        }
 
-        Nothing happens where its state is the stored one. Otherwise a new segment is written: vectors of chunks that were there
-        before are taken over, only new chunks are encoded. The old version counts until the new one is committed, so a failure
-        leaves it as it was. A repository without files to index is removed and ValueError raised.
+    def index_repo(self, source: str, include_text_files: bool = False, force: bool = False, ref: str | None = None) -> IndexOutcome:
+        """Index a repository, or bring it up to date; see ``index_repos``. What goes wrong is raised."""
+        outcome = self.index_repos([(source, include_text_files, ref)], force)[0]
+        if isinstance(outcome, Exception):
+            raise outcome
+        return outcome
+
+    def index_repos(self, sources: list[tuple[str, bool, str | None]], force: bool = False) -> list[IndexOutcome | Exception]:
+        """Index repositories (source, include_text_files, ref), or bring them up to date: an outcome for each, or the error that stopped it.
+
+        Nothing happens where a repository's state is the stored one. The others are written as one segment and committed together: vectors of
+        chunks that were there before are taken over, only new chunks are encoded. Old versions count until then, so a failure leaves them as they were. A
+        repository without files to index is removed, with a ValueError as its outcome. Where texts could not be encoded, the state is not
+        recorded, so the next run tries them again.
         """
-        repo_id, settings = self.repo_id(source, ref), self.config.indexing
-        root = git.checkout(source, ref, os.path.expanduser(self.config.store.clones), force)
-        listed = list(walk(root, self.languages.extensions(include_text_files)))
-        state = git.source_state(root, listed)
-        known = self.store.repo(repo_id)
-        if not force and known and known["commit_sha"] == state and known["include_text_files"] == include_text_files:
-            return IndexOutcome(repo_id, self.store.chunk_count(repo_id), indexed=False)
-
-        files = scan_files(self.spark, root, repo_id, include_text_files, self.languages, settings.max_file_bytes)
+        outcomes: list[IndexOutcome | Exception | None] = [None] * len(sources)
+        changed: dict[str, tuple[int, dict]] = {}
+        for k, (source, include_text_files, ref) in enumerate(sources):
+            try:
+                row = self._state_of(source, include_text_files, ref, force)
+            except (OSError, ValueError, RuntimeError) as error:
+                outcomes[k] = error
+                continue
+            known = self.store.repo(row["repo_id"])
+            if not force and known and all(known.get(name) == row[name] for name in ("commit_sha", "include_text_files")):
+                outcomes[k] = IndexOutcome(row["repo_id"], int(known.get("chunk_count") or 0), indexed=False)
+            else:
+                changed[row["repo_id"]] = (k, row)  # a repository that is named twice is indexed once
+        if changed:
+            counts, missing, segment, version = self._write([row for _, row in changed.values()], force)
+            done = []
+            for repo_id, (k, row) in changed.items():
+                if counts.get(repo_id, 0) == 0:
+                    self.store.remove_repo(repo_id)
+                    outcomes[k] = ValueError(f"no files to index below {row['source_path']}")
+                    continue
+                state = "" if missing.get(repo_id) else row["commit_sha"]
+                done.append({name: value for name, value in row.items() if name != "ignore"} | {"commit_sha": state, "chunk_count": counts[repo_id], "version": version})
+                outcomes[k] = IndexOutcome(repo_id, counts[repo_id], indexed=True)
+            if done:
+                self.store.put_repos(done, segment)
+        for k, (source, _, ref) in enumerate(sources):  # repeated sources share an outcome
+            if outcomes[k] is None:
+                outcomes[k] = outcomes[changed[self.repo_id(source, ref)][0]]
+        return outcomes
+
+    def _write(self, rows: list[dict], force: bool) -> tuple[dict[str, int], dict[str, int], str, int]:
+        """Write a segment with the rows of some repositories: their numbers of chunks, and of chunks without a vector, the segment, the version."""
+        settings, files = self.config.indexing, None
+        for row in rows:
+            found = scan_files(
+                self.spark, row["source_path"], row["repo_id"], row["include_text_files"], self.languages, settings.max_file_bytes, row["ignore"]
+            )
+            files = found if files is None else files.unionByName(found)
         chunks = with_chunk_ids(structural_chunks(files, desired=settings.desired_chunk_chars, most=settings.max_chunk_chars))
         chunks = chunks.dropDuplicates(["chunk_id"]).persist()
+        tokens = bm25.tokenized(chunks).persist()
         try:
-            if chunks.isEmpty():
-                self.store.remove_repo(repo_id)
-                raise ValueError(f"no files to index below {root}")
-            old = self.store.table("vectors").where((F.col("namespace") == repo_id) & F.col("vector").isNotNull())
+            counts = {r["repo_id"]: r["n"] for r in chunks.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+            old = self.store.table("vectors").where(F.col("namespace").isin([r["repo_id"] for r in rows]) & F.col("vector").isNotNull())
             if force:
                 old = old.limit(0)
             kept = old.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-            new = dense.encoded(only_in(chunks, old), self.encoder, "content", self.config.embedding.batch_size)
-            fresh = new.select(
-                "chunk_id", F.col("repo_id").alias("namespace"), F.col("vector").cast("array<float>").alias("vector"), "embed_error"
-            )
-            tokens = bm25.tokenized(chunks)
-            version = self.store.next_version()
-            segment = self.store.write_segment(
-                {
-                    "chunks": chunks,
-                    "vectors": kept.unionByName(fresh),
-                    "postings": bm25.postings(tokens),
-                    "doc_stats": bm25.doc_stats(tokens),
-                },
-                version,
-            )
-            count = chunks.count()
+            new = dense.encoded(only_in(chunks.select("chunk_id", "repo_id", "content"), old), self.encoder, "content", self.config.embedding.batch_size)
+            fresh = new.select("chunk_id", F.col("repo_id").alias("namespace"), F.col("vector").cast("array<float>").alias("vector"), "embed_error")
+            version = self.store.new_version()
+            tables = {"chunks": chunks, "vectors": kept.unionByName(fresh), "postings": bm25.postings(tokens), "doc_stats": bm25.doc_stats(tokens)}
+            segment = self.store.write_segment(tables, version)
         finally:
+            tokens.unpersist()
             chunks.unpersist()
-        self.store.put_repo(
-            {
-                "repo_id": repo_id,
-                "source": git.identity(source, ref),
-                "source_path": root,
-                "include_text_files": include_text_files,
-                "embedding_model": self.encoder.name,
-                "embedding_dim": self.encoder.dim,
-                "chunker_version": CHUNKER_VERSION,
-                "commit_sha": state,
-                "chunk_count": count,
-                "version": version,
-            },
-            segment,
-        )
-        return IndexOutcome(repo_id, count, indexed=True)
+        written = self.spark.read.schema(self.store.table("vectors").schema).parquet(f"{self.store.path}/vectors/{segment}")
+        missing = written.where("vector IS NULL").groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+        return counts, {r["namespace"]: r["n"] for r in missing.collect()}, segment, version
 
     def heal(self) -> bool:
         """Rebuild postings and statistics from the chunks where their numbers differ; whether that was needed."""
         chunks, stats = self.store.table("chunks"), self.store.table("doc_stats")
         if chunks.count() == stats.count():
             return False
-        manifest = self.store.manifest()
         tokens = bm25.tokenized(chunks)
-        version = self.store.next_version()
-        segment = self.store.write_segment(
-            {
-                "chunks": chunks,
-                "vectors": self.store.table("vectors"),
-                "postings": bm25.postings(tokens),
-                "doc_stats": bm25.doc_stats(tokens),
-            },
-            version,
-        )
-        for row in manifest["repos"].values():
-            row["version"] = version
-        self.store.commit(manifest | {"segments": [segment]})
+        self.store.replace_tables({"postings": bm25.postings(tokens), "doc_stats": bm25.doc_stats(tokens)})
         return True
 
+    def load(self) -> Store:
+        """The store, healed if need be the first time that this engine reads it."""
+        if not self._healed:
+            self._healed = True
+            self.heal()
+        return self.store
+
     # reading --------------------------------------------------------------------------------------------------
 
     def resolve_repo_id(self, repo: str) -> str:
@@ -151,13 +178,19 @@ class Engine:
         """The best chunks for a query, in all repositories or in one."""
         scope = None if repo is None else self.resolve_repo_id(repo)
         rows = self.spark.createDataFrame([(0, query, scope)], "query_id long, query string, scope string")
-        return self.batch_search(rows, top_k, alpha, prefilter)
+        return self._search(rows, scope, top_k, alpha, prefilter)
 
     def batch_search(self, queries: DataFrame, top_k: int = 5, alpha: float | None = None, prefilter: bool = False) -> DataFrame:
         """The best chunks for each of the queries (query_id, query, and optionally scope) in one plan."""
-        tables = {name: self.store.table(name) for name in ("chunks", "vectors", "postings", "doc_stats")}
+        return self._search(queries, None, top_k, alpha, prefilter)
+
+    def _search(self, queries: DataFrame, scope: str | None, top_k: int, alpha: float | None, prefilter: bool) -> DataFrame:
+        store = self.load()
+        tables = {name: store.table(name) for name in ("chunks", "vectors", "postings", "doc_stats")}
+        if scope is not None:  # the same for all queries, so the scan of the vectors can leave the others out
+            tables["vectors"] = dense.in_namespaces(tables["vectors"], only=[scope])
         return plans.search(
-            queries, tables["chunks"], tables["vectors"], tables["postings"], tables["doc_stats"], self.store.repos(),
+            queries, tables["chunks"], tables["vectors"], tables["postings"], tables["doc_stats"], store.repos(),
             self.encoder, top_k, self.config.ranking.coarse_multiplier, alpha, prefilter, self.config.store.metric,
         )
 

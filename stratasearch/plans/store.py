@@ -1,16 +1,22 @@
 """Tables of the engine on shared storage.
 
-Data is append-only: each indexing run writes one new segment of chunks, vectors, postings and statistics, and then one manifest
-that lists the segments and, for each repository, the version that counts. The manifest is the commit: readers resolve
-it first and see either all of a run or nothing. Rows of older versions are left out by a join with the repositories until ``compact`` drops them.
+Data is append-only: an indexing run writes one new segment of chunks, vectors, postings and statistics, for one repository or for many, and then
+one manifest that lists each table's segments and, for each repository, the version of its rows that counts. Manifests are numbered, and a number is
+given out once: a manifest is written beside the others and renamed only if nobody has that number yet. Readers take the newest one
+and see either all of a run or nothing, also while another is being written or after a crash. A writer whose number is taken reads the
+newest manifest and makes its change again, so no update is lost. Rows of older versions are left out by a join with the repositories
+until ``compact`` drops them.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +33,18 @@ TABLES = {
 REPO_COLUMN = {"chunks": "repo_id", "vectors": "namespace", "postings": "repo_id", "doc_stats": "repo_id"}
 
 
+#: Manifests that stay beside the newest one, for readers that have just listed them.
+KEPT_MANIFESTS = 8
+ATTEMPTS = 100
+
+
 class RepoNotIndexedError(LookupError):
-    """A repository that isn't in the store."""
+    """Asked for a repository that the store doesn't hold."""
 
     def __init__(self, repo_id: str, source: str | None = None):
-        self.repo_id, self.source = repo_id, source
         super().__init__(f"not indexed: {source or repo_id}")
+        self.repo_id = repo_id
+        self.source = source
 
 
 class Store:
@@ -40,42 +52,76 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._stamp, self._manifest = None, {"segments": [], "repos": {}, "version": 0}
+        self._read: dict = _empty()
 
     # the manifest ---------------------------------------------------------------------------------------------
 
     def _file(self, name: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _numbers(self) -> list[int]:
+        """The numbers of the manifests that are there, in order."""
+        fs, folder = self._file("")
+        if not fs.exists(folder):
+            return []
+        names = (str(status.getPath().getName()) for status in fs.listStatus(folder))
+        return sorted(int(name[9:-5]) for name in names if name.startswith("MANIFEST-") and name.endswith(".json"))
+
     def manifest(self) -> dict:
-        """The current manifest; read again when another process has written it."""
-        fs, path = self._file("MANIFEST.json")
-        if not fs.exists(path):
-            return {"segments": [], "repos": {}, "version": 0}
-        status = fs.getFileStatus(path)
-        stamp = (status.getModificationTime(), status.getLen())
-        if stamp != self._stamp:
+        """The newest manifest."""
+        numbers = self._numbers()
+        if not numbers:
+            return _empty()
+        if numbers[-1] != self._read["number"]:
+            fs, path = self._file(f"MANIFEST-{numbers[-1]:012d}.json")
             stream = fs.open(path)
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             stream.close()
-            self._manifest, self._stamp = json.loads(text), stamp
-        return json.loads(json.dumps(self._manifest))
-
-    def commit(self, manifest: dict) -> None:
-        """Make a manifest the current one: written beside it, then renamed."""
-        manifest = manifest | {"version": manifest["version"] + 1}
-        fs, path = self._file("MANIFEST.json")
-        _, new = self._file(f"MANIFEST-{uuid.uuid4().hex}.json")
+            self._read = json.loads(text)
+        return json.loads(json.dumps(self._read))
+
+    def _claimed(self, manifest: dict) -> bool:
+        """Write a manifest under its number; False where another writer has taken the number."""
+        fs, path = self._file(f"MANIFEST-{manifest['number']:012d}.json")
+        _, new = self._file(f"_new-{uuid.uuid4().hex}")
         stream = fs.create(new, True)
         stream.write(bytearray(json.dumps(manifest, default=str).encode()))
         stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        if not fs.rename(new, path):
-            raise OSError("the manifest could not be replaced")
-        self._stamp = None
+        try:
+            jvm = self.spark._jvm
+            if fs.getScheme() == "file":  # a rename would replace the other's file here, a link doesn't
+                local = [jvm.java.nio.file.Paths.get(fs.makeQualified(x).toUri()) for x in (path, new)]
+                jvm.java.nio.file.Files.createLink(*local)
+            else:
+                options = self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(new, path, options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            fs.delete(new, False)
+        return True
+
+    def update(self, change: Callable[[dict], dict | None]) -> dict:
+        """Apply a change to the newest manifest and make the result the newest; made again where another writer came first.
+
+        ``change`` gets a copy and returns the manifest to write, or None where there is nothing to change.
+        """
+        for _ in range(ATTEMPTS):
+            before = self.manifest()
+            after = change(before)
+            if after is None:
+                return before
+            after = after | {"number": before["number"] + 1}
+            if self._claimed(after):
+                for number in self._numbers()[: -KEPT_MANIFESTS - 1]:
+                    fs, path = self._file(f"MANIFEST-{number:012d}.json")
+                    fs.delete(path, False)
+                return after
+        raise OSError("other writers were always first")
 
     # reading --------------------------------------------------------------------------------------------------
 
@@ -88,13 +134,34 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         """The rows of a table that belong to the repositories' current versions."""
-        segments = self.manifest()["segments"]
+        segments = self.manifest()["segments"][name]
         if not segments:
             return self.spark.createDataFrame([], TABLES[name])
         stored = schema.T.StructType([*TABLES[name].fields, schema.T.StructField("version", schema.L)])
         rows = self.spark.read.schema(stored).parquet(*[f"{self.path}/{name}/{s}" for s in segments])
         current = self.repos().select(F.col("repo_id").alias(REPO_COLUMN[name]), "version")
-        return rows.join(current, [REPO_COLUMN[name], "version"]).select(*TABLES[name].fieldNames())
+        return rows.join(F.broadcast(current), [REPO_COLUMN[name], "version"]).select(*TABLES[name].fieldNames())
+
+    def repo_chunks(self, repo_id: str) -> DataFrame:
+        """The chunks of one repository, in the order of files and lines; the repository reaches the scan as a filter."""
+        return self.ordered_chunks(self.table("chunks").where(F.col("repo_id") == repo_id))
+
+    def ordered_chunks(self, chunks: DataFrame | None = None) -> DataFrame:
+        """All chunks (or the given ones) ordered by repository, file and place."""
+        chunks = self.table("chunks") if chunks is None else chunks
+        return chunks.orderBy("repo_id", "file_path", "start_line", "end_line", "chunk_id")
+
+    def chunk_ids(self, repo_id: str) -> DataFrame:
+        """(chunk_id) of one repository."""
+        return self.table("chunks").where(F.col("repo_id") == repo_id).select("chunk_id")
+
+    def repo_sources(self) -> dict[str, str]:
+        """repo_id -> source."""
+        return {k: r["source"] for k, r in self.manifest()["repos"].items()}
+
+    def repo_source_paths(self) -> dict[str, str]:
+        """repo_id -> the directory that was indexed."""
+        return {k: r.get("source_path") or "" for k, r in self.manifest()["repos"].items()}
 
     def repo(self, repo_id: str) -> dict | None:
         """One repository's row."""
@@ -116,43 +183,67 @@ class Store:
 
     # writing --------------------------------------------------------------------------------------------------
 
-    def write_segment(self, tables: dict[str, DataFrame], version: int) -> str:
-        """Write one segment; nobody sees it before a commit. Postings are sorted by token so a token's row groups can be skipped."""
+    def write_segment(self, tables: dict[str, DataFrame], versions: DataFrame | int) -> str:
+        """Write one segment; nobody sees it before a commit. ``versions``: the rows' version, or (repo_id, version) of each repository. Postings are
+        sorted by token so a token's row groups can be skipped."""
         segment = uuid.uuid4().hex
         for name, rows in tables.items():
-            out = rows.select(*TABLES[name].fieldNames()).withColumn("version", F.lit(version).cast("long"))
+            out = rows.select(*TABLES[name].fieldNames())
+            if isinstance(versions, int):
+                out = out.withColumn("version", F.lit(versions).cast("long"))
+            else:
+                out = out.join(F.broadcast(versions.withColumnRenamed("repo_id", REPO_COLUMN[name])), REPO_COLUMN[name])
+            out = out.select(*TABLES[name].fieldNames(), "version")
             if name == "postings":
                 out = out.repartitionByRange("token").sortWithinPartitions("token", "chunk_id")
             out.write.parquet(f"{self.path}/{name}/{segment}")
         return segment
 
-    def put_repo(self, row: dict, segment: str) -> None:
-        """Commit a segment and a repository's row together."""
-        manifest = self.manifest()
-        manifest["segments"].append(segment)
-        manifest["repos"][row["repo_id"]] = row | {"indexed_at": datetime.now(timezone.utc).replace(tzinfo=None).isoformat()}
-        self.commit(manifest)
+    def put_repos(self, rows: list[dict], segment: str) -> None:
+        """Commit a segment and the rows of its repositories together."""
+        stamp = datetime.now(timezone.utc).replace(tzinfo=None).isoformat()
+
+        def change(manifest: dict) -> dict:
+            for name in TABLES:
+                manifest["segments"][name].append(segment)
+            manifest["repos"] |= {row["repo_id"]: row | {"indexed_at": stamp} for row in rows}
+            return manifest
+
+        self.update(change)
 
     def remove_repo(self, repo_id: str) -> None:
         """Forget a repository; its rows no longer count."""
-        manifest = self.manifest()
-        if manifest["repos"].pop(repo_id, None) is not None:
-            self.commit(manifest)
 
-    def next_version(self) -> int:
-        return int(self.manifest()["version"]) + 1
+        def change(manifest: dict) -> dict | None:
+            return manifest if manifest["repos"].pop(repo_id, None) is not None else None
+
+        self.update(change)
+
+    def new_version(self) -> int:
+        """A version that no other run has."""
+        return uuid.uuid4().int >> 66
+
+    def replace_tables(self, tables: dict[str, DataFrame]) -> None:
+        """Write tables anew from rows that count, as one segment (versions stay), and list that in place of the segments it was made from."""
+        before = self.manifest()
+        segment = self.write_segment(tables, self.repos().select("repo_id", "version"))
+
+        def change(manifest: dict) -> dict:
+            for name in tables:
+                since = [s for s in manifest["segments"][name] if s not in before["segments"][name]]
+                manifest["segments"][name] = [segment, *since]
+            return manifest
+
+        self.update(change)
 
     def compact(self) -> None:
-        """Rewrite the rows that count as one segment (versions stay) and list only that."""
-        manifest = self.manifest()
-        if not manifest["segments"]:
-            return
-        segment = uuid.uuid4().hex
-        current = self.repos().select("repo_id", "version")
-        for name in TABLES:
-            named = current.withColumnRenamed("repo_id", REPO_COLUMN[name])
-            self.table(name).join(named, REPO_COLUMN[name]).select(*TABLES[name].fieldNames(), "version").write.parquet(f"{self.path}/{name}/{segment}")
-        self.commit(manifest | {"segments": [segment]})
+        """Rewrite the rows that count as one segment and list only that."""
+        if any(self.manifest()["segments"].values()):
+            self.replace_tables({name: self.table(name) for name in TABLES})
+
+
+def _empty() -> dict:
+    return {"segments": {name: [] for name in TABLES}, "repos": {}, "number": 0}
 
 
 def status(repos: DataFrame) -> DataFrame:

@@ -65,7 +65,25 @@ def task_targets(tasks: DataFrame) -> DataFrame:
 
 
 def save_results(rows: DataFrame, directory: str, method: str, revision: str) -> str:
-    """Write results as JSON below ``<method>-<first twelve of the revision>``; returns the path."""
-    path = f"{directory}/{method}-{revision[:12]}"
-    rows.write.mode("overwrite").json(path)
+    """Write results (of an evaluation: a row per query at most) as the one JSON file ``<method>-<first twelve of the revision>.json``; returns its path.
+
+    The file appears as a whole. The directory may be on any file system that Spark reaches.
+    """
+    path = f"{directory}/{method}-{revision[:12]}.json"
+    spark = rows.sparkSession
+    listed = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("row")).toPandas()["row"]
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    stream = files.create(new, True)
+    stream.write(bytearray(("[\n" + ",\n".join(listed) + "\n]\n").encode()))
+    stream.close()
+    files.delete(target, False)
+    files.rename(new, target)
     return path
+
+
+def tasks_by_repo(tasks: DataFrame) -> DataFrame:
+    """(repo, tasks): the tasks of each repository as one list, in the order of queries and ids."""
+    task = F.struct("query", "query_id", "category", "targets")
+    return tasks.groupBy("repo").agg(F.array_sort(F.collect_list(task)).alias("tasks"))

@@ -9,7 +9,8 @@ from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from pathlib import Path
 
 CONFIG_VARIABLE = "STRATASEARCH_CONFIG"
-DEFAULT_PLACES = ("stratasearch.yaml", "stratasearch.yml", "stratasearch.json", "~/.stratasearch/config.yaml", "~/.stratasearch/config.json")
+#: Where a configuration is looked for, in this order: the working directory, the user's configuration, the engine's own folder.
+DEFAULT_PLACES = tuple(f"{stem}.{kind}" for stem in ("stratasearch", "~/.config/stratasearch/config", "~/.stratasearch/config") for kind in ("yaml", "yml", "json"))
 _VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
 
 
@@ -52,9 +53,9 @@ class Config:
 
 
 def substituted(value):
-    """Strings with ``${NAME}`` or ``${NAME:-default}`` filled in, at any depth."""
+    """Strings with ``${NAME}`` or ``${NAME:-default}`` filled in, at any depth; an unset name without a default stays as it is written."""
     if isinstance(value, str):
-        return _VARIABLE.sub(lambda m: os.environ.get(m[1], m[2] if m[2] is not None else ""), value)
+        return _VARIABLE.sub(lambda m: os.environ.get(m[1], m[0] if m[2] is None else m[2]), value)
     if isinstance(value, dict):
         return {k: substituted(v) for k, v in value.items()}
     if isinstance(value, list):

@@ -50,12 +50,12 @@ def checkout(source: str, ref: str | None, clones: str, force: bool = False) ->
     if force and os.path.isdir(target):
         shutil.rmtree(target)
     if os.path.isdir(target):
-        if _git("fetch", "--depth", "1", "origin", ref or "HEAD", cwd=target) is not None:
+        if _git("fetch", "--depth", "1", "--", "origin", ref or "HEAD", cwd=target) is not None:
             _git("reset", "--hard", "FETCH_HEAD", cwd=target)
         return target
     os.makedirs(clones, exist_ok=True)
-    branch = ["--branch", ref] if ref else []
-    if _git("clone", "--depth", "1", *branch, source, target) is None:
+    branch = [f"--branch={ref}"] if ref else []
+    if _git("clone", "--depth", "1", *branch, "--", source, target) is None:
         raise RuntimeError(f"cloning {source} failed")
     return target
 
@@ -82,24 +82,20 @@ def source_state(path: str, listed) -> str:
     return f"files:{digest.hexdigest()}"
 
 
-def find_repositories(root: str, depth: int = 3) -> list[str]:
-    """Directories with a ``.git`` directory, down to a depth; nothing below one is searched."""
-    skipped = {"node_modules", "venv", "__pycache__", "dist", "build", "vendor", "target"}
-    found: list[str] = []
+# Directories that a search for repositories doesn't enter, besides hidden ones.
+NOT_SEARCHED = ("node_modules", "venv", "__pycache__", "dist", "build")
+
 
-    def visit(path: str, left: int) -> None:
-        if os.path.isdir(os.path.join(path, ".git")):
+def find_repositories(root: str, depth: int = 3) -> list[str]:
+    """Directories with a ``.git`` directory, down to a depth, in sorted order; nothing below one is searched."""
+    top = os.path.abspath(os.path.expanduser(root))
+    found = []
+    for path, names, _ in os.walk(top):
+        below = [] if path == top else os.path.relpath(path, top).split(os.sep)
+        if ".git" in names:
             found.append(path)
-            return
-        if left == 0:
-            return
-        try:
-            names = sorted(e.name for e in os.scandir(path) if e.is_dir(follow_symlinks=False))
-        except OSError:
-            return
-        for name in names:
-            if not name.startswith(".") and name not in skipped:
-                visit(os.path.join(path, name), left - 1)
-
-    visit(os.path.abspath(os.path.expanduser(root)), depth)
-    return found
+            names.clear()
+        elif len(below) >= depth:
+            names.clear()
+        names[:] = sorted(n for n in names if not n.startswith(".") and n not in NOT_SEARCHED)
+    return sorted(found)

@@ -109,7 +109,7 @@ def test_changes(spark, tmp_path):
     assert {r["content"] for r in engine.store.table("chunks").collect()} == {"alpha = 1\n", "gamma = 3\n"}
     assert engine.store.table("vectors").count() == 2
     engine.store.compact()
-    assert engine.store.table("chunks").count() == 2 and len(engine.store.manifest()["segments"]) == 1
+    assert engine.store.table("chunks").count() == 2 and all(len(x) == 1 for x in engine.store.manifest()["segments"].values())
     assert paths(engine.search("gamma"))[0] == "b.py"
     assert engine.index_repo(str(repo), force=True).indexed
     assert not engine.heal()
@@ -128,12 +128,109 @@ def test_heals_statistics(spark, tmp_path):
     write(tmp_path / "repo", {"a.py": "alpha = 1\n"})
     engine = Engine(spark, config)
     engine.index_repo(str(tmp_path / "repo"))
-    segment = engine.store.manifest()["segments"][0]
+    segment = engine.store.manifest()["segments"]["doc_stats"][0]
     empty = engine.store.table("doc_stats").limit(0)
     rows = spark.read.parquet(f"{config.store.path}/doc_stats/{segment}").limit(0)
     rows.write.mode("overwrite").parquet(f"{config.store.path}/doc_stats/{segment}")
-    assert empty.count() == 0 and engine.heal() and engine.store.table("doc_stats").count() == 1
-    assert paths(engine.search("alpha")) == ["a.py"]
+    assert empty.count() == 0 and engine.store.table("doc_stats").count() == 0
+    again = Engine(spark, config)
+    assert paths(again.search("alpha")) == ["a.py"]  # healed at the first reading
+    assert engine.store.table("doc_stats").count() == 1 and not engine.heal()
+
+
+def test_many_repositories_are_one_segment(spark, tmp_path):
+    config = Config()
+    config.store.path = str(tmp_path / "tables")
+    for name in "abc":
+        write(tmp_path / name, {f"{name}.py": f"{name}_value = 1\n"})
+    os.makedirs(tmp_path / "empty")
+    engine = Engine(spark, config)
+    wanted = [(str(tmp_path / name), False, None) for name in ("a", "missing", "b", "empty", "a", "c")]
+    done = engine.index_repos(wanted)
+    assert [type(x).__name__ for x in done] == ["IndexOutcome", "FileNotFoundError", "IndexOutcome", "ValueError", "IndexOutcome", "IndexOutcome"]
+    assert {name: len(x) for name, x in engine.store.manifest()["segments"].items()} == dict.fromkeys(("chunks", "vectors", "postings", "doc_stats"), 1)
+    assert paths(engine.search("b_value"))[0] == "b.py"
+    assert [x.indexed for x in engine.index_repos([wanted[0], wanted[2]])] == [False, False]
+    repo = done[0].repo_id
+    assert [r["file_path"] for r in engine.store.repo_chunks(repo).collect()] == ["a.py"] and engine.store.chunk_ids(repo).count() == 1
+    assert [r["file_path"] for r in engine.store.ordered_chunks().select("repo_id", "file_path").orderBy("file_path").collect()] == ["a.py", "b.py", "c.py"]
+    assert set(engine.store.repo_sources()) == set(engine.store.repo_source_paths()) and engine.store.repo_sources()[repo].endswith("/a")
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    import threading
+
+    from stratasearch.plans.store import Store
+
+    def add(name):
+        def change(manifest):
+            manifest["repos"][name] = {"repo_id": name}
+            return manifest
+
+        Store(spark, str(tmp_path)).update(change)
+
+    threads = [threading.Thread(target=add, args=(f"r{k}",)) for k in range(12)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    final = Store(spark, str(tmp_path)).manifest()
+    assert set(final["repos"]) == {f"r{k}" for k in range(12)} and final["number"] == 12
+    assert len([n for n in os.listdir(tmp_path) if n.startswith("MANIFEST")]) <= 9 and not any(n.startswith("_new") for n in os.listdir(tmp_path))
+
+
+def test_a_crash_between_the_steps_of_a_commit(spark, tmp_path, monkeypatch):
+    from stratasearch.plans.store import Store
+
+    store = Store(spark, str(tmp_path))
+    store.update(lambda m: m | {"repos": {"a": {"repo_id": "a"}}})
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Store, "_claimed", lambda self, manifest: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            store.update(lambda m: m | {"repos": {}})
+    (tmp_path / "_new-left").write_text("half a mani")
+    assert set(Store(spark, str(tmp_path)).manifest()["repos"]) == {"a"}
+    Store(spark, str(tmp_path)).update(lambda m: m | {"repos": m["repos"] | {"b": {"repo_id": "b"}}})
+    assert set(store.manifest()["repos"]) == {"a", "b"}
+
+
+def test_texts_that_could_not_be_encoded_are_tried_again(spark, tmp_path):
+    config = Config()
+    config.store.path = str(tmp_path / "tables")
+    write(tmp_path / "repo", {"a.py": "alpha = 1\n", "b.py": "beta = 2\n"})
+    works = tmp_path / "works"
+
+    class Sometimes(HashingEncoder):
+
+        def __init__(self, flag):
+            super().__init__()
+            self.flag = str(flag)
+
+        def __getattribute__(self, name):
+            if name == "encode_tokens":
+                raise AttributeError(name)
+            return super().__getattribute__(name)
+
+        def encode(self, texts):
+            import numpy as np
+
+            return [None if "beta" in t and not os.path.exists(self.flag) else np.ones(64) / 8 for t in texts]
+
+    engine = Engine(spark, config, Sometimes(works))
+    assert engine.index_repo(str(tmp_path / "repo")).indexed
+    assert engine.store.table("vectors").where("vector IS NULL").count() == 1
+    works.write_text("")
+    assert engine.index_repo(str(tmp_path / "repo")).indexed and engine.store.table("vectors").where("vector IS NULL").count() == 0
+    assert not engine.index_repo(str(tmp_path / "repo")).indexed
+
+
+def test_own_tables_are_no_sources(spark, tmp_path):
+    config = Config()
+    config.store.path = str(tmp_path / "repo" / "state")
+    write(tmp_path / "repo", {"a.py": "alpha = 1\n", "state/x.py": "x = 1\n"})
+    engine = Engine(spark, config)
+    assert engine.index_repo(str(tmp_path / "repo")).chunk_count == 1
+    assert not engine.index_repo(str(tmp_path / "repo")).indexed
 
 
 def test_command_line(spark, tmp_path, monkeypatch, capsys):

@@ -84,22 +84,26 @@ def test_config(tmp_path, monkeypatch):
         load_config(str(path))
     path.write_text(template())
     assert load_config(str(path)) == load_config(str(tmp_path / "missing.json"))
-    assert substituted({"a": ["${NOT_SET}x", 1]}) == {"a": ["x", 1]}
+    assert substituted({"a": ["${NOT_SET}x", 1]}) == {"a": ["${NOT_SET}x", 1]}
     monkeypatch.setenv("STRATASEARCH_CONFIG", str(path))
     assert load_config().ranking.coarse_multiplier == 5
 
 
 def test_projects(tmp_path, monkeypatch):
     monkeypatch.setenv("STRATASEARCH_PROJECTS_FILE", str(tmp_path / "p" / "projects.json"))
-    assert projects.load() == []
-    projects.add(str(tmp_path / "x" / ".." / "one"))
-    projects.add("https://example.com/a/tool.git", name="Tool", ref="dev")
-    projects.add(str(tmp_path / "one"), include_text_files=True)
-    assert [(p.display_name, p.include_text_files, p.ref) for p in projects.load()] == [("one", True, None), ("Tool", False, "dev")]
-    assert projects.remove(str(tmp_path / "one")) and not projects.remove(str(tmp_path / "one"))
+    registry = projects.Registry()
+    assert list(registry) == []
+    registry.upsert(registry.project(str(tmp_path / "x" / ".." / "one")))
+    registry.upsert(registry.project("https://example.com/a/tool.git", name="Tool", ref="dev"))
+    registry.upsert(registry.project(str(tmp_path / "one"), include_text_files=True))
+    assert [(p.title(), p.include_text_files, p.ref) for p in projects.Registry()] == [("one", True, None), ("Tool", False, "dev")]
+    assert registry.delete(str(tmp_path / "one")) and not registry.delete(str(tmp_path / "one"))
     with pytest.raises(ValueError):
-        projects.add("  ")
-    assert projects.Project("https://example.com/a/tool.git/").display_name == "tool"
+        registry.project("  ")
+    assert projects.Project("https://example.com/a/tool.git/").title() == "tool"
+    registry.file.write_text('{"projects": ["x", {"name": "no source"}, {"source": "/a/b"}], "more": 1}')
+    assert [p.title() for p in registry] == ["b"]
+    assert os.listdir(tmp_path / "p") == ["projects.json"]
 
 
 def test_git(tmp_path):
@@ -121,3 +125,4 @@ def test_git(tmp_path):
     tree(tmp_path, {"repo/a.py": "y\n"})
     assert git.is_dirty(repo) and git.source_state(repo, []).startswith("files:")
     assert git.find_repositories(str(tmp_path)) == [repo] and git.find_repositories(str(tmp_path), 0) == []
+    assert git._git("fetch", "--depth", "1", "--", "origin", "--upload-pack=touch /tmp/never", cwd=repo) is None
