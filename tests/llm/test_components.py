@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from stratasearch.llm import components
 from stratasearch.llm.components import connected_components, star_edges
 
 
@@ -35,8 +36,10 @@ GRAPHS = [
 ]
 
 
+@pytest.mark.parametrize("small", [0, 200_000])
 @pytest.mark.parametrize("edges", GRAPHS)
-def test_components(spark, edges):
+def test_components(spark, monkeypatch, edges, small):
+    monkeypatch.setattr(components, "SMALL_GRAPH", small)
     frame = spark.createDataFrame(edges, "a long, b long")
     assert {r["id"]: r["component"] for r in connected_components(frame).collect()} == direct(edges)
 
