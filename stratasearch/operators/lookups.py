@@ -33,6 +33,21 @@ def also_in(ids: DataFrame, other: DataFrame, key: str = "chunk_id") -> DataFram
     return ids.join(other.select(key).distinct(), key, "left_semi")
 
 
+def either(ids: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of one table or the other, each once."""
+    return ids.unionByName(other).distinct()
+
+
+def both(ids: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows that both tables have, each once."""
+    return ids.intersect(other)
+
+
+def first_of_each(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, first): the least ``order`` of each value, which is what dropping repeats in that order keeps. Nothing is sorted as a whole."""
+    return rows.groupBy(by).agg(F.min(order).alias("first"))
+
+
 def chunk_at_line(chunks: DataFrame, places: DataFrame) -> DataFrame:
     """For each place (place_id, repo_id, file_path, line): the chunk that holds the line and ends first.
 

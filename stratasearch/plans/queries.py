@@ -7,7 +7,6 @@ code runs over literal rows as well.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,7 +20,7 @@ from ..operators import bm25, chunking, dense, evaluation, fusion, lookups, rank
 from ..operators.chunking import line_chunks, structural_chunks, with_chunk_ids
 from ..operators.filters import within_size
 from ..sources.annotations import parse_tasks, task_targets
-from ..sources.tables import spread, table
+from ..sources.tables import kept, shared_folder, spread, table
 from ..sources.walker import tree_fingerprint
 from ..streaming.ingest import ingest_stream, ingested, windowed_counts
 from . import search as plans
@@ -274,6 +273,7 @@ def enrich_text(spark, sf):
 QUERY_ROWS = [
     (-1, "MyService"), (-2, "Sinatra::Base"), (-3, "_x"), (-4, "session"), (-5, "how does routing work"), (-6, "the and or"), (-7, "getUser and StateManager in HTTP"),
     (-8, "a->b->C"), (-9, "ns\\Name"), (-10, "pkg.mod.Thing"), (-11, "my_func"), (-12, " Padded "), (-13, "How it ends"), (-14, "authenticate user session"),
+    (-15, " \t "),
 ]
 
 
@@ -337,9 +337,17 @@ def corpus_stats(spark, sf):
     return bm25.corpus_stats(bm25.doc_stats(tokens(spark, sf))).select("n", r6("avgdl").alias("avgdl"))
 
 
-def _scored(spark, sf, queries, selector=None, tokenized=None):
-    rows = tokens(spark, sf) if tokenized is None else tokenized
-    return bm25.scores(queries, bm25.postings(rows), bm25.doc_stats(rows), selector)
+def _index(spark, rows: DataFrame) -> list[DataFrame]:
+    """Postings and statistics of (chunk_id, repo_id, tokens), stored as an engine has them; texts are cut into tokens once."""
+    rows = rows.persist()
+    try:
+        return kept(spark, postings=bm25.postings(rows), doc_stats=bm25.doc_stats(rows))
+    finally:
+        rows.unpersist()
+
+
+def _scored(spark, sf, queries, selector=None):
+    return bm25.scores(queries, *_index(spark, tokens(spark, sf)), selector)
 
 
 def _shown(found):
@@ -385,9 +393,8 @@ def bm25_repo_postfilter(spark, sf):
     f"WITH {s.TOKENS}, {_ONE}, {s.bm25()}, sel AS (SELECT * FROM bm WHERE repo_id = 'src3'), {s.top('sel', 25, 't')} SELECT query_id, chunk_id, round(score, 6) AS score FROM t"
 )
 def bm25_repo_prefilter(spark, sf):
-    rows = tokens(spark, sf)
     scoped = one_query(spark).withColumn("scope", F.lit("src3"))
-    found = plans.sparse_hits(scoped, bm25.postings(rows), bm25.doc_stats(rows), 25, prefilter=True)
+    found = plans.sparse_hits(scoped, *_index(spark, tokens(spark, sf)), 25, prefilter=True)
     return found.select("query_id", "chunk_id", r6("score").alias("score"))
 
 
@@ -531,12 +538,13 @@ def _both(spark, sf, asked):
     encoder = dense.HashingEncoder(64)
     rows = units(spark, sf)
     stored = dense.encoded(rows.select("chunk_id", F.col("repo_id").alias("namespace"), "content"), encoder).select("chunk_id", "namespace", "vector")
+    asked = plans.not_blank(asked)
     encoded = dense.encoded(asked, encoder, "query").select("query_id", "vector")
     near = dense.batch_nearest(stored, encoded, COARSE)
     return near, bm25.top(_scored(spark, sf, asked), COARSE)
 
 
-_ASKED = f"""{s.values('extra', 'query_id, query', QUERY_ROWS)}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT * FROM extra WHERE trim(query) <> '')"""
+_ASKED = f"""{s.values('extra', 'query_id, query', QUERY_ROWS)}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT * FROM extra WHERE trim(translate(query, chr(9) || chr(10), '  ')) <> '')"""
 
 
 def _both_sql(sparse_source: str = "bm") -> str:
@@ -713,13 +721,14 @@ def rank_without_query(spark, sf):
 
 
 def _indexed(spark, sf):
-    """Chunks, vectors, postings and statistics of the documents, and their repositories."""
-    # an engine has stored these; here they are kept while the query runs, as each of its parts reads them
-    chunks = with_chunk_ids(line_chunks(files(spark, sf))).drop("doc_id", "start", "end").dropDuplicates(["chunk_id"]).persist()
-    rows = bm25.tokenized(chunks)
-    stored = dense.encoded(chunks.select("chunk_id", F.col("repo_id").alias("namespace"), "content"), dense.HashingEncoder(64))
+    """Chunks, vectors, postings and statistics of the documents, stored as an engine has them, and their repositories."""
+    chunks = with_chunk_ids(line_chunks(files(spark, sf))).drop("doc_id", "start", "end").dropDuplicates(["chunk_id"])
+    (chunks,) = kept(spark, chunks=chunks)
+    posted, stats = _index(spark, bm25.tokenized(chunks))
+    made = dense.encoded(chunks.select("chunk_id", F.col("repo_id").alias("namespace"), "content"), dense.HashingEncoder(64))
+    (stored,) = kept(spark, vectors=made.select("chunk_id", "namespace", "vector"))
     repos = chunks.select("repo_id").distinct().withColumn("source", F.concat(F.lit("/repos/"), "repo_id"))
-    return chunks, stored.select("chunk_id", "namespace", "vector"), bm25.postings(rows), bm25.doc_stats(rows), repos
+    return chunks, stored, posted, stats, repos
 
 
 def _index_sql(k: int = 5) -> str:
@@ -862,18 +871,18 @@ def delta_anti_removed(spark, sf):
 @registered(f"WITH {_STATES} SELECT chunk_id FROM o UNION SELECT chunk_id FROM n")
 def union_ids(spark, sf):
     old, new = _old_and_new(spark, sf)
-    return old.union(new).distinct()
+    return lookups.either(old, new)
 
 
 @registered(f"WITH {_STATES} SELECT chunk_id FROM o INTERSECT SELECT chunk_id FROM n")
 def intersect_ids(spark, sf):
     old, new = _old_and_new(spark, sf)
-    return old.intersect(new)
+    return lookups.both(old, new)
 
 
 @registered("SELECT source, min(doc_id) AS first_id FROM documents GROUP BY source")
 def ordered_dedup(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("first_id"))
+    return lookups.first_of_each(table(spark, sf, "documents"), "source", "doc_id").withColumnRenamed("first", "first_id")
 
 
 def _places(spark, sf, rows):
@@ -966,14 +975,15 @@ def _judged(spark, sf):
     asked = benchmark_queries(spark, sf)
     rows = units(spark, sf)
     best = bm25.top(_scored(spark, sf, asked), 20).join(rows.select("chunk_id", "doc_id", "file_path", "content"), "chunk_id")
-    found = best.select("query_id", "rank", "doc_id", "file_path", F.lit(1).alias("start_line"), F.lit(10).alias("end_line"), "content")
+    start = (F.col("doc_id") % 4 * 3 + 1).cast("int")
+    found = best.select("query_id", "rank", "doc_id", "file_path", start.alias("start_line"), (start + 4).alias("end_line"), "content")
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
     targets = found.join(good, "doc_id", "left_semi").where(F.pmod("doc_id", F.lit(3)) != 1).select(
         "query_id",
         F.col("doc_id").alias("target_id"),
         F.col("file_path").alias("path"),
-        F.when(F.col("doc_id") % 3 == 0, F.lit(5)).alias("from_line"),
-        F.when(F.col("doc_id") % 3 == 0, F.lit(50)).alias("to_line"),
+        F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 11 + 1).cast("int")).alias("from_line"),
+        F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 11 + 3).cast("int")).alias("to_line"),
     )
     totals = asked.join(targets.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").select(
         "query_id", (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("n_relevant")
@@ -982,10 +992,11 @@ def _judged(spark, sf):
 
 
 _JUDGED = f"""WITH {s.TOKENS}, {_BENCHMARK}, {s.bm25()}, {s.top('bm', 20, 't')},
-    found AS (SELECT t.query_id, t.rank, u.doc_id, u.file_path, u.content FROM t JOIN units u USING (chunk_id)),
-    targets AS (SELECT query_id, doc_id AS target_id, file_path AS path FROM found WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id % 3 <> 1),
+    found AS (SELECT t.query_id, t.rank, u.doc_id, u.file_path, u.content, u.doc_id % 4 * 3 + 1 AS a, u.doc_id % 4 * 3 + 5 AS b FROM t JOIN units u USING (chunk_id)),
+    targets AS (SELECT query_id, doc_id AS target_id, file_path AS path, CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 + 1 END AS c, CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 + 3 END AS d FROM found WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id % 3 <> 1),
     totals AS (SELECT q.query_id, CAST(count(target_id) + 1 AS BIGINT) AS n_relevant FROM q LEFT JOIN targets USING (query_id) GROUP BY q.query_id),
-    hits AS (SELECT f.query_id, x.target_id, min(f.rank) AS rank FROM found f JOIN targets x ON f.query_id = x.query_id AND {s.same_file('f.file_path', 'x.path')} GROUP BY ALL)"""
+    hits AS (SELECT f.query_id, x.target_id, min(f.rank) AS rank FROM found f JOIN targets x ON f.query_id = x.query_id AND {s.same_file('f.file_path', 'x.path')}
+      WHERE x.c IS NULL OR NOT (f.b < x.c OR f.a > x.d) GROUP BY ALL)"""
 _CURVE = f"""{_JUDGED}, new AS (SELECT query_id, rank, count(*) AS c FROM hits GROUP BY ALL),
     curve AS (SELECT f.query_id, f.rank, sum(greatest(1, length(f.content) // 3)) OVER w AS tokens, coalesce(sum(c) OVER w, 0) AS covered
       FROM found f LEFT JOIN new USING (query_id, rank) WINDOW w AS (PARTITION BY f.query_id ORDER BY f.rank ROWS UNBOUNDED PRECEDING))"""
@@ -1168,8 +1179,7 @@ def events_session_ext(spark, sf):
 )
 def stream_ingest(spark, sf):
     """The documents as a stream of files, ingested into the folder that the cluster shares, and read back."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ingested-")
-    base = f"{shared}/ingested/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/ingested/{uuid.uuid4().hex}"
     stored = table(spark, sf, "documents")
     rows = spark.readStream.schema(stored.schema).parquet(f"{sf}/documents.parque[t]")  # a pattern may name a single file
     as_files = files_of(rows).drop("doc_id").withColumn("seen_at", F.timestamp_seconds(F.lit(1_700_000_000)))
@@ -1177,14 +1187,49 @@ def stream_ingest(spark, sf):
     return ingested(spark, f"{base}/tables", "chunks").select("chunk_id", "repo_id", "file_path", "start_line", "end_line")
 
 
-@registered()
+@registered(
+    """WITH RECURSIVE b AS (SELECT doc_id, k, 2 + doc_id % 5 AS n, 1 + (doc_id + k) % 7 AS body FROM documents, unnest(range(0, 2 + doc_id % 5)) AS u(k)),
+    o AS (SELECT doc_id, k, 11 + 14 * body AS len, 1 + body AS lines, sum(11 + 14 * body) OVER w - (11 + 14 * body) AS off, sum(1 + body) OVER w AS until FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+    g(doc_id, k, first, first_line, until, until_line) AS (
+      SELECT doc_id, k, off, 1, off + len, until FROM o WHERE k = 0
+      UNION ALL SELECT o.doc_id, o.k, CASE WHEN fits THEN first ELSE off END, CASE WHEN fits THEN first_line ELSE o.until - lines + 1 END, off + len, o.until
+        FROM (SELECT o.*, g.first, g.first_line, off + len - g.first <= 150 AS fits FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1) o)
+    SELECT doc_id, CAST(first AS INTEGER) AS "start", CAST(max(until) AS INTEGER) AS "end", CAST(min(first_line) AS INTEGER) AS start_line, CAST(max(until_line) AS INTEGER) AS end_line FROM g GROUP BY doc_id, first"""
+)
 def structural_chunks_(spark, sf):
-    """Files as if they were code, split by indentation."""
-    rows = files(spark, sf).withColumn("language", F.lit("python"))
-    return structural_chunks(rows).select("repo_id", "file_path", "start", "end", "start_line", "end_line")
+    """A source file for each document, of functions of one to seven lines: neighbours are packed, and none is cut."""
+    functions = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 5 + 1),
+        lambda k: F.concat(F.lit("def f"), k.cast("string"), F.lit("(x):\n"), F.repeat(F.lit("    y = x + 1\n"), (1 + (F.col("doc_id") + k) % 7).cast("int"))),
+    )
+    rows = table(spark, sf, "documents").select(
+        F.lit("r").alias("repo_id"), F.col("doc_id").cast("string").alias("file_path"), F.lit("python").alias("language"), F.array_join(functions, "").alias("content")
+    )
+    return structural_chunks(rows, desired=150).select(F.col("file_path").cast("long").alias("doc_id"), "start", "end", "start_line", "end_line")
+
+
+QUERIES["structural_chunks"], ORACLE_SQL["structural_chunks"] = QUERIES.pop("structural_chunks_"), ORACLE_SQL.pop("structural_chunks_")
+
+
+PATTERN = "licen[cs]e|public"
+
+
+@registered(f"WITH {s.FILES} SELECT * FROM (SELECT file_path, CAST(len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '(?i){PATTERN}'))) AS BIGINT) AS hits FROM files) WHERE hits > 0")
+def pattern_hits(spark, sf):
+    return evaluation.pattern_files(files(spark, sf), PATTERN)
+
+
+@registered("SELECT lang AS repo, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM documents GROUP BY lang")
+def tasks_by_repo_(spark, sf):
+    from ..sources.annotations import tasks_by_repo
+
+    docs = table(spark, sf, "documents")
+    tasks = docs.select(F.col("lang").alias("repo"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("query"), F.col("doc_id").alias("query_id"), "source", F.array("source").alias("targets"))
+    grouped = tasks_by_repo(tasks.withColumnRenamed("source", "category"))
+    return grouped.select("repo", F.size("tasks").cast("long").alias("n"), F.element_at("tasks", 1)["query_id"].alias("first_id"))
 
 
-QUERIES["structural_chunks"] = QUERIES.pop("structural_chunks_")
+QUERIES["tasks_by_repo"], ORACLE_SQL["tasks_by_repo"] = QUERIES.pop("tasks_by_repo_"), ORACLE_SQL.pop("tasks_by_repo_")
 
 
 @registered()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
 from ..operators import bm25, dense, fusion, ranking
 from ..operators.lookups import resolve_candidates
 
@@ -14,6 +15,11 @@ def scoped(queries: DataFrame) -> DataFrame:
     return queries if "scope" in queries.columns else queries.withColumn("scope", F.lit(None).cast("string"))
 
 
+def not_blank(queries: DataFrame) -> DataFrame:
+    """Queries with more than white space; the others have no results."""
+    return queries.where(~is_blank("query"))
+
+
 def sparse_hits(
     queries: DataFrame, postings: DataFrame, stats: DataFrame, coarse: int, prefilter: bool = False
 ) -> DataFrame:
@@ -54,7 +60,7 @@ def search(
     Blank queries have no results. ``outside`` lets chunks in that define a queried symbol but were not retrieved, in the repositories
     that have candidates.
     """
-    asked = scoped(queries).where(F.trim("query") != "").select("query_id", "query", "scope")
+    asked = not_blank(scoped(queries)).select("query_id", "query", "scope")
     coarse = max(coarse_multiplier * top_k, top_k)
     encoded = dense.encoded(asked, encoder, "query").select("query_id", "scope", "vector")
     near = dense_hits(vectors, encoded, coarse, metric)

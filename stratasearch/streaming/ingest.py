@@ -40,9 +40,10 @@ def ingest_stream(rows: DataFrame, target: str, checkpoint: str) -> StreamingQue
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        tokens = bm25.tokenized(batch)
+        tokens = bm25.tokenized(batch).persist()
         for name, table in (("chunks", batch), ("postings", bm25.postings(tokens)), ("doc_stats", bm25.doc_stats(tokens))):
             table.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        tokens.unpersist()
         batch.unpersist()
 
     return chunk_stream(rows).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
