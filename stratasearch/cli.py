@@ -9,15 +9,17 @@ from pathlib import Path
 from .plans.engine import Engine
 from .plans.search import rendered
 from .plans.store import RepoNotIndexedError
-from .serve import Server
+from .serve import Client, Server, running_client
 from .session import local_session
 from .sources import git, projects
-from .sources.config import load_config, template
+from .sources.config import Config, load_config, template
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="stratasearch", description="Search code and text in many repositories.")
     parser.add_argument("--config", help="configuration file")
+    parser.add_argument("--server", action="store_true", help="answer searches by the server that keeps a session, started if need be")
+    parser.add_argument("--no-server", action="store_true", help="never ask a server, even if one is running")
     commands = parser.add_subparsers(dest="command", required=True)
     init = commands.add_parser("init", help="write a configuration to start from")
     init.add_argument("--path", default="stratasearch.json")
@@ -39,6 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     commands.add_parser("status")
     serve = commands.add_parser("serve", help="keep a session and answer clients")
     serve.add_argument("--idle-seconds", type=float, default=0.0)
+    commands.add_parser("server", help="the running server").add_argument("action", choices=("status", "stop"))
     project = commands.add_parser("projects").add_subparsers(dest="action", required=True)
     add = project.add_parser("add")
     add.add_argument("source")
@@ -86,6 +89,27 @@ def _show(found, nothing: str) -> int:
     return 0
 
 
+def _by_server(args, config: Config) -> int | None:
+    """A search that a running server answers; None where there is no such server, and this process has to do it."""
+    try:
+        client = running_client(config, args.config, start=args.server)
+        if args.command == "search":
+            rows = client.ask("search", query=args.query, top_k=args.top_k, repo=args.repo)
+        else:
+            rows = client.ask("find_related", file_path=args.file_path, line=args.line, repo=args.repo, top_k=args.top_k)
+    except (ConnectionError, OSError):
+        return None
+    except (RepoNotIndexedError, ValueError) as error:
+        print(error, file=sys.stderr)
+        return 1
+    for r in rows:
+        chunk, source = r["chunk"], f"repo: {r['repo_source']}\n" if r["repo_source"] else ""
+        print(f"## {r['rank']}. {r['repo_name']} :: {chunk['file_path']}:{chunk['start_line']}-{chunk['end_line']}  [score={r['score']:.3f}]\n{source}```\n{chunk['content'].strip()}\n```\n")
+    if not rows:
+        print("no results")
+    return 0
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = _parser().parse_args(argv)
     if args.command == "init":
@@ -97,7 +121,20 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 0
     if args.command == "projects":
         return _projects(args)
-    engine = Engine(spark or local_session(), load_config(args.config))
+    config = load_config(args.config)
+    if args.command == "server":
+        try:
+            client = Client(config=config)
+            print(client.ask("shutdown") if args.action == "stop" else client.ask("status"))
+            return 0
+        except ConnectionError as error:
+            print(error, file=sys.stderr)
+            return 1
+    if args.command in ("search", "find-related") and not args.no_server:
+        answered = _by_server(args, config)
+        if answered is not None:
+            return answered
+    engine = Engine(spark or local_session(), config)
     try:
         if args.command in ("index", "reindex"):
             return _index(engine, args)

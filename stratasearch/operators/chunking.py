@@ -2,17 +2,20 @@
 
 Line packing and the hard split are expressions: one fold over a file's lines carries the open chunk's first
 line and length and closes it when the next line would not fit, so a file is read once. The structural
-splitter is Python, over Arrow batches; it stands in for a parser and can be replaced by one.
+splitter is Python, over Arrow batches; it stands in for a parser and can be replaced by one: ``tree_splitter`` groups the nodes of any syntax tree.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.languages import Languages
 from ..functions.text import count_of, is_blank, lines_of
 
 DESIRED_CHARS, MOST_CHARS = 1500, 12_000
@@ -122,23 +125,112 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
 
 Splitter = Callable[[str, str, int], "list[tuple[int, int]] | None"]
 
-#: Languages whose blocks the indentation shows.
-STRUCTURED = (
-    "bash c cpp csharp dart elixir go groovy haskell java javascript julia kotlin lua ocaml perl php python r ruby rust scala "
-    "swift tsx typescript zig"
-).split()
+#: Languages that are split by structure: all that count as code.
+STRUCTURED = frozenset(Languages().table.values()) - Languages().documents
+
+
+def merged_groups(groups: list[tuple[int, int, int]], desired: int) -> list[tuple[int, int]]:
+    """Spans of neighbouring groups (start, end, length), in order: one joins the span before it while their lengths add up to ``desired`` at most. The
+    gaps between groups belong to spans but don't count; a longer group stands alone."""
+    spans: list[list[int]] = []
+    for start, end, length in groups:
+        if spans and spans[-1][2] + length <= desired:
+            spans[-1][1], spans[-1][2] = end, spans[-1][2] + length
+        else:
+            spans.append([start, end, length])
+    return [(start, end) for start, end, _ in spans]
+
+
+@dataclass
+class Node:
+    """A node of a syntax tree; offsets are in bytes."""
+
+    start: int
+    end: int
+    children: list[Node] = field(default_factory=list)
+
+
+# Nodes of fewer bytes, and nodes deeper than this, are never taken apart.
+SHORT_NODE, DEEPEST_NODE = 50, 500
+
+
+def node_groups(root: Node, desired: int) -> list[tuple[int, int, int]]:
+    """Groups (start, end, length) of a tree: siblings are packed in order up to ``desired``, longer nodes with children are taken apart."""
+    groups: list[tuple[int, int, int]] = []
+    waiting = [(root, 0)]
+    held: tuple[int, int, int] | None = None
+    while waiting:
+        node, depth = waiting.pop()
+        size = node.end - node.start
+        if size > desired and size >= SHORT_NODE and node.children and depth <= DEEPEST_NODE:
+            if held is not None:
+                groups.append(held)
+                held = None
+            waiting += [(child, depth + 1) for child in reversed(node.children)]
+        elif held is not None and held[2] + size <= desired:
+            held = (held[0], node.end, held[2] + size)
+        else:
+            if held is not None:
+                groups.append(held)
+            held = (node.start, node.end, size)
+    return groups if held is None else [*groups, held]
+
+
+class Parsers:
+    """One parser for each language, loaded when it is first wanted; where that fails, it is told once and there is none."""
+
+    def __init__(self, load: Callable[[str], Callable[[bytes], Node]]):
+        self.load = load
+        self.known: dict[str, Callable[[bytes], Node] | None] = {}
+
+    def parser(self, language: str) -> Callable[[bytes], Node] | None:
+        if language not in self.known:
+            try:
+                self.known[language] = self.load(language)
+            except Exception as error:  # the loader decides what it raises
+                logging.getLogger(__name__).warning("no parser for %s: %s", language, error)
+                self.known[language] = None
+        return self.known[language]
+
+
+def tree_splitter(load: Callable[[str], Callable[[bytes], Node]]) -> Splitter:
+    """A splitter by syntax trees; ``load`` gives a language's parser, bytes to a tree, on the workers. Spans are in characters and cover the source."""
+    parsers = Parsers(load)
+
+    def split(source: str, language: str, desired: int) -> list[tuple[int, int]] | None:
+        parser = parsers.parser(language)
+        if parser is None:
+            return None
+        data = source.encode("utf-8", "replace")
+        spans = merged_groups(node_groups(parser(data), desired), desired)
+        starts = [0, *(len(data[:start].decode("utf-8", "ignore")) for start, _ in spans[1:])] if len(data) != len(source) else [0, *(start for start, _ in spans[1:])]
+        return list(zip(starts, [*starts[1:], len(source)]))
+
+    return split
+
+
+def _levels(lines: list[str], body: list[int]) -> dict[int, int]:
+    """The depth of each line: its indentation, or, where all lines have the same, the brackets that are open before it."""
+    indents = {k: len(lines[k]) - len(lines[k].lstrip(" \t")) for k in body}
+    if len(set(indents.values())) > 1:
+        return indents
+    open_, depths = 0, {}
+    for k in body:
+        depths[k] = open_
+        open_ = max(0, open_ + sum(c in "{([" for c in lines[k]) - sum(c in "})]" for c in lines[k]))
+    return depths
 
 
 def _pieces(lines: list[str], first: int, last: int, desired: int, depth: int) -> list[tuple[int, int]]:
-    """Line ranges of one level: a new piece starts at each line of least indentation that isn't a closing one."""
+    """Line ranges of one level: a new piece starts at each line of least depth that isn't a closing one."""
     body = [k for k in range(first, last) if lines[k].strip()]
     if sum(len(x) for x in lines[first:last]) <= desired or len(body) < 2 or depth > 50:
         return [(first, last)]
-    indents = {k: len(lines[k]) - len(lines[k].lstrip(" \t")) for k in body}
-    least = min(indents[k] for k in body[1:]) if depth else min(indents.values())
+    levels = _levels(lines, body)
+    least = min(levels[k] for k in body[1:]) if depth else min(levels.values())
     starts = [first]
     for k in body:
-        if k > first and indents[k] <= least and lines[k].strip()[0] not in ")]}" and not lines[k].strip().startswith("end"):
+        if k > first and levels[k] <= least and lines[k].strip()[0] not in ")]}" and not lines[k].strip().startswith("end"):
             starts.append(k)
     if len(starts) == 1:
         return [(first, last)]
@@ -149,34 +241,36 @@ def _pieces(lines: list[str], first: int, last: int, desired: int, depth: int) -
 
 
 def indentation_splitter(source: str, language: str, desired: int) -> list[tuple[int, int]] | None:
-    """Spans of a source by its indentation, neighbouring small blocks packed together; None for other languages."""
+    """Spans of a source by its indentation or its brackets, neighbouring small blocks packed together; None for languages that aren't code."""
     if language not in STRUCTURED:
         return None
     lines = source.splitlines(keepends=True)
     offsets = [0]
     for line in lines:
         offsets.append(offsets[-1] + len(line))
-    spans: list[tuple[int, int]] = []
-    for a, b in _pieces(lines, 0, len(lines), desired, 0):
-        start, end = offsets[a], offsets[b]
-        if spans and end - spans[-1][0] <= desired:
-            spans[-1] = (spans[-1][0], end)
-        else:
-            spans.append((start, end))
-    return spans
+    return merged_groups([(offsets[a], offsets[b], offsets[b] - offsets[a]) for a, b in _pieces(lines, 0, len(lines), desired, 0)], desired)
 
 
 def structural_chunks(files: DataFrame, splitter: Splitter = indentation_splitter, desired: int = DESIRED_CHARS, most: int = MOST_CHARS) -> DataFrame:
     """Chunks of ``files`` (repo_id, file_path, language, content) by structure where the splitter knows the language, else by lines.
 
-    The result has repo_id, file_path, language, start, end, content, start_line, end_line.
+    The result has repo_id, file_path, language, start, end, content, start_line, end_line. A splitter may have no way with a language either; its files
+    are split by lines then.
     """
 
+    def by_lines_instead(source: str) -> list[tuple[int, int]]:
+        groups, at = [], 0
+        for line in source.splitlines(keepends=True):
+            groups.append((at, at + len(line), len(line)))
+            at += len(line)
+        return merged_groups(groups, desired)
+
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for repo, path, language, source in zip(batch["repo_id"], batch["file_path"], batch["language"], batch["content"]):
-                for start, end in splitter(source, language, desired) or []:
+                found = splitter(source, language, desired)
+                for start, end in by_lines_instead(source) if found is None else found:
                     step = most if most > 0 else max(1, end - start)
                     for a in range(start, end, step):
                         b = min(a + step, end)
@@ -185,7 +279,7 @@ def structural_chunks(files: DataFrame, splitter: Splitter = indentation_splitte
 
     columns = ["repo_id", "file_path", "language", "content"]
     kept = files.select(*columns).where(~is_blank("content"))
-    known = F.coalesce(F.col("language").isin(STRUCTURED), F.lit(False))
+    known = F.coalesce(F.col("language").isin(sorted(STRUCTURED)), F.lit(False))
     schema = "repo_id string, file_path string, language string, start int, end int, content string, start_line int, end_line int"
     by_structure = kept.where(known).mapInPandas(split, schema)
     by_lines = line_chunks(kept.where(~known), desired, most)

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from abc import ABC, abstractmethod
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,24 @@ CALIBRATION_ROWS = 2000
 MOST_LEFT = 0.5
 
 
+class PermanentError(RuntimeError):
+    """A failure that trying again can't mend: a wrong key, an unknown model, vectors of another length."""
+
+
+def fitted(text: str, count: Callable[[str], int], budget: int) -> str:
+    """The longest prefix of a text with at most ``budget`` tokens, found by halving; at worst nothing is left.
+
+    Counts of prefixes are taken to grow with their length.
+    """
+    if count(text) <= budget:
+        return text
+    low, high = 0, len(text)  # a prefix of ``low`` fits, one of ``high`` doesn't
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if count(text[:middle]) <= budget else (low, middle)
+    return text[:low]
+
+
 class Encoder(ABC):
     """Turns texts into vectors. Instances are shipped to the executors, so they must be picklable."""
 
@@ -100,13 +119,23 @@ _places: dict[int, dict[str, tuple[int, int]]] = {}
 class ServiceEncoder(Encoder):
     """Vectors from an embedding service with the common ``/embeddings`` interface; wrap it in ``RetryingEncoder``.
 
-    Texts are cut to a token budget by the estimate of three characters a token. Vectors come back in any order, with their
-    index, and get length one.
+    Texts are cut to a token budget: exactly, with the tokenizer file of the model (readable on every executor), else by the estimate of
+    three characters a token. Vectors come back in any order, with their index, and get length one. Refusals other than for length, haste or time
+    are permanent.
     """
 
-    def __init__(self, url: str, model: str, dim: int, key: str | None = None, context: int = 8192, timeout: float = 60.0):
+    def __init__(self, url: str, model: str, dim: int, key: str | None = None, context: int = 8192, timeout: float = 60.0, tokenizer: str | None = None):
         self.url, self.model, self._dim, self.key, self.timeout = url.rstrip("/"), model, dim, key, timeout
-        self.most_chars = 3 * (int(context * 0.95) - 16)
+        self.budget, self.tokenizer = int(context * 0.95) - 16, tokenizer
+
+    def cut(self, texts: Sequence[str]) -> list[str]:
+        """Texts within the budget."""
+        if self.tokenizer is None:
+            return [t[: 3 * self.budget] for t in texts]
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.tokenizer)
+        return [fitted(t, lambda x: len(library.encode(x).ids), self.budget) for t in texts]
 
     @property
     def name(self) -> str:
@@ -121,18 +150,20 @@ class ServiceEncoder(Encoder):
         import urllib.error
         import urllib.request
 
-        body = json.dumps({"model": self.model, "input": [t[: self.most_chars] for t in texts]}).encode()
+        body = json.dumps({"model": self.model, "input": self.cut(texts)}).encode()
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
         try:
             with urllib.request.urlopen(urllib.request.Request(f"{self.url}/embeddings", body, headers), timeout=self.timeout) as reply:
                 rows = json.load(reply)["data"]
         except urllib.error.HTTPError as error:
-            raise RuntimeError(error.read().decode("utf-8", "replace")) from error
+            said = error.read().decode("utf-8", "replace")
+            lasting = 400 <= error.code < 500 and error.code not in (408, 413, 429) and not OVERFLOW.search(said)
+            raise (PermanentError if lasting else RuntimeError)(said) from error
         out: list[np.ndarray | None] = [None] * len(texts)
         for row in rows:
             vector = np.array(row["embedding"], dtype=np.float64)
             if len(vector) != self._dim:
-                raise ValueError(f"the service gave {len(vector)} dimensions, {self._dim} are set")
+                raise PermanentError(f"the service gave {len(vector)} dimensions, {self._dim} are set")
             size = np.sqrt((vector * vector).sum())
             out[row["index"]] = vector / (size if size > 1e-9 else 1.0)
         return out
@@ -153,7 +184,8 @@ OVERFLOW = re.compile("context length|input_tokens|too many tokens", re.IGNORECA
 
 
 class RetryingEncoder(Encoder):
-    """Wraps an encoder that may fail: batches are retried, then single texts; texts that are too long shrink."""
+    """Wraps an encoder that may fail: batches are retried, then single texts, each time after a longer pause; texts that are too long shrink. Permanent
+    failures are raised at once."""
 
     def __init__(self, inner: Encoder, retries: int = 3, shrink: float = 0.8, floor: int = 256, most_shrinks: int = 8, wait: float = 0.0):
         self.inner, self.retries, self.shrink, self.floor, self.most_shrinks, self.wait = inner, retries, shrink, floor, most_shrinks, wait
@@ -167,11 +199,11 @@ class RetryingEncoder(Encoder):
         return self.inner.dim
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray | None]:
-        import time
-
         for attempt in range(self.retries):
             try:
                 return self.inner.encode(texts)
+            except PermanentError:
+                raise
             except Exception as error:  # the wrapped service decides what it raises
                 if OVERFLOW.search(str(error)):
                     break
@@ -183,11 +215,14 @@ class RetryingEncoder(Encoder):
         while failures < self.retries:
             try:
                 return self.inner.encode([text])[0]
+            except PermanentError:
+                raise
             except Exception as error:
                 if OVERFLOW.search(str(error)) and shrinks < self.most_shrinks and len(text) > self.floor:
                     text = text[: max(self.floor, int(len(text) * self.shrink))]
                     shrinks += 1
                 else:
+                    time.sleep(self.wait * 2**failures)
                     failures += 1
         return None
 

@@ -91,24 +91,26 @@ def query_boost(candidates: DataFrame) -> DataFrame:
 def outside_definitions(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks that aren't candidates but define the queried symbol in a file named after it, with that definition's score.
 
-    Off in the default ranking. ``chunks``: repo_id, chunk_id, file_path, content. Only files whose stem fits are joined.
+    Off in the default ranking. ``chunks``: repo_id, chunk_id, file_path, content. Queries are joined with chunks by repository and the forms of a
+    file's stem: every query asks for the stems that fit its names, every chunk for its own stem's few forms, so no other pair is made.
     """
     asked = candidates.groupBy(*_REPO, "query").agg(F.max("score").alias("best"))
-    stem = F.lower(stem_of("file_path"))
-    plain = F.replace(stem, F.lit("_"), F.lit(""))
     symbolic = is_symbol_query("query")
     names = F.when(symbolic, symbol_names(F.col("query"))).otherwise(embedded_symbols("query"))
-    lowered = F.transform(F.col("names"), F.lower)
-
-    def prefix(s: Column, n: Column) -> Column:
-        return (F.length(s) >= LEAST_STEM) & F.startswith(n, s)
-
-    by_symbol = stem_matches(stem, F.lower(symbol_leaf("query")))
-    by_words = F.exists(lowered, lambda n: (stem == n) | (plain == n) | prefix(stem, n) | prefix(plain, n))
-    rest = chunks.join(asked, "repo_id").join(candidates.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    fitting = rest.withColumn("names", names).where(F.when(symbolic, by_symbol).otherwise(by_words))
+    lowered = F.transform("names", F.lower)
+    prefixes = F.flatten(F.transform(lowered, lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.length(n) - LEAST_STEM, F.lit(0))), lambda k: F.substr(n, F.lit(1), F.greatest(F.length(n) - k, F.lit(LEAST_STEM))))))
+    wanted = F.when(symbolic, F.array(F.lower(symbol_leaf("query")))).otherwise(F.array_distinct(F.concat(lowered, prefixes)))
+    asking = asked.withColumn("names", names).withColumn("key", F.explode_outer(wanted)).where("key IS NOT NULL")
+    stem = F.lower(stem_of("file_path"))
+    plain = F.replace(stem, F.lit("_"), F.lit(""))
+    forms = F.array_distinct(F.array(stem, plain, F.regexp_replace(stem, "s+$", ""), F.regexp_replace(plain, "s+$", "")))
+    placed = chunks.withColumn("key", F.explode(forms))
+    met = placed.join(asking, ["repo_id", "key"])
+    own = (F.col("key") == stem) | (F.col("key") == plain)  # only a symbol may leave a plural ending out
+    met = met.where(symbolic | own).drop("key").dropDuplicates(["query_id", "repo_id", "chunk_id"])
+    rest = met.join(candidates.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     unit = F.col("best") * DEFINITION_FACTOR * F.when(symbolic, 1.0).otherwise(EMBEDDED_SHARE)
-    gained = fitting.withColumn("score", definition_gain(F.col("content"), stem, F.col("names"), unit))
+    gained = rest.withColumn("score", definition_gain(F.col("content"), stem, F.col("names"), unit))
     return gained.where("score > 0").drop("names", "best")
 
 

@@ -132,7 +132,9 @@ class Engine:
                 old = old.limit(0)
             kept = old.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
             new = dense.encoded(only_in(chunks.select("chunk_id", "repo_id", "content"), old), self.encoder, "content", self.config.embedding.batch_size)
-            fresh = new.select("chunk_id", F.col("repo_id").alias("namespace"), F.col("vector").cast("array<float>").alias("vector"), "embed_error")
+            wrong = F.col("vector").isNotNull() & (F.size("vector") != self.encoder.dim)
+            vector = F.when(wrong, F.raise_error(F.lit(f"a vector without the {self.encoder.dim} components of {self.encoder.name}"))).otherwise(F.col("vector"))
+            fresh = new.select("chunk_id", F.col("repo_id").alias("namespace"), vector.cast("array<float>").alias("vector"), "embed_error")
             version = self.store.new_version()
             tables = {"chunks": chunks, "vectors": kept.unionByName(fresh), "postings": bm25.postings(tokens), "doc_stats": bm25.doc_stats(tokens)}
             segment = self.store.write_segment(tables, version)

@@ -74,3 +74,44 @@ def test_structure(spark):
     deep = "\n".join(" " * k + "if x:" for k in range(10_000))
     assert chunking.indentation_splitter(deep, "python", 100)[-1][1] == len(deep)
     assert chunking.indentation_splitter("x", "markdown", 100) is None
+
+
+def test_groups_of_nodes():
+    leaf = lambda a, b: chunking.Node(a, b)
+    root = chunking.Node(0, 300, [leaf(0, 40), leaf(42, 80), chunking.Node(82, 250, [leaf(82, 140), leaf(141, 249)]), leaf(255, 300)])
+    assert chunking.node_groups(root, 100) == [(0, 80, 78), (82, 140, 58), (141, 249, 108), (255, 300, 45)]
+    assert chunking.merged_groups(chunking.node_groups(root, 100), 100) == [(0, 80), (82, 140), (141, 249), (255, 300)]
+    assert chunking.merged_groups([(0, 10, 10), (15, 20, 5), (30, 90, 60), (91, 95, 4)], 15) == [(0, 20), (30, 90), (91, 95)]
+    deep = leaf(0, 1000)
+    for _ in range(2000):
+        deep = chunking.Node(0, 1000, [deep])
+    assert chunking.node_groups(deep, 100) == [(0, 1000, 1000)]
+    assert chunking.node_groups(chunking.Node(0, 49, [leaf(0, 20), leaf(20, 49)]), 10) == [(0, 49, 49)]
+
+
+def test_tree_splitter(spark):
+    loaded = []
+
+    def load(language):
+        loaded.append(language)
+        if language == "go":
+            raise ImportError("none here")
+
+        def parse(data):
+            ends = [k + 1 for k, c in enumerate(data) if c == 10]
+            return chunking.Node(0, len(data), [chunking.Node(a, b) for a, b in zip([0, *ends], ends)])
+
+        return parse
+
+    split = chunking.tree_splitter(load)
+    source = "é" * 30 + "\n" + "x" * 50 + "\n" + "ü" * 60 + "\n"
+    assert split(source, "rust", 80) == [(0, 31), (31, 82), (82, 143)] and split(source, "rust", 10_000) == [(0, 143)]
+    assert split(source, "go", 80) is None and split(source, "go", 80) is None and loaded == ["rust", "go"]
+    files = spark.createDataFrame([("r", "a.go", "go", "ab\ncd\nef\n")], "repo_id string, file_path string, language string, content string")
+    assert [(r["start"], r["end"]) for r in chunking.structural_chunks(files, split, 6).collect()] == [(0, 6), (6, 9)]
+
+
+def test_brackets_show_structure_where_indentation_does_not():
+    source = "".join(f"func f{k}() {{\nreturn {k}\n}}\n" for k in range(6))
+    spans = chunking.indentation_splitter(source, "go", 30)
+    assert [source[a:b].count("func") for a, b in spans] == [1] * 6 and "".join(source[a:b] for a, b in spans) == source

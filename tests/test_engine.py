@@ -254,11 +254,12 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert main(["projects", "remove", str(tmp_path / "repo")]) == 0
 
 
-def test_server(engine, tmp_path, monkeypatch):
+def test_server(engine, tmp_path, monkeypatch, capsys):
     import json
     import threading
 
-    from stratasearch.serve import Client, Server, answer_tool
+    from stratasearch.cli import main
+    from stratasearch.serve import Client, Server, answer_tool, related_tool, running_client, spawn_lock
 
     file = tmp_path / "server.json"
     with pytest.raises(ConnectionError):
@@ -279,8 +280,24 @@ def test_server(engine, tmp_path, monkeypatch):
             client.ask(method, **params)
     assert server.answer(json.dumps({"token": "no", "method": "ping"}).encode())["kind"] == "token"
     assert server.answer(b"not json")["kind"] == "request"
+    assert running_client(engine.config, file=file, start=False).ask("ping") == "pong"
+    other = Config()
+    other.embedding.batch_size = 7
+    with pytest.raises(ConnectionError):
+        Client(file, config=other).ask("ping")
+    monkeypatch.setenv("STRATASEARCH_SERVER_FILE", str(file))
+    settings = tmp_path / "config.json"
+    settings.write_text(json.dumps({"store": {"path": engine.config.store.path}}))
+    assert main(["--config", str(settings), "search", "UserService", "--top-k", "1"]) == 0 and "users.py:" in capsys.readouterr().out
+    assert main(["--config", str(settings), "find-related", "a.py", "1", "--repo", "/missing"]) == 1
+    assert main(["--config", str(settings), "server", "status"]) == 0
+    with spawn_lock(file) as first, spawn_lock(file) as second:
+        assert first and not second
+    with spawn_lock(file) as again:
+        assert again
     client.ask("shutdown")
     thread.join(10)
+    assert main(["--config", str(settings), "server", "stop"]) == 1
     assert not file.exists()
     idle = Server(engine, file, idle_seconds=0.2)
     idle.run()  # stops by itself
@@ -289,6 +306,9 @@ def test_server(engine, tmp_path, monkeypatch):
     assert "users.py" in answer_tool(engine, "UserService", 1, "workspace", workspace=str(engine.base / "one"))
     with pytest.raises(ValueError):
         answer_tool(engine, "x", 0)
+    one = str(engine.base / "one")
+    assert "login.py" in related_tool(engine, one, "auth.py", 1) and "No chunk" in related_tool(engine, one, "auth.py", 999)
+    assert "not indexed" in related_tool(engine, "/missing", "auth.py", 1)
 
 
 def test_definitions_outside_the_candidates(engine):

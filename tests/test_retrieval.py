@@ -218,13 +218,69 @@ def test_service(spark):
     got = encoder.encode(["a", "bad"])
     assert got[1] is None and np.isclose((got[0] ** 2).sum(), 1)
     wrong = dense.ServiceEncoder(config.url, "m", 5)
-    with pytest.raises(ValueError):
+    with pytest.raises(dense.PermanentError):
         wrong.encode(["a"])
+    with pytest.raises(dense.PermanentError):  # not tried again
+        dense.RetryingEncoder(wrong, retries=3, wait=100).encode(["a"])
     server.shutdown()
     with pytest.raises(ValueError):
         dense.create_encoder(EmbeddingConfig(model="m"))
 
 
+def test_exact_budget(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1}, unk_token="[UNK]"))
+    words.pre_tokenizer = pre_tokenizers.Whitespace()
+    words.save(str(tmp_path / "t.json"))
+    count = lambda t: len(t.split())
+    assert dense.fitted("aa bb cc", count, 2) == "aa bb " and dense.fitted("aa bb", count, 2) == "aa bb" and dense.fitted("aa", count, 0) == ""
+    encoder = dense.ServiceEncoder("http://x", "m", 4, context=40, tokenizer=str(tmp_path / "t.json"))
+    assert encoder.cut(["a " * 100, "a"]) == ["a " * encoder.budget, "a"] and encoder.budget == 22
+
+
+def test_scopes_and_exclusions_in_one_plan(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{k:03}", f"n{k % 4}", [float(x) for x in rng.standard_normal(6)]) for k in range(300)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, namespace string, vector array<double>")
+    asked = [(k, [None, f"n{k % 5}"][k % 2], f"n{k % 3}" if k % 3 else None, [float(x) for x in rng.standard_normal(6)]) for k in range(20)]
+    queries = spark.createDataFrame([*asked, (99, None, None, None), (98, None, None, [1.0])], "query_id long, only string, without string, vector array<double>")
+    got = {}
+    for r in dense.batch_nearest(vectors, queries, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for k, only, without, q in asked:
+        fits = [(-round(float(np.dot(v, q)), 9), c) for c, n, v in rows if (only is None or n == only) and (without is None or n != without)]
+        assert got.get(k, []) == [c for _, c in sorted(fits)[:4]], k
+    assert 99 not in got and 98 not in got
+
+
+def test_interfaces(spark):
+    from stratasearch.plans.interfaces import TableSparseIndex, TableVectorStore
+
+    frame = lambda rows: spark.createDataFrame(rows, "chunk_id string, vector array<double>")
+    store = TableVectorStore(spark, 2)
+    store.add("one", frame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])]))
+    store.add("two", frame([("a", [0.6, 0.8])]))
+    assert [(r["chunk_id"], r["namespace"]) for r in store.query_global([1.0, 0.0], 2).orderBy("rank").collect()] == [("a", "one"), ("a", "two")]
+    assert [r["chunk_id"] for r in store.query("one", [0.0, 1.0], 1).collect()] == ["b"]
+    assert store.query_global([1.0, 0.0], 5, without=["one"]).count() == 1
+    store.delete("one", ["a"])
+    assert store.query_global([1.0, 0.0], 5).count() == 2
+    store.clear("two")
+    assert store.query_global([1.0, 0.0], 5).count() == 1
+    with pytest.raises(ValueError):
+        store.add("one", frame([("c", [1.0])]))
+    with pytest.raises(ValueError):
+        store.add("one", frame([("b", [1.0, 0.0])]))
+    chunks = spark.createDataFrame([("a", "r", "auth.py", "def pass_token"), ("b", "r", "b.py", "other")], "chunk_id string, repo_id string, file_path string, content string")
+    index = TableSparseIndex(chunks)
+    assert index.doc_count() == 2 and [r["chunk_id"] for r in index.query("token", 5).collect()] == ["a"]
+    index.remove(["a"])
+    assert index.doc_count() == 1 and index.query("token", 5).count() == 0
+    index.add(chunks.where("chunk_id = 'a'"))
+    assert index.query("token", 5).count() == 1
+
+
 def test_annotations(spark, tmp_path):
     from stratasearch.sources import annotations
 
@@ -235,7 +291,7 @@ def test_annotations(spark, tmp_path):
     (tmp_path / "repos.list").write_text('[{"name": "one", "language": "python", "url": "u", "revision": "r"}]')
     assert annotations.load_repos(spark, str(tmp_path / "repos.list")).first()["language"] == "python"
     path = annotations.save_results(tasks, str(tmp_path / "out"), "hybrid", "0123456789abcdef")
-    assert path.endswith("hybrid-0123456789ab") and spark.read.json(path).count() == 1
+    assert path.endswith("hybrid-0123456789ab.json") and spark.read.json(path, multiLine=True).count() == 1
 
 
 def test_token_counter(spark, tmp_path):
