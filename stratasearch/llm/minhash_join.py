@@ -583,10 +583,13 @@ def _components(
         families = connected_components(candidates(rest, labels, FAMILIES)).select(F.col("id").alias("label"), F.col("component").alias("family"))
         members = rest.select("rep", "n_shingles", "code").join(labels, "rep").join(families, "label").join(sets, "rep")
         links = materialize(links.unionByName(family_links(members, least, percent)))
-    joined = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("group"))
-    members = classes.select(*keys, "rep", "least").join(joined, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
-    groups = members.groupBy("group").agg(F.min("least").alias("component_id"))
-    placed = sketches.select("doc_id", "mark", "n_shingles", *keys).join(members.join(groups, "group").select(*keys, "group", "component_id"), keys, "left")
+    joined = materialize(connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("group")))
+    joined = broadcast_up_to(joined, MOST_BROADCAST)
+    own = classes.select(*keys, "rep", "least")
+    groups = materialize(own.join(joined, "rep").groupBy("group").agg(F.min("least").alias("component_id")))
+    members = own.join(joined, "rep", "left").join(broadcast_up_to(groups, MOST_BROADCAST), "group", "left")
+    members = members.select(*keys, F.coalesce("group", "rep").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    placed = sketches.select("doc_id", "mark", "n_shingles", *keys).join(members, keys, "left")
     linked_rows = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return placed.select(
         "doc_id", "mark", "n_shingles", *keys, F.when(linked_rows, F.col("group")).alias("group"), F.when(linked_rows, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
