@@ -2,47 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder, spread
+from ..sources.tables import table as stored
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Tables of up to so many bytes are dealt over all cores; the shuffle moves no more than that.
-SMALL_TABLE = 256 << 20
-
-
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of ``directory``; a small one is dealt over all cores where its scan has fewer partitions.
-
-    That is for one small file, where the work costs far more than the reading. Tables over SMALL_TABLE bytes stay as the scan splits
-    them: ``spark.sql.files.maxPartitionBytes`` says how finely.
-    """
-    rows = spark.read.parquet(f"{directory}/{name}.parquet")
-    stored = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if stored <= SMALL_TABLE and rows.rdd.getNumPartitions() < cores else rows
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Only a master that runs in this one process may go without; a temporary folder stands in for it there.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="shared-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+    """The Parquet table ``name`` of ``directory``; a small one is dealt over all cores where its scan has fewer partitions."""
+    return spread(stored(spark, directory, name))
 
 
 def materialize(df: DataFrame) -> DataFrame:
