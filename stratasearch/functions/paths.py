@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from .text import col
 
 # Path patterns and factors of the ranking.
-TEST_FILES = (
-    r"test_[^/]*\.py", r"[^/]*_test\.py", r"[^/]*_test\.go", r"[^/]*Tests?\.java", r"[^/]*Test\.php", r"[^/]*_spec\.rb",
-    r"[^/]*_test\.rb", r"[^/]*\.test\.[jt]sx?", r"[^/]*\.spec\.[jt]sx?", r"[^/]*Tests?\.kt", r"[^/]*Spec\.kt",
-    r"[^/]*Tests?\.swift", r"[^/]*Spec\.swift", r"[^/]*Tests?\.cs", r"test_[^/]*\.cpp", r"[^/]*_test\.cpp", r"test_[^/]*\.c",
-    r"[^/]*_test\.c", r"[^/]*Spec\.scala", r"[^/]*Suite\.scala", r"[^/]*Test\.scala", r"[^/]*_test\.dart", r"test_[^/]*\.dart",
-    r"[^/]*_spec\.lua", r"[^/]*_test\.lua", r"test_[^/]*\.lua", r"test_helpers?[^/]*\.\w+",
-)
-TEST_FILE = r"(?:^|/)(?:" + "|".join(TEST_FILES) + r")$"
+TEST_FILE = (
+    r"(?:^|/)(?:"
+    r"test_[^/]*\.py|[^/]*_test\.py|[^/]*_test\.go|[^/]*Tests?\.java|[^/]*Test\.php|[^/]*_spec\.rb|[^/]*_test\.rb|"
+    r"[^/]*\.test\.[jt]sx?|[^/]*\.spec\.[jt]sx?|[^/]*Tests?\.kt|[^/]*Spec\.kt|[^/]*Tests?\.swift|[^/]*Spec\.swift|[^/]*Tests?\.cs|"
+    r"test_[^/]*\.cpp|[^/]*_test\.cpp|test_[^/]*\.c|[^/]*_test\.c|[^/]*Spec\.scala|[^/]*Suite\.scala|[^/]*Test\.scala|"
+    r"[^/]*_test\.dart|test_[^/]*\.dart|[^/]*_spec\.lua|[^/]*_test\.lua|test_[^/]*\.lua|test_helpers?[^/]*\.\w+"
+    r")$"
+)
 TEST_DIRECTORY = r"(?:^|/)(?:tests?|__tests__|spec|testing)(?:/|$)"
 COMPAT_DIRECTORY = r"(?:^|/)(?:compat|_compat|legacy)(?:/|$)"
 EXAMPLES_DIRECTORY = r"(?:^|/)(?:_?examples?|docs?_src)(?:/|$)"

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import tokenize
 from ..functions.vectors import norm, normalize, similarity
+from ..sources.tables import kept
 from .bm25 import SCORE_PLACES
 
 #: Query vectors and stored vectors of one matrix.
@@ -475,6 +476,6 @@ def approximate_nearest(vectors: DataFrame, queries: DataFrame, k: int, tables:
         F.round(1 - F.col("distance") * F.col("distance") / 2, SCORE_PLACES).alias("score"),
     )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    found = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).persist()
+    (found,) = kept(queries.sparkSession, found=scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     full = found.where(F.col("rank") == min(k, total)).select("query_id")
     return found.join(full, "query_id", "left_semi").unionByName(exact(queries.join(full, "query_id", "left_anti")))

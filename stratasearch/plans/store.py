@@ -72,15 +72,21 @@ class Store:
         """The newest manifest."""
         numbers = self._numbers()
         if not numbers:
-            return _empty()
+            return _migrated(self._json(SINGLE_MANIFEST))
         if numbers[-1] != self._read["number"]:
-            fs, path = self._file(f"MANIFEST-{numbers[-1]:012d}.json")
-            stream = fs.open(path)
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
-            self._read = json.loads(text)
+            self._read = self._json(f"MANIFEST-{numbers[-1]:012d}.json") or _empty()
         return json.loads(json.dumps(self._read))
 
+    def _json(self, name: str) -> dict | None:
+        """A file's object, or None where there is no such file."""
+        fs, path = self._file(name)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
+
     def _claimed(self, manifest: dict) -> bool:
         """Write a manifest under its number; False where another writer has taken the number."""
         fs, path = self._file(f"MANIFEST-{manifest['number']:012d}.json")
@@ -242,6 +248,17 @@ class Store:
             self.replace_tables({name: self.table(name) for name in TABLES})
 
 
+#: The one manifest of stores from before manifests were numbered; the first update of such a store writes a numbered one.
+SINGLE_MANIFEST = "MANIFEST.json"
+
+
+def _migrated(old: dict | None) -> dict:
+    """The manifest of a store without numbered ones: empty, or the single one of old, whose segments held every table."""
+    if old is None:
+        return _empty()
+    return {"segments": {name: list(old["segments"]) for name in TABLES}, "repos": old["repos"], "number": 0}
+
+
 def _empty() -> dict:
     return {"segments": {name: [] for name in TABLES}, "repos": {}, "number": 0}
 

@@ -194,6 +194,17 @@ def test_a_crash_between_the_steps_of_a_commit(spark, tmp_path, monkeypatch):
     assert set(store.manifest()["repos"]) == {"a", "b"}
 
 
+def test_a_store_of_old_is_read_and_migrated(spark, tmp_path):
+    import json
+
+    from stratasearch.plans.store import Store
+
+    (tmp_path / "MANIFEST.json").write_text(json.dumps({"segments": ["s1"], "repos": {"a": {"repo_id": "a"}}, "version": 4}))
+    store = Store(spark, str(tmp_path))
+    assert store.manifest()["segments"]["vectors"] == ["s1"] and set(store.manifest()["repos"]) == {"a"}
+    assert store.update(lambda m: m | {"repos": {}})["number"] == 1 and Store(spark, str(tmp_path)).manifest()["repos"] == {}
+
+
 def test_texts_that_could_not_be_encoded_are_tried_again(spark, tmp_path):
     config = Config()
     config.store.path = str(tmp_path / "tables")
