@@ -34,12 +34,16 @@ _PLAIN = re.compile("[^\t-\r -\x7e\xa0-ɏ‐-‧€]")
 
 
 class Encoder:
-    """Ids of the byte-level vocabulary ``<name>.json``, with the same ranks' faster reader for plain Latin texts."""
+    """Ids of the byte-level vocabulary ``<name>.json``, with the same ranks' faster reader for plain Latin texts.
+
+    With the faster reader, the library is loaded when the first other text comes, so a worker rarely holds both.
+    """
 
     def __init__(self, json_path: str, ranks_path: str | None):
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(json_path)
+        self.load = lambda: Tokenizer.from_file(json_path)
+        self.slow = self.load()
         self.fast = None
         if ranks_path is not None:
             import tiktoken
@@ -48,11 +52,14 @@ class Encoder:
             with open(ranks_path, "rb") as file:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
             special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items() if t.special}
+            self.slow = None
             self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None and not _PLAIN.search(text):
             return self.fast.encode_to_numpy(text, allowed_special="all")
+        if self.slow is None:
+            self.slow = self.load()
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
