@@ -25,9 +25,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_up_to(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint where it has at most ``most_rows`` rows (they are counted), else as it is. Materialize it before."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def broadcast_up_to(df: DataFrame, most_rows: int, cells: Column | None = None, most_cells: int = 0) -> DataFrame:
+    """``df`` with a broadcast hint where it has at most ``most_rows`` rows (they are counted), else as it is. Materialize it before.
+
+    Where rows hold arrays or bytes, ``cells`` is a row's number of them; all rows together may have ``most_cells``.
+    """
+    if cells is None:
+        return F.broadcast(df) if df.count() <= most_rows else df
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(cells.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most_rows and total <= most_cells else df
 
 
 def unused_name(columns: list[str], wish: str) -> str:

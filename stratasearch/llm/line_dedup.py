@@ -45,6 +45,8 @@ _POSITIONS = "doc_id long, line int, fingerprint long, at int, context binary"
 _FOUND = "doc_id long, first int, last int, fingerprint long, content long"
 #: Documents with deleted lines whose spans are broadcast; for more, the texts are shuffled.
 MOST_BROADCAST = 100_000
+#: Spans of them (of 24 bytes, and 8 for their place), and bytes of the contexts of first occurrences, that are broadcast.
+MOST_SPANS, MOST_CONTEXT = 1_000_000, 32_000_000
 #: Shared fingerprints, of 16 bytes, that are broadcast.
 MOST_FINGERPRINTS = 500_000
 
@@ -224,8 +226,7 @@ def repeated_runs(documents: DataFrame, least_words: int = 50) -> DataFrame:
     firsts = materialize(
         shared.where("doc_id = first_doc").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "line", "at", "context")).alias("o")).select("fingerprint", "o.*")
     )
-    # a broadcast of contexts is bounded too: a context reaches least_words words to each side
-    named = broadcast_up_to(firsts, MOST_BROADCAST).select("fingerprint", F.col("line").alias("first_line"), F.col("at").alias("first_at"), F.col("context").alias("first_context"))
+    named = broadcast_up_to(firsts, MOST_BROADCAST, F.octet_length("context"), MOST_CONTEXT).select("fingerprint", F.col("line").alias("first_line"), F.col("at").alias("first_at"), F.col("context").alias("first_context"))
     later = shared.join(named, "fingerprint").where("doc_id > first_doc OR line > first_line")
     columns = ["doc_id", "line", "fingerprint", "at", "context"]
     found = materialize(later.select(*columns, "first_at", "first_context").mapInArrow(_matched(least_words, True), _FOUND))
@@ -265,7 +266,7 @@ def drop_repeated_runs(documents: DataFrame, least_words: int = 50) -> DataFrame
 
     names = documents.columns
     doc, spans, made, count = (unused_name(names, wish) for wish in ("doc", "spans", "cut", "removed_lines"))
-    touched = broadcast_up_to(materialize(repeated_runs(documents, least_words)), MOST_BROADCAST)
+    touched = broadcast_up_to(materialize(repeated_runs(documents, least_words)), MOST_BROADCAST, F.size("spans"), MOST_SPANS)
     touched = touched.select(F.col("doc_id").alias(doc), F.col("spans").alias(spans))
     both = documents.join(touched, documents["doc_id"].cast("long") == touched[doc], "left")
     result = both.withColumn(made, cut(F.when(F.col(spans).isNotNull(), F.col("text")), F.col(spans)))

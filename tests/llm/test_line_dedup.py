@@ -132,3 +132,18 @@ def test_a_line_that_is_everywhere(spark):
         rows.append((k, "\n".join([f"own {k}", *before[: rng.randint(1, 3)], common, "", *after[: rng.randint(1, 3)], common])))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert spans_of(line_dedup.repeated_runs(frame, 12)) == brute_force(rows, 12)
+
+
+def test_lists_beyond_the_bounds_are_shuffled(spark, monkeypatch):
+    """Rows and bytes are both bounded; beyond either the join shuffles, with the same result."""
+    rng = random.Random(21)
+    rows = [(k, "\n".join(rng.choice("abc") * 3 + " " + rng.choice("de") for _ in range(30))) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, line_dedup.drop_repeated_runs(frame, 8).collect()))
+    assert any(row[2] for row in want)
+    for bound in ("MOST_SPANS", "MOST_CONTEXT", "MOST_BROADCAST"):
+        with monkeypatch.context() as patch:
+            patch.setattr(line_dedup, bound, 1)
+            result = line_dedup.drop_repeated_runs(frame, 8)
+            assert bound == "MOST_CONTEXT" or "rightHint=(strategy=broadcast)" not in result._jdf.queryExecution().toString()
+            assert sorted(map(tuple, result.collect())) == want
