@@ -17,6 +17,7 @@ from . import (
     quality_crf,
     token_count,
     url_rules,
+    vector_codes,
 )
 from .common import table
 
@@ -112,6 +113,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_minhash_join": op2_minhash_join,
@@ -123,12 +128,38 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_url_rules": op10_url_rules,
+    "op11_vector_codes": op11_vector_codes,
     "chat_layouts": chat_layouts,
 }
 
 #: translate() with A-Z and a-z.
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Codebooks of the vectors' quarters; distances are whole numbers in double precision, with the index in the last eight bits."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+          SELECT p.id, p.part, any_value(p.q) AS q, min(CAST(list_inner_product(q, q) - 2 * list_inner_product(q, c) + list_inner_product(c, c) AS BIGINT) * 256 + entry) AS m
+          FROM p JOIN c{k} ON p.part = c{k}.part GROUP BY p.id, p.part)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT part, m % 256 AS entry, i, floor(sum(q[i]) / count(*)) AS x FROM a{k}, unnest(range(1, len(q) + 1)) AS u(i) GROUP BY ALL),
+        n{k} AS (SELECT part, entry, list(x ORDER BY i) AS moved FROM s{k} GROUP BY ALL),
+        c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(moved, c) AS c FROM c{k} LEFT JOIN n{k} USING (part, entry))""")
+    return f"""
+        WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: floor(1024e0 * CAST(x AS DOUBLE))) AS e
+          FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT id, part, e[part * len(e) // 4 + 1 : (part + 1) * len(e) // 4] AS q FROM v, range(4) AS t(part)),
+        c0 AS MATERIALIZED (SELECT part, id - 1 AS entry, q AS c FROM p WHERE id <= 256),
+        {", ".join(steps)},
+        h AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM c{rounds}, unnest(range(1, len(c) + 1)) AS u(i)),
+        o AS (SELECT id, string_agg(printf('%02x', m % 256), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN o USING (id), h
+    """
+
+
 ORACLE_SQL = {
     "op2_minhash_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -206,4 +237,5 @@ ORACLE_SQL = {
           FROM p LEFT JOIN r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hit WHERE k = 1
     """,
+    "op11_vector_codes": _codes_sql(),
 }
