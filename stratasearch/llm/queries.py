@@ -16,6 +16,7 @@ from . import (
     piece_codec,
     quality_crf,
     token_count,
+    toxicity,
     url_rules,
     vector_codes,
 )
@@ -117,6 +118,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_minhash_join": op2_minhash_join,
@@ -129,6 +134,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_url_rules": op10_url_rules,
     "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
     "chat_layouts": chat_layouts,
 }
 
