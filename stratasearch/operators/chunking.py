@@ -1,15 +1,14 @@
 """Files to chunks.
 
 Line packing and the hard split are expressions: one fold over a file's lines carries the open chunk's first
-line and length and closes it when the next line would not fit, so a file is read once. The structural
-splitter is Python, over Arrow batches; it stands in for a parser and can be replaced by one: ``tree_splitter`` groups the nodes of any syntax tree.
+line and length and closes it when the next line would not fit, so a file is read once. Structural
+splitting is Python, over Arrow batches: ``tree_splitter`` groups the nodes of syntax trees, by default those of ``syntax``; a parser can take their place.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.languages import Languages
 from ..functions.text import count_of, is_blank, lines_of
+from .syntax import Node, syntax_tree
 
 DESIRED_CHARS, MOST_CHARS = 1500, 12_000
 STATE = "struct<start:int,len:int,first:int,n:int,line:int,newline:int,out:array<struct<start:int,end:int,first:int,n:int,line:int>>>"
@@ -141,39 +141,44 @@ def merged_groups(groups: list[tuple[int, int, int]], desired: int) -> list[tupl
     return [(start, end) for start, end, _ in spans]
 
 
-@dataclass
-class Node:
-    """A node of a syntax tree; offsets are in bytes."""
-
-    start: int
-    end: int
-    children: list[Node] = field(default_factory=list)
-
-
 # Nodes of fewer bytes, and nodes deeper than this, are never taken apart.
 SHORT_NODE, DEEPEST_NODE = 50, 500
 
 
 def node_groups(root: Node, desired: int) -> list[tuple[int, int, int]]:
-    """Groups (start, end, length) of a tree: siblings are packed in order up to ``desired``, longer nodes with children are taken apart."""
+    """Groups (start, end, length) of a tree: siblings are packed in order up to ``desired``, longer nodes with children are taken apart, and so is the root.
+
+    A group never reaches over its parent's end. Gaps between siblings lie in a group but don't count.
+    """
     groups: list[tuple[int, int, int]] = []
-    waiting = [(root, 0)]
+    waiting: list[tuple[Node, int] | None] = [(root, 0)]  # None: the end of a parent
     held: tuple[int, int, int] | None = None
+
+    def release() -> None:
+        nonlocal held
+        if held is not None:
+            groups.append(held)
+        held = None
+
     while waiting:
-        node, depth = waiting.pop()
+        step = waiting.pop()
+        if step is None:
+            release()
+            continue
+        node, depth = step
         size = node.end - node.start
-        if size > desired and size >= SHORT_NODE and node.children and depth <= DEEPEST_NODE:
-            if held is not None:
-                groups.append(held)
-                held = None
+        if size <= desired and depth:
+            if held is not None and held[2] + size > desired:
+                release()
+            held = (held[0], node.end, held[2] + size) if held is not None else (node.start, node.end, size)
+            continue
+        release()
+        if node.children and size >= SHORT_NODE and depth <= DEEPEST_NODE:
+            waiting.append(None)
             waiting += [(child, depth + 1) for child in reversed(node.children)]
-        elif held is not None and held[2] + size <= desired:
-            held = (held[0], node.end, held[2] + size)
         else:
-            if held is not None:
-                groups.append(held)
-            held = (node.start, node.end, size)
-    return groups if held is None else [*groups, held]
+            groups.append((node.start, node.end, size))
+    return groups
 
 
 class Parsers:
@@ -203,12 +208,26 @@ def tree_splitter(load: Callable[[str], Callable[[bytes], Node]]) -> Splitter:
             return None
         data = source.encode("utf-8", "replace")
         spans = merged_groups(node_groups(parser(data), desired), desired)
-        starts = [0, *(len(data[:start].decode("utf-8", "ignore")) for start, _ in spans[1:])] if len(data) != len(source) else [0, *(start for start, _ in spans[1:])]
+        starts, at, chars = [0], 0, 0
+        for start, _ in spans[1:]:
+            chars += start - at if len(data) == len(source) else len(data[at:start].decode("utf-8", "ignore"))
+            at = start
+            starts.append(chars)
         return list(zip(starts, [*starts[1:], len(source)]))
 
     return split
 
 
+def _loader(language: str) -> Callable[[bytes], Node]:
+    if language not in STRUCTURED:
+        raise LookupError("its files are split by lines")
+    return lambda data: syntax_tree(data, language)
+
+
+#: The splitter that is used unless another is given: trees by brackets and indentation for all languages of code.
+syntax_splitter = tree_splitter(_loader)
+
+
 def _levels(lines: list[str], body: list[int]) -> dict[int, int]:
     """The depth of each line: its indentation, or, where all lines have the same, the brackets that are open before it."""
     indents = {k: len(lines[k]) - len(lines[k].lstrip(" \t")) for k in body}
@@ -251,11 +270,11 @@ def indentation_splitter(source: str, language: str, desired: int) -> list[tuple
     return merged_groups([(offsets[a], offsets[b], offsets[b] - offsets[a]) for a, b in _pieces(lines, 0, len(lines), desired, 0)], desired)
 
 
-def structural_chunks(files: DataFrame, splitter: Splitter = indentation_splitter, desired: int = DESIRED_CHARS, most: int = MOST_CHARS) -> DataFrame:
+def structural_chunks(files: DataFrame, splitter: Splitter = syntax_splitter, desired: int = DESIRED_CHARS, most: int = MOST_CHARS) -> DataFrame:
     """Chunks of ``files`` (repo_id, file_path, language, content) by structure where the splitter knows the language, else by lines.
 
     The result has repo_id, file_path, language, start, end, content, start_line, end_line. A splitter may have no way with a language either; its files
-    are split by lines then.
+    are split by lines then. Spans must be in order.
     """
 
     def by_lines_instead(source: str) -> list[tuple[int, int]]:
@@ -270,11 +289,14 @@ def structural_chunks(files: DataFrame, splitter: Splitter = indentation_splitte
             rows = []
             for repo, path, language, source in zip(batch["repo_id"], batch["file_path"], batch["language"], batch["content"]):
                 found = splitter(source, language, desired)
+                line, at = 1, 0  # spans come in order, so line ends are counted once
                 for start, end in by_lines_instead(source) if found is None else found:
                     step = most if most > 0 else max(1, end - start)
                     for a in range(start, end, step):
                         b = min(a + step, end)
-                        rows.append((repo, path, language, a, b, source[a:b], source.count("\n", 0, a) + 1, source.count("\n", 0, max(b - 1, a)) + 1))
+                        line += source.count("\n", at, a)
+                        at = a
+                        rows.append((repo, path, language, a, b, source[a:b], line, line + source.count("\n", a, max(b - 1, a))))
             yield pd.DataFrame(rows, columns=["repo_id", "file_path", "language", "start", "end", "content", "start_line", "end_line"])
 
     columns = ["repo_id", "file_path", "language", "content"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.languages import Languages
 from ..operators import bm25, dense
-from ..operators.chunking import structural_chunks, with_chunk_ids
+from ..operators.chunking import Splitter, structural_chunks, syntax_splitter, with_chunk_ids
 from ..operators.lookups import chunk_at_line, containing_repo, only_in
 from ..sources import git
 from ..sources.config import Config
@@ -19,7 +19,7 @@ from ..sources.walker import scan_files, walk
 from . import search as plans
 from .store import RepoNotIndexedError, Store
 
-CHUNKER_VERSION = "v1"
+CHUNKER_VERSION = "v2"
 
 
 @dataclass(frozen=True)
@@ -35,11 +35,19 @@ class Engine:
     """Retrieval over the repositories of one store. Results are DataFrames."""
 
     def __init__(
-        self, spark: SparkSession, config: Config | None = None, encoder: dense.Encoder | None = None, languages: Languages | None = None
+        self,
+        spark: SparkSession,
+        config: Config | None = None,
+        encoder: dense.Encoder | None = None,
+        languages: Languages | None = None,
+        splitter: Splitter = syntax_splitter,
+        chunker_version: str = CHUNKER_VERSION,
     ):
+        """``splitter`` divides source code; give another ``chunker_version`` with it, for chunks of two ways must not meet under one id."""
         self.spark, self.config = spark, config or Config()
         self.encoder = encoder or dense.create_encoder(self.config.embedding)
         self.languages = languages or Languages()
+        self.splitter, self.chunker_version = splitter, chunker_version
         self.store = Store(spark, os.path.expanduser(self.config.store.path))
         self._healed = False
 
@@ -47,7 +55,7 @@ class Engine:
 
     def repo_id(self, source: str, ref: str | None = None) -> str:
         """An id that changes with the encoder and the way of chunking, so that mixed vectors never meet."""
-        raw = f"{git.identity(source, ref)}|model={self.encoder.name}|dim={self.encoder.dim}|chunker={CHUNKER_VERSION}"
+        raw = f"{git.identity(source, ref)}|model={self.encoder.name}|dim={self.encoder.dim}|chunker={self.chunker_version}"
         return hashlib.sha256(raw.encode()).hexdigest()[:32]
 
     def _state_of(self, source: str, include_text_files: bool, ref: str | None, refresh: bool) -> dict:
@@ -63,7 +71,7 @@ class Engine:
             "include_text_files": include_text_files,
             "embedding_model": self.encoder.name,
             "embedding_dim": self.encoder.dim,
-            "chunker_version": CHUNKER_VERSION,
+            "chunker_version": self.chunker_version,
             "commit_sha": git.source_state(root, listed),
             "ignore": list(ignore),
         }
@@ -122,7 +130,7 @@ class Engine:
                 self.spark, row["source_path"], row["repo_id"], row["include_text_files"], self.languages, settings.max_file_bytes, row["ignore"]
             )
             files = found if files is None else files.unionByName(found)
-        chunks = with_chunk_ids(structural_chunks(files, desired=settings.desired_chunk_chars, most=settings.max_chunk_chars))
+        chunks = with_chunk_ids(structural_chunks(files, self.splitter, desired=settings.desired_chunk_chars, most=settings.max_chunk_chars))
         chunks = chunks.dropDuplicates(["chunk_id"]).persist()
         tokens = bm25.tokenized(chunks).persist()
         try:

@@ -1205,12 +1205,64 @@ def structural_chunks_(spark, sf):
     rows = table(spark, sf, "documents").select(
         F.lit("r").alias("repo_id"), F.col("doc_id").cast("string").alias("file_path"), F.lit("python").alias("language"), F.array_join(functions, "").alias("content")
     )
-    return structural_chunks(rows, desired=150).select(F.col("file_path").cast("long").alias("doc_id"), "start", "end", "start_line", "end_line")
+    return structural_chunks(rows, chunking.indentation_splitter, desired=150).select(F.col("file_path").cast("long").alias("doc_id"), "start", "end", "start_line", "end_line")
 
 
 QUERIES["structural_chunks"], ORACLE_SQL["structural_chunks"] = QUERIES.pop("structural_chunks_"), ORACLE_SQL.pop("structural_chunks_")
 
 
+def source_code(spark, sf):
+    """A source file for each document: every line of its text becomes a function that holds the line's letters as a text."""
+    clean = lambda x: F.regexp_replace(F.lower(x), "[^a-z ]", "")
+    function = lambda x, i: F.concat(
+        F.lit("def f"), (i + 1).cast("string"), F.lit('(x):\n    "'), clean(x), F.lit('"\n    return '), F.length(clean(x)).cast("string"), F.lit("\n")
+    )
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    return spread(table(spark, sf, "documents")).select(
+        "doc_id",
+        F.lit("r").alias("repo_id"),
+        F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"),
+        F.lit("python").alias("language"),
+        F.array_join(F.transform(lines, function), "").alias("content"),
+    )
+
+
+#: Functions whose nodes are longer than 150 are taken apart into the line ``def f(x):``, the text and the return; the others are packed. Then neighbours are merged.
+_CODE = """WITH RECURSIVE l AS (SELECT doc_id, i, regexp_replace(lower(ls[i]), '[^a-z ]', '', 'g') AS c FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)),
+    f AS (SELECT doc_id, i, 'def f' || i || '(x):' || chr(10) || '    "' || c || '"' || chr(10) || '    return ' || length(c) AS body,
+      8 + length(CAST(i AS VARCHAR)) AS head, 2 + length(c) AS quoted, 7 + length(CAST(length(c) AS VARCHAR)) AS back FROM l),
+    o AS (SELECT *, length(body) AS len, sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(body) - 1 AS off FROM f),
+    a AS (SELECT doc_id, i, 0 AS k, off AS "start", len, len <= 150 AS whole FROM o WHERE len <= 150
+      UNION ALL SELECT doc_id, i, 0, off, head + CASE WHEN head + quoted > 150 THEN 0 WHEN head + quoted + back > 150 THEN quoted ELSE quoted + back END, FALSE FROM o WHERE len > 150
+      UNION ALL SELECT doc_id, i, 1, off + head + 6, quoted + CASE WHEN quoted + back <= 150 THEN back ELSE 0 END, FALSE FROM o WHERE len > 150 AND head + quoted > 150
+      UNION ALL SELECT doc_id, i, 2, off + len - back, back, FALSE FROM o WHERE len > 150 AND (CASE WHEN head + quoted > 150 THEN quoted + back > 150 ELSE head + quoted + back > 150 END)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS j FROM a),
+    p(doc_id, j, "start", len, whole) AS (
+      SELECT doc_id, j, "start", CAST(len AS BIGINT), whole FROM n WHERE j = 1
+      UNION ALL SELECT n.doc_id, n.j, CASE WHEN fits THEN p."start" ELSE n."start" END, CASE WHEN fits THEN p.len + n.len ELSE n.len END, n.whole
+        FROM (SELECT n.*, p.whole AND n.whole AND p.len + n.len <= 150 AS fits FROM p JOIN n ON n.doc_id = p.doc_id AND n.j = p.j + 1) n JOIN p ON p.doc_id = n.doc_id AND p.j = n.j - 1),
+    g AS (SELECT doc_id, "start", max(len) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY "start") AS j FROM p GROUP BY doc_id, "start"),
+    m(doc_id, j, "start", len) AS (
+      SELECT doc_id, j, CAST(0 AS BIGINT), len FROM g WHERE j = 1
+      UNION ALL SELECT g.doc_id, g.j, CASE WHEN m.len + g.len <= 150 THEN m."start" ELSE g."start" END, CASE WHEN m.len + g.len <= 150 THEN m.len + g.len ELSE g.len END
+        FROM m JOIN g ON g.doc_id = m.doc_id AND g.j = m.j + 1),
+    t AS (SELECT doc_id, string_agg(body || chr(10), '' ORDER BY i) AS content FROM o GROUP BY doc_id),
+    s AS (SELECT DISTINCT doc_id, "start" FROM m),
+    e AS (SELECT s.doc_id, s."start", coalesce(lead(s."start") OVER (PARTITION BY s.doc_id ORDER BY s."start"), length(content)) AS until, content FROM s JOIN t USING (doc_id))
+    SELECT doc_id, CAST("start" AS INTEGER) AS "start", CAST(until AS INTEGER) AS "end", CAST(1 + length(left(content, "start")) - length(replace(left(content, "start"), chr(10), '')) AS INTEGER) AS start_line,
+      md5(substring(content, "start" + 1, until - "start")) AS content_md5 FROM e"""
+
+
+@registered(_CODE)
+def syntax_chunks(spark, sf):
+    """Chunks of code by syntax trees."""
+    code = source_code(spark, sf)
+    found = structural_chunks(code, desired=150, most=0)
+    return found.select(
+        F.regexp_extract("file_path", r"(-?\d+)\.py$", 1).cast("long").alias("doc_id"), "start", "end", "start_line", F.md5("content").alias("content_md5")
+    )
+
+
 PATTERN = "licen[cs]e|public"
 
 

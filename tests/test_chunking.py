@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stratasearch.operators import chunking
+from stratasearch.operators.syntax import syntax_tree
 
 
 def chunks(spark, sources, **options):
@@ -115,3 +116,105 @@ def test_brackets_show_structure_where_indentation_does_not():
     source = "".join(f"func f{k}() {{\nreturn {k}\n}}\n" for k in range(6))
     spans = chunking.indentation_splitter(source, "go", 30)
     assert [source[a:b].count("func") for a, b in spans] == [1] * 6 and "".join(source[a:b] for a, b in spans) == source
+
+
+def apart(node, desired, depth=0):
+    """The rules for groups of nodes, by direct recursion."""
+    size = node.end - node.start
+    if not node.children or size < 50 or depth > 500:
+        return [(node.start, node.end, size)]
+    out, run = [], []
+    for child in [*node.children, None]:
+        if child is None or child.end - child.start > desired or sum(c.end - c.start for c in [*run, child]) > desired:
+            if run:
+                out.append((run[0].start, run[-1].end, sum(c.end - c.start for c in run)))
+            run = []
+        if child is not None:
+            if child.end - child.start > desired:
+                out += apart(child, desired, depth + 1)
+            else:
+                run.append(child)
+    return out
+
+
+@st.composite
+def trees(draw, start=0, depth=0):
+    children, at = [], start + draw(st.integers(0, 5))
+    for _ in range(draw(st.integers(0, 5 if depth < 4 else 0))):
+        child = draw(trees(at, depth + 1))
+        children.append(child)
+        at = child.end + draw(st.integers(0, 20))
+    return chunking.Node(start, at + draw(st.integers(0, 60)), children)
+
+
+@settings(max_examples=300, deadline=None)
+@given(trees(), st.integers(1, 200))
+def test_groups_equal_the_recursive_rules(tree, desired):
+    assert chunking.node_groups(tree, desired) == apart(tree, desired)
+
+
+def test_groups_end_with_their_parent():
+    node = chunking.Node
+    tree = node(0, 180, [node(0, 10), node(10, 140, [node(10, 70)]), node(140, 180)])
+    assert chunking.node_groups(tree, 100) == [(0, 10, 10), (10, 70, 60), (140, 180, 40)]
+    assert chunking.merged_groups(chunking.node_groups(tree, 100), 100) == [(0, 70), (140, 180)]
+
+
+def outline(node, data):
+    return [data[c.start : c.end].decode() for c in node.children]
+
+
+def test_trees_by_brackets_and_indentation():
+    source = b"class A:\n    def f(self):\n        return [1,\n 2]\n\n    z = '('\nx = 1  # (\n"
+    root = syntax_tree(source, "python")
+    assert outline(root, source) == ["class A:\n    def f(self):\n        return [1,\n 2]\n\n    z = '('", "x = 1  # ("]
+    assert outline(root.children[0], source)[3:] == ["def f(self):\n        return [1,\n 2]", "z = '('"]
+    source = b'int f(int a) {\n  /* } */ if (a) { g("}"); }\n  return 1;\n}\nint g;\n'
+    root = syntax_tree(source, "c")
+    assert [x.count("\n") for x in outline(root, source)] == [3, 0]
+    body = root.children[0].children[-1]
+    assert outline(body, source) == ['/* } */ if (a) { g("}"); }', "return 1;"]
+    assert [x.split()[0] for x in outline(syntax_tree(b"-- it's (\nselect 1;\nselect ')';", "sql"), b"-- it's (\nselect 1;\nselect ')';")] == ["--", "select", "select"]
+
+
+def inside(node):
+    stack = [node]
+    while stack:
+        at = stack.pop()
+        last = at.start
+        for child in at.children:
+            assert last <= child.start <= child.end <= at.end
+            last = child.end
+        stack += at.children
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab(){}[];,'\"`#/*\n \t\\é-", max_size=200), st.sampled_from(["python", "c", "sql", "rust", "clojure"]), st.integers(1, 60))
+def test_any_text_has_a_tree_and_spans_that_make_it(source, language, desired):
+    data = source.encode()
+    root = syntax_tree(data, language)
+    inside(root)
+    assert (root.start, root.end) == (0, len(data))
+    spans = chunking.syntax_splitter(source, language, desired)
+    assert "".join(source[a:b] for a, b in spans) == source
+    assert all(a < b for a, b in spans) or not source
+
+
+def test_depth_and_size():
+    deep = "\n".join(" " * k + "if x:" for k in range(3000))
+    assert chunking.syntax_splitter(deep, "python", 100)[-1][1] == len(deep)
+    assert chunking.syntax_splitter("(" * 50_000, "c", 100)[-1][1] == 50_000
+    assert chunking.syntax_splitter("x", "markdown", 100) is None
+
+
+def test_engine_takes_a_splitter(spark, tmp_path):
+    from stratasearch.plans.engine import Engine
+    from stratasearch.sources.config import Config
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.py").write_text("x = 1\ny = 2\n")
+    config = Config()
+    config.store.path = str(tmp_path / "store")
+    engine = Engine(spark, config, splitter=lambda source, language, desired: [(0, 6), (6, len(source))], chunker_version="halves")
+    assert engine.index_repo(str(tmp_path / "r")).chunk_count == 2
+    assert engine.repo_id(str(tmp_path / "r")) != Engine(spark, config).repo_id(str(tmp_path / "r"))
