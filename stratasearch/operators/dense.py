@@ -2,8 +2,8 @@
 
 A stated set of query vectors is compared with all stored vectors in blocks: stored rows and queries are packed into matrices, every two
 of which are multiplied where they meet, and a task keeps the k best of each query; a window over these few rows gives the final ranks.
-That is one plan with one scan of the vectors for any number of queries, whatever their scopes; nothing passes through the driver. Spark's own size check
-decides whether the packed queries are broadcast. Filters on ids, and on the namespace where it is the same for all queries, reach the scan.
+That is one scan of the vectors for as many queries as may be broadcast and held, whatever their scopes; more queries take further scans, in the same plan. Vectors don't pass
+through the driver. Filters on ids, and on the namespace where it is the same for all queries, reach the scan; ``layout`` prunes by the queries' scopes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import re
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import tokenize
 from ..functions.vectors import norm, normalize, similarity
-from ..sources.tables import kept
+from ..sources.tables import kept, shared_folder
 from .bm25 import SCORE_PLACES
 
 #: Query vectors and stored vectors of one matrix.
@@ -38,6 +39,8 @@ CALIBRATION_QUERIES = 32
 CALIBRATION_ROWS = 2000
 #: The share of all rows from which on hashed candidates cost more than the exact search.
 MOST_LEFT = 0.5
+#: Queries that are broadcast at once, and rows that a task holds for them.
+MOST_ASKED_BYTES, MOST_BEST_ROWS = 64 << 20, 500_000
 
 
 class PermanentError(RuntimeError):
@@ -371,7 +374,8 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     """(query_id, chunk_id, namespace, score, rank): the k best vectors for each of the queries (query_id, vector).
 
     Queries may have a column ``only`` (the one namespace to search, null for all) and a column ``without`` (a namespace to leave out). Of equal scores
-    the lesser chunk_id comes first. Null vectors, and vectors of another length than the query's, are no neighbours. A task holds k rows for each query.
+    the lesser chunk_id comes first. Null vectors, and vectors of another length than the query's, are no neighbours. The queries are counted first: up to
+    MOST_ASKED_BYTES of them, whose best rows are MOST_BEST_ROWS at most, meet all vectors in one scan; more take further scans.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -389,17 +393,37 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     )
     vector, query_kind = kept(queries)
     filters = [(F.col(c).cast(spaces) if c in queries.columns else F.lit(None).cast(spaces)).alias(c) for c in ("only", "without")]
-    asked = queries.where("vector IS NOT NULL").select("query_id", *filters, vector).repartition("query_id")
-    asked = asked.mapInArrow(
-        _matrices(["query_id", "only", "without"], QUERY_BLOCK), f"query_id array<{asked_kind}>, only array<{spaces}>, without array<{spaces}>, dim int, matrix binary"
-    ).select(F.monotonically_increasing_id().alias("block"), "query_id", "only", "without", F.col("dim").alias("asked_dim"), F.col("matrix").alias("asked_matrix"))
     schema = f"query_id {asked_kind}, chunk_id {kinds['chunk_id']}, namespace {spaces}, score double"
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
-    found = stored.crossJoin(asked).mapInArrow(_best(k, metric, stored_kind, query_kind, arrow), schema)
+    parts = []
+    for part, rows in _passes(queries.where("vector IS NOT NULL").select("query_id", *filters, vector), k):
+        asked = part.repartition(max(1, rows // QUERY_BLOCK)).mapInArrow(
+            _matrices(["query_id", "only", "without"], QUERY_BLOCK), f"query_id array<{asked_kind}>, only array<{spaces}>, without array<{spaces}>, dim int, matrix binary"
+        ).select(F.monotonically_increasing_id().alias("block"), "query_id", "only", "without", F.col("dim").alias("asked_dim"), F.col("matrix").alias("asked_matrix"))
+        parts.append(stored.crossJoin(F.broadcast(asked)).mapInArrow(_best(k, metric, stored_kind, query_kind, arrow), schema))
+    found = reduce(DataFrame.unionByName, parts)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _passes(asked: DataFrame, k: int, most_bytes: int | None = None, most_rows: int | None = None) -> list[tuple[DataFrame, int]]:
+    """Queries as parts with their numbers of rows, each small enough to be broadcast and to have its ``k`` best rows held by a task.
+
+    The queries are worked out once and counted. Parts are dealt by a hash of the query, and into twice as many as long as one is too large.
+    """
+    most_bytes, most_rows = most_bytes or MOST_ASKED_BYTES, most_rows or MOST_BEST_ROWS
+    shared_folder(asked.sparkSession)
+    asked = asked.checkpoint()
+    number = 1
+    while True:
+        place = F.pmod(F.xxhash64("query_id"), F.lit(number))
+        sizes = asked.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("vector")).alias("cells")).collect()
+        whole = all((r["cells"] * 8 <= most_bytes and r["rows"] * k <= most_rows) or r["rows"] == 1 for r in sizes)
+        if whole or number >= sum(r["rows"] for r in sizes):
+            return [(asked.where(place == r["place"]), r["rows"]) for r in sizes] or [(asked, 0)]
+        number *= 2
+
+
 def _calibrated(near: np.ndarray, far: np.ndarray, target: float) -> tuple[float, float]:
     """The shortest bucket length that keeps the target share of true neighbours, and the share of all rows that it leaves.
 

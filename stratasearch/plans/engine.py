@@ -149,7 +149,7 @@ class Engine:
         finally:
             tokens.unpersist()
             chunks.unpersist()
-        written = self.spark.read.schema(self.store.table("vectors").schema).parquet(f"{self.store.path}/vectors/{segment}")
+        written = self.store.segment("vectors", segment)
         missing = written.where("vector IS NULL").groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
         return counts, {r["namespace"]: r["n"] for r in missing.collect()}, segment, version
 
@@ -196,7 +196,8 @@ class Engine:
 
     def _search(self, queries: DataFrame, scope: str | None, top_k: int, alpha: float | None, prefilter: bool) -> DataFrame:
         store = self.load()
-        tables = {name: store.table(name) for name in ("chunks", "vectors", "postings", "doc_stats")}
+        scopes = plans.scoped(queries).select("scope")
+        tables = {name: store.table(name, scopes) for name in ("chunks", "vectors")} | {name: store.table(name) for name in ("postings", "doc_stats")}
         if scope is not None:  # the same for all queries, so the scan of the vectors can leave the others out
             tables["vectors"] = dense.in_namespaces(tables["vectors"], only=[scope])
         return plans.search(

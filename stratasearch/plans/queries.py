@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..functions.languages import Languages
 from ..functions.vectors import normalize
-from ..operators import bm25, chunking, dense, evaluation, fusion, lookups, ranking
+from ..operators import bm25, chunking, dense, evaluation, fusion, layout, lookups, ranking
 from ..operators.chunking import line_chunks, structural_chunks, with_chunk_ids
 from ..operators.filters import within_size
 from ..sources.annotations import parse_tasks, task_targets
@@ -720,14 +720,22 @@ def rank_without_query(spark, sf):
 # The whole search over line chunks ------------------------------------------------------------------------------
 
 
-def _indexed(spark, sf):
-    """Chunks, vectors, postings and statistics of the documents, stored as an engine has them, and their repositories."""
+def _indexed(spark, sf, scopes=None):
+    """Chunks, vectors, postings and statistics of the documents, stored as an engine has them, and their repositories.
+
+    With ``scopes`` (scope), chunks and vectors are laid out by repository and read from the buckets of the scopes alone.
+    """
     chunks = with_chunk_ids(line_chunks(files(spark, sf))).drop("doc_id", "start", "end").dropDuplicates(["chunk_id"])
     (chunks,) = kept(spark, chunks=chunks)
     posted, stats = _index(spark, bm25.tokenized(chunks))
     made = dense.encoded(chunks.select("chunk_id", F.col("repo_id").alias("namespace"), "content"), dense.HashingEncoder(64))
     (stored,) = kept(spark, vectors=made.select("chunk_id", "namespace", "vector"))
     repos = chunks.select("repo_id").distinct().withColumn("source", F.concat(F.lit("/repos/"), "repo_id"))
+    if scopes is not None:
+        base = f"{shared_folder(spark)}/laid_out/{uuid.uuid4().hex}"
+        for name, rows, repo in (("chunks", chunks, "repo_id"), ("vectors", stored, "namespace")):
+            layout.write_by_repository(rows, f"{base}/{name}", repo)
+        chunks, stored = (layout.in_scopes(spark.read.parquet(f"{base}/{name}"), scopes).drop("bucket") for name in ("chunks", "vectors"))
     return chunks, stored, posted, stats, repos
 
 
@@ -767,7 +775,7 @@ def search_e2e(spark, sf):
 )
 def search_repo_scoped(spark, sf):
     asked = _all_queries(spark, sf).withColumn("scope", F.lit("src3"))
-    return _found(plans.search(asked, *_indexed(spark, sf), encoder=dense.HashingEncoder(64), top_k=5))
+    return _found(plans.search(asked, *_indexed(spark, sf, asked.select("scope")), encoder=dense.HashingEncoder(64), top_k=5))
 
 
 SEEDS = [(0, "src0", "src/de/doc_0.py", 1), (1, "src1", "tests/test_doc_1.py", 1), (2, "src2", "src/compat/doc_2.py", 3), (3, "src3", "nowhere.py", 1)]

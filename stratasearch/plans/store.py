@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..operators.layout import BUCKET, BUCKETS, in_scopes, write_by_repository
 from ..operators.lookups import only_in
 
 TABLES = {
@@ -31,6 +32,8 @@ TABLES = {
 }
 #: The column of each table that names the repository.
 REPO_COLUMN = {"chunks": "repo_id", "vectors": "namespace", "postings": "repo_id", "doc_stats": "repo_id"}
+#: Tables that are laid out by buckets of repositories, in segments whose names end so.
+BY_REPOSITORY, BUCKETED = ("chunks", "vectors"), f"-b{BUCKETS}"
 
 
 #: Manifests that stay beside the newest one, for readers that have just listed them.
@@ -138,19 +141,45 @@ class Store:
             row["indexed_at"] = datetime.fromisoformat(row["indexed_at"])
         return self.spark.createDataFrame([[r.get(f.name) for f in schema.REPOS.fields] for r in rows], schema.REPOS)
 
-    def table(self, name: str) -> DataFrame:
-        """The rows of a table that belong to the repositories' current versions."""
+    def table(self, name: str, scopes: DataFrame | None = None) -> DataFrame:
+        """The rows of a table that belong to the repositories' current versions. With ``scopes`` (scope, null for all), chunks and vectors
+        are read only from the buckets of those repositories; others in the same buckets come along."""
         segments = self.manifest()["segments"][name]
         if not segments:
             return self.spark.createDataFrame([], TABLES[name])
         stored = schema.T.StructType([*TABLES[name].fields, schema.T.StructField("version", schema.L)])
-        rows = self.spark.read.schema(stored).parquet(*[f"{self.path}/{name}/{s}" for s in segments])
+        rows = self._rows(name, [s for s in segments if not s.endswith(BUCKETED)], stored)
+        laid_out = [s for s in segments if s.endswith(BUCKETED)]
+        if name in BY_REPOSITORY and laid_out:
+            new = self._rows(name, laid_out, schema.T.StructType([*stored.fields, schema.T.StructField(BUCKET, schema.I)]))
+            rows = rows.unionByName((new if scopes is None else in_scopes(new, scopes)).drop(BUCKET))
+        elif laid_out:
+            rows = rows.unionByName(self._rows(name, laid_out, stored))
         current = self.repos().select(F.col("repo_id").alias(REPO_COLUMN[name]), "version")
         return rows.join(F.broadcast(current), [REPO_COLUMN[name], "version"]).select(*TABLES[name].fieldNames())
 
+    def _rows(self, name: str, segments: list[str], kind: schema.T.StructType) -> DataFrame:
+        if not segments:
+            return self.spark.createDataFrame([], kind)
+        base = f"{self.path}/{name}"
+        rows = self.spark.read.schema(kind).option("basePath", base).parquet(*[f"{base}/{self._folder(name, s)}" for s in segments])
+        return rows.select(*kind.fieldNames())
+
+    @staticmethod
+    def _folder(name: str, segment: str) -> str:
+        """A segment's folder; as a partition where folders of buckets lie in it."""
+        return f"segment={segment}" if name in BY_REPOSITORY and segment.endswith(BUCKETED) else segment
+
+    def segment(self, name: str, segment: str) -> DataFrame:
+        """The rows of one segment, whether they count or not."""
+        return self._rows(name, [segment], TABLES[name])
+
     def repo_chunks(self, repo_id: str) -> DataFrame:
         """The chunks of one repository, in the order of files and lines; the repository reaches the scan as a filter."""
-        return self.ordered_chunks(self.table("chunks").where(F.col("repo_id") == repo_id))
+        return self.ordered_chunks(self.table("chunks", self._only(repo_id)).where(F.col("repo_id") == repo_id))
+
+    def _only(self, repo_id: str) -> DataFrame:
+        return self.spark.createDataFrame([(repo_id,)], "scope string")
 
     def ordered_chunks(self, chunks: DataFrame | None = None) -> DataFrame:
         """All chunks (or the given ones) ordered by repository, file and place."""
@@ -159,7 +188,7 @@ class Store:
 
     def chunk_ids(self, repo_id: str) -> DataFrame:
         """(chunk_id) of one repository."""
-        return self.table("chunks").where(F.col("repo_id") == repo_id).select("chunk_id")
+        return self.table("chunks", self._only(repo_id)).where(F.col("repo_id") == repo_id).select("chunk_id")
 
     def repo_sources(self) -> dict[str, str]:
         """repo_id -> source."""
@@ -191,8 +220,8 @@ class Store:
 
     def write_segment(self, tables: dict[str, DataFrame], versions: DataFrame | int) -> str:
         """Write one segment; nobody sees it before a commit. ``versions``: the rows' version, or (repo_id, version) of each repository. Postings are
-        sorted by token so a token's row groups can be skipped."""
-        segment = uuid.uuid4().hex
+        sorted by token so a token's row groups can be skipped; chunks and vectors have a folder for each bucket of repositories."""
+        segment = uuid.uuid4().hex + BUCKETED
         for name, rows in tables.items():
             out = rows.select(*TABLES[name].fieldNames())
             if isinstance(versions, int):
@@ -202,7 +231,10 @@ class Store:
             out = out.select(*TABLES[name].fieldNames(), "version")
             if name == "postings":
                 out = out.repartitionByRange("token").sortWithinPartitions("token", "chunk_id")
-            out.write.parquet(f"{self.path}/{name}/{segment}")
+            if name in BY_REPOSITORY:
+                write_by_repository(out, f"{self.path}/{name}/{self._folder(name, segment)}", REPO_COLUMN[name])
+            else:
+                out.write.parquet(f"{self.path}/{name}/{segment}")
         return segment
 
     def put_repos(self, rows: list[dict], segment: str) -> None:

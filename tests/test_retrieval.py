@@ -347,3 +347,31 @@ def test_approximate_prunes_where_it_can(spark, monkeypatch):
     # far too short a bucket: no candidates but the row itself, so the exact search fills in
     got = dense.approximate_nearest(rows, asked, 10, bucket=1e-6).collect()
     assert recall_at(got, x, list(range(2000)), list(range(0, 2000, 20))) == 1
+
+
+@pytest.mark.parametrize("bound", [{"MOST_ASKED_BYTES": 200}, {"MOST_BEST_ROWS": 12}, {}])
+def test_queries_of_unknown_size_are_dealt_into_passes(spark, monkeypatch, bound):
+    for name, value in bound.items():
+        monkeypatch.setattr(dense, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(f"c{k:03}", "n", [float(x) for x in rng.standard_normal(5)]) for k in range(200)]
+    stored = spark.createDataFrame(rows, "chunk_id string, namespace string, vector array<double>")
+    asked = [(k, [float(x) for x in rng.standard_normal(5)]) for k in range(30)]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    found = dense.batch_nearest(stored, queries, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and ("Union" in plan) == bool(bound)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for k, q in asked:
+        assert got[k] == [c for _, c in sorted((-round(float(np.dot(v, q)), 9), c) for c, _, v in rows)[:4]]
+
+
+def test_passes_keep_their_bounds(spark):
+    queries = spark.createDataFrame([(k, [1.0] * 4) for k in range(100)], "query_id long, vector array<double>")
+    parts = dense._passes(queries, 3, most_bytes=32 * 20, most_rows=10_000)
+    assert sum(n for _, n in parts) == 100 and all(n <= 20 for _, n in parts)
+    assert sorted(r["query_id"] for part, _ in parts for r in part.collect()) == list(range(100))
+    one = spark.createDataFrame([(1, [1.0] * 4)], "query_id long, vector array<double>")
+    assert [n for _, n in dense._passes(one, 3, most_bytes=1, most_rows=1)] == [1] and [n for _, n in dense._passes(one.limit(0), 3)] == [0]
