@@ -1,10 +1,14 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass orders the vectors by a key, the concatenated signs of their products with random directions, and compares neighbours: a
-vector's window is the run of vectors whose keys agree in the first signs. A pair at the threshold shares a run with a probability that
-depends on its angle and the number of signs only, not on the other vectors, so the number of passes for the target recall follows from
-the number of signs. How many signs are best depends on how crowded the vectors are, which is measured on a sample. A run of more rows than
-a bounded window holds is cut into blocks, each compared with each, so no bound drops a pair.
+Each pass orders the vectors by a key, the concatenated signs of their products with random directions, and compares each with the
+``window`` vectors behind it, whatever their keys. The order is made by one range exchange; the first and last rows of each range are handed on and
+compared with their neighbours beyond its border, in fewer ranges each time until there is one. Links are united across passes.
+
+A window alone would lose pairs where many keys begin alike. So all vectors of a run, whose keys agree in the first signs, are compared as well: borders of
+ranges lie between runs, a run that is longer than the window is compared whole, and one of more than ``block_rows`` rows is cut into blocks,
+each compared with each. A pair at the threshold shares a run with a probability that depends on its angle and the number of signs only,
+so the number of passes for the target recall follows from the number of signs; windows only add to it. How many signs are best depends on how
+crowded the vectors are, which is measured on a sample.
 
 What a pass moves is an id and a short code, the vector in whole numbers of 16 bits. Codes bound the cosine to about 0.0001: pairs that
 are surely linked are united where they meet, and the few in doubt are confirmed on the vectors themselves.
@@ -17,13 +21,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_up_to, materialize, partitions
 from .components import connected_components, star_edges
 
 SIGNS = 62
@@ -37,6 +42,12 @@ SAMPLE_ROWS, SAMPLE_PASSES = 10_000, range(1_000_000, 1_000_003)
 ROUNDING = 2e-7
 #: Pairs in doubt that a task holds at once.
 HELD = 1 << 20
+#: Sorted rows that a task gathers before it compares them, and rows that are compared at once.
+TASK_ROWS, TILE_ROWS = 8192, 256
+#: What ranges hand on, 2 * window rows each, is dealt into so many times fewer ranges.
+FEWER_RANGES = 16
+#: Runs of several blocks that are broadcast; beyond that they are joined by a shuffle.
+MOST_LARGE_RUNS = 200_000
 
 
 def directions(dim: int, number: int) -> np.ndarray:
@@ -116,10 +127,10 @@ def decoded(rows: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(numbers: list[int], bits: int, kind: str):
-    """Rows (rep, dim, vector) once for each pass, with their first ``bits`` signs as one number, and their codes."""
+    """Rows (rep, dim, vector) once for each pass, with their key, its first ``bits`` signs as ``run``, and their codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
+        powers = np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             dims = batch.column(1).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
@@ -127,17 +138,97 @@ def _keyed(numbers: list[int], bits: int, kind: str):
                 x = unit(_stacked(part.column(2), kind))
                 short = pa.array(codes(x), pa.binary())
                 for number in numbers:
-                    key = ((x @ directions(dim, number)[:, :bits]) > 0) @ powers
+                    key = (((x @ directions(dim, number)) > 0) @ powers).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), number, np.int32)), part.column(1), pa.array(key.astype(np.int64)), part.column(0), short],
-                        names=["pass", "dim", "key", "rep", "code"],
+                        [pa.array(np.full(len(x), number, np.int32)), part.column(1), pa.array(key >> (SIGNS - bits)), pa.array(key), part.column(0), short],
+                        names=["pass", "dim", "run", "key", "rep", "code"],
                     )
 
     return run
 
 
+def _ends(rows: np.ndarray) -> np.ndarray:
+    """For each row, where the run of equal rows that it is in ends."""
+    change = np.flatnonzero((rows[1:] != rows[:-1]).any(axis=1)) + 1
+    ends = np.append(change, len(rows))
+    return np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+
+
+def _tile_links(ids: np.ndarray, x: np.ndarray, off: np.ndarray, tile: int, reach: np.ndarray, threshold: float):
+    """Links between the first ``tile`` rows and the rows behind each up to its ``reach``: edges that stand for the sure ones, and pairs in doubt."""
+    score = x[:tile] @ x.T - np.float32(threshold)
+    room = (off[:tile, None] + off[None, :] + off[:tile, None] * off[None, :]).astype(np.float32)
+    place = np.arange(len(x))
+    met = (score >= -room) & (place[None, :] > place[:tile, None]) & (place[None, :] < reach[:, None]) & (ids[None, :] != ids[:tile, None])
+    i, j = np.nonzero(met)
+    sure = score[i, j] >= room[i, j]
+    u, v = star_edges(place, i[sure], j[sure])
+    label = place.copy()
+    label[u] = v
+    apart = ~sure & (label[i] != label[j])
+    return ids[u], ids[v], ids[i[apart]], ids[j[apart]]
+
+
+def _windows(threshold: float, window: int, hand_on: bool):
+    """Links of sorted rows (pass, dim, run, key, rep, code) as (a, b, sure), each row with the ``window`` rows behind it and with all of its run.
+
+    With ``hand_on`` the first and last ``window`` rows of the task come out as well, with null a and b. A task holds TASK_ROWS rows and one run.
+    """
+    names = ["pass", "dim", "run", "key", "rep"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def links(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+        nulls = [pa.nulls(len(a), k) for k in (*kinds, pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure)), *nulls], names=["a", "b", "sure", *names, "code"])
+
+    def border(rows: np.ndarray, short: list[bytes]) -> pa.RecordBatch:
+        nulls = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.int64(), pa.bool_())]
+        own = [pa.array(rows[:, k], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*nulls, *own, pa.array(short, pa.binary())], names=["a", "b", "sure", *names, "code"])
+
+    def compared(rows: np.ndarray, short: list[bytes], last: bool) -> tuple[int, list[pa.RecordBatch]]:
+        """Handle the rows whose windows and runs are complete; how many that are."""
+        n = len(rows)
+        run_end, group_end = _ends(rows[:, :3]), _ends(rows[:, :2])
+        reach = np.minimum(group_end, np.maximum(np.arange(n) + 1 + window, run_end))
+        ready = n if last else max(0, min(n - window, int(np.flatnonzero(run_end == n)[0])))
+        out, at = [], 0
+        while at < ready:
+            end = min(at + TILE_ROWS, ready, int(group_end[at]))
+            upto = int(reach[end - 1])
+            x, off = decoded(short[at:upto], int(rows[at, 1]))
+            a, b, c, d = _tile_links(rows[at:upto, 4], x, off, end - at, reach[at:end] - at, threshold)
+            out += [links(a, b, True), links(np.minimum(c, d), np.maximum(c, d), False)]
+            at = end
+        return ready, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, short, seen = np.zeros((0, 5), np.int64), [], 0
+        tail, tail_codes = rows, []
+        for batch in batches:
+            new = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)], axis=1)
+            code = batch.column(5).to_pylist()
+            if hand_on:
+                head = max(0, window - seen)
+                if head:
+                    yield border(new[:head], code[:head])
+                tail, tail_codes = np.concatenate([tail, new[head:]])[-window:], [*tail_codes, *code[head:]][-window:]
+            seen += len(new)
+            rows, short = np.concatenate([rows, new]), short + code
+            if len(rows) >= TASK_ROWS:
+                done, found = compared(rows, short, last=False)
+                yield from found
+                rows, short = rows[done:], short[done:]
+        if len(rows):
+            yield from compared(rows, short, last=True)[1]
+        if len(tail):
+            yield border(tail, tail_codes)
+
+    return run
+
+
 def _group_links(threshold: float):
-    """Links inside each run of rows (pass, dim, key, low, high, left, rep, code), sorted by the first five: between the blocks
+    """Links inside each run of rows (pass, dim, run, low, high, left, rep, code), sorted by the first five: between the blocks
     ``low`` and ``high`` of the run, or inside the one block. Few edges (a, b, sure) with the same components stand for all sure links; pairs in
     doubt come as they are, but for those that sure links connect."""
 
@@ -257,14 +348,15 @@ def near_duplicate_vectors(
     Vectors are linked when their cosine, in double precision, is at least ``threshold``; ``n_links`` counts the other vectors linked
     directly, equal ones included. ``component_id`` is the least vec_id that links reach, itself included; ``kept`` says whether it
     is the vector's own. No link below the threshold is made; components are found with the probability ``recall`` or more for each
-    pair at the threshold, however crowded the vectors are, and all links inside a component are counted. ``window`` is the unit in which
-    the cost of a pass is weighed against comparisons; it limits nothing.
+    pair at the threshold, however crowded the vectors are, and all links inside a component are counted. ``window`` is the number of rows behind
+    each that it is compared with in a pass; longer runs of keys that begin alike are compared whole, in blocks of ``block_rows``.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of different lengths with
     each other. A null vec_id links with nothing, has a null component and is kept. vec_id is taken for a key. An empty table gives
     an empty result; other columns, whatever their names, are ignored.
     """
-    keyed_kind = "pass int, dim int, key long, rep long, code binary"
+    keyed_kind = "pass int, dim int, run long, key long, rep long, code binary"
+    found_kind = f"a long, b long, sure boolean, {keyed_kind}"
     single = embeddings.schema["embedding"].dataType.elementType.simpleString() == "float"
     kind = "<f4" if single else "<f8"
     wide = F.col("embedding").cast("array<float>" if single else "array<double>")
@@ -292,17 +384,28 @@ def near_duplicate_vectors(
     edges = None
     for k in range(0, len(numbers), passes_at_once):
         keyed = classes.select("rep", "dim", "vector").mapInArrow(_keyed(numbers[k : k + passes_at_once], bits, kind), keyed_kind)
-        group = ["pass", "dim", "key"]
-        # at most passes_at_once * n / block_rows runs
+        group = ["pass", "dim", "run"]
         large = keyed.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("cut")).where("cut > 1")
-        placed = keyed.join(F.broadcast(large), group, "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, cut - 1)")))
+        placed = keyed.join(broadcast_up_to(materialize(large), MOST_LARGE_RUNS), group, "left")
+        found = []
+        ordinary = placed.where("cut IS NULL").drop("cut")
+        ranges = partitions(embeddings.sparkSession)
+        ordered = ordinary.repartitionByRange(*group)
+        while ranges:  # all rows, then what their ranges hand on, in ever fewer ranges
+            hand_on = _windows(threshold, window, ranges > 1)
+            out = materialize(ordered.sortWithinPartitions(*group, "key", "rep").mapInArrow(hand_on, found_kind))
+            found.append(out.where("a IS NOT NULL").select("a", "b", "sure"))
+            ranges = 0 if ranges == 1 else max(1, ranges // FEWER_RANGES)
+            ordered = out.where("rep IS NOT NULL").select(*keyed.columns).repartitionByRange(max(1, ranges), *group)
+        blocks = placed.where("cut IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
+        blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0, cut - 1)")))
         order = [*group, "low", "high"]
-        dealt = placed.select(
+        dealt = blocks.select(
             *group, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") <= F.col("other")).alias("left"), "rep", "code"
         )
         dealt = dealt.repartition(*order).sortWithinPartitions(*order)
-        found = materialize(dealt.mapInArrow(_group_links(threshold), "a long, b long, sure boolean").distinct())
+        found.append(dealt.mapInArrow(_group_links(threshold), "a long, b long, sure boolean"))
+        found = materialize(reduce(DataFrame.unionByName, found).distinct())
         edges = found if edges is None else edges.unionByName(found)
     doubt = edges.where("NOT sure").select("a", "b").distinct()
     of = classes.select(F.col("rep").alias("a"), F.col("vector").alias("left"))

@@ -167,3 +167,86 @@ def test_second_hash_is_one_of_its_own(spark):
     rows = spark.createDataFrame([([float(k), 1.0],) for k in range(50)], "v array<double>")
     pair = rows.select(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"), F.xxhash64("v", F.lit(7)).alias("of_h1"))
     assert pair.where("h2 = of_h1 OR h1 = h2").count() == 0
+
+
+def sorted_rows(n, window, runs, seed=23, dim=32, ranges=(1,)):
+    """All pairs that ``_windows`` must compare: rows at most ``window`` apart, and rows of one run; and those that it finds."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    x = embedding_dedup.unit(rng.standard_normal((1, dim)) + 0.35 * rng.standard_normal((n, dim)))
+    run_of = np.sort(rng.integers(0, runs, n))
+    group = np.repeat([0, 1], [n // 3, n - n // 3])
+    order = np.lexsort((run_of, group))
+    run_of, group = run_of[order], group[order]
+    near = (np.arange(n)[None, :] - np.arange(n)[:, None] <= window) | (run_of[None, :] == run_of[:, None])
+    want = (x @ x.T >= 0.95) & near & (group[None, :] == group[:, None]) & np.triu(np.ones((n, n), bool), 1)
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    columns = [group, np.full(n, dim), run_of, np.arange(n), np.arange(n)]
+    batch = pa.RecordBatch.from_arrays(
+        [*[pa.array(c, k) for c, k in zip(columns, kinds)], pa.array(embedding_dedup.codes(x), pa.binary())], names=["pass", "dim", "run", "key", "rep", "code"]
+    )
+    return x, want, batch
+
+
+def united(n, pairs):
+    from stratasearch.llm.components import Forest
+
+    forest = Forest(n)
+    for a, b in pairs:
+        forest.union(a, b)
+    return [forest.find(k) for k in range(n)]
+
+
+def test_windows_meet_across_keys_and_batches(monkeypatch):
+    """Neighbours with different keys meet; however the rows come in batches, the same components follow."""
+    n, window = 500, 12
+    for runs in (400, 20, 3):
+        x, want, batch = sorted_rows(n, window, runs)
+        for step, held, tile in ((500, 8192, 256), (17, 40, 7), (1, 13, 1)):
+            monkeypatch.setattr(embedding_dedup, "TASK_ROWS", held)
+            monkeypatch.setattr(embedding_dedup, "TILE_ROWS", tile)
+            parts = [batch.slice(k, step) for k in range(0, n, step)]
+            links, borders = [], []
+            for out in embedding_dedup._windows(0.95, window, True)(iter(parts)):
+                rows = out.to_pylist()
+                links += [(r["a"], r["b"], r["sure"]) for r in rows if r["a"] is not None]
+                borders += [r["rep"] for r in rows if r["rep"] is not None]
+            assert sorted(borders) == [*range(window), *range(n - window, n)]
+            assert all(x[a] @ x[b] >= 0.949 for a, b, sure in links if not sure)
+            made = [(a, b) for a, b, sure in links if sure or x[a] @ x[b] >= 0.95]
+            assert united(n, made) == united(n, np.argwhere(want).tolist())
+
+
+def test_borders_of_ranges_lose_no_neighbours(spark, monkeypatch):
+    """With one pass, no runs and many ranges, what the windows find doesn't depend on the ranges."""
+    monkeypatch.setattr(embedding_dedup, "passes_needed", lambda *a: 1)
+    monkeypatch.setattr(embedding_dedup, "best_bits", lambda *a: embedding_dedup.SIGNS)
+    rng = np.random.default_rng(29)
+    centres = rng.standard_normal((150, 16))
+    x = np.concatenate([centres + 0.08 * rng.standard_normal((150, 16)) for _ in range(4)])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for number in ("1", "12"):
+            spark.conf.set("spark.sql.shuffle.partitions", number)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            seen.append(found(frame, window=8))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0] == seen[1]
+    assert sum(c != k for k, (_, c) in seen[0].items()) > 200
+
+
+def test_recall_at_the_threshold(spark):
+    """Planted pairs just above 0.95 among others."""
+    rng = np.random.default_rng(31)
+    a = embedding_dedup.unit(rng.standard_normal((2000, 64)))
+    other = rng.standard_normal((2000, 64))
+    other = embedding_dedup.unit(other - (other * a).sum(axis=1, keepdims=True) * a)
+    b = 0.9502 * a + math.sqrt(1 - 0.9502**2) * other
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    got = found(frame)
+    assert sum(got[2000 + k] == (1, k) for k in range(2000)) >= 1990
