@@ -374,7 +374,7 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     """(query_id, chunk_id, namespace, score, rank): the k best vectors for each of the queries (query_id, vector).
 
     Queries may have a column ``only`` (the one namespace to search, null for all) and a column ``without`` (a namespace to leave out). Of equal scores
-    the lesser chunk_id comes first. Null vectors, and vectors of another length than the query's, are no neighbours. The queries are counted first: up to
+    the lesser chunk_id comes first. Null and empty vectors, and vectors of another length than the query's, are no neighbours. The queries are counted first: up to
     MOST_ASKED_BYTES of them, whose best rows are MOST_BEST_ROWS at most, meet all vectors in one scan; more take further scans.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -387,7 +387,7 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     asked_kind, spaces = queries.schema["query_id"].dataType.simpleString(), kinds["namespace"]
     vector, stored_kind = kept(vectors)
-    stored = vectors.where("vector IS NOT NULL").select("chunk_id", "namespace", vector)
+    stored = vectors.where(F.size("vector") > 0).select("chunk_id", "namespace", vector)
     stored = stored.mapInArrow(
         _matrices(["chunk_id", "namespace"], STORED_BLOCK), f"chunk_id array<{kinds['chunk_id']}>, namespace array<{spaces}>, dim int, matrix binary"
     )
@@ -396,7 +396,7 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     schema = f"query_id {asked_kind}, chunk_id {kinds['chunk_id']}, namespace {spaces}, score double"
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     parts = []
-    for part, rows in _passes(queries.where("vector IS NOT NULL").select("query_id", *filters, vector), k):
+    for part, rows in _passes(queries.where(F.size("vector") > 0).select("query_id", *filters, vector), k):
         asked = part.repartition(max(1, rows // QUERY_BLOCK)).mapInArrow(
             _matrices(["query_id", "only", "without"], QUERY_BLOCK), f"query_id array<{asked_kind}>, only array<{spaces}>, without array<{spaces}>, dim int, matrix binary"
         ).select(F.monotonically_increasing_id().alias("block"), "query_id", "only", "without", F.col("dim").alias("asked_dim"), F.col("matrix").alias("asked_matrix"))

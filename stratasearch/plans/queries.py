@@ -18,6 +18,7 @@ from ..functions.languages import Languages
 from ..functions.vectors import normalize
 from ..operators import bm25, chunking, dense, evaluation, fusion, layout, lookups, ranking
 from ..operators.chunking import line_chunks, structural_chunks, with_chunk_ids
+from ..operators.coarse import CoarseIndex
 from ..operators.filters import within_size
 from ..sources.annotations import parse_tasks, task_targets
 from ..sources.tables import kept, shared_folder, spread, table
@@ -506,6 +507,15 @@ def knn_batch_topk(spark, sf):
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "namespace", r6("score").alias("score"))
 
 
+@registered(ORACLE_SQL["knn_batch_topk"])
+def knn_coarse_topk(spark, sf):
+    """The same neighbours by cells with bounds, of which only those that may hold one are visited."""
+    rows = vectors(spark, sf)
+    asked = rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    found = CoarseIndex.build(rows, f"{shared_folder(spark)}/coarse/{uuid.uuid4().hex}", cells=32).nearest(asked, 10)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "namespace", r6("score").alias("score"))
+
+
 @registered(
     f"""WITH {s.UNITS}, {s.hash_encode('units', 'chunk_id', 'content', 'h')} SELECT chunk_id, round(list_inner_product(vector, vector), 6) AS length2,
     round(vector[1], 6) + 0e0 AS first, round(list_sum(vector), 6) + 0e0 AS total FROM h"""
