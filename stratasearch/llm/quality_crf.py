@@ -224,7 +224,7 @@ def held_out(doc_id) -> F.Column:
 def training_sample(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 20_000) -> pd.DataFrame:
     """At most ``max_rows`` labelled texts (text, quality) outside the held-out rows, none longer than ``max_chars``.
 
-    The ids are chosen first, by a hash, so the join with the texts broadcasts ``max_rows`` ids at most.
+    The ids are chosen first, by a hash, so the join with the texts broadcasts ``max_rows`` ids at most; of several rows of an id the least text counts.
     """
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -235,8 +235,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, max_rows: int = 400
         .limit(max_rows)
     )
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= max_chars)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").toPandas()
-    return found.sort_values(["doc_id", "text"], ignore_index=True)
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    return found.select("doc_id", "text", "quality").toPandas().sort_values("doc_id", ignore_index=True)
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Field:

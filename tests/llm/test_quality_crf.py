@@ -80,3 +80,14 @@ def test_odd_rows(spark):
     none = quality_crf.score_documents(documents, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5}
     assert quality_crf.score_documents(documents.limit(0), labels).count() == 0
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """Repeated ids give one row each."""
+    from stratasearch.llm import quality_crf
+
+    docs = spark.createDataFrame([(k % 7, f"text {k}") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 7, 1) for k in range(50)], "doc_id long, quality int")
+    assert len(quality_crf.training_sample(docs, labels, max_rows=3)) <= 3
+    sample = quality_crf.training_sample(docs, labels)
+    assert len(sample) == sample["doc_id"].nunique() and len(sample) <= 7
