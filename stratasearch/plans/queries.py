@@ -2,7 +2,7 @@
 
 The documents stand for files: the source is the repository, the path follows from the id so that every kind of path occurs.
 Vectors come from ``embeddings`` (namespace: label), queries from ``benchmark``. The tables hold no code, so what depends on
-code runs over literal rows as well.
+code runs over documents whose text follows a few lines of it (``code``).
 """
 
 from __future__ import annotations
@@ -169,10 +169,17 @@ def ext_semi_join(spark, sf):
     return _all_paths(spark, sf).withColumn("extension", F.lower(paths.suffix_of("file_path"))).join(F.broadcast(known), "extension", "left_semi").drop("extension")
 
 
-@registered(f"WITH {s.extension_values()} SELECT language, string_agg(extension, ',' ORDER BY extension) AS extensions FROM ext GROUP BY language")
+@registered(
+    f"""WITH {s.extension_values()}, {s.FILES}, n AS (SELECT lower({s.suffix_of('file_path')}) AS extension, count(*) AS n FROM files GROUP BY ALL)
+    SELECT language, string_agg(extension, ',' ORDER BY extension) AS extensions, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_files FROM ext LEFT JOIN n USING (extension) GROUP BY language"""
+)
 def lang_extensions(spark, sf):
-    known = Languages().frame(spark)
-    return known.groupBy("language").agg(F.array_join(F.array_sort(F.collect_list("extension")), ",").alias("extensions"))
+    """Extensions by language, and how many of the documents' files have them."""
+    counted = files(spark, sf).groupBy(F.lower(paths.suffix_of("file_path")).alias("extension")).agg(F.count(F.lit(1)).alias("n"))
+    known = counted.join(F.broadcast(Languages().frame(spark)), "extension", "right")
+    return known.groupBy("language").agg(
+        F.array_join(F.array_sort(F.collect_list("extension")), ",").alias("extensions"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_files")
+    )
 
 
 SOURCES = [
@@ -254,9 +261,17 @@ def tokenize_docs(spark, sf):
 IDENTIFIERS = [(x,) for x in "HandlerStack getHTTPResponse XMLParser my_func _private myHTTP_Client simple utf8 A1b2C3 __init__ HTTPServer2Go x IOError".split()]
 
 
-@registered(f"WITH {s.values('t', 'token', IDENTIFIERS)} SELECT token, array_to_string({s.split_identifier('token')}, ',') AS parts FROM t")
+@registered(
+    f"""WITH {s.values('i', 'k, head', list(enumerate(x for x, in IDENTIFIERS)))}, w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{text.IDENTIFIER}')) AS word FROM documents),
+    t AS (SELECT DISTINCT unnest([head, head || word, head || '_' || word]) AS token FROM w JOIN i ON length(word) % {len(IDENTIFIERS)} = k) SELECT token, array_to_string({s.split_identifier('token')}, ',') AS parts FROM t"""
+)
 def split_identifier_fixture(spark, sf):
-    return literal(spark, IDENTIFIERS, "token string").select("token", F.array_join(text.split_identifier("token"), ",").alias("parts"))
+    """Each word of the documents behind one of the listed identifiers, which its length chooses."""
+    words = spread(table(spark, sf, "documents")).select(F.explode_outer(F.regexp_extract_all("text", F.lit(text.IDENTIFIER), F.lit(0))).alias("word")).where("word IS NOT NULL").distinct()
+    heads = F.broadcast(literal(spark, [(k, *row) for k, row in enumerate(IDENTIFIERS)], "k int, head string"))
+    both = words.join(heads, F.length("word") % len(IDENTIFIERS) == F.col("k"))
+    made = both.select(F.explode(F.array("head", F.concat("head", "word"), F.concat_ws("_", "head", "word"))).alias("token")).distinct()
+    return made.select("token", F.array_join(text.split_identifier("token"), ",").alias("parts"))
 
 
 @registered(f"WITH {s.TOKENS} SELECT chunk_id, CAST(len(tokens) AS BIGINT) AS dl, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM tok")
@@ -574,7 +589,7 @@ def hybrid_fuse(spark, sf):
     return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"))
 
 
-#: Candidates over code, for what the documents can't show: query_id, query, repo_id, chunk_id, file_path, content, score.
+#: Code that goes before the documents' texts: query_id, query, repo_id, chunk_id, file_path, content, score. A document takes the rows of one query.
 CODE_ROWS = [
     (1, "MyService", "r1", "c01", "src/my_service.py", "class MyService:\n    pass", 0.5),
     (1, "MyService", "r1", "c02", "src/utils.py", "x = MyService()", 0.4),
@@ -598,11 +613,19 @@ CODE_ROWS = [
     (9, "f(x", "r1", "c20", "src/f.py", "def f(x", 0.3),
 ]
 _CODE_COLUMNS = "query_id, query, repo_id, chunk_id, file_path, content, score"
-_CODE = s.values("code", _CODE_COLUMNS, CODE_ROWS)
-
-
-def code(spark) -> DataFrame:
-    return literal(spark, CODE_ROWS, "query_id long, query string, repo_id string, chunk_id string, file_path string, content string, score double")
+_CODE = f"""{s.FILES}, {s.values('code_rows', _CODE_COLUMNS, CODE_ROWS)}, code AS (SELECT doc_id * 10 + c.query_id AS query_id, query, c.repo_id || '-' || (doc_id // 9) AS repo_id,
+    c.chunk_id || '-' || doc_id AS chunk_id, c.file_path, c.content || chr(10) || f.content || chr(10) || '# end' AS content, score FROM files f JOIN code_rows c ON f.doc_id % 9 + 1 = c.query_id)"""
+
+
+def code(spark, sf) -> DataFrame:
+    """Candidates over code: each document's whole text behind the code of one query, nine documents to a group of repositories."""
+    rows = literal(spark, CODE_ROWS, "query_id long, query string, repo_id string, chunk_id string, file_path string, code string, score double")
+    texts = files(spark, sf).select("doc_id", F.col("content").alias("text"))
+    part = F.expr("doc_id div 9")
+    return texts.join(F.broadcast(rows), F.col("doc_id") % 9 + 1 == F.col("query_id")).select(
+        (F.col("doc_id") * 10 + F.col("query_id")).alias("query_id"), "query", F.concat_ws("-", "repo_id", part).alias("repo_id"),
+        F.concat_ws("-", "chunk_id", "doc_id").alias("chunk_id"), "file_path", F.concat_ws("\n", "code", "text", F.lit("# end")).alias("content"), "score",
+    )
 
 
 def _score_of(found):
@@ -619,7 +642,7 @@ DEFINITION_NAMES = [("MyService",), ("Base",), ("users",), ("getUser",), ("Get",
 def definition_predicate(spark, sf):
     names = literal(spark, DEFINITION_NAMES, "name string")
     stem = F.lower(paths.stem_of("file_path"))
-    return code(spark).crossJoin(F.broadcast(names)).select(
+    return code(spark, sf).crossJoin(F.broadcast(names)).select(
         "chunk_id", "name", text.defines("content", F.col("name")).alias("defines"), text.stem_matches(stem, F.lower("name")).alias("stem")
     )
 
@@ -641,12 +664,12 @@ def file_coherence(spark, sf):
 
 @registered(f"WITH {_CODE}, {s.coherent('code', 'x')} {_SCORE_OF} x")
 def file_coherence_code(spark, sf):
-    return _score_of(ranking.coherence_boost(code(spark)))
+    return _score_of(ranking.coherence_boost(code(spark, sf)))
 
 
 @registered(f"WITH {_CODE}, w AS (SELECT * EXCLUDE (score), {s.stem_gain('score')} AS score FROM code) {_SCORE_OF} w")
 def stem_boost(spark, sf):
-    return _score_of(code(spark).withColumn("score", ranking.stem_gain(F.col("query"), F.col("file_path"), F.col("score"))))
+    return _score_of(code(spark, sf).withColumn("score", ranking.stem_gain(F.col("query"), F.col("file_path"), F.col("score"))))
 
 
 @registered(
@@ -655,19 +678,19 @@ def stem_boost(spark, sf):
 def symbol_boost(spark, sf):
     stem = F.lower(paths.stem_of("file_path"))
     gain = ranking.definition_gain(F.col("content"), stem, ranking.symbol_names(F.col("query")), F.col("score") * 3.0)
-    return _score_of(code(spark).withColumn("score", gain))
+    return _score_of(code(spark, sf).withColumn("score", gain))
 
 
 @registered(f"WITH {_CODE}, w AS (SELECT * EXCLUDE (score), {s.definition_gain(s.embedded('query'), 'score * 1.5e0')} AS score FROM code) {_SCORE_OF} w")
 def embedded_symbol_boost(spark, sf):
     stem = F.lower(paths.stem_of("file_path"))
     gain = ranking.definition_gain(F.col("content"), stem, text.embedded_symbols("query"), F.col("score") * 1.5)
-    return _score_of(code(spark).withColumn("score", gain))
+    return _score_of(code(spark, sf).withColumn("score", gain))
 
 
 @registered(f"WITH {_CODE}, {s.boosted('code', 'x')} {_SCORE_OF} x")
 def query_boost_code(spark, sf):
-    return _score_of(ranking.query_boost(code(spark)))
+    return _score_of(ranking.query_boost(code(spark, sf)))
 
 
 @registered(f"{_CANDIDATES}, {s.boosted('ca', 'x')} {_SCORE_OF} x")
@@ -692,7 +715,7 @@ _FITS = (
     {_SCORE_OF} w WHERE score > 0"""
 )
 def outside_definitions(spark, sf):
-    rows = code(spark)
+    rows = code(spark, sf)
     return _score_of(ranking.outside_definitions(rows, rows.select("repo_id", "chunk_id", "file_path", "content").distinct()))
 
 
@@ -712,18 +735,18 @@ def path_penalty(spark, sf):
 
 @registered(f"WITH {_CODE}, {s.saturated('code', 'x')} {_SCORE_OF} x")
 def file_saturation(spark, sf):
-    return _score_of(ranking.saturate_files(code(spark)))
+    return _score_of(ranking.saturate_files(code(spark, sf)))
 
 
 @registered(f"WITH {_CODE}, {s.ranked('code', 2, 'x')} SELECT query_id, rank, chunk_id, repo_id, round(score, 6) + 0e0 AS score FROM x")
 def repo_merge_topk(spark, sf):
-    found = ranking.rank_candidates(code(spark), 2)
+    found = ranking.rank_candidates(code(spark, sf), 2)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "repo_id", r6("score").alias("score"))
 
 
 @registered(f"WITH {_CODE}, {s.ranked('code', 2, 'x', boosts=False)} SELECT query_id, rank, chunk_id, repo_id, round(score, 6) + 0e0 AS score FROM x")
 def rank_without_query(spark, sf):
-    found = ranking.rank_candidates(code(spark), 2, query_boosts=False)
+    found = ranking.rank_candidates(code(spark, sf), 2, query_boosts=False)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "repo_id", r6("score").alias("score"))
 
 
@@ -814,7 +837,7 @@ def find_related_e2e(spark, sf):
     || 'repo: /repos/' || repo_id || chr(10) || '```' || chr(10) || trim(content) || chr(10) || '```' || chr(10) AS block FROM x"""
 )
 def render_results(spark, sf):
-    rows = code(spark).withColumns({"start_line": F.lit(1), "end_line": F.lit(2), "language": F.lit(None).cast("string")})
+    rows = code(spark, sf).withColumns({"start_line": F.lit(1), "end_line": F.lit(2), "language": F.lit(None).cast("string")})
     named = rows.withColumns({"repo_name": F.col("repo_id"), "repo_source": F.concat(F.lit("/repos/"), "repo_id")})
     return plans.rendered(plans.results(ranking.rank_candidates(named, 3)))
 
@@ -823,7 +846,7 @@ def render_results(spark, sf):
     f"""WITH {_CODE}, {s.ranked('code', 3, 'x')} SELECT query_id, rank, chunk_id, repo_id, CAST(NULL AS VARCHAR) AS language, file_path, content, round(score, 6) AS score FROM x"""
 )
 def result_roundtrip(spark, sf):
-    rows = code(spark).withColumns({"start_line": F.lit(1), "end_line": F.lit(2), "language": F.lit(None).cast("string")})
+    rows = code(spark, sf).withColumns({"start_line": F.lit(1), "end_line": F.lit(2), "language": F.lit(None).cast("string")})
     named = rows.withColumns({"repo_name": F.col("repo_id"), "repo_source": F.lit("")})
     back = plans.from_wire(plans.to_wire(plans.results(ranking.rank_candidates(named, 3))))
     return back.select("query_id", "rank", "chunk_id", "repo_id", "chunk.language", "chunk.file_path", "chunk.content", F.round("score", 6).alias("score"))
@@ -938,12 +961,17 @@ CONTAINED = [
 
 
 @registered(
-    f"""WITH {s.values('r', 'repo_id, base', REPO_ROWS)}, {s.values('p', 'path_id, path', CONTAINED)} SELECT path_id, path, repo_id FROM p JOIN r
+    f"""WITH {s.FILES}, {s.values('r', 'repo_id, base', REPO_ROWS)}, {s.values('c', 'k, front', CONTAINED)},
+    p AS (SELECT doc_id AS path_id, CASE WHEN doc_id % 3 = 0 THEN front ELSE front || '/' || file_path END AS path FROM files JOIN c ON doc_id % 8 + 1 = k)
+    SELECT path_id, path, repo_id FROM p JOIN r
     ON path = base OR (starts_with(path, base || '/') AND NOT starts_with(path, 'https://')) QUALIFY row_number() OVER (PARTITION BY path_id ORDER BY length(base) DESC, repo_id) = 1"""
 )
 def repo_containment(spark, sf):
     repos = literal(spark, REPO_ROWS, "repo_id string, source string")
-    return lookups.containing_repo(literal(spark, CONTAINED, "path_id int, path string"), repos)
+    fronts = F.broadcast(literal(spark, CONTAINED, "k int, front string"))
+    below = F.when(F.col("doc_id") % 3 == 0, F.col("front")).otherwise(F.concat_ws("/", "front", "file_path"))
+    placed = files(spark, sf).join(fronts, F.col("doc_id") % 8 + 1 == F.col("k")).select(F.col("doc_id").alias("path_id"), below.alias("path"))
+    return lookups.containing_repo(placed, repos)
 
 
 @registered(
@@ -1042,14 +1070,22 @@ SPAN_TARGETS = [(1, 1, "src/a.py", 12, 15), (1, 2, "b.py", None, None), (1, 3, "
 
 
 @registered(
-    f"""WITH {s.values('r', 'query_id, rank, file_path, a, b', SPAN_RESULTS)}, {s.values('t', 'query_id, target_id, path, c, d', SPAN_TARGETS)}
+    f"""WITH {s.values('r0', 'q, rank, file_path, a, b', SPAN_RESULTS)}, {s.values('t0', 'q, target_id, path, c, d', SPAN_TARGETS)}, d AS (SELECT doc_id, n_chars AS by_n FROM documents),
+    r AS (SELECT doc_id * 4 + q AS query_id, rank, file_path, a + by_n AS a, b + by_n AS b FROM d, r0), t AS (SELECT doc_id * 4 + q AS query_id, target_id, path, c + by_n AS c, d + by_n AS d FROM d AS d0, t0)
     SELECT query_id, target_id, rank FROM (SELECT r.query_id, t.target_id, r.rank, replace(file_path, '\\', '/') AS f, replace(path, '\\', '/') AS p, a, b, c, d FROM r JOIN t USING (query_id))
     WHERE {s.same_file('f', 'p')} AND (c IS NULL OR d IS NULL OR NOT (b < c OR a > d))"""
 )
 def interval_overlap_targets(spark, sf):
-    found = literal(spark, SPAN_RESULTS, "query_id int, rank int, file_path string, start_line int, end_line int")
-    targets = literal(spark, SPAN_TARGETS, "query_id int, target_id int, path string, from_line int, to_line int")
-    return lookups.covered_targets(found, targets)
+    """Each document's results and targets: the listed ones, as many lines further on as the document has characters."""
+    found = literal(spark, SPAN_RESULTS, "q int, rank int, file_path string, start_line int, end_line int")
+    targets = literal(spark, SPAN_TARGETS, "q int, target_id int, path string, from_line int, to_line int")
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+
+    def of_documents(rows, *lines):
+        moved = docs.crossJoin(F.broadcast(rows)).withColumns({line: F.col(line) + F.col("n_chars") for line in lines})
+        return moved.withColumn("query_id", F.col("doc_id") * 4 + F.col("q")).drop("doc_id", "n_chars", "q")
+
+    return lookups.covered_targets(of_documents(found, "start_line", "end_line"), of_documents(targets, "from_line", "to_line"))
 
 
 @registered(
@@ -1116,22 +1152,33 @@ def evaluation_keywords(spark, sf):
     return _all_queries(spark, sf).select("query_id", F.array_join(text.evaluation_keywords("query"), " ").alias("keywords"))
 
 
+#: The sign @ stands for the id of a document.
 TASK_TEXTS = [
-    ("one", '[{"query": "how are routes registered", "relevant": ["src/a.py", {"path": "src/b.py", "start_line": 3, "end_line": 9}], "secondary": ["c.py"]},'
+    ("one-@", '[{"query": "how are routes registered", "relevant": ["src/a@.py", {"path": "src/b.py", "start_line": 3, "end_line": 9}], "secondary": ["c.py"]},'
      ' {"query": "Router", "relevant": ["r.py"], "secondary": [], "category": "symbol"}]'),
-    ("two", '[{"query": "find it", "relevant": [], "secondary": [{"path": "x/y.go"}], "repo": "other"}]'),
-    ("three", "not json"),
+    ("two-@", '[{"query": "find it", "relevant": [], "secondary": [{"path": "x/y@.go"}], "repo": "other-@"}]'),
+    ("three-@", "not json"),
 ]
 TASK_ROWS = [
-    ("one", "how are routes registered", "architecture", 0, "src/a.py", None, None, True), ("one", "how are routes registered", "architecture", 1, "src/b.py", 3, 9, True),
-    ("one", "how are routes registered", "architecture", 2, "c.py", None, None, False), ("one", "Router", "symbol", 0, "r.py", None, None, True),
-    ("other", "find it", "semantic", 0, "x/y.go", None, None, False),
+    ("one-@", "how are routes registered", "architecture", 0, "src/a@.py", None, None, True), ("one-@", "how are routes registered", "architecture", 1, "src/b.py", 3, 9, True),
+    ("one-@", "how are routes registered", "architecture", 2, "c.py", None, None, False), ("one-@", "Router", "symbol", 0, "r.py", None, None, True),
+    ("other-@", "find it", "semantic", 0, "x/y@.go", None, None, False),
 ]
 
 
-@registered(f"WITH {s.values('t', 'repo, query, category, target_id, path, from_line, to_line, is_primary', TASK_ROWS)} SELECT * FROM t")
+_TASK_COLUMNS = "repo, query, category, target_id, path, from_line, to_line, is_primary"
+
+
+@registered(
+    f"""WITH {s.values('t', _TASK_COLUMNS, TASK_ROWS)}, {s.values('of', 'k, front', [(0, 'one-@'), (1, 'other-@')])}
+    SELECT replace(repo, '@', CAST(doc_id AS VARCHAR)) AS repo, query, category, target_id, replace(path, '@', CAST(doc_id AS VARCHAR)) AS path, from_line, to_line, is_primary
+    FROM documents JOIN of ON doc_id % 3 = k JOIN t ON t.repo = front"""
+)
 def task_scan(spark, sf):
-    tasks = parse_tasks(literal(spark, TASK_TEXTS, "repo string, json string"))
+    texts = literal(spark, [(k, *row) for k, row in enumerate(TASK_TEXTS)], "k int, repo string, json string")
+    docs = table(spark, sf, "documents").select("doc_id").join(F.broadcast(texts), F.col("doc_id") % 3 == F.col("k"))
+    own = {name: F.replace(F.col(name), F.lit("@"), F.col("doc_id").cast("string")) for name in ("repo", "json")}
+    tasks = parse_tasks(docs.withColumns(own).select("repo", "json"))
     return task_targets(tasks).join(tasks.select("query_id", "repo", "query", "category"), "query_id").drop("query_id")
 
 
