@@ -80,6 +80,19 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     )
 
 
+def weighted(hit: DataFrame, df: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(token, chunk_id, repo_id, df, dl, weight): what each posting adds to the score of a query that has its token once. ``df``: token, df."""
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    share = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * share))
+    return (
+        hit.join(df, "token")
+        .join(stats.select("chunk_id", "dl"), "chunk_id")
+        .crossJoin(F.broadcast(corpus_stats(stats)))  # one row
+        .select("token", "chunk_id", "repo_id", "df", "dl", weight.alias("weight"))
+    )
+
+
 def scores(
     queries: DataFrame, posted: DataFrame, stats: DataFrame, selector: DataFrame | None = None, k1: float = K1, b: float = B
 ) -> DataFrame:
@@ -93,16 +106,7 @@ def scores(
     if selector is not None and "query_id" not in selector.columns:
         hit = hit.join(selector.select("chunk_id").distinct(), "chunk_id", "left_semi")
     # a posting's weight doesn't depend on the query: it is worked out once, before queries multiply the rows
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    share = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * share))
-    weighted = (
-        hit.join(df, "token")
-        .join(stats.select("chunk_id", "dl"), "chunk_id")
-        .crossJoin(F.broadcast(corpus_stats(stats)))  # one row
-        .select("token", "chunk_id", "repo_id", weight.alias("weight"))
-    )
-    rows = weighted.join(asked, "token")
+    rows = weighted(hit, df, stats, k1, b).join(asked, "token")
     if selector is not None and "query_id" in selector.columns:
         rows = rows.join(selector.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")
     return rows.groupBy("query_id", "chunk_id", "repo_id").agg(
