@@ -6,7 +6,7 @@ Each passage is a query. The ``depth`` best documents by BM25 are taken, and tho
 retrieved, as pooled evaluations do). Below TARGET, by category of query: ``results`` (the ranked documents with scores and judgements) and
 ``quality`` (NDCG at ``k``, the first relevant rank, and the share of relevant documents read within each budget of tokens).
 
-``work`` holds postings and lengths. A run replaces the categories that it writes, so running it again leaves the same files' contents. The configuration gives SQL expressions over the
+``work`` holds lengths, counts of the queries' tokens and what was found. A run replaces the categories that it writes, so running it again leaves the same files' contents. The configuration gives SQL expressions over the
 columns of the two tables.
 """
 
@@ -39,15 +39,11 @@ def written(rows: DataFrame, path: str, schema: str) -> DataFrame:
 def ranked(documents: DataFrame, queries: DataFrame, depth: int, work: str) -> DataFrame:
     """(query_id, rank, chunk_id, repo_id, score) of the best documents (chunk_id, repo_id, file_path, content).
 
-    Lengths of all documents, and the postings of the queries' tokens alone, are kept below ``work``: scoring reads them more than once.
+    The length of each document and its counts of the queries' tokens are kept below ``work``, and so are the few rows that are found: the texts are joined with those.
     """
-    spark, tokens = documents.sparkSession, bm25.tokenized(documents)
-    asked = bm25.query_tokens(queries).select("token").distinct()
-    tables = {"postings": bm25.postings(tokens).join(asked, "token", "left_semi"), "lengths": bm25.doc_stats(tokens)}
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{work}/{name}")
-    posted, lengths = (spark.read.schema(rows.schema).parquet(f"{work}/{name}") for name, rows in tables.items())
-    return bm25.top(bm25.scores(queries, posted, lengths), depth)
+    found = bm25.best_in(queries, bm25.tokenized(documents), depth, work=f"{work}/counts")
+    found.write.mode("overwrite").parquet(f"{work}/ranked")
+    return documents.sparkSession.read.schema(found.schema).parquet(f"{work}/ranked")
 
 
 def run(spark: SparkSession, documents: str, passages: str, target: str, settings: dict | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 from ..operators import bm25, dense, fusion, ranking
 from ..operators.lookups import resolve_candidates
+from ..sources.tables import kept
 
 
 def scoped(queries: DataFrame) -> DataFrame:
@@ -21,13 +22,18 @@ def not_blank(queries: DataFrame) -> DataFrame:
 
 
 def sparse_hits(
-    queries: DataFrame, postings: DataFrame, stats: DataFrame, coarse: int, prefilter: bool = False
+    queries: DataFrame, postings: DataFrame | None, stats: DataFrame | None, coarse: int, prefilter: bool = False, tokens: DataFrame | None = None
 ) -> DataFrame:
     """The coarse BM25 hits of each query.
 
     A query with a scope keeps those of the coarse hits that are in its repository; with ``prefilter`` it gets the best hits of the
-    repository instead, however they rank among all.
+    repository instead, however they rank among all. ``tokens`` (chunk_id, repo_id, tokens) may stand for postings and statistics, without ``prefilter``.
     """
+    if tokens is not None:
+        if prefilter:
+            raise ValueError("a search from tokens ranks all chunks before a scope applies")
+        hits = bm25.best_in(queries, tokens, coarse).join(scoped(queries).select("query_id", "scope"), "query_id")
+        return hits.where(F.col("scope").isNull() | (F.col("scope") == F.col("repo_id"))).select("query_id", "chunk_id", "score")
     scored = bm25.scores(queries, postings, stats).join(scoped(queries).select("query_id", "scope"), "query_id")
     inside = F.col("scope").isNull() | (F.col("scope") == F.col("repo_id"))
     hits = bm25.top(scored.where(inside), coarse) if prefilter else bm25.top(scored, coarse).where(inside)
@@ -44,8 +50,8 @@ def search(
     queries: DataFrame,
     chunks: DataFrame,
     vectors: DataFrame,
-    postings: DataFrame,
-    stats: DataFrame,
+    postings: DataFrame | None,
+    stats: DataFrame | None,
     repos: DataFrame,
     encoder: dense.Encoder,
     top_k: int = 5,
@@ -54,19 +60,24 @@ def search(
     prefilter: bool = False,
     metric: str = "ip",
     outside: bool = False,
+    tokens: DataFrame | None = None,
 ) -> DataFrame:
     """The best chunks for each query (query_id, query, and scope if wanted): both retrievals, fusion, ranking.
 
     Blank queries have no results. ``outside`` lets chunks in that define a queried symbol but were not retrieved, in the repositories
-    that have candidates.
+    that have candidates. ``tokens`` of all chunks stand for postings and statistics: for a batch over chunks that have none; what is found is kept then.
     """
     asked = not_blank(scoped(queries)).select("query_id", "query", "scope")
     coarse = max(coarse_multiplier * top_k, top_k)
     encoded = dense.encoded(asked, encoder, "query").select("query_id", "scope", "vector")
     near = dense_hits(vectors, encoded, coarse, metric)
-    sparse = sparse_hits(asked, postings, stats, coarse, prefilter)
+    sparse = sparse_hits(asked, postings, stats, coarse, prefilter, tokens)
+    if tokens is not None:
+        near, sparse = kept(queries.sparkSession, near=near, sparse=sparse)
     given = None if alpha is None else F.lit(alpha)
     fused = fusion.fuse(near, sparse, asked.select("query_id", fusion.alpha_of("query", given).alias("alpha")))
+    if tokens is not None:  # a few rows a query, so that the chunks are joined where they are
+        (fused,) = kept(queries.sparkSession, fused=fused)
     candidates = resolve_candidates(fused, chunks, repos).join(asked.select("query_id", "query"), "query_id")
     every = resolve_candidates(chunks.select("chunk_id"), chunks, repos) if outside else None
     return results(ranking.rank_candidates(candidates, top_k, all_chunks=every))
