@@ -29,6 +29,9 @@ from stratasearch.operators.filters import readable_files
 
 log = logging.getLogger("index_documents")
 
+#: Repeated ids of a batch that are broadcast; with more of them the texts are shuffled.
+FEW_REPEATED = 100_000
+
 DEFAULTS = Path(__file__).with_suffix(".json")
 SCHEMAS = {
     "documents": "doc_id long, repo_id string, file_path string, digest string, batch int, language string",
@@ -52,21 +55,26 @@ def current(spark: SparkSession, target: str, name: str = "chunks", before: int
     return rows.join(gone.select("doc_id", F.col("old_batch").alias("batch")), ["doc_id", "batch"], "left_anti")
 
 
-def _newest(rows: DataFrame) -> DataFrame:
-    """One row per doc_id: of the newest file, then the last one by path, then by a hash. Texts of ids that come once aren't moved."""
+def _newest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per doc_id: of the newest file, then the last one by path, then by a hash; and the ids that come more than once, which are persisted.
+
+    Texts of ids that come once aren't moved, up to FEW_REPEATED others.
+    """
     order = F.struct("modified", "file", F.xxhash64("repo_id", "file_path", "language", "content").alias("hash"))
     rows = rows.withColumn("order", order)
-    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("order").alias("newest")).where("n > 1").drop("n")
-    once = rows.join(repeated.select("doc_id"), "doc_id", "left_anti")
-    chosen = rows.join(repeated, "doc_id").where("order = newest").dropDuplicates(["doc_id"])
-    return once.unionByName(chosen.drop("newest")).drop("order", "modified", "file")
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("order").alias("newest")).where("n > 1").drop("n").persist()
+    few = F.broadcast(repeated) if repeated.count() <= FEW_REPEATED else repeated
+    once = rows.join(few.select("doc_id"), "doc_id", "left_anti")
+    chosen = rows.join(few, "doc_id").where("order = newest").dropDuplicates(["doc_id"])
+    return once.unionByName(chosen.drop("newest")).drop("order", "modified", "file"), repeated
 
 
 def write_batch(rows: DataFrame, number: int, target: str, settings: dict) -> int:
     """Index one batch of documents (doc_id, repo_id, file_path, language, content, modified, file); returns the number of rows read."""
     spark = rows.sparkSession
     digest = F.sha2(F.to_json(F.struct("repo_id", "file_path", "language", "content")), 256)
-    newest = _newest(rows.where("doc_id IS NOT NULL")).withColumn("digest", digest)
+    newest, repeated = _newest(rows.where("doc_id IS NOT NULL"))
+    newest = newest.withColumn("digest", digest)
     if number:  # as it was before this batch, also if the batch is run again
         known = current(spark, target, "documents", before=number)
     else:
@@ -75,11 +83,11 @@ def write_batch(rows: DataFrame, number: int, target: str, settings: dict) -> in
     changed = newest.join(known.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").persist()
     pieces = line_chunks(readable_files(changed), settings["desired_chunk_chars"], settings["max_chunk_chars"])
     tokens = bm25.index_tokens("content", "file_path")
-    chunks = with_chunk_ids(pieces).withColumn("tokens", tokens).persist()
+    chunks = bm25.with_terms(with_chunk_ids(pieces).withColumn("tokens", tokens)).persist()
 
     def write(table: DataFrame, name: str, *by: str) -> int:
         path = f"{target}/{name}/batch={number}"
-        table.write.mode("overwrite").partitionBy(*by).parquet(path)
+        table.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)  # ids in hex take half the room
         fields = [f for f in T.StructType.fromDDL(SCHEMAS[name]).fields if f.name != "batch"]
         return spark.read.schema(T.StructType(fields)).parquet(path).count()
 
@@ -87,20 +95,22 @@ def write_batch(rows: DataFrame, number: int, target: str, settings: dict) -> in
         replaced = changed.join(known.select("doc_id", "old_batch"), "doc_id").select("doc_id", "old_batch")
         read = rows.count()
         counts = {"replaced": write(replaced, "replaced")}
-        sizes = (F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_terms"))
+        sizes = ("n_tokens", F.size("terms").cast("long").alias("n_terms"))
         columns = ("doc_id", "repo_id", "chunk_id", "file_path", "start_line", "end_line", "content", "content_hash")
         counts["chunks"] = write(chunks.select(*columns, *sizes, "language"), "chunks", "language")
-        owner = chunks.select("chunk_id", F.struct("repo_id", "doc_id").alias("repo_id"), "tokens")
+        short = F.unhex("chunk_id").alias("chunk_id")  # half as long, in the same order
+        owner = chunks.select(short, F.struct("repo_id", "doc_id").alias("repo_id"), "terms")
         posted = bm25.postings(owner).select("token", "chunk_id", "repo_id.repo_id", "repo_id.doc_id", "tf")
         bucket = F.pmod(F.hash("token"), F.lit(settings["token_buckets"])).alias("bucket")
         dealt = posted.select("*", bucket).repartitionByRange("bucket", "token", "chunk_id").sortWithinPartitions("bucket", "token")
-        counts["postings"] = write(dealt, "postings", "bucket")
+        counts["postings"] = write(dealt.withColumn("chunk_id", F.lower(F.hex("chunk_id"))), "postings", "bucket")
         counts["documents"] = write(changed.select("doc_id", "repo_id", "file_path", "digest", "language"), "documents", "language")
         log.info("batch %d: read %d rows; wrote %s", number, read, ", ".join(f"{n} {name}" for name, n in counts.items()))
         return read
     finally:
         chunks.unpersist()
         changed.unpersist()
+        repeated.unpersist()
 
 
 def run(spark: SparkSession, source: str, target: str, checkpoint: str, settings: dict | None = None) -> int:
