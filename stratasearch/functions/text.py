@@ -5,6 +5,8 @@ The patterns run on the JVM inside generated code. ``(?d)`` makes ``^`` and ``$`
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,11 +132,16 @@ def _quoted(name: Column) -> Column:
 
 
 def defines(content: Column | str, name: Column) -> Column:
-    """Whether a text defines the name: a keyword, an optional qualification, the name and an end of it."""
+    """Whether a text defines the name: a keyword, an optional qualification, the name and an end of it.
+
+    The patterns start at every word and are compiled anew where the name changes, so they only see texts that hold the name, or words of SQL.
+    """
+    content = col(content)
     behind = F.concat(F.lit(r")\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*"), _quoted(name), F.lit(r"(?:\s|[<({:\[;]|$)"))
     general = F.concat(F.lit(r"(?md)(?:^|(?<=\s))(?:" + "|".join(DEFINITION_KEYWORDS)), behind)
     ddl = F.concat(F.lit(r"(?mdi)(?:^|(?<=\s))(?:" + "|".join(SQL_DEFINITION_KEYWORDS)), behind)
-    return F.rlike(col(content), general) | F.rlike(col(content), ddl)
+    has_ddl = F.contains(F.lower(content), F.lit(commonprefix(SQL_DEFINITION_KEYWORDS).lower()))
+    return (F.contains(content, name) & F.rlike(content, general)) | (has_ddl & F.rlike(content, ddl))
 
 
 def stem_matches(stem: Column, name: Column) -> Column:
