@@ -5,6 +5,7 @@ The patterns run on the JVM inside generated code. ``(?d)`` makes ``^`` and ``$`
 
 from __future__ import annotations
 
+from functools import reduce
 from os.path import commonprefix
 
 from pyspark.sql import Column
@@ -38,6 +39,7 @@ SQL_DEFINITION_KEYWORDS = ("CREATE TABLE", "CREATE VIEW", "CREATE PROCEDURE", "C
 BINARY_SNIFF_CHARS, BINARY_RATIO = 8192, 0.1
 MINIFIED_SAMPLE_CHARS, MINIFIED_LINE_LENGTH = 65536, 2000
 LINE_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}"
+DOT_BREAKS, LINE_CONTROLS = r"\n\r\x85\x{2028}\x{2029}", "\x0b\x0c\x1c\x1d\x1e"
 GIT_URL = r"^(?:https://|http://|ssh://|git://|git\+ssh://|file://)|^[\w.-]+@[\w.-]+:(?!/)"
 
 SEPARATORS = ("::", "\\", "->", ".")
@@ -70,9 +72,17 @@ def tokenize(text: Column | str) -> Column:
 
 
 def lines_of(text: Column | str) -> Column:
-    """Lines with their ends; every character that ends a line in Unicode text counts."""
-    pattern = rf"[^{LINE_BREAKS}]*(?:\r\n|[{LINE_BREAKS}])|[^{LINE_BREAKS}]+"
-    return F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), F.lit(0))
+    """Lines with their ends; every character that ends a line in Unicode text counts.
+
+    The pattern's dot stops at all of them but the controls, and is over ten times as fast as a class of characters; texts with such a control take the class.
+    """
+    text = F.coalesce(col(text), F.lit(""))
+
+    def found(inside: str, ends: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(rf"{inside}++(?:\r\n|[{ends}])?+|\r\n|[{ends}]"), F.lit(0))
+
+    controls = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in LINE_CONTROLS])
+    return F.when(controls, found(f"[^{LINE_BREAKS}]", LINE_BREAKS)).otherwise(found(".", DOT_BREAKS))
 
 
 def is_blank(text: Column | str) -> Column:
