@@ -41,7 +41,7 @@ def ranked(documents: DataFrame, queries: DataFrame, depth: int, work: str) -> D
 
     The length of each document and its counts of the queries' tokens are kept below ``work``, and so are the few rows that are found: the texts are joined with those.
     """
-    found = bm25.best_in(queries, bm25.tokenized(documents), depth, work=f"{work}/counts")
+    found = bm25.best_in(queries, bm25.texts_of(documents), depth, work=f"{work}/counts")
     found.write.mode("overwrite").parquet(f"{work}/ranked")
     return documents.sparkSession.read.schema(found.schema).parquet(f"{work}/ranked")
 

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokenize
+from ..functions.plain import token_lists
 from ..functions.vectors import norm, normalize, similarity
 from ..sources.tables import kept, shared_folder
 from .bm25 import SCORE_PLACES
@@ -240,17 +240,17 @@ def _lists(matrix: np.ndarray) -> pa.ListArray:
 def encoded(rows: DataFrame, encoder: Encoder, text: str = "content", batch: int = 512) -> DataFrame:
     """``rows`` with a column ``vector`` (null where encoding failed) and ``embed_error``.
 
-    An encoder that works on tokens gets those of the built-in tokenizer, as Arrow lists.
+    An encoder that works on tokens gets those of the built-in tokenizer, as Arrow lists; texts are cut where they are encoded.
     """
     if hasattr(encoder, "encode_tokens"):
 
         def of_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
-                *kept, tokens = part.columns
-                yield pa.RecordBatch.from_arrays([*kept, _lists(encoder.encode_tokens(tokens))], names=[*part.schema.names[:-1], "vector"])
+                *kept, texts = part.columns
+                yield pa.RecordBatch.from_arrays([*kept, _lists(encoder.encode_tokens(token_lists(texts)))], names=[*part.schema.names[:-1], "vector"])
 
         schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
-        made = rows.select("*", tokenize(text).alias("tokens_")).mapInArrow(of_tokens, schema)
+        made = rows.select("*", F.col(text).alias("text_")).mapInArrow(of_tokens, schema)
         return made.withColumn("embed_error", F.lit(None).cast("string"))
     kind = T.StructType([T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("embed_error", T.StringType())])
 

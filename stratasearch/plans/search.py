@@ -27,7 +27,7 @@ def sparse_hits(
     """The coarse BM25 hits of each query.
 
     A query with a scope keeps those of the coarse hits that are in its repository; with ``prefilter`` it gets the best hits of the
-    repository instead, however they rank among all. ``tokens`` (chunk_id, repo_id, tokens) may stand for postings and statistics, without ``prefilter``.
+    repository instead, however they rank among all. ``tokens`` (chunk_id, repo_id, tokens; or ``texts_of``) may stand for postings and statistics, without ``prefilter``.
     """
     if tokens is not None:
         if prefilter:

@@ -97,3 +97,14 @@ def test_languages(spark):
 @given(st.lists(st.text(alphabet="aB_9 .\n", max_size=30), min_size=1, max_size=20))
 def test_tokenize_property(spark, samples):
     assert column(spark, samples, text.tokenize) == [plain.tokenize(s) for s in samples]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aBz_09 .é\n\x00", max_size=14), st.text(max_size=20)), max_size=6))
+def test_lists_of_tokens_equal_plain_python(samples):
+    import pyarrow as pa
+
+    texts = pa.array([s and s.encode("utf-8", "replace").decode() for s in [*samples, "9"]], pa.string())
+    want = [plain.tokenize(s) for s in texts.to_pylist()]
+    assert plain.token_lists(texts).to_pylist() == want
+    assert plain.token_lists(texts.slice(1)).to_pylist() == want[1:]
