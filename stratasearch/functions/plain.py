@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .text import CAMEL_PART, IDENTIFIER, PLAIN_WORD
 
 #: By byte: whether it may be in an identifier, and whether one may begin with it.
 _INSIDE, _FIRST = (np.array([b < 128 and bool(re.fullmatch(IDENTIFIER, front + chr(b))) for b in range(256)]) for front in ("_", ""))
+#: Bytes of the texts that are cut at once, where a task bounds its memory: cutting takes some twenty times as much.
+TEXT_BLOCK = 4 << 20
 _IDENTIFIER, _PART = re.compile(IDENTIFIER), re.compile(CAMEL_PART)
 
 
@@ -66,3 +69,13 @@ def token_lists(texts: pa.StringArray) -> pa.ListArray:
     places = flat[np.repeat(start[code] - behind[:-1], size[code]) + np.arange(behind[-1])]
     tokens = pa.concat_arrays([pc.ascii_lower(words), pa.array([x for p in parts for x in p], pa.string())])
     return pa.ListArray.from_arrays(behind[at].astype(np.int32), pa.DictionaryArray.from_arrays(places, tokens))
+
+
+def text_blocks(batch: pa.RecordBatch, column: int, most: int = TEXT_BLOCK) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, in order, whose texts have up to ``most`` bytes together; a longer text is a part of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    until, at = np.cumsum(size, dtype=np.int64), 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(until, (until[at - 1] if at else 0) + most, "right")) - at)
+        yield batch.slice(at, n)
+        at += n

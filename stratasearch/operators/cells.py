@@ -22,61 +22,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.plain import text_blocks, token_lists
 from ..sources.tables import kept
 from .bm25 import K1, MOST_CELLS, SCORE_PLACES, B, asked_matrix, query_tokens, top
 from .pruned import MARGIN
 
 #: Chunks and tokens of a cell, tokens that a task holds to sort their chunks by length, and cells of each query that the first pass scores.
 CELL, CELL_TOKENS, HELD_TOKENS, FIRST = 1024, 1 << 20, 4 << 20, 2
+#: Cells of a stored file. Spark's reader decodes a row group's lists at once, several times as large as they are stored, and the writer closes none before 100 rows.
+FILE_CELLS = 8
+#: Words of a batch up to which an index can be made for it alone.
+MOST_WORDS = 200_000
 
 
-def cells(tokens: DataFrame, size: int = CELL) -> DataFrame:
-    """Cells of chunks (chunk_id, repo_id, tokens), to be stored before they are searched.
+def cells(tokens: DataFrame, size: int = CELL, words: list[str] | None = None) -> DataFrame:
+    """Cells of chunks (chunk_id, repo_id, tokens), to be stored before they are searched. ``bm25.texts_of`` may stand for tokens: texts are cut in the tasks then, a block at a time.
 
+    All chunks and their whole lengths are there, and the postings of all tokens, or of ``words`` alone.
     ``chunk_ids``, ``repo_ids``, ``lengths`` are by chunk, ``tokens``, ``ends`` (of their postings), ``most`` (count) and ``least`` (length) by token, ``places`` (of chunks) and ``tfs`` by posting.
     """
+    cut = "text" in tokens.columns
     ids = [T.ArrayType(tokens.schema[name].dataType) for name in ("chunk_id", "repo_id")]
     numbers = T.ArrayType(T.IntegerType())
     schema = T.StructType().add("cell", T.LongType()).add("n", T.LongType()).add("total", T.LongType()).add("chunk_ids", ids[0]).add("repo_ids", ids[1]).add("lengths", numbers)
     schema = schema.add("tokens", T.ArrayType(T.StringType())).add("ends", numbers).add("most", numbers).add("least", numbers).add("places", T.ArrayType(T.ShortType())).add("tfs", numbers)
-
-    def one(number: int, rows: pa.Table, length: np.ndarray) -> pa.RecordBatch:
-        words = rows.column("tokens").combine_chunks().flatten().dictionary_encode()
-        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        place, tf = np.unique(code * len(rows) + np.repeat(np.arange(len(rows)), length), return_counts=True)
-        code, place = np.divmod(place, max(1, len(rows)))
-        starts = np.searchsorted(code, np.arange(len(words.dictionary)))
-        most, least = (f.reduceat(x, starts) if len(starts) else x for f, x in ((np.maximum, tf), (np.minimum, length[place])))
-        given = [rows.column(name).combine_chunks() for name in ("chunk_id", "repo_id")]
-        lists = [*given, pa.array(length, pa.int32()), words.dictionary, *(pa.array(x, pa.int32()) for x in (np.append(starts[1:], len(tf))[: len(starts)], most, least)), pa.array(place, pa.int16()), pa.array(tf, pa.int32())]
-        single = [pa.array([x], pa.int64()) for x in (number, len(rows), int(length.sum()))]
-        return pa.RecordBatch.from_arrays([*single, *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], names=schema.names)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, count = TaskContext.get().partitionId() << 32, [], 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            rows = pa.Table.from_batches(held)
-            length = pc.fill_null(pc.list_value_length(rows.column("tokens")), 0).to_numpy()
-            order = np.argsort(length, kind="stable")
-            rows, length = rows.take(pa.array(order)), length[order]
-            at = 0
-            while at < len(rows):
-                n = max(1, min(size, int(np.searchsorted(np.cumsum(length[at : at + size]), CELL_TOKENS, "right"))))
-                yield one(number, rows.slice(at, n), length[at : at + n])
-                at, number = at + n, number + 1
-
-        for batch in batches:
-            held.append(batch)
-            count += len(batch.column(2).flatten())
+        for number, lists in enumerate(_cells_of(batches, size, cut, words), TaskContext.get().partitionId() << 32):
+            single = [pa.array([x], pa.int64()) for x in (number, len(lists[0]), pc.sum(lists[2]).as_py())]
+            yield pa.RecordBatch.from_arrays([*single, *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], names=names)
+
+    return tokens.select("chunk_id", "repo_id", "text" if cut else "tokens").mapInArrow(run, schema)
+
+
+def _cells_of(batches: Iterator[pa.RecordBatch], size: int, cut: bool, words: list[str] | None = None) -> Iterator[list[pa.Array]]:
+    """The lists of each cell of a task, from ids and texts (``cut``) or ids and lists of tokens.
+
+    Of what it has read a task holds ids, lengths and places of tokens in dictionaries, for HELD_TOKENS tokens and one more block of texts.
+    """
+    held, count = [], 0
+    for batch in batches:
+        for part in text_blocks(batch, 2) if cut else [batch]:
+            lists = token_lists(part.column(2)) if cut else part.column(2)
+            length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten() if cut else lists.flatten().dictionary_encode()
+            code, dictionary, n = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32), flat.dictionary, length
+            if words is not None:
+                good = pc.is_in(dictionary, value_set=pa.array(words, dictionary.type)).to_numpy(zero_copy_only=False)
+                n = np.diff(np.append(0, np.cumsum(good[code]))[np.append(0, np.cumsum(length))])
+                code, dictionary = (np.cumsum(good) - 1)[code[good[code]]].astype(np.int32), dictionary.filter(pa.array(good))
+            rows = pa.array(np.arange(len(part)))  # taken, so that no text stays for its row's ids
+            held.append((*(part.column(i).take(rows) for i in (0, 1)), length, n, code, dictionary))
+            count += len(code) + len(part)
             if count >= HELD_TOKENS:
-                yield from close()
+                yield from _sorted_cells(held, size)
                 held, count = [], 0
-        if held:
-            yield from close()
-
-    return tokens.select("chunk_id", "repo_id", "tokens").mapInArrow(run, schema)
+    if held:
+        yield from _sorted_cells(held, size)
+
+
+def _sorted_cells(held: list[tuple], size: int) -> Iterator[list[pa.Array]]:
+    """The lists of the cells that held blocks give, their chunks sorted by length."""
+    words = pa.concat_arrays([x[5] for x in held]).dictionary_encode()  # the blocks' dictionaries, which may name a word twice
+    place, before = words.indices.to_numpy(zero_copy_only=False), np.cumsum([0, *(len(x[5]) for x in held)])
+    codes, words = np.concatenate([place[x[4] + n] for x, n in zip(held, before)]), words.dictionary
+    chunks, repos = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
+    length, sizes = (np.concatenate([x[i] for x in held]).astype(np.int64) for i in (2, 3))  # all tokens of a chunk, and those that are kept
+    begin, order, at = np.cumsum(sizes) - sizes, np.argsort(length, kind="stable"), 0
+    while at < len(order):
+        rows = order[at : at + size]
+        rows = rows[: max(1, np.searchsorted(np.cumsum(sizes[rows]), CELL_TOKENS, "right"))]
+        size_of, n = sizes[rows], len(rows)
+        behind = np.cumsum(size_of) - size_of
+        code = codes[np.repeat(begin[rows] - behind, size_of) + np.arange(size_of.sum())].astype(np.int64)
+        place, tf = np.unique(code * n + np.repeat(np.arange(n), size_of), return_counts=True)
+        code, place = np.divmod(place, n)
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        most, least = (f.reduceat(x, starts) if len(starts) else x for f, x in ((np.maximum, tf), (np.minimum, length[rows][place])))
+        by_token = [words.take(pa.array(code[starts])), *(pa.array(x, pa.int32()) for x in (np.append(starts[1:], len(tf))[: len(starts)], most, least))]
+        yield [chunks.take(pa.array(rows)), repos.take(pa.array(rows)), pa.array(length[rows], pa.int32()), *by_token, pa.array(place, pa.int16()), pa.array(tf, pa.int32())]
+        at += n
 
 
 @dataclass(frozen=True)
@@ -152,6 +178,7 @@ def _best(asked: _Asked, floors: np.ndarray, k: int, only: dict[int, list[int]]
 
     arrow = to_arrow_schema(schema)
     asks = [np.flatnonzero(asked.counts[:, q]) for q in range(len(asked.ids))]
+    step = max(1, MOST_CELLS // max(1, len(asked.words)))  # chunks whose weights are laid out at once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor, best, work = floors.copy(), {}, np.zeros((2, len(asked.ids)), np.int64)
@@ -169,30 +196,33 @@ def _best(asked: _Asked, floors: np.ndarray, k: int, only: dict[int, list[int]]
             begin, size = np.append(0, ends)[at], np.diff(ends, prepend=0)[at]
             picked = np.repeat(begin - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
             place, tf = (_numbers(row[name].take(pa.array(picked))) for name in ("places", "tfs"))
-            weight = np.zeros((row["n"], len(asked.words)))
             of = np.repeat(code, size)
-            weight[place, of] = asked.weight(of, tf, _numbers(row["lengths"])[place])
-            for q in wanted:
-                words = asks[q]
-                gain = bound[words] * asked.counts[words, q]
-                words, gain = words[gain > 0], gain[gain > 0]
-                rising = np.argsort(gain)
-                leads = words[rising[np.cumsum(gain[rising]) >= floor[q] - MARGIN]]
-                if tally:
-                    work[0, q] += (weight[:, words] > 0).any(axis=1).sum()
-                    if reach[q] <= 0 or reach[q] < floor[q] - MARGIN:
-                        continue
-                chunk = np.flatnonzero((weight[:, leads] > 0).any(axis=1))
-                work[1, q] += len(chunk)
-                score = np.round(weight[np.ix_(chunk, words)] @ asked.counts[words, q], SCORE_PLACES)
-                if len(score) > k:  # all that reach the k-th best, so ties are decided by id
-                    floor[q] = max(floor[q], np.partition(score, len(score) - k)[len(score) - k])
-                good = (score >= floor[q]) & (score > 0)
-                if good.any():
-                    names = [row[name].take(pa.array(chunk[good])).to_pylist() for name in ("chunk_ids", "repo_ids")]
-                    best[q] = sorted([*best.get(q, []), *zip((-score[good]).tolist(), *names)], key=lambda x: x[:2])[:k]
-                    if len(best[q]) == k:
-                        floor[q] = max(floor[q], -best[q][-1][0])
+            gains = asked.weight(of, tf, _numbers(row["lengths"])[place])
+            for lo in range(0, row["n"], step):
+                here = (place >= lo) & (place < lo + step)
+                weight = np.zeros((min(step, row["n"] - lo), len(asked.words)))
+                weight[place[here] - lo, of[here]] = gains[here]
+                for q in wanted:
+                    words = asks[q]
+                    gain = bound[words] * asked.counts[words, q]
+                    words, gain = words[gain > 0], gain[gain > 0]
+                    rising = np.argsort(gain)
+                    leads = words[rising[np.cumsum(gain[rising]) >= floor[q] - MARGIN]]
+                    if tally:
+                        work[0, q] += (weight[:, words] > 0).any(axis=1).sum()
+                        if reach[q] <= 0 or reach[q] < floor[q] - MARGIN:
+                            continue
+                    chunk = np.flatnonzero((weight[:, leads] > 0).any(axis=1))
+                    work[1, q] += len(chunk)
+                    score = np.round(weight[np.ix_(chunk, words)] @ asked.counts[words, q], SCORE_PLACES)
+                    if len(score) > k:  # all that reach the k-th best, so ties are decided by id
+                        floor[q] = max(floor[q], np.partition(score, len(score) - k)[len(score) - k])
+                    good = (score >= floor[q]) & (score > 0)
+                    if good.any():
+                        names = [row[name].take(pa.array(chunk[good] + lo)).to_pylist() for name in ("chunk_ids", "repo_ids")]
+                        best[q] = sorted([*best.get(q, []), *zip((-score[good]).tolist(), *names)], key=lambda x: x[:2])[:k]
+                        if len(best[q]) == k:
+                            floor[q] = max(floor[q], -best[q][-1][0])
         if tally:
             yield pa.RecordBatch.from_arrays([pa.array(asked.ids, arrow[0].type), *(pa.array(x, pa.int64()) for x in work)], schema=arrow)
             return
@@ -204,9 +234,24 @@ def _best(asked: _Asked, floors: np.ndarray, k: int, only: dict[int, list[int]]
 
 @dataclass(frozen=True)
 class CellIndex:
-    """Stored ``cells``."""
+    """Stored ``cells``; ``words``: the only ones whose postings they have."""
 
     cells: DataFrame
+    words: frozenset[str] | None = None
+
+    @staticmethod
+    def build(tokens: DataFrame, path: str, size: int = CELL, queries: DataFrame | None = None) -> CellIndex:
+        """An index of ``cells`` that is written to ``path``, a few of them in a file, so that reading takes memory by the cell and not by the file.
+
+        With ``queries`` it has the postings of their tokens only and answers no others, unless they have more than MOST_WORDS.
+        """
+        words = None
+        if queries is not None:
+            few = [r["token"] for r in query_tokens(queries).select("token").distinct().limit(MOST_WORDS + 1).collect()]
+            words = few if len(few) <= MOST_WORDS else None
+        made = cells(tokens, size, words)
+        made.write.option("maxRecordsPerFile", FILE_CELLS).parquet(path)
+        return CellIndex(tokens.sparkSession.read.schema(made.schema).parquet(path), None if words is None else frozenset(words))
 
     def search(self, queries: DataFrame, k: int, most_cells: int = MOST_CELLS) -> DataFrame:
         """(query_id, chunk_id, repo_id, score, rank): the k best positive scores of each query (query_id, query), as ``bm25.top`` has them.
@@ -228,6 +273,8 @@ class CellIndex:
 
     def _found(self, part: DataFrame, k: int, tally: bool = False) -> DataFrame:
         words, ids, counts = asked_matrix(part.collect())  # bounded by ``most_cells``
+        if self.words is not None and not self.words.issuperset(words):
+            raise ValueError("the index was made for other queries")
         corpus = self.cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total") / F.sum("n"), F.lit(0.0)).alias("avgdl")).first()
         df = np.zeros(len(words))
         for row in self.cells.select("tokens", "ends").mapInArrow(_frequencies(words), "code int, df long").groupBy("code").agg(F.sum("df").alias("df")).collect():  # one row a token
