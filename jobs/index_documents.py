@@ -5,9 +5,10 @@
 SOURCE is a folder (or pattern) of Parquet files. A run takes the files that no run with this CHECKPOINT has taken, and ends. Of a
 document that comes again, only another text or path counts: its new chunks replace the old ones. An unchanged document writes nothing.
 
-Below TARGET: ``documents`` (doc_id, repo_id, file_path, digest; by batch and language), ``chunks`` (by batch and language), ``postings`` (by batch and
-token bucket, sorted by token) and ``replaced`` (doc_id and the batch whose rows no longer count). A batch overwrites its own folders, so one that
-is run again after a failure leaves the same rows. Rows are only added: read through ``current``.
+Below TARGET: ``documents`` (doc_id, repo_id, file_path, digest; by batch and language), ``chunks`` (by batch and language; numbered within the batch),
+``postings`` (lists of numbers by batch and token bucket, sorted by token; ids of chunks would take most of the room) and ``replaced`` (doc_id and the batch
+whose rows no longer count). A batch overwrites its own folders, so one that is run again after a failure leaves the same rows. Rows are only added: read
+through ``current``. Texts and chunks are neither cached nor shuffled in a first batch: a later step reads what an earlier one wrote.
 
 The configuration gives SQL expressions for id, repo, path, language and content over the source's columns.
 """
@@ -29,15 +30,15 @@ from stratasearch.operators.filters import readable_files
 
 log = logging.getLogger("index_documents")
 
-#: Repeated ids of a batch that are broadcast; with more of them the texts are shuffled.
+#: Repeated, changed or unchanged ids of a batch that are broadcast; with more of them the texts are shuffled.
 FEW_REPEATED = 100_000
 
 DEFAULTS = Path(__file__).with_suffix(".json")
 SCHEMAS = {
     "documents": "doc_id long, repo_id string, file_path string, digest string, batch int, language string",
     "chunks": "doc_id long, repo_id string, chunk_id string, file_path string, start_line int, end_line int, content string, content_hash string, "
-    "n_tokens long, n_terms long, batch int, language string",
-    "postings": "token string, chunk_id string, repo_id string, doc_id long, tf int, batch int, bucket int",
+    "n_tokens long, n_terms long, number long, batch int, language string",
+    "postings": "token string, block long, places array<smallint>, tfs array<int>, batch int, bucket int",
     "replaced": "doc_id long, old_batch int, batch int",
 }
 
@@ -48,7 +49,14 @@ def stored(spark: SparkSession, target: str, name: str) -> DataFrame:
 
 
 def current(spark: SparkSession, target: str, name: str = "chunks", before: int | None = None) -> DataFrame:
-    """The rows of ``documents``, ``chunks`` or ``postings`` that count, or that did before a batch. Only the list of replaced documents is joined."""
+    """The rows of ``documents``, ``chunks`` or ``postings`` that count, or that did before a batch. Only the list of replaced documents is joined.
+
+    Postings (token, chunk_id, repo_id, doc_id, tf, batch, bucket) take ids from the chunks that count, so filters on token and bucket are best put on the result.
+    """
+    if name == "postings":
+        chunks = current(spark, target, "chunks", before).select("batch", "number", "chunk_id", "repo_id", "doc_id")
+        listed = bm25.unlisted(stored(spark, target, name)).join(chunks, ["batch", "number"])
+        return listed.select("token", "chunk_id", "repo_id", "doc_id", "tf", "batch", "bucket")
     rows, gone = stored(spark, target, name), stored(spark, target, "replaced")
     if before is not None:
         rows, gone = rows.where(F.col("batch") < before), gone.where(F.col("batch") < before)
@@ -74,45 +82,55 @@ def write_batch(rows: DataFrame, number: int, target: str, settings: dict) -> in
     spark = rows.sparkSession
     digest = F.sha2(F.to_json(F.struct("repo_id", "file_path", "language", "content")), 256)
     newest, repeated = _newest(rows.where("doc_id IS NOT NULL"))
-    newest = newest.withColumn("digest", digest)
+    names = ("doc_id", "repo_id", "file_path", "digest", "language")
     if number:  # as it was before this batch, also if the batch is run again
         known = current(spark, target, "documents", before=number)
     else:
         known = spark.createDataFrame([], SCHEMAS["documents"])
     known = known.select("doc_id", "digest", F.col("batch").alias("old_batch"))
-    changed = newest.join(known.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").persist()
-    pieces = line_chunks(readable_files(changed), settings["desired_chunk_chars"], settings["max_chunk_chars"])
-    tokens = bm25.index_tokens("content", "file_path")
-    chunks = bm25.with_terms(with_chunk_ids(pieces).withColumn("tokens", tokens)).persist()
+    given = newest.withColumn("digest", digest).select(*names)  # without texts
+    changed = given.join(known.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").select(*names).persist()
 
-    def write(table: DataFrame, name: str, *by: str) -> int:
+    def write(table: DataFrame, name: str, *by: str) -> DataFrame:
         path = f"{target}/{name}/batch={number}"
         table.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)  # ids in hex take half the room
         fields = [f for f in T.StructType.fromDDL(SCHEMAS[name]).fields if f.name != "batch"]
-        return spark.read.schema(T.StructType(fields)).parquet(path).count()
+        return spark.read.schema(T.StructType(fields)).parquet(path)
 
     try:
         replaced = changed.join(known.select("doc_id", "old_batch"), "doc_id").select("doc_id", "old_batch")
         read = rows.count()
-        counts = {"replaced": write(replaced, "replaced")}
-        sizes = ("n_tokens", F.size("terms").cast("long").alias("n_terms"))
+        counts = {"replaced": write(replaced, "replaced").count()}
+        texts = _with_ids(newest, changed) if number else newest
+        pieces = with_chunk_ids(line_chunks(readable_files(texts), settings["desired_chunk_chars"], settings["max_chunk_chars"]))
         columns = ("doc_id", "repo_id", "chunk_id", "file_path", "start_line", "end_line", "content", "content_hash")
-        counts["chunks"] = write(chunks.select(*columns, *sizes, "language"), "chunks", "language")
-        short = F.unhex("chunk_id").alias("chunk_id")  # half as long, in the same order
-        owner = chunks.select(short, F.struct("repo_id", "doc_id").alias("repo_id"), "terms")
-        posted = bm25.postings(owner).select("token", "chunk_id", "repo_id.repo_id", "repo_id.doc_id", "tf")
+        numbered = pieces.select(*columns, F.monotonically_increasing_id().alias("number"), "language", bm25.index_text("content", "file_path").alias("text"))
+        sized = bm25.with_sizes(numbered).select(*columns, "n_tokens", "n_terms", "number", "language")
+        chunks = write(sized, "chunks", "language")
+        counts["chunks"] = chunks.count()
+        posted = bm25.postings(chunks.select("number", bm25.index_text("content", "file_path").alias("text")))
         bucket = F.pmod(F.hash("token"), F.lit(settings["token_buckets"])).alias("bucket")
-        dealt = posted.select("*", bucket).repartitionByRange("bucket", "token", "chunk_id").sortWithinPartitions("bucket", "token")
-        counts["postings"] = write(dealt.withColumn("chunk_id", F.lower(F.hex("chunk_id"))), "postings", "bucket")
-        counts["documents"] = write(changed.select("doc_id", "repo_id", "file_path", "digest", "language"), "documents", "language")
+        dealt = posted.select("*", bucket).repartitionByRange("bucket", "token", "block").sortWithinPartitions("bucket", "token", "block")
+        counts["postings"] = write(dealt, "postings", "bucket").agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+        counts["documents"] = write(changed, "documents", "language").count()
         log.info("batch %d: read %d rows; wrote %s", number, read, ", ".join(f"{n} {name}" for name, n in counts.items()))
         return read
     finally:
-        chunks.unpersist()
         changed.unpersist()
         repeated.unpersist()
 
 
+def _with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (each doc_id once) with the ids of ``ids``. Texts are moved only if more than FEW_REPEATED have such ids and more have none."""
+    ids = ids.select("doc_id")
+    if ids.count() <= FEW_REPEATED:
+        return rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    others = rows.select("doc_id").join(ids, "doc_id", "left_anti")
+    if others.count() <= FEW_REPEATED:
+        return rows.join(F.broadcast(others), "doc_id", "left_anti")
+    return rows.join(ids, "doc_id", "left_semi")
+
+
 def run(spark: SparkSession, source: str, target: str, checkpoint: str, settings: dict | None = None) -> int:
     """Index what is new in ``source``; returns the number of rows read. Rows without an id are left out."""
     settings = json.loads(DEFAULTS.read_text()) | (settings or {})

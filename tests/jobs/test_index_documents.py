@@ -5,9 +5,12 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import index_documents as job
+from stratasearch.functions import plain
 from stratasearch.operators import bm25
 
 SCHEMA = "doc_id long, source string, lang string, text string, extra int"
@@ -116,3 +119,58 @@ def test_command_line(spark, places):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "read 5 rows in 1 batches" in done.stderr
     assert len(state(spark, target)[0]) == 2
+
+
+def test_postings_take_little_room_and_no_text_is_cached(spark, places, monkeypatch):
+    """Ids of chunks took 16 bytes and more a posting, and cached texts and chunks went to disk."""
+    source, target, checkpoint = places
+    words = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", k), F.lit(500))))
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.array_join(words, " ").alias("text"))
+    rows.coalesce(2).write.parquet(source)
+    kept, persist = [], type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda self, *a: kept.append(self.columns) or persist(self, *a))
+    job.run(spark, source, target, checkpoint, {"token_buckets": 1})
+    assert kept and not [x for x in kept if {"content", "text", "terms"} & set(x)]
+    chunks, found = job.current(spark, target), job.current(spark, target, "postings")
+    want = bm25.postings(chunks.select("chunk_id", "repo_id", bm25.index_tokens("content", "file_path").alias("tokens")))
+    columns = ("token", "chunk_id", "repo_id", "tf")
+    assert found.count() == want.count() > 150_000
+    assert found.select(*columns).exceptAll(want.select(*columns)).count() == 0
+    room = sum(f.stat().st_size for f in Path(target, "postings").rglob("*.parquet"))
+    assert room < 6 * found.count()
+
+
+@pytest.mark.parametrize("few", [0, 1])
+def test_more_changed_ids_than_are_broadcast(spark, places, few, monkeypatch):
+    """Few unchanged documents, then many of either kind: the rows are those of small lists."""
+    source, target, checkpoint = places
+    add(spark, source, FIRST)
+    job.run(spark, source, target, checkpoint)
+    monkeypatch.setattr(job, "FEW_REPEATED", few)
+    add(spark, source, SECOND)
+    assert job.run(spark, source, target, checkpoint) == 5
+    chunks, _, documents = state(spark, target)
+    assert [(r[0], r[2]) for r in chunks] == [(1, "alpha beta\ngamma"), (2, "delta only"), (3, "now there"), (5, "epsilon")] and [r[0] for r in documents] == [1, 2, 3, 4, 5]
+
+
+def test_lists_over_several_blocks(monkeypatch):
+    """Lists of a task, in any order of numbers, over borders of blocks and of what is gathered at once."""
+    monkeypatch.setattr(bm25, "LIST_BLOCK", 4)
+    monkeypatch.setattr(bm25, "LIST_TOKENS", 9)
+    texts = ["a b a", "", "getName a", None, "b b b c", "C9 a", "z_y", "a a a a"] * 2
+    numbers = [9, 3, 14, 0, 5, 1, (1 << 33) + 2, 7, 8, 2, 13, 4, 6, 10, (1 << 33) + 3, 11]
+    batch = pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(texts)], names=["number", "text"])
+    found, seen = {}, 0
+    for part in bm25._lists(iter([batch.slice(0, 5), batch.slice(5)])):
+        for row in part.to_pylist():
+            seen += 1
+            assert row["places"] == sorted(row["places"]) and 0 <= min(row["places"]) <= max(row["places"]) < 4
+            for place, tf in zip(row["places"], row["tfs"], strict=True):
+                key = (row["token"], row["block"] * 4 + place)
+                assert key not in found
+                found[key] = tf
+    want = {}
+    for number, text in zip(numbers, texts):
+        for token in plain.tokenize(text):
+            want[token, number] = want.get((token, number), 0) + 1
+    assert found == want and seen < len(found)
